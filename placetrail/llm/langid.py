@@ -8,7 +8,6 @@ language is the one with the largest mean posterior.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import BLOCK_BYTES, fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
+from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
 
 #: Slots of the hashed lexicon and affix weights.
 SLOTS = 1 << 17
@@ -194,20 +193,20 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def label(texts: pa.Array) -> pa.Array:
         crf = shared.value
         names = np.array([*crf.languages, "und"], object)
-        out = pd.DataFrame({"lang_pred": np.full(len(texts), "und", object), "score": np.zeros(len(texts))})
-        for rows, data, offsets in text_blocks(pa.array(texts, pa.large_string(), from_pandas=True), 2 * BLOCK_BYTES):
+        found, sure = np.full(len(texts), "und", object), np.zeros(len(texts))
+        for rows, data, offsets in text_blocks(texts):
             words = word_features(data, offsets)
             post = posteriors(emissions(crf, words), words.first, crf)
             counts = np.diff(words.first)
             mean = per_text(post, words.first) / np.maximum(counts, 1)[:, None]
             best = np.where(counts > 0, mean.argmax(1), len(crf.languages))
-            out.iloc[rows, 0] = names[best]
-            out.iloc[rows, 1] = np.where(counts > 0, np.minimum(mean.max(1), 1.0), 0.0)
-        return out
+            found[rows] = names[best]
+            sure[rows] = np.where(counts > 0, np.minimum(mean.max(1), 1.0), 0.0)
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(sure)], ["lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     found = kept.withColumn("found_", label(F.col("text")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing
+from . import langid, mixing, quality, toxicity, wordpiece
 from .sampling import fold
 
 
@@ -15,6 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match tokens of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, wordpiece.read_vocabulary()).select("doc_id", "n_words", "n_tokens")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned outside the fold crc32(doc_id) mod 5 = 0."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), mod=5, held=0)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned outside the fold crc32(doc_id) mod 4 = 2."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), mod=4, held=2)
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the fold crc32(doc_id) mod 4 = 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -29,6 +51,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
