@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, toxicity, wordpiece
+from . import langid, mixing, nearvec, quality, topk, toxicity, wordpiece
 from .sampling import fold
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector at cosine 0.95."""
+    return nearvec.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +42,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every vector whose vec_id is divisible by 100, over all vectors."""
+    vectors = topk.to_grid(_table(spark, sf_dir, "embeddings"))
+    return topk.nearest_neighbours(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the fold crc32(doc_id) mod 4 = 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -51,12 +62,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op7_top_k": op7_top_k,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_vectors": nearvec.ORACLE_SQL,
+    "op7_top_k": topk.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
