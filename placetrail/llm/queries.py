@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, nearvec, quality, topk, toxicity, wordpiece
+from . import langid, mixing, neardup, nearvec, quality, topk, toxicity, wordpiece
 from .sampling import fold
 
 
@@ -42,6 +42,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count, component and representative of every document."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every vector whose vec_id is divisible by 100, over all vectors."""
     vectors = topk.to_grid(_table(spark, sf_dir, "embeddings"))
@@ -66,12 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_top_k": op7_top_k,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": nearvec.ORACLE_SQL,
+    "op5_near_duplicates": neardup.ORACLE_SQL,
     "op7_top_k": topk.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
