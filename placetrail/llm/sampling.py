@@ -24,24 +24,24 @@ def unit_hash(*columns: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(UNIT)) / F.lit(float(UNIT))
 
 
-def labelled_sample(docs: DataFrame, keys: DataFrame, label: str, per_class: int, max_chars: int, seed: int) -> pd.DataFrame:
-    """At most about per_class rows (text, label) of each label in keys(doc_id, label), in doc_id order.
+def labelled_sample(docs: DataFrame, keys: DataFrame, label: str, per_class: int, max_chars: int, seed: int, also: tuple[str, ...] = ()) -> pd.DataFrame:
+    """At most about per_class rows (text, label, `also`) of each label in keys(doc_id, label), in doc_id order.
 
     `keys` is thinned to the sample first; only that bounded table is broadcast against the documents, so no
     text is shuffled.
     """
     rates = keys.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(per_class)) / F.count(F.lit(1))).alias("rate")).collect()
     if not rates:
-        return pd.DataFrame({"text": [], label: []})
+        return pd.DataFrame({name: pd.Series(dtype=object) for name in ("text", label, *also)})
     rate = F.lit(0.0)
     for row in rates:
         rate = F.when(F.col(label) == F.lit(row[label]), F.lit(row["rate"])).otherwise(rate)
     chosen = keys.filter(unit_hash(F.col("doc_id"), seed=seed) < rate).select("doc_id", label)
     out = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", *also)
         .filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", label)
+        .select("doc_id", "text", label, *also)
         .toPandas()
     )
     return out.sort_values(["doc_id", label, "text"], kind="stable").reset_index(drop=True)
