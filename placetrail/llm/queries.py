@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, nearvec, quality, topk, toxicity, wordpiece
+from . import langid, mixing, neardup, nearvec, quality, repeats, topk, toxicity, wordpiece
 from .sampling import fold
 
 
@@ -53,6 +53,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest_neighbours(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes covered by a 200-byte string that also starts anywhere else."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the fold crc32(doc_id) mod 4 = 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_top_k": op7_top_k,
+    "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
