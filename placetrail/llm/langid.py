@@ -218,6 +218,14 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     ).drop("found_")
 
 
+def identify_into(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
+    """The rows of docs whose language is recognised with a score of at least `least`, with docs' own columns."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    marked = docs.toDF(*names).withColumnRenamed(names[docs.columns.index("text")], "text")
+    kept = identify(marked, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    return kept.toDF(*docs.columns)
+
+
 def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
     """(word, language) of each run of letters of one text."""
     found = []

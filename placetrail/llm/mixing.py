@@ -93,6 +93,15 @@ def mix_sources(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ..
     return others.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def repeat_documents(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+    """Rows of docs(doc_id, text, source, ...) as often as the mix takes them, all columns kept. Rows that share doc_id,
+    source and size are taken equally often."""
+    taken = mix_sources(docs, max_epochs, weights, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    return sized.join(taken, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, nearvec, quality, repeats, topk, toxicity, wordpiece
+from . import langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, wordpiece
 from .sampling import fold
 
 
@@ -47,6 +47,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether its encoding decodes to the same text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, pieces.read_model())[0].select("doc_id", "n_bytes", "n_pieces", "round_trip")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every vector whose vec_id is divisible by 100, over all vectors."""
     vectors = topk.to_grid(_table(spark, sf_dir, "embeddings"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_top_k": op7_top_k,
     "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -193,7 +193,6 @@ def _split(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterato
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, start, windows): runs of repeated windows of the texts in docs(key, text)."""
-    spark = docs.sparkSession
     found = docs.filter(F.octet_length("text") >= length).mapInArrow(lambda b: _collect(b, length), _ITEM)
     anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter(F.col("total") > 1)
     shared = cut(found.join(anchors.select("h", (F.col("c1") == F.col("c2")).alias("pure")), "h"))
@@ -245,6 +244,16 @@ def _index(items: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
     return items.groupBy(F.pmod(F.xxhash64("h"), F.lit(int(buckets))).alias("bucket")).applyInArrow(search, "key long, start long, windows int")
 
 
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text, without what is left of characters that were cut in two."""
+
+    @F.arrow_udf("string")
+    def read(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+
+    return read(kept)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text, ...) plus n_bytes, n_removed, n_spans (long) and kept (binary: the remaining bytes).
 
