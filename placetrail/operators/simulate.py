@@ -1,0 +1,187 @@
+"""Seeded generators: reference windows, divergence, short and long reads with known origin, and the two-copy experiment.
+
+Every draw depends on (seed, dataset, read number) alone, so a read is the same however the rows are partitioned.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.lineage import cut
+from ..sources.reads import attach_reference
+
+TRIES = 200
+BASES = np.frombuffer(b"ACGT", np.uint8)
+
+
+def stream_seed(seed: int, dataset: str) -> int:
+    return seed << 32 | zlib.crc32(dataset.encode())
+
+
+def _uniform(seed: int, *columns: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def draw_windows(reads: DataFrame, lengths: DataFrame, chunks: DataFrame, seed: int, chunk_size: int = 4096, tries: int = TRIES) -> DataFrame:
+    """reads(read_id, size) with a window without N: contig (by length), start0, end0 and ref. Windows with an N are drawn anew, in
+    rounds over the reads still without one; a read without any after `tries` rounds fails."""
+    spans = lengths.collect()  # one row a contig
+    total = sum(r["length"] for r in spans)
+    done, left = None, reads
+    for turn in range(tries):
+        at = _uniform(seed, F.col("read_id"), F.lit(turn), F.lit("contig")) * total
+        contig, length, before = F.lit(spans[-1]["contig"]), F.lit(spans[-1]["length"]), total - spans[-1]["length"]
+        for row in reversed(spans[:-1]):
+            before -= row["length"]
+            inside = at < before + row["length"]
+            contig, length = F.when(inside, F.lit(row["contig"])).otherwise(contig), F.when(inside, F.lit(row["length"])).otherwise(length)
+        drawn = left.select("*", contig.alias("contig"), length.alias("length_")).withColumn("here_", F.least(F.col("size").cast("long"), F.col("length_")))
+        start = F.floor(_uniform(seed, F.col("read_id"), F.lit(turn), F.lit("start")) * (F.col("length_") - F.col("here_") + 1))
+        drawn = drawn.withColumn("start0", start).withColumn("end0", F.col("start0") + F.col("here_")).drop("length_", "here_")
+        good = cut(attach_reference(drawn, chunks, "read_id", chunk_size).filter(~F.col("ref").rlike("[^ACGT]")))
+        done = good if done is None else done.unionByName(good)
+        left = cut(left.join(good.select("read_id"), "read_id", "left_anti"))
+        if left.isEmpty():
+            return done
+    raise ValueError("no window without N; is the reference mostly gaps?")
+
+
+def apply_edits(codes: np.ndarray, places: np.ndarray, deleted: list[tuple[int, int]], inserted: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Delete (index, length) runs and insert bases after indices; positions stay in step, an inserted base takes that of the base before it, and an
+    insertion after a deleted base is dropped."""
+    keep = np.ones(len(codes), bool)
+    for at, size in deleted:
+        keep[at : at + size] = False
+    extra = {at: bases for at, bases in inserted if keep[at]}
+    if not extra:
+        return codes[keep], places[keep]
+    out, where = [], []
+    last = 0
+    for at in sorted(extra):
+        part = slice(last, at + 1)
+        out += [codes[part][keep[part]], extra[at]]
+        where += [places[part][keep[part]], np.full(len(extra[at]), places[at])]
+        last = at + 1
+    out.append(codes[last:][keep[last:]])
+    where.append(places[last:][keep[last:]])
+    return np.concatenate(out), np.concatenate(where)
+
+
+def diverge(codes: np.ndarray, places: np.ndarray, rate: float, rng: np.random.Generator, indels: float = 0.1) -> tuple[np.ndarray, np.ndarray, int]:
+    """A related genome: substitutions by another base and a share of short indels, `rate` events a base."""
+    if rate <= 0 or not len(codes):
+        return codes, places, 0
+    changed = rng.random(len(codes)) < rate * (1 - indels)
+    codes = np.where(changed, (codes + rng.integers(1, 4, len(codes))) % 4, codes)
+    at = np.flatnonzero(rng.random(len(codes)) < rate * indels)
+    gone = rng.random(len(at)) < 0.5
+    sizes = rng.geometric(0.6, len(at))
+    cut = [(int(a), int(s)) for a, s in zip(at[gone], sizes[gone], strict=True)]
+    added = [(int(a), rng.integers(0, 4, int(s))) for a, s in zip(at[~gone], sizes[~gone], strict=True)]
+    return *apply_edits(codes, places, cut, added), int(changed.sum()) + len(at)
+
+
+def sequencing_errors(codes: np.ndarray, places: np.ndarray, rates: tuple[float, float, float], rng: np.random.Generator, runs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Substitutions, insertions and deletions at the given rates a base. With run factors, (run length, ins, del), indels follow the length of the run around a
+    base. Half of all inserted bases repeat the base before them."""
+    from .profile import RUNS, run_lengths
+
+    n = len(codes)
+    factor = np.ones((n, 2))
+    if runs is not None and n:
+        own = np.minimum(run_lengths(codes), RUNS)
+        factor = runs[own]
+        factor = factor / factor.mean(0)
+    wrong = rng.random(n) < rates[0]
+    out = np.where(wrong, (codes + rng.integers(1, 4, n)) % 4, codes)
+    ins = np.flatnonzero(rng.random(n) < rates[1] * factor[:, 0])
+    gone = np.flatnonzero(rng.random(n) < rates[2] * factor[:, 1])
+    added = [(int(a), np.array([out[a] if rng.random() < 0.5 else rng.integers(0, 4)])) for a in ins]
+    return *apply_edits(out, places, [(int(a), 1) for a in gone], added), int(wrong.sum()) + len(ins) + len(gone)
+
+
+READ = "read_id long, qname string, mate int, contig string, start0 long, end0 long, strand string, length int, gc float, n_div int, n_err int, seq string, qual string"
+
+
+def _one_read(row, seed: int, mate: int, reverse: bool, codes, places, rates, runs, quality: int, n_div: int, dataset: str) -> tuple:
+    rng = np.random.default_rng([seed & 0xFFFFFFFF, seed >> 32, row.read_id, mate + 1])
+    gc = float(np.isin(codes, (1, 2)).mean()) if len(codes) else None
+    if reverse:
+        codes, places = 3 - codes[::-1], places[::-1]
+    called, places, n_err = sequencing_errors(codes, places, rates, rng, runs)
+    low, high = (int(places.min()), int(places.max()) + 1) if len(places) else (-1, -1)
+    seq = BASES[called].tobytes().decode()
+    return row.read_id, f"{dataset}_{row.read_id}", mate, row.contig, low, high, "-" if reverse else "+", len(seq), gc, n_div, n_err, seq, chr(33 + quality) * len(seq)
+
+
+def simulate_long(windows: DataFrame, rates: tuple[float, float, float], seed: int, dataset: str, divergence: float = 0.0, runs: np.ndarray | None = None) -> DataFrame:
+    """One read for every window(read_id, contig, start0, ref): divergence, a strand, errors scaled by error_scale where the window has it, one quality a read.
+    start0 and end0 are the least and largest reference positions of its bases."""
+    key = stream_seed(seed, dataset)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                rng = np.random.default_rng([key & 0xFFFFFFFF, key >> 32, row.read_id])
+                codes = np.searchsorted(BASES, np.frombuffer(row.ref.encode(), np.uint8)).astype(np.int64)
+                codes, places, n_div = diverge(codes, np.arange(row.start0, row.start0 + len(codes)), divergence, rng)
+                own = tuple(r * float(getattr(row, "error_scale", 1.0)) for r in rates)
+                quality = int(np.clip(round(-10 * np.log10(max(sum(own), 1e-9))), 1, 60))
+                rows.append(_one_read(row, key, 0, bool(rng.random() < 0.5), codes, places, own, runs, quality, n_div, dataset))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
+
+    return windows.mapInPandas(make, READ)
+
+
+def simulate_short(windows: DataFrame, read_length: int, rates: tuple[float, float, float], seed: int, dataset: str, divergence: float = 0.0, quality: int = 36) -> DataFrame:
+    """Two mates for every fragment window: from its ends, on opposite strands."""
+    key = stream_seed(seed, dataset)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                rng = np.random.default_rng([key & 0xFFFFFFFF, key >> 32, row.read_id])
+                codes = np.searchsorted(BASES, np.frombuffer(row.ref.encode(), np.uint8)).astype(np.int64)
+                codes, places, n_div = diverge(codes, np.arange(row.start0, row.start0 + len(codes)), divergence, rng)
+                flip = bool(rng.random() < 0.5)
+                ends = [(codes[:read_length], places[:read_length], False), (codes[-read_length:], places[-read_length:], True)]
+                for mate, (c, p, reverse) in enumerate(ends[::-1] if flip else ends, 1):
+                    rows.append(_one_read(row, key, mate, reverse, c, p, rates, None, quality, n_div, dataset))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
+
+    return windows.mapInPandas(make, READ)
+
+
+def stratified_windows(contigs: DataFrame, n_windows: int, window: int, seed: int) -> DataFrame:
+    """(contig, segment, start0, end0): one uniform window in each of n equal segments of contigs(contig, length)."""
+    segments = contigs.select("contig", "length", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("segment"))
+    low, high = F.floor(F.col("length") * F.col("segment") / n_windows), F.floor(F.col("length") * (F.col("segment") + 1) / n_windows)
+    start = low + F.floor(_uniform(seed, F.col("contig"), F.col("segment")) * F.greatest(high - low - window + 1, F.lit(1)))
+    placed = segments.withColumn("start0", start.cast("long"))
+    return placed.select("contig", "segment", "start0", F.least(F.col("start0") + window, F.col("length")).alias("end0"))
+
+
+def two_copy_experiment(reads: DataFrame, error_rate: float = 0.05, differences: tuple[int, ...] = (0, 1, 2, 3, 4, 6), seed: int = 26) -> DataFrame:
+    """One read of copy A for every reads(id) and number of differences, against a copy B that differs at d places: (differences, mapq, n_reads, n_wrong) of the exact posterior. A read misreads a place with the
+    error rate, a third of the time into B's base; ties are chosen by coin."""
+    drawn = reads.select("id", F.explode(F.array(*[F.lit(d) for d in differences])).alias("d"))
+    throw = F.transform(F.sequence(F.lit(1), F.greatest("d", F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("d"), i), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    seen = drawn.withColumn("u", F.when(F.col("d") > 0, throw).otherwise(F.array().cast("array<double>")))
+    count = lambda test: F.size(F.filter("u", test))
+    to_b, misread = count(lambda u: u < error_rate / 3), count(lambda u: u < error_rate)
+    scored = seen.select("d", (F.col("d") - to_b - misread).alias("lead"), _uniform(seed, F.col("id"), F.col("d"), F.lit("tie")).alias("coin"))
+    ratio = (error_rate / 3) / (1 - error_rate)
+    weight = F.pow(F.lit(ratio), F.abs("lead").cast("double"))
+    p = F.when(F.col("lead") == 0, 0.5).otherwise(weight / (1 + weight))
+    mapq = F.rint(F.lit(-10.0) * F.log10(F.greatest(p, F.lit(1e-10)))).cast("int")
+    wrong = (F.col("lead") < 0) | ((F.col("lead") == 0) & (F.col("coin") >= 0.5))
+    grouped = scored.select(F.col("d").alias("differences"), mapq.alias("mapq"), wrong.alias("wrong")).groupBy("differences", "mapq")
+    return grouped.agg(F.count(F.lit(1)).alias("n_reads"), F.count_if("wrong").alias("n_wrong"))

@@ -12,7 +12,8 @@ from ..functions import sequence as sq
 from ..operators import consensus as co
 from ..operators import intervals as iv
 from ..operators import names as nm
-from ..operators import qc, scoring, strata
+from ..operators import profile as pf
+from ..operators import qc, scoring, simulate, strata
 from ..operators import statistics as st
 from ..operators import variants as va
 from ..sources import annotations as an
@@ -900,6 +901,111 @@ def apply_variants(spark, sf_dir):
     return out.select("window_id", "n_variants", F.length("sample_seq").alias("length"), F.size("positions").alias("places"))
 
 
+# Profiles and simulation ---------------------------------------------------------------------------------------------
+
+
+def _aligned(spark, sf_dir, wrong: int = 40):
+    """Alignments derived from orders: 100 bases, every `wrong`-th read with one base changed, and an indel now and then."""
+    ref = F.rpad(F.translate((F.col("rid") * 7919 + F.col("o_custkey") * 104729).cast("string"), "0123456789", "ACGTACGTAC"), 100, "ACGGTCA")
+    at = (F.col("rid") % 90 + 1).cast("int")
+    changed = F.concat(F.substring(ref, F.lit(1), at), F.translate(F.substring(ref, at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(ref, at + 2, F.lit(100)))
+    seq = F.when(F.col("rid") % wrong == 0, changed).when(F.col("rid") % 50 == 1, F.concat(F.substring(ref, 1, 50), F.lit("T"), F.substring(ref, 51, 50))).otherwise(ref)
+    cigar = F.when((F.col("rid") % wrong != 0) & (F.col("rid") % 50 == 1), "50M1I50M").otherwise("100M")
+    rows = fx.truth(spark, sf_dir).select("rid", F.lit(0).alias("mate"), (F.col("strand") == "-").alias("reverse"), "contig", "start0", cigar.alias("cigar"), seq.alias("seq"), ref.alias("ref"))
+    return rows.withColumn("qual", F.rpad(F.translate(F.col("rid").cast("string"), "0123456789", "56789:;<=>"), 101, "I")).withColumn("qual", F.substring("qual", F.lit(1), F.length("seq"))).drop("rid")
+
+
+@query("pro01_mismatches", "SELECT (count(*) * 100)::BIGINT AS aligned, round(count(*) FILTER (o_orderkey % 40 = 0)::DOUBLE / (count(*) * 100), 6) AS mismatch_rate, round(count(*) FILTER (o_orderkey % 40 <> 0 AND o_orderkey % 50 = 1)::DOUBLE / (count(*) * 100), 6) AS ins_rate, 0 AS del_rate FROM orders")
+def learn_short(spark, sf_dir):
+    """PRO-01: rates learned from cells of short alignments."""
+    out = pf.rates(pf.count_cells(_aligned(spark, sf_dir), "short"), "short")
+    return out.select(F.col("aligned").cast("long").alias("aligned"), "mismatch_rate", "ins_rate", "del_rate")
+
+
+@query("pro01_cycles")
+def cycle_errors(spark, sf_dir):
+    """PRO-01: error rate of every cycle."""
+    return pf.cycle_errors(pf.count_cells(_aligned(spark, sf_dir), "short"))
+
+
+@query("pro01_quality_errors")
+def quality_errors(spark, sf_dir):
+    """PRO-01: smoothed error rates by quarter of the read and quality."""
+    return pf.quality_errors(pf.count_cells(_aligned(spark, sf_dir), "short"))
+
+
+def _long_reads(spark, sf_dir):
+    """Longer alignments: three copies of a read's bases."""
+    return _aligned(spark, sf_dir).filter("cigar = '100M'").select("mate", "reverse", "contig", "start0", F.lit("300M").alias("cigar"), *[F.repeat(F.col(c), F.lit(3)).alias(c) for c in ("seq", "ref", "qual")])
+
+
+@query("pro02_run_factors")
+def run_factors(spark, sf_dir):
+    """PRO-02: indel factors by homopolymer length, from long alignments."""
+    return pf.run_factors(pf.count_cells(_long_reads(spark, sf_dir), "long"))
+
+
+@query("pro03_refine", "SELECT round(least(greatest(r / p, 0.25), 4), 6) AS sub, 1::DOUBLE AS ins, 1::DOUBLE AS del FROM (SELECT count(*) FILTER (o_orderkey % 40 = 0)::DOUBLE AS r, count(*) FILTER (o_orderkey % 25 = 0)::DOUBLE AS p FROM orders)")
+def refine(spark, sf_dir):
+    """PRO-03: injected rates corrected by a pilot with other mismatches; indels left as they are."""
+    real, pilot = (pf.rates(pf.count_cells(_aligned(spark, sf_dir, w), "short"), "short").withColumn("ins_rate", F.lit(0.0)) for w in (40, 25))
+    return pf.refine(real, pilot)
+
+
+@query("pro04_compare")
+def compare_profiles(spark, sf_dir):
+    """PRO-04: two profiles side by side."""
+    real, sim = (pf.count_cells(_aligned(spark, sf_dir, w), "short") for w in (40, 36))
+    return pf.compare(real, sim, "short")
+
+
+def _genome(spark, sf_dir):
+    """Chunks of a reference whose contigs are the documents of a language, letters turned to bases."""
+    docs = table(spark, sf_dir, "documents")
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    body = docs.select("lang", F.concat(F.lit("a"), "lang", F.lit("1"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("at"), letters.alias("value")).filter(F.length("value") > 0)
+    heads = docs.select("lang").distinct().select(F.concat(F.lit("a"), "lang", F.lit("0")).alias("at"), F.concat(F.lit(">"), "lang").alias("value"))
+    return rd.fasta_chunks(heads.unionByName(body.select("at", "value")), "at")
+
+
+def _windows(spark, sf_dir, size: int):
+    chunks = _genome(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.lit(size).alias("size"))
+    return simulate.draw_windows(asked, rd.contig_lengths(chunks), chunks, seed=26)
+
+
+@query("sim01_windows")
+def windows(spark, sf_dir):
+    """SIM-01: a window without N for every read."""
+    return _windows(spark, sf_dir, 400).select("read_id", "contig", "start0", "end0", F.length("ref").alias("bases"))
+
+
+@query("sim02_04_short_reads")
+def short_reads(spark, sf_dir):
+    """SIM-02..04, SIM-06: two mates of every fragment, with divergence and errors."""
+    out = simulate.simulate_short(_windows(spark, sf_dir, 400), 150, (0.004, 0.0005, 0.0005), 26, "sim", divergence=0.01)
+    return out.select("qname", "mate", "contig", "start0", "end0", "strand", "length", "n_div", "n_err")
+
+
+@query("sim05_long_reads")
+def long_reads(spark, sf_dir):
+    """SIM-05: long reads."""
+    return simulate.simulate_long(_windows(spark, sf_dir, 1500), (0.01, 0.01, 0.01), 26, "sim").select("qname", "contig", "start0", "end0", "strand", "length", "n_err")
+
+
+@query("sim07_two_copies")
+def two_copies(spark, sf_dir):
+    """SIM-07: calibration of the exact posterior, one read an event."""
+    return simulate.two_copy_experiment(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
+
+
+@query("sim08_stratified_windows")
+def stratified(spark, sf_dir):
+    """SIM-08: one window in each segment of every contig."""
+    lengths = rd.contig_lengths(_genome(spark, sf_dir))
+    return simulate.stratified_windows(lengths, 20, 500, 26)
+
+
 # Configuration -------------------------------------------------------------------------------------------------------
 
 
