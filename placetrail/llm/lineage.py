@@ -1,25 +1,5 @@
-"""Cutting lineage: intermediate tables in the folder that all executors share."""
+"""Cutting lineage; see placetrail.functions.lineage."""
 
-from __future__ import annotations
+from ..functions.lineage import cut, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="placetrail-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to a new table of the shared folder and read again, so that no later job recomputes it and a lost
-    executor costs nothing that was finished."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_folder"]
