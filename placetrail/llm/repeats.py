@@ -95,7 +95,7 @@ class RunIndex:
             key = (key << np.uint64(8)) | padded[j : j + n]
         self.ranks, step = [], 8
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             fresh = np.zeros(n, np.int64)
             fresh[1:] = key[order][1:] != key[order][:-1]
             rank = np.empty(n, np.int64)
