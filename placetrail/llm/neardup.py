@@ -24,6 +24,13 @@ WORDS, LEAST_PERCENT = 5, 75
 CHUNKS, LANES, LANE_BITS = 10, 4, 15
 #: Lanes in which a candidate pair may differ; at similarity 0.75, 10 of 40 differ on average, 22 or more in 3 of 100,000 pairs.
 MOST_DIFFERENT = 21
+#: Members of a bucket's largest component that are tried for every outsider before all pairs are.
+PARTNERS = 4
+#: Bytes of the finer signature of bucketed documents, and how many of them may differ: at similarity 0.75 a quarter do on
+#: average, and more than this in 5 of a million pairs.
+FINE, FINE_DIFFERENT = 512, 172
+#: Outsiders of one block, and rows of one task's group on average.
+PROBES, GROUP_ROWS = 8192, 4096
 #: Rows of one block where a bucket's rows are compared with each other.
 BLOCK = 1024
 
@@ -31,6 +38,7 @@ _LANE = (1 << LANE_BITS) - 1
 _LOW = sum((_LANE >> 1) << (LANE_BITS * i) for i in range(LANES))
 _TOP = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
 _FACTORS = mix(np.arange(1, CHUNKS * LANES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+_FINE_FACTORS = mix(np.arange(1001, 1001 + FINE, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -85,17 +93,50 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, first = distinct_sets(*shingles(data, offsets))
             lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(own.astype(np.int64)))
             ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
-            yield pa.RecordBatch.from_arrays([ids, lists], ["rep", "own"])
+            fine = np.empty((len(first) - 1, FINE), np.uint8)
+            for k, factor in enumerate(_FINE_FACTORS):
+                fine[:, k] = mix(per_text((own ^ (factor >> np.uint64(7))) * factor, first, np.minimum)) >> np.uint64(56)
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array([f.tobytes() for f in fine], pa.binary())], ["rep", "own", "fine"])
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    """Near pairs (u, v) between the outsiders and the rows of every bucket block: of different components, of close sizes and
+    signatures, each pair under the first key that both share."""
+    key, block, pblock, rep, part, n, tag = (table.column(c).to_numpy() for c in ("key", "block", "pblock", "rep", "part", "n", "tag"))
+    probe = table.column("probe").to_numpy().astype(bool)
+    packed = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, CHUNKS)
+    lanes = np.stack([(packed[:, k // LANES] >> (LANE_BITS * (k % LANES))) & _LANE for k in range(CHUNKS * LANES)], 1).astype(np.uint16)
+    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+    order = np.lexsort((pblock, block, key))
+    edge = np.flatnonzero(np.any(np.diff(np.stack([key, block, pblock])[:, order], axis=1) != 0, axis=0)) + 1
+    out = [np.zeros((0, 2), np.int64)]
+    for rows in np.split(order, edge):
+        xs, ys = rows[probe[rows]], rows[~probe[rows]]
+        for low in range(0, len(xs), 64):
+            x = xs[low : low + 64]
+            far = (lanes[x][:, None] != lanes[ys][None]).sum(-1)
+            small, large = np.minimum(n[x][:, None], n[ys]), np.maximum(n[x][:, None], n[ys])
+            i, j = np.nonzero((far <= MOST_DIFFERENT) & (part[x][:, None] != part[ys]) & (small * 100 >= large * LEAST_PERCENT))
+            i, j = x[i], ys[j]
+            differ = (lanes[i] != lanes[j]).reshape(-1, CHUNKS, LANES)
+            chunk = (differ.sum(2) <= 1).argmax(1)
+            first = chunk * LANES + differ[np.arange(len(i)), chunk].argmax(1)
+            i, j = i[first == tag[i]], j[first == tag[i]]
+            good = (fine[i] != fine[j]).sum(1) <= FINE_DIFFERENT
+            out.append(np.stack([np.maximum(rep[i], rep[j])[good], np.minimum(rep[i], rep[j])[good]], 1))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """The top bit of every lane in which two packed chunks differ."""
+    x = a.bitwiseXOR(b)
+    return (x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_TOP))
 
 
 def different_lanes(a: Column, b: Column) -> Column:
     """Number of lanes in which two packed signatures differ."""
-
-    def lanes(i: int) -> Column:
-        x = a[i].bitwiseXOR(b[i])
-        return F.bit_count((x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_TOP)))
-
-    return reduce(lambda x, y: x + y, [lanes(i) for i in range(CHUNKS)])
+    return reduce(lambda x, y: x + y, [F.bit_count(_differing(a[i], b[i])) for i in range(CHUNKS)])
 
 
 def _file_keys(sig: Column) -> Column:
@@ -125,41 +166,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Documents with equal sets form one class under its smallest doc_id, so copies never meet in pairs. In every
-    bucket all classes are first confirmed against its smallest one, and the links merged; then only classes of one bucket
-    that are still in different components are compared with each other, in blocks, until every near pair
-    of different components has been confirmed or refuted on full sets. No link is left out, and a bucket of near copies
-    costs one comparison a document. Null and empty texts and null doc_ids link with nothing; rows that
+    bucket all classes are first confirmed against its most central one, and the links merged; classes still outside that one's
+    component are tried against a few of that one's members; then only classes of one bucket that are still in different
+    components are compared with each other, in blocks, so that every near pair of different components has been confirmed or
+    refuted on full sets. No link is left out, and a bucket of near copies costs a few comparisons a document. Null and empty texts and null doc_ids link with nothing; rows that
     share a doc_id are one node. An empty table gives an empty result.
     """
     texts = docs.select("doc_id", "text")
     sketch = cut(texts.mapInArrow(_sketch, "doc_id long, n long, low long, high long, sig array<long>"))
     able = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut(able.groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")))
-    filed = classes.select("rep", F.explode(_file_keys(F.col("sig"))).alias("key"))
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).filter(F.col("size") > 1)
-    buckets = cut(filed.join(shared, "key").select("key", "rep", "hub"))
+    filed = classes.select("rep", F.posexplode(_file_keys(F.col("sig"))).alias("tag", "key"))
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    met = cut(filed.join(shared, "key"))
+    # The member that meets the most others over all its buckets is the nearest to what a group was copied from.
+    central = met.groupBy("rep").agg(F.struct(F.sum("size"), -F.col("rep")).alias("rank"))
+    buckets = cut(met.join(central, "rep").select("key", "tag", "rep", "rank"))
     some = buckets.select("rep").distinct()
-    sets = cut(texts.join(some, texts["doc_id"] == some["rep"], "left_semi").mapInArrow(_sets, "rep long, own array<long>"))
+    sets = cut(texts.join(some, texts["doc_id"] == some["rep"], "left_semi").mapInArrow(_sets, "rep long, own array<long>, fine binary"))
     sides = classes.select("rep", "n", "sig")
 
-    to_hub = buckets.filter("rep <> hub").select("rep", "hub").distinct()
-    spokes = (
-        to_hub.join(sides.alias("x"), "rep")
-        .join(sides.select(F.col("rep").alias("hub_rep"), "n", "sig").alias("y"), (F.col("hub") == F.col("hub_rep")) & _near("x", "y"))
-        .select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    )
-    links = cut(_confirm(spokes, sets))
-    parts = connected_components(links)
-
-    # Buckets that still hold more than one component.
-    labelled = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    open_ = labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("size"), F.min_by("part", "rep").alias("base")).filter("least <> most")
-    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK)))
-    rows = cut(labelled.join(open_.select("key", "base", blocks.alias("blocks")), "key").join(sides, "rep"))
-    home = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    probes = rows.filter("part <> base").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.part") != F.col("y.part")) & _near("x", "y")
-    crossed = probes.alias("x").join(home.alias("y"), met).select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
+    def links_to(pairs: DataFrame) -> DataFrame:
+        """Confirmed links among the distinct pairs (rep, hub)."""
+        near = pairs.join(sides.alias("x"), "rep").join(sides.select(F.col("rep").alias("hub_rep"), "n", "sig").alias("y"), (F.col("hub") == F.col("hub_rep")) & _near("x", "y"))
+        return cut(_confirm(near.select(F.col("rep").alias("u"), F.col("hub").alias("v")), sets))
+
+    def still_open(parts: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold more than one component, with their components and that of the bucket's most central row."""
+        labelled = buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "tag", "rep", "rank", F.coalesce("component", "rep").alias("part"))
+        several = labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("size"), F.max_by("part", "rank").alias("base")).filter("least <> most")
+        return cut(labelled.join(several.select("key", "base", "size"), "key"))
+
+    hubs = buckets.groupBy("key").agg(F.max_by("rep", "rank").alias("hub"))
+    links = links_to(buckets.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct())
+    rows = still_open(connected_components(links))
+    some_of = F.array(F.max_by("rep", "rank"), *[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(1, PARTNERS)])
+    partners = rows.filter("part = base").groupBy("key").agg(F.array_distinct(some_of).alias("hubs"))
+    links = links.unionByName(links_to(rows.filter("part <> base").join(partners, "key").select("rep", F.explode("hubs").alias("hub")).distinct()))
+    rows = still_open(connected_components(links)).join(sides, "rep").join(sets.select("rep", "fine"), "rep")
+    rows = cut(rows.withColumns({"blocks": F.ceil(F.col("size") / F.lit(float(BLOCK))), "pblocks": F.ceil(F.col("size") / F.lit(float(PROBES)))}))
+    hashed = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    home = rows.select("*", hashed("blocks", 1).alias("block"), F.lit(False).alias("probe")).select("*", spread("pblocks").alias("pblock"))
+    probes = rows.filter("part <> base").select("*", spread("blocks").alias("block"), F.lit(True).alias("probe")).withColumn("pblock", hashed("pblocks", 2))
+    dealt = home.unionByName(probes.select(home.columns)).select("key", "block", "pblock", "probe", "rep", "part", "n", "tag", "sig", "fine")
+    groups = max(1, rows.count() // GROUP_ROWS)
+    bucket = F.pmod(F.xxhash64("key", "block", "pblock"), F.lit(groups))
+    crossed = dealt.groupBy(bucket.alias("bucket")).applyInArrow(_cross, "u long, v long").distinct()
     more = cut(_confirm(crossed, sets))
     parts = connected_components(links.unionByName(more))
 
