@@ -87,40 +87,51 @@ class RunIndex:
         self.lengths = self._matches(self.at, np.concatenate((order[ends], order[ends + 1])))
 
     def _sort(self, longest: int) -> np.ndarray:
-        """Suffixes in order of their first `longest` bytes, by doubling; ranks of every step are kept."""
+        """Suffixes in order of their first `longest` bytes. Ranks of one length are joined to ranks of three times that length
+        (of twice that length where three ranks do not fit a key); the ranks of every length are kept."""
         n = len(self.text)
         padded = np.concatenate((self.text, np.zeros(8, np.uint8))).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | padded[j : j + n]
+        bits = 21 if n < 1 << 21 else 32
+        self.joined = 63 // bits
         self.ranks, step = [], 8
         while True:
             order = np.argsort(key)
-            fresh = np.zeros(n, np.int64)
-            fresh[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh) + 1
-            self.ranks.append((step, rank.astype(np.int32)))
+            ordered = key[order]
+            fresh = np.zeros(n, np.int32)
+            fresh[1:] = ordered[1:] != ordered[:-1]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(fresh, dtype=np.int32) + 1
+            self.ranks.append((step, rank))
             if step >= longest or rank.max() == n:
                 return order
-            shifted = np.zeros(n, np.int64)
-            shifted[: max(0, n - step)] = rank[step:]
-            key = (rank * (n + 1) + shifted).astype(np.uint64)
-            step *= 2
+            key = rank.astype(np.uint64)
+            for k in range(1, self.joined):
+                later = np.zeros(n, np.uint64)
+                later[: max(0, n - k * step)] = rank[k * step :]
+                key = (key << np.uint64(bits)) | later
+            step *= self.joined
 
     def _matches(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of the suffixes a and b, read from the ranks, then byte by byte."""
+        """Longest common prefixes of the suffixes a and b, read from the ranks, longest first, then byte by byte."""
         a, b, total, n = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(self.text)
-        for step, rank in [*self.ranks[::-1], (1, None), (1, None), (1, None), (1, None), (1, None), (1, None), (1, None)]:
-            inside = (a + step <= n) & (b + step <= n)
-            table = self.text if rank is None else rank
+
+        def advance(step: int, table: np.ndarray, going: np.ndarray) -> np.ndarray:
+            inside = going & (a + step <= n) & (b + step <= n)
             same = inside & (table[np.minimum(a, n - 1)] == table[np.minimum(b, n - 1)])
-            if rank is None:
-                same &= ~stopped
-            total += same * step
-            a += same * step
-            b += same * step
-            stopped = ~same if rank is None else np.zeros(len(a), bool)
+            for x in (total, a, b):
+                x += same * step
+            return same
+
+        everywhere = np.ones(len(a), bool)
+        for step, rank in self.ranks[::-1]:
+            for _ in range(self.joined):
+                advance(step, rank, everywhere)
+        going = everywhere
+        for _ in range(7):
+            going = advance(1, self.text, going)
         return total
 
     def statistics(self) -> np.ndarray:
