@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .textops import WORD_PATTERN
 
 #: Rows that one bucket of the sampling order holds on average; only a source's one cut bucket is ordered row by row.
@@ -52,7 +53,8 @@ def mix_sources(docs: DataFrame, max_epochs: float = 3.0, weights: tuple[int, ..
     hashes as ''. A source without words has target 0 and takes nothing; an empty table gives an empty result.
     Only doc_id, text and source are read, so further columns cannot clash.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Texts are read once; everything below works on this narrow table.
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (turn + 1).cast("int"))
