@@ -76,11 +76,10 @@ def count_cells(alignments: DataFrame, kind: str = "short", masked: DataFrame |
     if masked is not None:
         from .intervals import overlap_join
 
-        keyed = rows.withColumn("key_", F.monotonically_increasing_id())
-        spans = keyed.select("key_", "contig", "start0", (F.col("start0") + F.length("ref")).alias("end0"))
+        rows = rows.withColumn("end0", F.col("start0") + F.length("ref"))
+        spans = rows.select("contig", "start0", "end0").distinct()
         hits = overlap_join(spans, masked.select("contig", F.col("pos").alias("r_start"), (F.col("pos") + 1).alias("r_end")))
-        hidden = hits.groupBy("start0", "contig", "end0").agg(F.collect_set("r_start").alias("hidden"))
-        rows = rows.join(hidden, [rows["contig"] == hidden["contig"], rows["start0"] == hidden["start0"], rows["start0"] + F.length("ref") == hidden["end0"]], "left").select(rows["*"], "hidden")
+        rows = rows.join(hits.groupBy("contig", "start0", "end0").agg(F.collect_set("r_start").alias("hidden")), ["contig", "start0", "end0"], "left")
     else:
         rows = rows.withColumn("hidden", F.lit(None).cast("array<long>"))
     names = [c for c in ("mate", "reverse", "start0", "cigar", "seq", "qual", "ref", "hidden", "proper", "tlen") if c in rows.columns]
@@ -238,8 +237,7 @@ def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25)
     cell = F.when(F.col("kind") == "transition", F.struct("mate", F.lit(0).alias("a"), F.col("c").alias("b"))).otherwise(F.struct("mate", "a", "b"))
     weights = both.filter(F.col("kind").isin(*of_kinds)).groupBy("kind", cell.alias("cell")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("q"))
     distance = total_variation(weights, ["kind"], "p", "q").select(F.concat("kind", F.lit(" distribution")).alias("metric"), F.col("tv").alias("d"))
-    ranged = both.filter(F.col("kind").isin("fragment", "read")).select("kind", F.col("a").alias("x"), "own", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(1).cast("long")))), "n")
-    heights = ranged.groupBy("kind", "x").agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("b"))
+    heights = both.filter(F.col("kind").isin("fragment", "read")).groupBy("kind", F.col("a").alias("x")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("b"))
     order, whole = W.partitionBy("kind").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("kind")
     step = F.abs(F.try_divide(F.sum("a").over(order).cast("double"), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(order).cast("double"), F.sum("b").over(whole)))
     lengths = heights.withColumn("d", step).groupBy("kind").agg(F.max("d").alias("d")).select(F.concat("kind", F.lit(" length distribution")).alias("metric"), "d")

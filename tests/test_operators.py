@@ -221,6 +221,15 @@ def test_profile_recovers_the_injected_rates(spark, genome):
     assert (factors["sub"], factors["ins"]) == (1.0, 1.0)
 
 
+def test_masked_positions_and_bad_reads_do_not_count(spark):
+    rows = [(0, False, "c", 10, "5M", "ACGTA", "IIIII", "ACCTA"), (0, True, "c", 30, "2M1D3M", "ACGTA", "IIIII", "ACTGTT")]
+    aligned = spark.createDataFrame(rows, "mate int, reverse boolean, contig string, start0 long, cigar string, seq string, qual string, ref string")
+    masked = spark.createDataFrame([("c", 12), ("c", 35)], "contig string, pos long")
+    plain, hidden = profile.rates(profile.count_cells(aligned), "short").first(), profile.rates(profile.count_cells(aligned, masked=masked), "short").first()
+    assert (plain.aligned, round(plain.aligned * plain.mismatch_rate), round(plain.aligned * plain.del_rate)) == (10, 2, 1)
+    assert (hidden.aligned, hidden.mismatch_rate) == (8, 0)
+
+
 def test_two_copies_are_calibrated(spark):
     got = simulate.two_copy_experiment(spark.range(50_000), 0.05, (0, 1, 2)).filter("n_wrong >= 30").collect()
     assert got
