@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .textops import mix, prefix_hash, span_hash, text_blocks
+from .textops import give_back, mix, prefix_hash, span_hash, text_blocks
 
 LENGTH, ANCHOR = 200, 48
 #: Different fragments of one anchor from which on it is split, and sizes (in windows) of the parts.
@@ -249,6 +249,8 @@ def _index(items: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
         key, start, windows, n = (table.column(c).to_pylist() for c in ("key", "start", "windows", "n"))
         index = RunIndex(parts)
         out = [(key[i], start[i] + s, m) for i in range(len(parts)) if n[i] == 1 for s, m in _runs(index.repeated(i, windows[i], length))]
+        del index
+        give_back()
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "start", "windows"])
 

@@ -6,6 +6,8 @@ stay bounded whatever the batch holds; one text longer than a block forms a bloc
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,13 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused Python worker does not keep the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(column: pa.Array, target: int = BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of runs of whole texts with about `target` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,6 +88,7 @@ def text_blocks(column: pa.Array, target: int = BLOCK_BYTES) -> Iterator[tuple[s
         high = min(len(column), max(low + 1, int(np.searchsorted(offsets, offsets[low] + target, "right")) - 1))
         yield slice(low, high), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
