@@ -28,7 +28,7 @@ MOST_DIFFERENT = 21
 PARTNERS = 4
 #: Bytes of the finer signature of bucketed documents, and how many of them may differ: at similarity 0.75 a quarter do on
 #: average, and more than this in 5 of a million pairs.
-FINE, FINE_DIFFERENT = 512, 172
+FINE, FINE_DIFFERENT = 1024, 318
 #: Outsiders of one block, and rows of one task's group on average.
 PROBES, GROUP_ROWS = 8192, 4096
 #: Rows of one block where a bucket's rows are compared with each other.
