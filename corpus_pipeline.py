@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's columns but its text, with its bytes, pieces and round trip."""
+    """Every document's columns but its text, with its bytes, its pieces in order, the text they decode to and the round trip."""
     return pieces.encode_documents(docs, pieces.read_model())[0]
 
 

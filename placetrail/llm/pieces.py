@@ -3,8 +3,9 @@
 Texts are cut into units at every place that no piece spans (no piece holds the two bytes side by side), so the best
 segmentation of a text is that of its units. For each distinct unit, substrings of bounded length are exploded and
 equi-joined to the piece table; the edges are grouped by unit and a Viterbi pass folds over the unit's characters with
-Spark's higher-order `aggregate`. Characters without a piece fall back to byte pieces. A space stands for the space mark,
-and, as in the model's own encoder, a text is encoded with one space before it.
+Spark's higher-order `aggregate`. Long units are dealt out in blocks of characters, whose edges are grouped by unit and block; the
+pass then carries its state from block to block. Characters without a piece fall back to byte pieces. A space stands for the space
+mark, and, as in the model's own encoder, a text is encoded with one space before it.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .textops import prefix_hash, span_hash, text_blocks
+from .textops import BLOCK_BYTES, give_back, prefix_hash, span_hash, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encodings of so many of the most frequent units are sent to every task; all others are joined.
 FREQUENT = 1 << 17
-#: Units of more bytes are folded in the task that holds their text; a text without cuts cannot grow a group.
+#: Units of more bytes are folded block by block; a text without cuts cannot grow a group of edges.
 LONG = 64
+#: Characters of a block of a long unit.
+BLOCK = 64
 #: Units whose edges one task groups: some hundred thousand edges, which need no spilling.
 UNITS_A_TASK = 20_000
 MARK = "▁"
@@ -102,49 +106,99 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct(h, unit) plus ids array<int>: explode, equi-join, group, fold. Units are dealt out once, before they are exploded;
-    the broadcast join and the grouping keep that partitioning, so no edge is shuffled."""
-    pieces = F.broadcast(piece_table(distinct.sparkSession, model))
-    parts = max(1, -(-distinct.count() // UNITS_A_TASK))
-    distinct = distinct.repartition(parts, "h", "unit")
-    length = F.char_length("unit")
+def _edges(spans: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """(keys, edges): the pieces in `view`, in order of their ends. A piece ends among the last `own` characters of the view; of these,
+    one without a piece is an edge of its own. Places count from `model.longest - 1` characters before them, or from the view's start where it
+    is the unit's."""
+    pieces = F.broadcast(piece_table(spans.sparkSession, model))
     edges = (
-        distinct.select("h", "unit", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
-        .select("h", "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), length - F.col("start")))).alias("size"))
-        .withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
+        spans.select(*keys, "view", "shift", F.explode(F.sequence(F.char_length("view") - F.col("own") + 1, F.char_length("view"))).alias("stop"))
+        .select(*keys, "view", "shift", "stop", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("stop")))).alias("size"))
+        .withColumn("piece", F.substring(F.col("view"), F.col("stop") - F.col("size") + 1, F.col("size")))
         .join(pieces, "piece", "left")
         .filter(F.col("id").isNotNull() | (F.col("size") == 1))
     )
-    edge = F.struct((F.col("start") + F.col("size")).alias("stop"), "start", F.coalesce("score", F.lit(model.fallback)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = edges.groupBy("h", "unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    stop = F.col("stop") + F.col("shift")
+    edge = F.struct(stop.alias("stop"), (stop - F.col("size")).alias("start"), F.coalesce("score", F.lit(model.fallback)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    return edges.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
+def _step(best: Column, e: Column) -> Column:
+    """best[p] is the best way to reach place p; edges come in order of their ends, so the last entry is under way."""
+    found = F.array(F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id")))
+    better = F.get(found, F.lit(0))["score"] >= F.element_at(best, -1)["score"]
+    return F.when(F.size(best) == e["stop"], F.concat(best, found)).when(better, F.concat(F.slice(best, F.lit(1), e["stop"]), found)).otherwise(best)
 
-    def step(best: Column, e: Column) -> Column:
-        """best[p] is the best way to reach place p; edges come in order of their ends, so the last entry is under way."""
-        found = F.array(F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id")))
-        better = F.get(found, F.lit(0))["score"] >= F.element_at(best, -1)["score"]
-        return F.when(F.size(best) == e["stop"], F.concat(best, found)).when(better, F.concat(F.slice(best, F.lit(1), e["stop"]), found)).otherwise(best)
+
+def _path(best: Column, at: Column, first: int, most: Column) -> Column:
+    """(at, path): the path back from place `at` to place `first` or before it, in `most` steps at most."""
 
     def back(state: Column, _: Column) -> Column:
         """One piece further to the front of the path."""
-        at = F.get(F.col("best"), state["at"])
+        at = F.get(best, state["at"])
         piece = F.array(F.struct(at["id"].alias("id"), at["start"].alias("start")))
-        return F.when(state["at"] > 0, F.struct(at["start"].alias("at"), F.concat(piece, state["path"]).alias("path"))).otherwise(state)
+        return F.when(state["at"] > first, F.struct(at["start"].alias("at"), F.concat(piece, state["path"]).alias("path"))).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), most), F.struct(at.alias("at"), F.array().cast("array<struct<id: int, start: int>>").alias("path")), back)
 
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
-    first = F.struct(length.alias("at"), F.array().cast("array<struct<id: int, start: int>>").alias("path"))
-    path = F.aggregate(F.sequence(F.lit(1), length), first, back, lambda state: state["path"])
-    folded = grouped.select("h", "unit", F.aggregate("edges", origin, step).alias("best")).select("h", "unit", path.alias("path"))
+
+def _ids(path: Column, text: Column, first: int, model: Model) -> Column:
+    """The ids of a path; characters of `text`, which starts at place `first`, without a piece become byte pieces."""
     byte_ids = F.array(*[F.lit(i) for i in model.byte_ids])
 
     def spelled(p: Column) -> Column:
         """The byte pieces of the character where p starts."""
-        code = F.hex(F.encode(F.substring(F.col("unit"), p["start"] + 1, F.lit(1)), "utf-8"))
+        code = F.hex(F.encode(F.substring(text, p["start"] - first + 1, F.lit(1)), "utf-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
 
-    plain = F.transform("path", lambda p: p["id"])
-    with_bytes = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(spelled(p))))
-    return folded.select("h", "unit", F.when(F.exists("path", lambda p: p["id"] < 0), with_bytes).otherwise(plain).alias("ids"))
+    plain = F.transform(path, lambda p: p["id"])
+    with_bytes = F.flatten(F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(spelled(p))))
+    return F.when(F.exists(path, lambda p: p["id"] < 0), with_bytes).otherwise(plain)
+
+
+def _origin(places: int) -> Column:
+    """The state before the first character, which stands at the last of so many places."""
+    return F.array(*[F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))] * places)
+
+
+def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
+    """distinct(h, unit) plus ids array<int>: explode, equi-join, group, fold. Units are dealt out once, before they are exploded;
+    the broadcast join and the grouping keep that partitioning, so no edge is shuffled."""
+    parts = max(1, -(-distinct.count() // UNITS_A_TASK))
+    spans = distinct.repartition(parts, "h", "unit").withColumns({"view": F.col("unit"), "own": F.char_length("unit"), "shift": F.lit(0)})
+    folded = _edges(spans, ["h", "unit"], model).select("h", "unit", F.aggregate("edges", _origin(1), _step).alias("best"))
+    length = F.char_length("unit")
+    paths = folded.select("h", "unit", _path(F.col("best"), length, 0, length)["path"].alias("path"))
+    return paths.select("h", "unit", _ids(F.col("path"), F.col("unit"), 0, model).alias("ids"))
+
+
+def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
+    """As `encode_units`, for units of any length: (h, key, unit, ids). Blocks of characters are dealt out, each with the characters
+    before it that a piece may hold, and their edges are grouped; one row a unit then holds its blocks, and the fold keeps for each
+    block the best ways to its places and the last places before it."""
+    before = model.longest - 1
+    size = max(BLOCK, before)
+    chunks = distinct.select("h", F.xxhash64("unit").alias("key"), F.regexp_extract_all("unit", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("chunks"))
+    each = F.transform("chunks", lambda x, i: F.struct(i.alias("block"), x.alias("own"), F.when(i > 0, F.right(F.get(F.col("chunks"), i - 1), F.lit(before))).otherwise("").alias("lead")))
+    blocks = chunks.select("h", "key", F.explode(each).alias("x")).select("h", "key", "x.block", F.col("x.own").alias("text"), F.col("x.lead").alias("lead"))
+    spans = blocks.repartition("h", "key", "block").withColumns({"view": F.concat("lead", "text"), "own": F.char_length("text"), "shift": F.lit(before) - F.char_length("lead")})
+    block = F.struct("block", "text", "edges")
+    grouped = _edges(spans, ["h", "key", "block", "text"], model).groupBy("h", "key").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+
+    def step(bests: Column, b: Column) -> Column:
+        former = F.slice(F.element_at(bests, -1), -model.longest, model.longest)
+        return F.concat(bests, F.array(F.aggregate(b["edges"], former, _step)))
+
+    def back(paths: Column, best: Column) -> Column:
+        """The path through one block further to the front; it ends where the path of the block behind it begins."""
+        at = F.when(F.size(paths) == 0, F.size(best) - 1).otherwise(F.get(paths, F.lit(0))["at"] + size)
+        return F.concat(F.array(_path(best, at, before, F.lit(size))), paths)
+
+    bests = F.slice(F.aggregate("blocks", F.array(_origin(model.longest)), step), F.lit(2), F.size("blocks"))
+    none = F.array().cast("array<struct<at: int, path: array<struct<id: int, start: int>>>>")
+    paths = grouped.select("h", "key", "blocks", bests.alias("bests")).select("h", "key", "blocks", F.aggregate(F.reverse("bests"), none, back).alias("paths"))
+    ids = F.flatten(F.zip_with("paths", "blocks", lambda p, b: _ids(p["path"], b["text"], before, model)))
+    return paths.select("h", "key", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("unit"), ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -158,16 +212,23 @@ def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, F.transform("parts", lambda p: p["id"]).alias("ids"), F.decode(F.unhex(joined), "utf-8").alias("text"))
 
 
-def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """(counts, codes). counts: every row of docs with n_bytes, n_pieces (long) and round_trip (boolean: all of its units
-    decode to themselves); codes: (h, unit, ids) of every distinct unit.
+def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
 
-    Whole texts; null and empty texts have no pieces and round_trip true. Each distinct unit is encoded once, whatever the
-    number of documents that hold it. The most frequent encodings reach every task as a fixed-size table; only
-    occurrences of rarer units are joined, one row for each distinct unit of a document. Existing columns of the
-    three names are replaced.
+def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """(encoded, codes). encoded: every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order),
+    decoded (string, the text rebuilt from the ids alone) and round_trip (boolean: decoded has the text's length and hash, and all of
+    its units decode to themselves); codes: (h, unit, ids) of every distinct unit.
+
+    Whole texts; null and empty texts have no pieces, are decoded to themselves and have round_trip true. Each distinct unit is encoded
+    once, whatever the number of documents that hold it. The most frequent encodings reach every task as a fixed-size table;
+    only occurrences of rarer units are joined, one row for each distinct unit of a document, and put in their places. n_pieces is
+    the number of ids. Existing columns of the five names are replaced.
     """
-    base = docs.drop("n_bytes", "n_pieces", "round_trip")
+    base = docs.drop("n_bytes", "n_pieces", "ids", "decoded", "round_trip")
     spark = docs.sparkSession
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,69 +236,127 @@ def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFram
             for _, data, offsets in text_blocks(batch.column("text")):
                 data, starts, ends, _ = units(model, data, offsets)
                 h = span_hash(prefix_hash(data), starts, ends)
-                short = np.flatnonzero(ends - starts <= LONG)
-                own, once, n = np.unique(h[short], return_index=True, return_counts=True)
+                own, at, n = np.unique(h, return_index=True, return_counts=True)
                 raw = data.tobytes()
-                at = short[once]
                 names = pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), names, pa.array(n)], ["h", "unit", "n"])
 
     distinct = cut(base.select("text").mapInArrow(collect, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")))
-    back = decode(encode_units(distinct.select("h", "unit"), model), model, ["h", "unit"])
-    codes = cut(back.select("h", "unit", "ids", (F.col("text") == F.col("unit")).alias("ok")))
-    top = distinct.orderBy(F.col("n").desc(), "h").limit(FREQUENT).select("h")
-    known = codes.join(F.broadcast(top), "h").select("h", F.size("ids").cast("int").alias("n"), "ok").toPandas().sort_values("h")
-    shared = spark.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["ok"].to_numpy(bool)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ns, oks = shared.value
+    bytes_ = F.octet_length("unit")
+    short, long = distinct.filter(bytes_ <= LONG), distinct.filter(bytes_ > LONG)
+    back = decode(encode_units(short.select("h", "unit"), model), model, ["h", "unit"])
+    coded = cut(encode_long_units(long.select("h", "unit"), model))
+    whole = coded.select("h", "key", "unit").join(decode(coded.select("h", "key", "ids"), model, ["h", "key"]), ["h", "key"])
+    codes = cut(back.unionByName(whole.drop("key")).select("h", "unit", "ids", (F.col("text") == F.col("unit")).alias("ok")))
+    often = lambda frame, most: frame.orderBy(F.col("n").desc(), "h").limit(most).select("h")
+    top = often(short, FREQUENT).unionByName(often(long.filter(bytes_ <= 1 << 14), FREQUENT >> 9))
+    known = codes.join(F.broadcast(top), "h").select("h", "ids", "ok").toPandas().sort_values("h").drop_duplicates("h")
+    sizes = known["ids"].map(len).to_numpy(np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *known["ids"]]).astype(np.int32)
+    shared = spark.sparkContext.broadcast((known["h"].to_numpy(np.int64), np.cumsum(sizes) - sizes, sizes, flat, known["ok"].to_numpy(bool)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of frequent units; -1 - k stands for the k-th of the document's own rarer units."""
+        hs, froms, lengths, flat, oks = shared.value
         for batch in batches:
             for rows, data, offsets in text_blocks(batch.column("text")):
-                sizes = np.diff(offsets)
+                n_bytes = np.diff(offsets)
                 data, starts, ends, first = units(model, data, offsets)
                 h = span_hash(prefix_hash(data), starts, ends).astype(np.int64)
                 at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
                 hit = hs[at] == h if len(hs) else np.zeros(len(h), bool)
-                pieces, good = np.where(hit, ns[at], 0) if len(hs) else np.zeros(len(h), np.int64), np.ones(len(h), bool)
-                good[hit] = oks[at[hit]]
-                for i in np.flatnonzero(ends - starts > LONG):
-                    unit = data[starts[i] : ends[i]].tobytes()
-                    hit[i], ids = True, viterbi(model, unit)
-                    pieces[i] = len(ids)
-                    good[i] = decode_ids(model, ids) == unit
-                total = np.concatenate(([0], np.cumsum(pieces)))
-                wrong = np.concatenate(([0], np.cumsum(~good)))
-                owner = np.repeat(np.arange(len(sizes)), np.diff(first))
+                owner = np.repeat(np.arange(len(n_bytes)), np.diff(first))
                 rare = np.flatnonzero(~hit)
                 order = rare[np.lexsort((h[rare], owner[rare]))]
                 ro, rh = owner[order], h[order]
                 new = np.ones(len(order), bool)
                 new[1:] = (ro[1:] != ro[:-1]) | (rh[1:] != rh[:-1])
                 heads = np.flatnonzero(new)
-                times = np.diff(np.append(heads, len(order)))
-                bounds = np.searchsorted(ro[heads], np.arange(len(sizes) + 1)).astype(np.int32)
+                bounds = np.searchsorted(ro[heads], np.arange(len(n_bytes) + 1))
+                begin, size = np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+                begin[hit], size[hit] = froms[at[hit]], lengths[at[hit]]
+                wrong = np.zeros(len(h), np.int64)
+                wrong[hit] = ~oks[at[hit]]
+                wrong = np.concatenate(([0], np.cumsum(wrong)))[first]
+                begin[order] = len(flat) + np.arange(len(order))
+                stand_ins = -1 - (np.cumsum(new) - 1 - bounds[ro])
+                ids = _ragged(np.concatenate((flat, stand_ins.astype(np.int32))), begin, size)
+                upto = np.concatenate(([0], np.cumsum(size)))[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").slice(rows.start, len(n_bytes)),
+                        batch.column("held").slice(rows.start, len(n_bytes)),
+                        batch.column("absent").slice(rows.start, len(n_bytes)),
+                        batch.column("mark").slice(rows.start, len(n_bytes)),
+                        pa.array(n_bytes),
+                        pa.array(wrong[1:] == wrong[:-1]),
+                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rh[heads])),
+                    ],
+                    ["row", "held", "absent", "mark", "n_bytes", "good", "ids", "rare"],
+                )
+
+    spelled = pa.array([_names(model).get(i, b"") for i in range(max([*model.ids.values(), *model.byte_ids]) + 1)], pa.binary())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rarer units' ids in their places, and the text that all ids spell."""
+        for whole in batches:
+            low, ends = 0, np.cumsum(whole.column("n_bytes").to_numpy(zero_copy_only=False))
+            while low < whole.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
+                batch = whole.slice(low, high - low)
+                low = high
+                lists, found = batch.column("ids"), batch.column("found")
+                ids, upto = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+                items, many = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+                own, parts = items.field("k").to_numpy(zero_copy_only=False).astype(np.int64), items.field("ids")
+                wide = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+                key = np.repeat(np.arange(len(many), dtype=np.int64), many) << 32 | own
+                order = np.argsort(key)
+                begin, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+                gaps = np.flatnonzero(ids < 0)
+                asked = (np.searchsorted(upto, gaps, "right") - 1) << 32 | (-1 - ids[gaps].astype(np.int64))
+                at = np.searchsorted(key[order], asked)
+                if len(gaps) and (at.max() >= len(order) or (key[order][at] != asked).any()):
+                    raise ValueError("a unit has no encoding")
+                at = order[at] if len(gaps) else at
+                begin[gaps], size[gaps] = len(ids) + (np.cumsum(wide) - wide)[at], wide[at]
+                upto = np.concatenate(([0], np.cumsum(size)))[upto]
+                ids = _ragged(np.concatenate((ids, parts.flatten().to_numpy(zero_copy_only=False))), begin, size).astype(np.int32)
+                pieces = spelled.take(pa.array(ids))
+                text_ends = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))))[upto].astype(np.int64)
+                # The space that was put before every text that is not empty goes again.
+                full = np.diff(text_ends) > 0
+                data = np.delete(np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: text_ends[-1]], text_ends[:-1][full])
+                text_ends = (text_ends - np.concatenate(([0], np.cumsum(full)))).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+                texts = pc.if_else(batch.column("absent"), pa.scalar(None, pa.string()), texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("row").slice(rows.start, len(sizes)),
-                        batch.column("held").slice(rows.start, len(sizes)),
-                        pa.array(sizes),
-                        pa.array(total[first[1:]] - total[first[:-1]]),
-                        pa.array(wrong[first[1:]] == wrong[first[:-1]]),
-                        pa.ListArray.from_arrays(bounds, pa.array(rh[heads])),
-                        pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+                        batch.column("held"),
+                        batch.column("mark"),
+                        batch.column("n_bytes"),
+                        batch.column("good"),
+                        pa.array(np.diff(upto).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)),
+                        texts,
                     ],
-                    ["row", "held", "n_bytes", "known", "good", "rare", "times"],
+                    ["held", "mark", "n_bytes", "good", "n_pieces", "ids", "decoded"],
                 )
+            give_back()
 
     held = F.struct(*[F.col(c) for c in base.columns if c != "text"])
-    numbered = base.select(F.monotonically_increasing_id().alias("row"), "text", held.alias("held"))
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "text", held.alias("held"), F.col("text").isNull().alias("absent"), F.xxhash64("text").alias("mark"))
     kind = numbered.schema["held"].dataType.simpleString()
-    schema = f"row long, held {kind}, n_bytes long, known long, good boolean, rare array<long>, times array<int>"
-    first_pass = cut(numbered.mapInArrow(count, schema))  # written once, so the row numbers hold
-    rare = first_pass.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    sums = rare.join(codes.select("h", F.size("ids").alias("n"), "ok"), "h").groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("more"), F.min("ok").alias("all_ok"))
-    totals = first_pass.join(sums, "row", "left").select("held.*", "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_pieces"), (F.col("good") & F.coalesce("all_ok", F.lit(True))).alias("round_trip"))
-    return totals, codes.select("h", "unit", "ids")
+    schema = f"row long, held {kind}, absent boolean, mark long, n_bytes long, good boolean, ids array<int>, rare array<long>"
+    first_pass = cut(numbered.mapInArrow(place, schema))  # written once, so the row numbers hold
+    rare = first_pass.select("row", F.posexplode("rare").alias("k", "h"))
+    found = rare.join(codes.select("h", "ids", "ok"), "h").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("found"), F.min("ok").alias("all_ok"))
+    joined = first_pass.drop("rare").join(found, "row", "left").withColumn("good", F.col("good") & F.coalesce("all_ok", F.lit(True)))
+    found_or_none = F.coalesce("found", F.array().cast("array<struct<k: int, ids: array<int>>>")).alias("found")
+    filled = joined.select("held", "absent", "mark", "n_bytes", "good", "ids", found_or_none).mapInArrow(fill, f"held {kind}, mark long, n_bytes long, good boolean, n_pieces long, ids array<int>, decoded string")
+    same = F.col("good") & (F.xxhash64("decoded") == F.col("mark")) & (F.coalesce(F.octet_length("decoded"), F.lit(0)) == F.col("n_bytes"))
+    return filled.select("held.*", "n_bytes", "n_pieces", "ids", "decoded", same.alias("round_trip")), codes.select("h", "unit", "ids")
 
 
 def decode_ids(model: Model, ids: list[int]) -> bytes:

@@ -48,9 +48,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every document, and whether its encoding decodes to the same text."""
+    """Pieces of every document in order, the text they decode to, and whether that is the same text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode_documents(docs, pieces.read_model())[0].select("doc_id", "n_bytes", "n_pieces", "round_trip")
+    return pieces.encode_documents(docs, pieces.read_model())[0].select("doc_id", "n_bytes", "n_pieces", "ids", "decoded", "round_trip")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

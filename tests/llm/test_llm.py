@@ -137,6 +137,26 @@ def test_pieces(spark, odd, none, frequent, monkeypatch, sf_dir):
     assert pieces.encode_documents(none, model)[0].count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 17, 3])
+def test_pieces_of_long_units_and_documents(spark, none, frequent, monkeypatch):
+    monkeypatch.setattr(pieces, "FREQUENT", frequent)
+    model = pieces.read_model()
+    rng = np.random.default_rng(1)
+    junk = ["".join(rng.choice(list("abcdeéß日▁/._-=")) for _ in range(n)) for n in (63, 64, 65, 127, 128, 129, 191, 192, 193, 700)]
+    texts = [None, "", " ", "a" * 30_000, "ab" * 501, "日" * 300, "https://example.org/" + "abcdefgh" * 40 + "?q=1", "one two one two", *junk, junk[-1] + " one " + junk[-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded, codes = pieces.encode_documents(docs, model)
+    got = {r.doc_id: r for r in encoded.collect()}
+    for i, text in enumerate(texts):
+        assert got[i].ids == (pieces.viterbi(model, b" " + text.encode()) if text else []) and got[i].n_pieces == len(got[i].ids)
+        assert got[i].decoded == text and got[i].round_trip
+    units = {r.unit: r.ids for r in codes.collect()}
+    assert " " + "a" * 30_000 in units or any(len(u) > 20_000 for u in units)
+    assert all(ids == pieces.viterbi(model, unit.encode()) for unit, ids in units.items())
+    assert {r.doc_id: r.text for r in pieces.decode(encoded.filter("n_pieces between 1 and 1000"), model, ["doc_id"]).collect()} == {i: " " + t for i, t in enumerate(texts) if t and got[i].n_pieces <= 1000}
+    assert pieces.encode_documents(none, model)[0].count() == 0
+
+
 # 3, 4 and 9: classifiers
 
 
