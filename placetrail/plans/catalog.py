@@ -935,8 +935,19 @@ def quality_errors(spark, sf_dir):
 
 
 def _long_reads(spark, sf_dir):
-    """Longer alignments: three copies of a read's bases."""
-    return _aligned(spark, sf_dir).filter("cigar = '100M'").select("mate", "reverse", "contig", "start0", F.lit("300M").alias("cigar"), *[F.repeat(F.col(c), F.lit(3)).alias(c) for c in ("seq", "ref", "qual")])
+    """Longer alignments: a read's bases, a run of 1 to 9 T, and its reference twice. The longer the run, the more often one or two of its bases are
+    inserted or deleted."""
+    x = F.pmod(F.xxhash64("contig", "start0", "seq"), F.lit(1 << 30))
+    run = (x % 9 + 1).cast("int")
+    size = F.least(run, (F.floor(x / 9) % 2 + 1).cast("int"))
+    event = F.when(F.floor(x / 18) % 20 >= run, "M").when(F.floor(x / 360) % 2 == 0, "I").otherwise("D")
+    rows = _aligned(spark, sf_dir).withColumns({"run": run, "size": size, "event": event})
+    left = F.when(F.col("event") == "D", F.col("run") - F.col("size")).otherwise(F.col("run"))
+    seen = F.when(F.col("event") == "I", F.col("run") + F.col("size")).otherwise(left)
+    cigar = F.concat("cigar", F.when(F.col("event") == "M", "").otherwise(F.concat(F.col("size").cast("string"), "event")), (left + 200).cast("string"), F.lit("M"))
+    seq = F.concat("seq", F.repeat(F.lit("T"), seen), F.repeat("ref", F.lit(2)))
+    ref = F.concat("ref", F.repeat(F.lit("T"), F.col("run")), F.repeat("ref", F.lit(2)))
+    return rows.select("mate", "reverse", "contig", "start0", cigar.alias("cigar"), seq.alias("seq"), ref.alias("ref"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
 
 
 @query("pro02_run_factors")
@@ -947,8 +958,8 @@ def run_factors(spark, sf_dir):
 
 @query("pro03_refine", "SELECT round(least(greatest(r / p, 0.25), 4), 6) AS sub, 1::DOUBLE AS ins, 1::DOUBLE AS del FROM (SELECT count(*) FILTER (o_orderkey % 40 = 0)::DOUBLE AS r, count(*) FILTER (o_orderkey % 25 = 0)::DOUBLE AS p FROM orders)")
 def refine(spark, sf_dir):
-    """PRO-03: injected rates corrected by a pilot with other mismatches; indels left as they are."""
-    real, pilot = (pf.rates(pf.count_cells(_aligned(spark, sf_dir, w), "short"), "short").withColumn("ins_rate", F.lit(0.0)) for w in (40, 25))
+    """PRO-03: injected rates corrected by a pilot with other mismatches and as many indels."""
+    real, pilot = (pf.rates(pf.count_cells(_aligned(spark, sf_dir, w), "short"), "short") for w in (40, 25))
     return pf.refine(real, pilot)
 
 

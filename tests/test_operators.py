@@ -1,8 +1,11 @@
 """Edge cases of single operators with known results."""
 
 import gzip
+import itertools
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from placetrail.functions import scalars as sc
 from placetrail.functions import sequence as sq
 from placetrail.operators import consensus, intervals, names, profile, qc, scoring, simulate, statistics, strata, variants
-from placetrail.plans import digest
+from placetrail.plans import catalog, digest
 from placetrail.sources import annotations, reads, tables
 from placetrail.streaming import counts
 
@@ -230,6 +233,42 @@ def test_masked_positions_and_bad_reads_do_not_count(spark):
     assert (hidden.aligned, hidden.mismatch_rate) == (8, 0)
 
 
+def test_run_factors_query_counts_indels(spark, sf_dir):
+    bases, events = Counter(), {"I": Counter(), "D": Counter()}
+    for row in catalog._long_reads(spark, sf_dir).collect():
+        runs = [min(len(list(group)), 10) for _, group in itertools.groupby(row.ref)]
+        lengths = [size for size, (_, group) in zip(runs, itertools.groupby(row.ref), strict=True) for _ in group]
+        bases.update(lengths)
+        at = used = 0
+        for size, op in re.findall(r"(\d+)([MID])", row.cigar):
+            if op == "I":
+                events["I"][max(lengths[max(at - 1, 0)], lengths[min(at, len(lengths) - 1)])] += 1
+            if op == "D":
+                events["D"][lengths[at]] += 1
+            at += int(size) * (op != "I")
+            used += int(size) * (op != "D")
+        assert (at, used) == (len(row.ref), len(row.seq))
+    assert len(events["I"]) > 4 and len(events["D"]) > 4
+    got = {r.run: r for r in catalog.QUERIES["pro02_run_factors"](spark, sf_dir).collect()}
+    assert {run: r.bases for run, r in got.items()} == bases
+    for column, op in (("ins_factor", "I"), ("del_factor", "D")):
+        share = events[op].total() / bases.total()
+        assert {run: r[column] for run, r in got.items()} == pytest.approx({run: (events[op][run] + 5) / (n * share + 5) for run, n in bases.items()}, abs=1e-6)
+        assert max(r[column] for r in got.values()) > 1.5
+
+
+def test_refine_query_uses_measured_indels(spark, sf_dir, monkeypatch):
+    def aligned(spark, sf_dir, wrong=40):
+        cigars = ["4M1I4M"] * (3 if wrong == 40 else 2) + ["4M1D5M"] * (1 if wrong == 40 else 3)
+        rows = [(0, False, "c", 0, c, "ACGTACGTC", "I" * 9, "ACGTCGTC" if "I" in c else "ACGTAACGTC") for c in cigars]
+        return spark.createDataFrame(rows, "mate int, reverse boolean, contig string, start0 long, cigar string, seq string, qual string, ref string")
+
+    monkeypatch.setattr(catalog, "_aligned", aligned)
+    got = catalog.QUERIES["pro03_refine"](spark, sf_dir).first()
+    real, pilot = 3 * 8 + 1 * 9, 2 * 8 + 3 * 9  # aligned bases
+    assert got["ins"] == pytest.approx((3 / real) / (2 / pilot), abs=1e-6) and got["del"] == pytest.approx((1 / real) / (3 / pilot), abs=1e-6)
+
+
 def test_two_copies_are_calibrated(spark):
     got = simulate.two_copy_experiment(spark.range(50_000), 0.05, (0, 1, 2)).filter("n_wrong >= 30").collect()
     assert got
