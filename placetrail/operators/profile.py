@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .statistics import pearson, total_variation
+from .statistics import max_gap, pearson, total_variation
 
 # Limits of the model.
 MOST_QUALITY, CYCLES, QUARTERS, RUNS, INDEL = 94, 400, 4, 10, 50
@@ -225,22 +225,64 @@ def refine(real: DataFrame, pilot: DataFrame, limit: float = 4.0) -> DataFrame:
     return pair.select(factor("sub", "mismatch_rate"), factor("ins", "ins_rate"), factor("del", "del_rate"))
 
 
+def cycle_qualities(cells: DataFrame) -> DataFrame:
+    """(mate, cycle, quality): mean quality of every cycle, all bases of a read counted."""
+    first = cells.filter("kind = 'first'").select("mate", F.lit(0).alias("cycle"), F.col("a").alias("q"), "n")
+    later = cells.filter("kind = 'transition'").select("mate", F.col("a").alias("cycle"), F.col("c").alias("q"), "n")
+    return first.unionByName(later).groupBy("mate", "cycle").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("quality"))
+
+
+def fragment_median(cells: DataFrame) -> DataFrame:
+    """One row: the median length of fragments up to the 99.9 % quantile; null without any."""
+    return fragments(cells).agg(F.expr("percentile(length, 0.5, n)").alias("fragment_median"))
+
+
+def read_rates(cells: DataFrame) -> DataFrame:
+    """One row of long reads: mean_error, the mean over reads of errors by columns, and read_n50; null without reads."""
+    error = cells.filter("kind = 'error'").agg(F.try_divide(F.sum(F.col("a") / F.col("b") * F.col("n")), F.sum("n")).alias("mean_error"))
+    held = cells.filter("kind = 'read'").groupBy(F.col("a").alias("length")).agg(F.sum(F.col("a") * F.col("n")).alias("bases"))
+    order = W.orderBy(F.col("length").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    half = held.withColumn("enough", F.sum("bases").over(order) * 2 >= F.sum("bases").over(every)).filter("enough")
+    return error.crossJoin(half.agg(F.max("length").cast("double").alias("read_n50")))
+
+
+def long_run_factors(real: DataFrame, sim: DataFrame, least: int = 4) -> DataFrame:
+    """(metric, real, simulated): mean indel factors of runs of `least` or more bases, weighted by the real bases plus 1. A run length
+    that a side lacks has the factor of no bases and no events."""
+    every = real.sparkSession.range(least, RUNS + 1).select(F.col("id").cast("int").alias("run"))
+    side = lambda cells, name: run_factors(cells).select("run", F.col("bases").alias(f"{name}_bases"), F.col("ins_factor").alias(f"{name}_ins"), F.col("del_factor").alias(f"{name}_del"))
+    both = every.join(side(real, "real"), "run", "left").join(side(sim, "sim"), "run", "left").withColumn("weight", F.coalesce("real_bases", F.lit(0)) + 1)
+    mean = lambda name: F.sum(F.coalesce(name, F.lit(1.0)) * F.col("weight")) / F.sum("weight")
+    rows = [F.struct(F.lit(f"hp_{kind}_factor (homopolymer >= {least})").alias("metric"), mean(f"real_{kind}").alias("real"), mean(f"sim_{kind}").alias("simulated")) for kind in ("ins", "del")]
+    return both.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25) -> DataFrame:
-    """(metric, real, simulated, difference, ok) of two cell tables: relative differences of rates, distances of distributions, and for short
-    reads the correlation of the error curves of each mate."""
+    """(metric, real, simulated, difference, ok) of two cell tables: relative differences of rates, distances of distributions, for short
+    reads the correlation of the error curves and the gap of the quality curves (2 at most) of each mate, and for long reads the
+    indel factors of long runs."""
     names = ["mismatch_rate", "ins_rate", "del_rate", "mean_read_length"] + ([] if kind == "short" else ["frac_sub", "frac_ins", "frac_del"])
     side = lambda cells, name: rates(cells, kind).unpivot([], names, "metric", name)
     gap = F.try_divide(F.col("simulated") - F.col("real"), F.col("real"))
-    rows = side(real, "real").join(side(sim, "simulated"), "metric").select("metric", "real", "simulated", gap.alias("difference"), F.coalesce(F.abs(gap) <= tolerance, F.lit(False)).alias("ok"))
+    scalars = side(real, "real").join(side(sim, "simulated"), "metric")
+    of_reads = fragment_median if kind == "short" else read_rates
+    more = [of_reads(cells).unpivot([], ["fragment_median"] if kind == "short" else ["mean_error", "read_n50"], "metric", name) for cells, name in ((real, "real"), (sim, "simulated"))]
+    # As in the reference, a figure that a side lacks makes no row: profiles of unpaired reads have no fragments.
+    scalars = scalars.unionByName(more[0].join(more[1], "metric").filter("real is not null and simulated is not null"))
+    if kind != "short":
+        scalars = scalars.unionByName(long_run_factors(real, sim))
+    rows = scalars.select("metric", "real", "simulated", gap.alias("difference"), F.coalesce(F.abs(gap) <= tolerance, F.lit(False)).alias("ok"))
     both = real.withColumn("own", F.lit(True)).unionByName(sim.withColumn("own", F.lit(False)))
     of_kinds = {"substitution": "substitution", "insertion": "insertion", "deletion": "deletion"} | ({"transition": "quality"} if kind == "short" else {})
     cell = F.when(F.col("kind") == "transition", F.struct("mate", F.lit(0).alias("a"), F.col("c").alias("b"))).otherwise(F.struct("mate", "a", "b"))
     weights = both.filter(F.col("kind").isin(*of_kinds)).groupBy("kind", cell.alias("cell")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("q"))
     distance = total_variation(weights, ["kind"], "p", "q").select(F.concat("kind", F.lit(" distribution")).alias("metric"), F.col("tv").alias("d"))
-    heights = both.filter(F.col("kind").isin("fragment", "read")).groupBy("kind", F.col("a").alias("x")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("b"))
+    place = F.when(F.col("kind") == "error", F.col("a") / F.col("b")).otherwise(F.col("a").cast("double"))
+    heights = both.filter(F.col("kind").isin("fragment", "read", "error")).groupBy("kind", place.alias("x")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("b"))
     order, whole = W.partitionBy("kind").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("kind")
     step = F.abs(F.try_divide(F.sum("a").over(order).cast("double"), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(order).cast("double"), F.sum("b").over(whole)))
-    lengths = heights.withColumn("d", step).groupBy("kind").agg(F.max("d").alias("d")).select(F.concat("kind", F.lit(" length distribution")).alias("metric"), "d")
+    lengths = heights.withColumn("d", step).groupBy("kind").agg(F.max("d").alias("d")).select(F.when(F.col("kind") == "error", "per-read error distribution").otherwise(F.concat("kind", F.lit(" length distribution"))).alias("metric"), "d")
     far = distance.unionByName(lengths).select("metric", F.lit(0.0).alias("real"), F.col("d").alias("simulated"), F.col("d").alias("difference"), F.coalesce(F.col("d") <= tolerance, F.lit(False)).alias("ok"))
     out = rows.unionByName(far)
     if kind == "short":
@@ -248,6 +290,9 @@ def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25)
         curve = pearson(curves, ["mate"], "r", "s")
         name = F.concat(F.lit("per-cycle error curve, mate "), (F.col("mate") + 1).cast("string"))
         out = out.unionByName(curve.select(name.alias("metric"), F.lit(1.0).alias("real"), F.col("r").alias("simulated"), (1 - F.col("r")).alias("difference"), F.coalesce(F.col("r") >= 1 - tolerance, F.lit(False)).alias("ok")))
+        qualities = cycle_qualities(real).join(cycle_qualities(sim).withColumnRenamed("quality", "other"), ["mate", "cycle"])
+        name = F.concat(F.lit("per-cycle mean quality, mate "), (F.col("mate") + 1).cast("string"))
+        out = out.unionByName(max_gap(qualities, ["mate"], "quality", "other").select(name.alias("metric"), F.lit(0.0).alias("real"), F.col("gap").alias("simulated"), F.col("gap").alias("difference"), (F.col("gap") <= 2.0).alias("ok")))
     return out
 
 
@@ -255,4 +300,4 @@ def save_profile(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-__all__ = ["compare", "count_cells", "cycle_errors", "first_of_mate", "fragments", "quality_errors", "rates", "refine", "run_factors", "save_profile", "usable", "walk"]
+__all__ = ["compare", "count_cells", "cycle_errors", "cycle_qualities", "first_of_mate", "fragment_median", "fragments", "long_run_factors", "quality_errors", "rates", "read_rates", "refine", "run_factors", "save_profile", "usable", "walk"]

@@ -269,6 +269,37 @@ def test_refine_query_uses_measured_indels(spark, sf_dir, monkeypatch):
     assert got["ins"] == pytest.approx((3 / real) / (2 / pilot), abs=1e-6) and got["del"] == pytest.approx((1 / real) / (3 / pilot), abs=1e-6)
 
 
+def test_comparison_has_every_check(spark):
+    def cells(*rows):
+        return spark.createDataFrame(rows, profile.CELLS)
+
+    def got(real, sim, kind):
+        return {r.metric: (r.real, r.simulated, r.difference, r.ok) for r in profile.compare(real, sim, kind).collect()}
+
+    def short(q, far):
+        return cells(("first", 0, 30, 0, 0, 10), ("transition", 0, 1, 30, q, 10), ("first", 1, 30, 0, 0, 4), ("transition", 1, 1, 30, 31, 4), ("cycle", 0, 0, 0, 0, 9), ("cycle", 0, 1, 1, 0, 9), ("fragment", 0, 300, 0, 0, 3), ("fragment", 0, far, 0, 0, 4))
+
+    rows = got(short(30, 301), short(33, 500), "short")
+    assert rows["per-cycle mean quality, mate 1"] == (0, 3, 3, False) and rows["per-cycle mean quality, mate 2"] == (0, 0, 0, True)
+    assert rows["fragment_median"][:2] == (301, 500) and not rows["fragment_median"][3]
+    assert "fragment_median" not in got(short(30, 301).filter("kind <> 'fragment'"), short(30, 301), "short")
+
+    def long(events, errors):
+        runs = [("run", 0, 1, 0, 0, 1000), ("run", 0, 5, 0, 0, 100), ("run_insertion", 0, 1, 0, 0, 10), ("run_insertion", 0, 5, 0, 0, events), ("run_deletion", 0, 1, 0, 0, 10)]
+        return cells(*runs, ("error", 0, errors, 1000, 0, 3), ("error", 0, 50, 1000, 0, 1), ("read", 0, 1000, 0, 0, 3), ("read", 0, 4000, 0, 0, 1))
+
+    rows = got(long(10, 50), long(60, 100), "long")
+    assert rows["read_n50"][:2] == (4000, 4000) and rows["mean_error"][:2] == pytest.approx((0.05, 0.0875)) and not rows["mean_error"][3]
+    assert rows["per-read error distribution"][1:] == (0.75, 0.75, False)
+
+    def mean(events, others):
+        factor = {5: (events + 5) / (100 * (events + others) / 1100 + 5)}
+        return sum(factor.get(run, 1.0) * (101 if run == 5 else 1) for run in range(4, 11)) / 107
+
+    assert rows["hp_ins_factor (homopolymer >= 4)"][:2] == pytest.approx((mean(10, 10), mean(60, 10))) and not rows["hp_ins_factor (homopolymer >= 4)"][3]
+    assert rows["hp_del_factor (homopolymer >= 4)"][:2] == pytest.approx((mean(0, 10),) * 2) and rows["hp_del_factor (homopolymer >= 4)"][3]
+
+
 def test_two_copies_are_calibrated(spark):
     got = simulate.two_copy_experiment(spark.range(50_000), 0.05, (0, 1, 2)).filter("n_wrong >= 30").collect()
     assert got
