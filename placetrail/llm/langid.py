@@ -8,10 +8,11 @@ language is the one with the largest mean posterior.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 from .sampling import fold, labelled_sample
 from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Slots of the hashed lexicon and affix weights.
 SLOTS = 1 << 17
 #: Fitted on at most about so many texts of each language, of at most so many characters.
-PER_LANGUAGE, MAX_CHARS = 300, 100_000
+PER_LANGUAGE, MAX_CHARS = 300, 20_000
 #: Words of one training sequence, and of the runs from different texts that are spliced into it.
 SEQUENCE, RUN = 48, 12
 EPOCHS, BATCH, RATE = 3, 256, 0.2
+#: Bytes of the texts that are labelled together, and of the words whose features are held at a time.
+BLOCK, PART = 1 << 18, 1 << 17
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -40,41 +46,56 @@ class Crf:
     start: np.ndarray  # (L,)
 
 
-@dataclass
-class Words:
-    slots: np.ndarray  # (n, 5) slots of each word
-    pairs: np.ndarray  # bigram codes of all words, one word after the other
-    pair_first: np.ndarray  # (n + 1,)
-    first: np.ndarray  # (texts + 1,) index of each text's first word
-
-
-def word_features(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Features of the maximal runs of letters (A-Z and every byte of a non-ASCII character)."""
-    low = fold_latin(data)
-    letters = LETTER[low]
-    starts, ends, first = word_spans(low, offsets, letters)
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in small letters with a zero byte after each; starts and ends of their words (maximal runs of letters: A-Z and
+    every byte of a non-ASCII character), and each text's first word."""
+    low = np.insert(fold_latin(data), offsets[1:], 0)
+    bounds = offsets + np.arange(len(offsets))
+    return low, *word_spans(low, bounds, LETTER[low])
+
+
+def parts_of(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
+    """Words in runs of about PART bytes; a longer word is a run of its own."""
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PART, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def word_slots(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 5) slots of each word's lexicon and affix weights."""
     prefix = prefix_hash(low)
-    slots = np.empty((len(starts), 5), np.int64)
+    slots = np.empty((len(starts), 5), np.int32)
     two_s, two_e = np.minimum(starts + 2, ends), np.maximum(ends - 2, starts)
     three_s, three_e = np.minimum(starts + 3, ends), np.maximum(ends - 3, starts)
     for i, (s, e) in enumerate(((starts, ends), (starts, two_s), (starts, three_s), (two_e, ends), (three_e, ends))):
-        slots[:, i] = (mix(span_hash(prefix, s, e) + np.uint64(i + 1)) & np.uint64(SLOTS - 1)).astype(np.int64)
-    # Bigrams: a mark before and after each word, so a word of n letters has n + 1.
-    codes = np.where(letters, low, 0).astype(np.int64)
-    lengths = ends - starts + 1
-    pair_first = np.concatenate(([0], np.cumsum(lengths)))
-    at = np.arange(pair_first[-1]) - np.repeat(pair_first[:-1] - starts, lengths)
-    padded = np.concatenate((codes, [0]))
-    left = np.where(at == np.repeat(starts, lengths), 0, padded[at - 1])
-    right = np.where(at == np.repeat(ends, lengths), 0, padded[at])
-    return Words(slots, left * 256 + right, pair_first, first)
-
-
-def emissions(model: Crf, words: Words) -> np.ndarray:
-    out = model.weights[words.slots[:, 0]]
-    for i in range(1, words.slots.shape[1]):
-        out = out + model.weights[words.slots[:, i]]
-    return out + per_text(model.bigrams[words.pairs], words.pair_first)
+        slots[:, i] = (mix(span_hash(prefix, s, e) + np.uint64(i + 1)) & np.uint64(SLOTS - 1)).astype(np.int32)
+    return slots
+
+
+def bigrams_at(low: np.ndarray) -> np.ndarray:
+    """At every place the code of the byte before it and the byte on it, where only letters count: a word of n letters has the n + 1
+    codes from its start to its end, with a mark before and after it."""
+    codes = np.where(LETTER[low], low, 0).astype(np.uint16)
+    codes[1:] += codes[:-1] * np.uint16(256)
+    return codes
+
+
+def emissions(model: Crf, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, L) scores of every word, from PART bytes at a time."""
+    out = np.empty((len(starts), len(model.languages)), np.float32)
+    for part in parts_of(starts, ends):
+        base = starts[part][0]
+        own, s, e = low[base : ends[part][-1] + 1], starts[part] - base, ends[part] - base
+        slots = word_slots(own, s, e)
+        score = model.weights[slots].sum(1)
+        codes = bigrams_at(own)
+        if len(s) > 1:
+            out[part] = score + np.add.reduceat(model.bigrams[codes], s, axis=0)
+        else:
+            out[part] = score + sum(model.bigrams[codes[i : i + PART]].sum(0) for i in range(0, len(codes), PART))
+    return out
 
 
 #: Steps between two normalisations: a step scales a state by 1e-30 at the least, so doubles cannot underflow.
@@ -122,6 +143,40 @@ def posteriors(emission: np.ndarray, first: np.ndarray, model: Crf) -> np.ndarra
     return forward[place]
 
 
+@dataclass
+class Gradients:
+    likelihood: float  # log-likelihood of the labels, over all sequences
+    emission: np.ndarray  # its gradient by the emissions (B, T, L)
+    transitions: np.ndarray  # by the transitions (L, L)
+    start: np.ndarray  # by the start weights (L,)
+
+
+def gradients(emission: np.ndarray, labels: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> Gradients:
+    """Exact gradients for sequences of one length: emission (B, T, L), labels (B, T).
+
+    Forward and backward states are scaled to sum 1 at every word. The expected number of moves i -> j at a word is the pair
+    marginal forward(t, i) * move(i, j) * score(t + 1, j) * backward(t + 1, j), divided by its sum.
+    """
+    many, steps, size = emission.shape
+    top = emission.max(2, keepdims=True)
+    score, move, begin = np.exp(emission - top), np.exp(transitions), np.exp(start)
+    forward, backward, scale = np.empty_like(score), np.ones_like(score), np.empty((many, steps))
+    state = begin * score[:, 0]
+    for t in range(steps):
+        if t:
+            state = (forward[:, t - 1] @ move) * score[:, t]
+        scale[:, t] = state.sum(1)
+        forward[:, t] = state / scale[:, t, None]
+    for t in range(steps - 1, 0, -1):
+        backward[:, t - 1] = (backward[:, t] * score[:, t]) @ move.T / scale[:, t, None]
+    post = forward * backward
+    pairs = np.einsum("bti,ij,btj->ij", forward[:, :-1], move, score[:, 1:] * backward[:, 1:] / scale[:, 1:, None])
+    truth = np.eye(size)[labels]
+    seen = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:])
+    path = (truth * emission).sum() + (seen * transitions).sum() + start[labels[:, 0]].sum()
+    return Gradients(float(path - np.log(scale).sum() - top.sum()), truth - post, seen - pairs, (truth[:, 0] - post[:, 0]).sum(0))
+
+
 def fit_crf(sample: pd.DataFrame, label: str = "lang", seed: int = 5) -> Crf | None:
     """Fit on texts with one label each. Runs of words from different texts are spliced into sequences, so that the
     transitions are learned from code-switched examples. None without any labelled word."""
@@ -132,53 +187,42 @@ def fit_crf(sample: pd.DataFrame, label: str = "lang", seed: int = 5) -> Crf | N
     rng = np.random.default_rng(seed)
     texts = pa.array(sample["text"].tolist(), pa.large_string())
     wanted = np.array([languages.index(x) for x in sample[label]])
-    parts, labels = [], []
+    slots, labels, codes, begins, lengths, size = [], [], [], [], [], len(languages)
     for rows, data, offsets in text_blocks(texts):
-        words = word_features(data, offsets)
-        parts.append(words)
-        labels.append(np.repeat(wanted[rows], np.diff(words.first)))
-    labels = np.concatenate(labels)
-    n, size = len(labels), len(languages)
+        low, starts, ends, first = words_of(data, offsets)
+        slots.append(word_slots(low, starts, ends))
+        labels.append(np.repeat(wanted[rows], np.diff(first)))
+        begins.append(starts + sum(map(len, codes)))
+        lengths.append(ends - starts + 1)
+        codes.append(bigrams_at(low))
+    slots, labels, codes, begins, lengths = map(np.concatenate, (slots, labels, codes, begins, lengths))
+    n = len(labels)
     if not n:
         return None
-    slots = np.concatenate([p.slots for p in parts])
-    pairs = np.concatenate([p.pairs for p in parts])
-    pair_len = np.concatenate([np.diff(p.pair_first) for p in parts])
-    pair_first = np.concatenate(([0], np.cumsum(pair_len)))
     runs = rng.permutation(n // RUN) if n >= RUN else np.zeros(1, np.int64)
     whole = (runs[:, None] * RUN + np.arange(RUN)).ravel() % n
     whole = np.resize(whole, max(1, len(whole) // SEQUENCE) * SEQUENCE).reshape(-1, SEQUENCE)
-    model = Crf(languages, np.zeros((SLOTS, size), np.float32), np.zeros((65536, size), np.float32), np.eye(size), np.zeros(size))
-    seen = [np.full_like(model.weights, 1e-2), np.full_like(model.bigrams, 1e-2), np.full((size, size), 1e-2)]
+    model = Crf(languages, np.zeros((SLOTS, size), np.float32), np.zeros((65536, size), np.float32), np.zeros((size, size)), np.zeros(size))
+    past = [np.full_like(x, 1e-2) for x in (model.weights, model.bigrams, model.transitions, model.start)]
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(whole)), max(1, len(whole) // BATCH)):
             at = whole[batch].ravel()
-            lengths = pair_len[at]
-            first = np.concatenate(([0], np.cumsum(lengths)))
-            own = pairs[np.arange(first[-1]) - np.repeat(first[:-1] - pair_first[at], lengths)]
-            words = Words(slots[at], own, first, np.arange(0, len(at) + 1, SEQUENCE))
-            emission = emissions(model, words)
-            post = posteriors(emission, words.first, model)
-            truth = np.zeros_like(post)
-            truth[np.arange(len(at)), labels[at]] = 1
-            delta = ((truth - post) / len(batch)).astype(np.float32)
-            for table, past, keys, change in (
-                (model.weights, seen[0], words.slots.ravel(), np.repeat(delta, words.slots.shape[1], axis=0)),
-                (model.bigrams, seen[1], own, np.repeat(delta, lengths, axis=0)),
+            first = np.concatenate(([0], np.cumsum(lengths[at])))
+            own = codes[np.arange(first[-1]) - np.repeat(first[:-1] - begins[at], lengths[at])]
+            emission = model.weights[slots[at]].sum(1) + per_text(model.bigrams[own], first)
+            g = gradients(emission.reshape(len(batch), SEQUENCE, size).astype(np.float64), labels[at].reshape(len(batch), SEQUENCE), model.transitions, model.start)
+            delta = (g.emission.reshape(-1, size) / len(batch)).astype(np.float32)
+            for table, seen, keys, change in (
+                (model.weights, past[0], slots[at].ravel(), np.repeat(delta, slots.shape[1], axis=0)),
+                (model.bigrams, past[1], own, np.repeat(delta, lengths[at], axis=0)),
             ):
                 used, inverse = np.unique(keys, return_inverse=True)
                 step = np.stack([np.bincount(inverse, change[:, j], len(used)) for j in range(size)], 1).astype(np.float32)
-                past[used] += step * step
-                table[used] += RATE * step / np.sqrt(past[used])
-            # Transitions: expected pairs from neighbouring posteriors given the model, observed pairs from the labels.
-            p, y = post.reshape(len(batch), SEQUENCE, size), truth.reshape(len(batch), SEQUENCE, size)
-            move = np.exp(model.transitions)
-            score = np.exp(emission - emission.max(1, keepdims=True)).reshape(len(batch), SEQUENCE, size)
-            joint = p[:, :-1, :, None] * move * score[:, 1:, None, :]
-            joint /= joint.sum((2, 3), keepdims=True) + 1e-30
-            step = (np.einsum("bti,btj->ij", y[:, :-1], y[:, 1:]) - joint.sum((0, 1))) / joint[..., 0, 0].size
-            seen[2] += step * step
-            model.transitions += RATE * step / np.sqrt(seen[2])
+                seen[used] += step * step
+                table[used] += RATE * step / np.sqrt(seen[used])
+            for table, seen, step in ((model.transitions, past[2], g.transitions / len(at)), (model.start, past[3], g.start / len(batch))):
+                seen += step * step
+                table += RATE * step / np.sqrt(seen)
     return model
 
 
@@ -198,11 +242,11 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
         crf = shared.value
         names = np.array([*crf.languages, "und"], object)
         found, sure = np.full(len(texts), "und", object), np.zeros(len(texts))
-        for rows, data, offsets in text_blocks(texts):
-            words = word_features(data, offsets)
-            post = posteriors(emissions(crf, words), words.first, crf)
-            counts = np.diff(words.first)
-            mean = per_text(post, words.first) / np.maximum(counts, 1)[:, None]
+        for rows, data, offsets in text_blocks(texts, BLOCK):
+            low, starts, ends, first = words_of(data, offsets)
+            post = posteriors(emissions(crf, low, starts, ends), first, crf)
+            counts = np.diff(first)
+            mean = per_text(post, first) / np.maximum(counts, 1)[:, None]
             best = np.where(counts > 0, mean.argmax(1), len(crf.languages))
             found[rows] = names[best]
             sure[rows] = np.where(counts > 0, np.minimum(mean.max(1), 1.0), 0.0)
@@ -230,9 +274,8 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
     """(word, language) of each run of letters of one text."""
     found = []
     for _, data, offsets in text_blocks(pa.array([text], pa.large_string())):
-        words = word_features(data, offsets)
-        starts, ends, _ = word_spans(data, offsets, LETTER[data])
-        states = posteriors(emissions(model, words), words.first, model).argmax(1)
+        low, starts, ends, first = words_of(data, offsets)
+        states = posteriors(emissions(model, low, starts, ends), first, model).argmax(1)
         found += [(bytes(data[s:e]).decode("utf-8", "replace"), model.languages[k]) for s, e, k in zip(starts, ends, states, strict=True)]
     return found
 

@@ -1,17 +1,24 @@
 """Bounded training samples: which labelled rows a classifier is fitted on.
 
-A classifier is fitted on at most about `per_class` rows of each class. Rows are chosen by a seeded hash of
+A classifier is fitted on at most about `per_class` documents of each class. Documents are chosen by a seeded hash of
 doc_id, at a rate taken from the class's full count, so the choice is even over the table and the same in every
-run. Texts above `max_chars` are left out of the sample (not of scoring), which bounds what the driver holds.
+run. Texts above `max_chars` are left out of the sample (not of scoring); with `ALL_CLASSES` documents at most in all classes,
+this bounds what the driver holds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 UNIT = 1 << 30
+#: Documents of a sample in all classes, and the classes (the most frequent ones) that are learned.
+ALL_CLASSES, CLASSES = 6000, 200
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:
@@ -25,23 +32,21 @@ def unit_hash(*columns: Column, seed: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, keys: DataFrame, label: str, per_class: int, max_chars: int, seed: int, also: tuple[str, ...] = ()) -> pd.DataFrame:
-    """At most about per_class rows (text, label, `also`) of each label in keys(doc_id, label), in doc_id order.
+    """At most about per_class rows (doc_id, text, label, `also`) of each label in keys(doc_id, label), in doc_id order.
 
-    `keys` is thinned to the sample first; only that bounded table is broadcast against the documents, so no
-    text is shuffled.
+    A doc_id counts once, however many rows it has: with the smallest of its sampled labels and its smallest text. `keys` is thinned
+    to the sample first; only that bounded table is broadcast against the documents, so no text is shuffled but the sample's.
     """
-    rates = keys.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(per_class)) / F.count(F.lit(1))).alias("rate")).collect()
-    if not rates:
-        return pd.DataFrame({name: pd.Series(dtype=object) for name in ("text", label, *also)})
-    rate = F.lit(0.0)
-    for row in rates:
-        rate = F.when(F.col(label) == F.lit(row[label]), F.lit(row["rate"])).otherwise(rate)
-    chosen = keys.filter(unit_hash(F.col("doc_id"), seed=seed) < rate).select("doc_id", label)
-    out = (
-        docs.select("doc_id", "text", *also)
-        .filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", label, *also)
-        .toPandas()
-    )
-    return out.sort_values(["doc_id", label, "text"], kind="stable").reset_index(drop=True)
+    import pandas as pd
+
+    counts = keys.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(CLASSES).collect()
+    if not counts:
+        return pd.DataFrame({name: pd.Series(dtype=object) for name in ("doc_id", "text", label, *also)})
+    most, rate = min(per_class, max(1, ALL_CLASSES // len(counts))), F.lit(0.0)
+    for row in counts:
+        rate = F.when(F.col(label) == F.lit(row[label]), F.lit(min(1.0, most / row["n"]))).otherwise(rate)
+    chosen = keys.filter(unit_hash(F.col("doc_id"), seed=seed) < rate).groupBy("doc_id").agg(F.min(label).alias(label))
+    texts = docs.select("doc_id", "text", *also).filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    one = F.min(F.struct("text", *also)).alias("one")
+    out = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(one).select("doc_id", label, "one.*")
+    return out.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)

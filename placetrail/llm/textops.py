@@ -1,6 +1,6 @@
 """Array helpers used inside Arrow tasks: whole texts as byte arrays, word spans and rolling hashes.
 
-A task walks an Arrow batch in blocks of a few megabytes (`text_blocks`), so that the temporary arrays
+A task walks an Arrow batch in blocks of a megabyte (`text_blocks`), so that the temporary arrays
 stay bounded whatever the batch holds; one text longer than a block forms a block of its own.
 """
 
@@ -20,8 +20,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of the two rolling hashes; where 64 bits are too few to tell all strings of a corpus apart, both are used.
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +34,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    global _powers, _inverses
-    if len(_powers) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a hash base and of its inverse modulo 2**64; those of a usual block are kept."""
+    if which not in _tables or len(_tables[which][0]) < n:
         size = max(n, BLOCK_BYTES + 4096)
 
         def table(base: int) -> np.ndarray:
@@ -49,20 +47,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             factors[0] = 1
             return np.multiply.accumulate(factors)
 
-        _powers, _inverses = table(_BASE), table(_INVERSE)
-    return _powers[:n], _inverses[:n]
+        made = table(_BASES[which]), table(pow(_BASES[which], -1, 1 << 64))
+        if size > 4 * BLOCK_BYTES:
+            return made
+        _tables[which] = made
+    return tuple(x[:n] for x in _tables[which])
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
     """H with H[e] - H[s] a position-dependent hash of data[s:e]; see `span_hash`."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * powers(len(data))[0], out=out[1:])
+    np.cumsum(BYTE_CODE[data] * powers(len(data), which)[0], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of the byte strings [start, end), the same wherever a string stands."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), which)[1][starts])
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that no column has, whatever its capitals."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def give_back() -> None:

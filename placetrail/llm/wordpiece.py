@@ -7,6 +7,7 @@ takes one step a byte and counts pieces without building them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import prefix_hash, span_hash, text_blocks, word_spans
+from .textops import WORD_PATTERN, prefix_hash, span_hash, text_blocks, unused, word_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words up to here step together; longer ones are walked one by one.
@@ -42,7 +43,7 @@ def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
 @dataclass
 class Automaton:
     step: np.ndarray  # (nodes, 256) next node
-    popped: np.ndarray  # (nodes, 256) pieces popped on the way
+    popped: np.ndarray  # (nodes, 256) pieces popped on the way, no more than the longest piece has bytes
     final: np.ndarray  # pieces popped at a word's end
     start: int  # node after the word-start mark
     start_popped: int
@@ -67,7 +68,7 @@ def build_automaton(pieces: Iterable[bytes], mark: bytes = b" ") -> Automaton:
         if node != ROOT:
             piece[node] = True
     n = len(child)
-    step, popped = np.full((n, 256), DEAD, np.int32), np.zeros((n, 256), np.uint8)
+    step, popped = np.full((n, 256), DEAD, np.int32), np.zeros((n, 256), np.min_scalar_type(len(level)))
     final, link, cost = np.zeros(n, np.int32), np.full(n, DEAD, np.int32), np.zeros(n, np.int32)
     final[DEAD] = -1
 
@@ -75,7 +76,7 @@ def build_automaton(pieces: Iterable[bytes], mark: bytes = b" ") -> Automaton:
         """Where the trie has no child, pop along the failure link and step from there."""
         if node != ROOT:
             step[node] = step[link[node]]
-            popped[node] = np.where(step[node] == DEAD, 0, np.minimum(cost[node] + popped[link[node]].astype(np.int32), 255))
+            popped[node] = np.where(step[node] == DEAD, 0, cost[node] + popped[link[node]].astype(np.int32))
             final[node] = -1 if final[link[node]] < 0 else final[link[node]] + cost[node]
         for byte, target in child[node].items():
             step[node, byte], popped[node, byte] = target, 0
@@ -90,7 +91,7 @@ def build_automaton(pieces: Iterable[bytes], mark: bytes = b" ") -> Automaton:
                 above, byte = parent[node]
                 via = link[above]
                 link[node] = DEAD if above == ROOT else step[via, byte]
-                cost[node] = 0 if above == ROOT else cost[above] + popped[via, byte]
+                cost[node] = 0 if above == ROOT else cost[above] + int(popped[via, byte])
             complete(node)
     start, start_popped = ROOT, 0
     for byte in mark:
@@ -123,7 +124,7 @@ def count_pieces(auto: Automaton, data: np.ndarray, starts: np.ndarray, ends: np
     return np.where(auto.final[node] < 0, 1, total + auto.final[node])
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[str, Automaton] = {}
 
 
 def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ") -> DataFrame:
@@ -133,7 +134,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ") -> Da
     counted once for each distinct word of a block. Existing columns of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, mark))
-    key = hash((len(pieces), pieces[0] if pieces else b"", pieces[-1] if pieces else b"", mark))
+    key = hashlib.sha256(repr((mark, pieces)).encode()).hexdigest()
 
     @F.arrow_udf("n_words long, n_tokens long")
     def counts(texts: pa.Array) -> pa.Array:
@@ -150,5 +151,33 @@ def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ") -> Da
             tokens[rows] = total[first[1:]] - total[first[:-1]]
         return pa.StructArray.from_arrays([pa.array(words), pa.array(tokens)], ["n_words", "n_tokens"])
 
-    out = docs.drop("n_words", "n_tokens").withColumn("found_", counts(F.col("text")))
-    return out.withColumns({"n_words": F.col("found_.n_words"), "n_tokens": F.col("found_.n_tokens")}).drop("found_")
+    kept = docs.drop("n_words", "n_tokens")
+    found = unused("found", kept.columns)
+    out = kept.withColumn(found, counts(F.col("text")))
+    return out.withColumns({c: F.col(found)[c] for c in ("n_words", "n_tokens")}).drop(found)
+
+
+#: Greedy longest matches of every distinct word, one piece a round, over the vocabulary read from its file.
+ORACLE_SQL = rf"""
+WITH RECURSIVE vocabulary AS MATERIALIZED (
+  SELECT unnest(json_keys(content, '$.model.vocab')) AS piece FROM read_text('{VOCABULARY}')
+), most AS (SELECT max(length(piece)) AS size FROM vocabulary),
+bytes AS (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS plain FROM range(256) t(b)),
+alphabet AS MATERIALIZED (
+  SELECT list(CASE WHEN plain THEN chr(b::INT) ELSE chr((255 + n)::INT) END ORDER BY b) AS names
+  FROM (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY b) AS n FROM bytes)
+), w AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_PATTERN}')) AS word FROM documents
+), spelled AS (
+  SELECT word, 'Ġ' || array_to_string(list_transform(range(1, octet_length(encode(word)) + 1), lambda i: names[('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::INT + 1]), '') AS rest
+  FROM (SELECT DISTINCT word FROM w), alphabet
+), r AS (
+  SELECT word, rest, 0 AS n FROM spelled
+  UNION ALL
+  SELECT word, substr(rest, max(k) + 1), n + 1
+  FROM (SELECT word, rest, n, unnest(range(1, least(length(rest), most.size) + 1)) AS k FROM r, most WHERE rest <> '') c
+  JOIN vocabulary v ON v.piece = substr(c.rest, 1, k) GROUP BY word, rest, n
+), each AS (SELECT s.word, coalesce(max(n), 1) AS n FROM spelled s LEFT JOIN r ON r.word = s.word AND r.rest = '' GROUP BY s.word),
+total AS (SELECT doc_id, count(*) AS n_words, sum(n) AS n_tokens FROM w JOIN each USING (word) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_tokens, 0)::BIGINT AS n_tokens FROM documents d LEFT JOIN total USING (doc_id)
+"""
