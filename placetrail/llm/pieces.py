@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into units at every place that no piece spans (no piece holds the two bytes side by side), so the best
-segmentation of a text is that of its units. For each distinct unit, substrings of bounded length are exploded and
-equi-joined to the piece table; the edges are grouped by unit and a Viterbi pass folds over the unit's characters with
-Spark's higher-order `aggregate`. Long units are dealt out in blocks of characters, whose edges are grouped by unit and block; the
-pass then carries its state from block to block. Characters without a piece fall back to byte pieces. A space stands for the space
-mark, and, as in the model's own encoder, a text is encoded with one space before it.
+Texts are cut into units at every place that no piece of a best segmentation spans, so the best segmentation of a text is that of its
+units. For each distinct unit, substrings of bounded length are exploded and equi-joined to the piece table; the edges are grouped by unit
+and a Viterbi pass folds over the unit's characters with Spark's higher-order `aggregate`. Long units are dealt out in blocks of
+characters, whose edges are grouped by unit and block; the pass then carries its state from block to block. Characters without a piece
+fall back to byte pieces. A space stands for the space mark, and, as in the model's own encoder, a text is encoded with one space
+before it. A piece that scores less than the best way to spell it with shorter pieces is in no best segmentation, so the lattice
+leaves it out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, release
 from .textops import BLOCK_BYTES, give_back, prefix_hash, span_hash, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +30,8 @@ FREQUENT = 1 << 17
 LONG = 64
 #: Characters of a block of a long unit.
 BLOCK = 64
+#: Substrings of up to so many characters are looked up everywhere, longer ones where a longer piece can end.
+COMMON = 5
 #: Units whose edges one task groups: some hundred thousand edges, which need no spilling.
 UNITS_A_TASK = 20_000
 MARK = "▁"
@@ -40,8 +43,18 @@ class Model:
     scores: dict[int, float]
     byte_ids: list[int]
     fallback: float  # score of one character that falls back to bytes
-    longest: int  # characters
-    spanned: np.ndarray  # (65536,) byte pairs that stand side by side in some piece
+    spelled: list[bytes]  # the bytes of every id
+    useful: dict[str, int]  # the pieces that a best segmentation can hold
+    longest: int  # characters of those
+    cuts: Cuts
+
+
+@dataclass
+class Cuts:
+    """Which bytes stand side by side in a useful piece."""
+
+    pairs: np.ndarray  # (65536,) pieces of two bytes
+    triples: np.ndarray  # (2 ** 21,) one bit for each three bytes that some piece holds
 
 
 def read_model(path: str = MODEL) -> Model:
@@ -56,34 +69,80 @@ def read_model(path: str = MODEL) -> Model:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             ids[piece.replace(MARK, " ").encode()] = i
             scores[i] = float(model.get_score(i))
-    spanned = np.zeros(65536, bool)
-    for piece in ids:
-        spanned[[a * 256 + b for a, b in zip(piece[:-1], piece[1:], strict=True)]] = True
-    return Model(ids, scores, byte_ids, min(scores.values()) * 2 - 10.0, max(len(p.decode()) for p in ids), spanned)
-
-
-def units(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with a space before each non-empty one, the starts and ends of their units, and each text's first unit."""
+    return make_model(ids, scores, byte_ids)
+
+
+def make_model(ids: dict[bytes, int], scores: dict[int, float], byte_ids: list[int]) -> Model:
+    fallback = min(scores.values()) * 2 - 10.0
+    spelled = [b""] * (max([*ids.values(), *byte_ids]) + 1)
+    for piece, i in [*ids.items(), *((bytes([b]), i) for b, i in enumerate(byte_ids))]:
+        spelled[i] = piece
+    useful = useful_pieces({piece.decode(): i for piece, i in ids.items()}, scores, fallback)
+    pairs, triples = np.zeros(65536, bool), np.zeros(1 << 24, bool)
+    for piece in map(str.encode, useful):
+        if len(piece) == 2:
+            pairs[piece[0] << 8 | piece[1]] = True
+        for i in range(len(piece) - 2):
+            triples[piece[i] << 16 | piece[i + 1] << 8 | piece[i + 2]] = True
+    return Model(ids, scores, byte_ids, fallback, spelled, useful, max(map(len, useful)), Cuts(pairs, np.packbits(triples)))
+
+
+def useful_pieces(ids: dict[str, int], scores: dict[int, float], fallback: float) -> dict[str, int]:
+    """The pieces that no chain of shorter pieces beats."""
+    useful: dict[str, int] = {}
+    for piece in sorted(ids, key=len):
+        best = [0.0]
+        for end in range(1, len(piece) + 1):
+            ways = [best[end - 1] + fallback]
+            for start in range(end):
+                if end - start < len(piece) and (i := useful.get(piece[start:end])) is not None:
+                    ways.append(best[start] + scores[i])
+            best.append(max(ways))
+        if len(piece) == 1 or best[-1] <= scores[ids[piece]]:
+            useful[piece] = ids[piece]
+    return useful
+
+
+def units(cuts: Cuts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with a space before each non-empty one, the starts and ends of their units, and each text's first unit.
+
+    A place is no cut if its two bytes are a piece, or if the three bytes that end or begin around it are part of one: every longer piece
+    that spans the place holds one of these. How a text is cut depends on the text alone.
+    """
     full = np.flatnonzero(np.diff(offsets))
     data = np.insert(data, offsets[full], 32)
     offsets = offsets + np.concatenate(([0], np.cumsum(np.diff(offsets) > 0)))
     if not len(data):
         none = np.zeros(0, np.int64)
         return data, none, none, np.zeros(len(offsets), np.int64)
-    begin = np.ones(len(data), bool)
-    begin[1:] = ~model.spanned[data[:-1].astype(np.int64) * 256 + data[1:]] & ((data[1:] & 0xC0) != 0x80)
-    begin[offsets[:-1][np.diff(offsets) > 0]] = True
+    fronts = offsets[:-1][np.diff(offsets) > 0]
+    code = data.astype(np.int32)
+    code[1:] |= data[:-1].astype(np.int32) << 8
+    spanned = cuts.pairs[code]
+    code[2:] |= data[:-2].astype(np.int32) << 16
+    held = (cuts.triples[code >> 3] >> (7 - (code & 7)).astype(np.uint8) & 1).astype(bool)
+    held[fronts] = False
+    held[np.minimum(fronts + 1, len(data) - 1)] = False
+    spanned |= held
+    spanned[:-1] |= held[1:]
+    begin = ~spanned & ((data & 0xC0) != 0x80)
+    begin[fronts] = True
     starts = np.flatnonzero(begin)
     return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
+def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every unit, which together stand for it inside a task."""
+    return tuple(span_hash(prefix_hash(data, k), starts, ends, k).astype(np.int64) for k in (0, 1))
+
+
 def viterbi(model: Model, unit: bytes) -> list[int]:
-    """The best segmentation of one unit; ties go to the shorter last piece, as in `encode_units`."""
-    text = unit.decode()
+    """The best segmentation of one unit over all pieces; ties go to the shorter last piece, as in `encode_units`."""
+    text, longest = unit.decode(), max(map(len, model.ids))
     best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
     for end in range(1, len(text) + 1):
         choice = None
-        for start in range(max(0, end - model.longest), end):
+        for start in range(max(0, end - longest), end):
             part = text[start:end].encode()
             if (i := model.ids.get(part)) is not None:
                 found = (best[start][0] + model.scores[i], start, [i])
@@ -102,7 +161,7 @@ def viterbi(model: Model, unit: bytes) -> list[int]:
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, score): a fixed table of the model's size."""
-    rows = [(piece.decode(), i, model.scores[i]) for piece, i in model.ids.items()]
+    rows = [(piece, i, model.scores[i]) for piece, i in model.useful.items()]
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
@@ -111,16 +170,19 @@ def _edges(spans: DataFrame, keys: list[str], model: Model) -> DataFrame:
     one without a piece is an edge of its own. Places count from `model.longest - 1` characters before them, or from the view's start where it
     is the unit's."""
     pieces = F.broadcast(piece_table(spans.sparkSession, model))
+    tails = {piece[-COMMON:] for piece in model.useful if len(piece) > COMMON}
+    longer = F.substring("view", F.col("stop") - COMMON + 1, COMMON).isin(*tails) & (F.col("stop") >= COMMON) if tails else F.lit(False)
+    most = F.least(F.col("stop"), F.when(longer, F.lit(model.longest)).otherwise(F.lit(min(COMMON, model.longest))))
     edges = (
         spans.select(*keys, "view", "shift", F.explode(F.sequence(F.char_length("view") - F.col("own") + 1, F.char_length("view"))).alias("stop"))
-        .select(*keys, "view", "shift", "stop", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("stop")))).alias("size"))
+        .select(*keys, "view", "shift", "stop", F.explode(F.sequence(F.lit(1), most)).alias("size"))
         .withColumn("piece", F.substring(F.col("view"), F.col("stop") - F.col("size") + 1, F.col("size")))
         .join(pieces, "piece", "left")
         .filter(F.col("id").isNotNull() | (F.col("size") == 1))
     )
     stop = F.col("stop") + F.col("shift")
     edge = F.struct(stop.alias("stop"), (stop - F.col("size")).alias("start"), F.coalesce("score", F.lit(model.fallback)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return edges.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _step(best: Column, e: Column) -> Column:
@@ -162,28 +224,28 @@ def _origin(places: int) -> Column:
 
 
 def encode_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """distinct(h, unit) plus ids array<int>: explode, equi-join, group, fold. Units are dealt out once, before they are exploded;
+    """distinct(unit) plus ids array<int>: explode, equi-join, group, fold. Units are dealt out once, before they are exploded;
     the broadcast join and the grouping keep that partitioning, so no edge is shuffled."""
     parts = max(1, -(-distinct.count() // UNITS_A_TASK))
-    spans = distinct.repartition(parts, "h", "unit").withColumns({"view": F.col("unit"), "own": F.char_length("unit"), "shift": F.lit(0)})
-    folded = _edges(spans, ["h", "unit"], model).select("h", "unit", F.aggregate("edges", _origin(1), _step).alias("best"))
+    spans = distinct.repartition(parts, "unit").withColumns({"view": F.col("unit"), "own": F.char_length("unit"), "shift": F.lit(0)})
+    folded = _edges(spans, ["unit"], model).select("unit", F.aggregate("edges", _origin(1), _step).alias("best"))
     length = F.char_length("unit")
-    paths = folded.select("h", "unit", _path(F.col("best"), length, 0, length)["path"].alias("path"))
-    return paths.select("h", "unit", _ids(F.col("path"), F.col("unit"), 0, model).alias("ids"))
+    paths = folded.select("unit", _path(F.col("best"), length, 0, length)["path"].alias("path"))
+    return paths.select("unit", _ids(F.col("path"), F.col("unit"), 0, model).alias("ids"))
 
 
 def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
-    """As `encode_units`, for units of any length: (h, key, unit, ids). Blocks of characters are dealt out, each with the characters
-    before it that a piece may hold, and their edges are grouped; one row a unit then holds its blocks, and the fold keeps for each
-    block the best ways to its places and the last places before it."""
+    """As `encode_units`, for units of any length. Blocks of characters are dealt out, each with the characters before it that a piece may
+    hold, and their edges are grouped; one row a unit then holds its blocks, and the fold keeps for each block the best ways to its
+    places and the last places before it. Two hashes stand for a unit here."""
     before = model.longest - 1
     size = max(BLOCK, before)
-    chunks = distinct.select("h", F.xxhash64("unit").alias("key"), F.regexp_extract_all("unit", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("chunks"))
+    chunks = distinct.select(F.xxhash64("unit").alias("h"), F.xxhash64(F.lit(1), "unit").alias("g"), F.regexp_extract_all("unit", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("chunks"))
     each = F.transform("chunks", lambda x, i: F.struct(i.alias("block"), x.alias("own"), F.when(i > 0, F.right(F.get(F.col("chunks"), i - 1), F.lit(before))).otherwise("").alias("lead")))
-    blocks = chunks.select("h", "key", F.explode(each).alias("x")).select("h", "key", "x.block", F.col("x.own").alias("text"), F.col("x.lead").alias("lead"))
-    spans = blocks.repartition("h", "key", "block").withColumns({"view": F.concat("lead", "text"), "own": F.char_length("text"), "shift": F.lit(before) - F.char_length("lead")})
+    blocks = chunks.select("h", "g", F.explode(each).alias("x")).select("h", "g", "x.block", F.col("x.own").alias("text"), F.col("x.lead").alias("lead"))
+    spans = blocks.repartition("h", "g", "block").withColumns({"view": F.concat("lead", "text"), "own": F.char_length("text"), "shift": F.lit(before) - F.char_length("lead")})
     block = F.struct("block", "text", "edges")
-    grouped = _edges(spans, ["h", "key", "block", "text"], model).groupBy("h", "key").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    grouped = _edges(spans, ["h", "g", "block", "text"], model).groupBy("h", "g").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
 
     def step(bests: Column, b: Column) -> Column:
         former = F.slice(F.element_at(bests, -1), -model.longest, model.longest)
@@ -196,18 +258,18 @@ def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
 
     bests = F.slice(F.aggregate("blocks", F.array(_origin(model.longest)), step), F.lit(2), F.size("blocks"))
     none = F.array().cast("array<struct<at: int, path: array<struct<id: int, start: int>>>>")
-    paths = grouped.select("h", "key", "blocks", bests.alias("bests")).select("h", "key", "blocks", F.aggregate(F.reverse("bests"), none, back).alias("paths"))
+    paths = grouped.select("blocks", bests.alias("bests")).select("blocks", F.aggregate(F.reverse("bests"), none, back).alias("paths"))
     ids = F.flatten(F.zip_with("paths", "blocks", lambda p, b: _ids(p["path"], b["text"], before, model)))
-    return paths.select("h", "key", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("unit"), ids.alias("ids"))
+    return paths.select(F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("unit"), ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """(keys, ids, text) for every row of encoded(keys, ids): ids are exploded, equi-joined to the pieces' bytes and put together
     in order. A partitioning by the keys is kept."""
-    rows = [(i, piece.hex()) for piece, i in model.ids.items()] + [(i, f"{b:02x}") for b, i in enumerate(model.byte_ids)]
+    rows = [(i, piece.hex()) for i, piece in enumerate(model.spelled) if piece]
     spelled = F.broadcast(encoded.sparkSession.createDataFrame(rows, "id int, spelled string"))
     parts = encoded.select(*keys, F.posexplode_outer("ids").alias("place", "id")).join(spelled, "id")
-    grouped = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "id", "spelled"))).alias("parts"))
+    grouped = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "id", "spelled"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["spelled"]), "")
     return grouped.select(*keys, F.transform("parts", lambda p: p["id"]).alias("ids"), F.decode(F.unhex(joined), "utf-8").alias("text"))
 
@@ -218,157 +280,176 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes of one document's units, byte planes one after another, compressed."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd"), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def unit_codes(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """(distinct, codes): the units (unit, n) of all texts with their numbers, and (unit, ids, ok) with their encodings, ok if a unit
+    decodes to itself."""
+    cuts = model.cuts
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch.column("text")):
+                data, starts, ends, _ = units(cuts, data, offsets)
+                h, g = unit_hashes(data, starts, ends)
+                order = np.lexsort((g, h))
+                new = np.ones(len(order), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+                heads = np.flatnonzero(new)
+                numbers = np.diff(np.append(heads, len(order)))
+                yield pa.RecordBatch.from_arrays([_strings(data, starts, ends, order[heads]), pa.array(numbers)], ["unit", "n"])
+
+    distinct = cut(docs.select("text").mapInArrow(collect, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    bytes_ = F.octet_length("unit")
+    back = decode(encode_units(distinct.filter(bytes_ <= LONG).select("unit"), model), model, ["unit"])
+    coded = cut(encode_long_units(distinct.filter(bytes_ > LONG).select("unit"), model))
+    long = decode(coded.select(F.xxhash64("unit").alias("h"), F.xxhash64(F.lit(1), "unit").alias("g"), "ids"), model, ["h", "g"])
+    whole = coded.join(long.select("h", "g", "text"), (F.xxhash64("unit") == F.col("h")) & (F.xxhash64(F.lit(1), "unit") == F.col("g")))
+    codes = cut(back.unionByName(whole.select("unit", "ids", "text")).select("unit", "ids", (F.col("text") == F.col("unit")).alias("ok")))
+    release(docs.sparkSession)
+    return distinct, codes
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """(encoded, codes). encoded: every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order),
     decoded (string, the text rebuilt from the ids alone) and round_trip (boolean: decoded has the text's length and hash, and all of
-    its units decode to themselves); codes: (h, unit, ids) of every distinct unit.
+    its units decode to themselves); codes: (unit, ids) of every distinct unit.
 
     Whole texts; null and empty texts have no pieces, are decoded to themselves and have round_trip true. Each distinct unit is encoded
-    once, whatever the number of documents that hold it. The most frequent encodings reach every task as a fixed-size table;
-    only occurrences of rarer units are joined, one row for each distinct unit of a document, and put in their places. n_pieces is
-    the number of ids. Existing columns of the five names are replaced.
+    once, whatever the number of documents that hold it. The most frequent encodings reach every task as a fixed-size table. Each text's
+    rarer units are joined to their encodings and gathered by two hashes of the text, once for equal texts; a document is shuffled as
+    compressed numbers of its units, and its ids are put together beyond the join. Existing columns of the five names are replaced.
     """
-    base = docs.drop("n_bytes", "n_pieces", "ids", "decoded", "round_trip")
-    spark = docs.sparkSession
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in text_blocks(batch.column("text")):
-                data, starts, ends, _ = units(model, data, offsets)
-                h = span_hash(prefix_hash(data), starts, ends)
-                own, at, n = np.unique(h, return_index=True, return_counts=True)
-                raw = data.tobytes()
-                names = pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), names, pa.array(n)], ["h", "unit", "n"])
-
-    distinct = cut(base.select("text").mapInArrow(collect, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n")))
+    base, spark = docs.drop("n_bytes", "n_pieces", "ids", "decoded", "round_trip"), docs.sparkSession
+    distinct, codes = unit_codes(base, model)
+    often = lambda most, wanted: distinct.filter(wanted).orderBy(F.col("n").desc(), "unit").limit(most)
     bytes_ = F.octet_length("unit")
-    short, long = distinct.filter(bytes_ <= LONG), distinct.filter(bytes_ > LONG)
-    back = decode(encode_units(short.select("h", "unit"), model), model, ["h", "unit"])
-    coded = cut(encode_long_units(long.select("h", "unit"), model))
-    whole = coded.select("h", "key", "unit").join(decode(coded.select("h", "key", "ids"), model, ["h", "key"]), ["h", "key"])
-    codes = cut(back.unionByName(whole.drop("key")).select("h", "unit", "ids", (F.col("text") == F.col("unit")).alias("ok")))
-    often = lambda frame, most: frame.orderBy(F.col("n").desc(), "h").limit(most).select("h")
-    top = often(short, FREQUENT).unionByName(often(long.filter(bytes_ <= 1 << 14), FREQUENT >> 9))
-    known = codes.join(F.broadcast(top), "h").select("h", "ids", "ok").toPandas().sort_values("h").drop_duplicates("h")
-    sizes = known["ids"].map(len).to_numpy(np.int64)
-    flat = np.concatenate([np.zeros(0, np.int32), *known["ids"]]).astype(np.int32)
-    shared = spark.sparkContext.broadcast((known["h"].to_numpy(np.int64), np.cumsum(sizes) - sizes, sizes, flat, known["ok"].to_numpy(bool)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of frequent units; -1 - k stands for the k-th of the document's own rarer units."""
-        hs, froms, lengths, flat, oks = shared.value
+    top = often(FREQUENT, bytes_ <= LONG).unionByName(often(FREQUENT >> 9, (bytes_ > LONG) & (bytes_ <= 1 << 14)))
+    table = codes.join(F.broadcast(top), "unit").orderBy(F.col("n").desc(), "unit").select("unit", "ids", "ok").toArrow().combine_chunks()
+    known = _known(table)
+    lookup = spark.sparkContext.broadcast(known[:4])
+    encodings = spark.sparkContext.broadcast(known[4:])
+    cuts, least = model.cuts, table.num_rows
+
+    def numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For the units of all texts their places in the known table, or `least` plus the place among the text's own rarer units in order of
+        their hashes; each text's first unit; whether all known ones are good; text, place and name of the rarer units."""
+        hs, gs, places, oks = lookup.value
+        data, starts, ends, first = units(cuts, data, offsets)
+        h, g = unit_hashes(data, starts, ends)
+        at = np.minimum(np.searchsorted(hs, h), max(0, least - 1))
+        hit = (hs[at] == h) & (gs[at] == g) if least else np.zeros(len(h), bool)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        rare = np.flatnonzero(~hit)
+        order = rare[np.lexsort((g[rare], h[rare], owner[rare]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+        heads = order[new]
+        bounds = np.searchsorted(owner[heads], np.arange(len(first)))
+        code, wrong = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        code[hit], wrong[hit] = places[at[hit]], ~oks[at[hit]]
+        code[order] = least + np.cumsum(new) - 1 - bounds[owner[order]]
+        wrong = np.concatenate(([0], np.cumsum(wrong)))[first]
+        return code, first, wrong[1:] == wrong[:-1], owner[heads], code[heads] - least, lambda: _strings(data, starts, ends, heads)
+
+    def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_blocks(batch.column("text")):
-                n_bytes = np.diff(offsets)
-                data, starts, ends, first = units(model, data, offsets)
-                h = span_hash(prefix_hash(data), starts, ends).astype(np.int64)
-                at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
-                hit = hs[at] == h if len(hs) else np.zeros(len(h), bool)
-                owner = np.repeat(np.arange(len(n_bytes)), np.diff(first))
-                rare = np.flatnonzero(~hit)
-                order = rare[np.lexsort((h[rare], owner[rare]))]
-                ro, rh = owner[order], h[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (ro[1:] != ro[:-1]) | (rh[1:] != rh[:-1])
-                heads = np.flatnonzero(new)
-                bounds = np.searchsorted(ro[heads], np.arange(len(n_bytes) + 1))
-                begin, size = np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
-                begin[hit], size[hit] = froms[at[hit]], lengths[at[hit]]
-                wrong = np.zeros(len(h), np.int64)
-                wrong[hit] = ~oks[at[hit]]
-                wrong = np.concatenate(([0], np.cumsum(wrong)))[first]
-                begin[order] = len(flat) + np.arange(len(order))
-                stand_ins = -1 - (np.cumsum(new) - 1 - bounds[ro])
-                ids = _ragged(np.concatenate((flat, stand_ins.astype(np.int32))), begin, size)
-                upto = np.concatenate(([0], np.cumsum(size)))[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").slice(rows.start, len(n_bytes)),
-                        batch.column("held").slice(rows.start, len(n_bytes)),
-                        batch.column("absent").slice(rows.start, len(n_bytes)),
-                        batch.column("mark").slice(rows.start, len(n_bytes)),
-                        pa.array(n_bytes),
-                        pa.array(wrong[1:] == wrong[:-1]),
-                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rh[heads])),
-                    ],
-                    ["row", "held", "absent", "mark", "n_bytes", "good", "ids", "rare"],
-                )
-
-    spelled = pa.array([_names(model).get(i, b"") for i in range(max([*model.ids.values(), *model.byte_ids]) + 1)], pa.binary())
+                *_, owner, k, names = numbers(data, offsets)
+                take = pa.array(owner + rows.start)
+                yield pa.RecordBatch.from_arrays([batch.column("mark").take(take), batch.column("mark2").take(take), pa.array(k.astype(np.int32)), names()], ["mark", "mark2", "k", "unit"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in text_blocks(batch.column("text")):
+                code, first, good, *_ = numbers(data, offsets)
+                packed = [_packed(code[s:e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                own = [batch.column(c).slice(rows.start, len(good)) for c in ("held", "absent", "mark", "mark2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), pa.array(good), pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["held", "absent", "mark", "mark2", "n_bytes", "good", "n_units", "packed"])
+
+    spelled = pa.array(model.spelled, pa.binary())
+
+    def put_together(batch: pa.RecordBatch) -> pa.RecordBatch:
+        froms, lengths, ids = encodings.value
+        n_units = batch.column("n_units").to_numpy()
+        parts = [_unpacked(p, n) if n else np.zeros(0, np.int64) for p, n in zip(batch.column("packed").to_pylist(), n_units.tolist(), strict=True)]
+        code = np.concatenate([np.zeros(0, np.int64), *parts])
+        # The rarer units of all rows stand one row after another behind the known ones.
+        found = batch.column("found")
+        many = pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        code += np.where(code >= least, np.repeat(np.cumsum(many) - many, n_units), 0)
+        if len(code) and code.max() >= least + many.sum():
+            raise ValueError("a unit has no encoding")
+        lists = found.flatten().field("ids")
+        own = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        froms = np.concatenate((froms, len(ids) + np.cumsum(own) - own))
+        lengths = np.concatenate((lengths, own))
+        upto = np.concatenate(([0], np.cumsum(lengths[code])))[np.concatenate(([0], np.cumsum(n_units)))]
+        ids = _ragged(np.concatenate((ids, lists.flatten().to_numpy(zero_copy_only=False))), froms[code], lengths[code]).astype(np.int32)
+        pieces = spelled.take(pa.array(ids))
+        text_ends = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))))[upto].astype(np.int64)
+        # The space that was put before every text that is not empty goes again.
+        full = np.diff(text_ends) > 0
+        data = np.delete(np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: text_ends[-1]], text_ends[:-1][full])
+        text_ends = (text_ends - np.concatenate(([0], np.cumsum(full)))).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+        texts = pc.if_else(batch.column("absent"), pa.scalar(None, pa.string()), texts)
+        kept = [batch.column(c) for c in ("held", "mark", "n_bytes", "good")]
+        lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
+        return pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(upto)), lists, texts], ["held", "mark", "n_bytes", "good", "n_pieces", "ids", "decoded"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rarer units' ids in their places, and the text that all ids spell."""
-        for whole in batches:
-            low, ends = 0, np.cumsum(whole.column("n_bytes").to_numpy(zero_copy_only=False))
-            while low < whole.num_rows:
+        """The ids of all units in their order, and the text that they spell."""
+        for batch in batches:
+            low, ends = 0, np.cumsum(batch.column("n_bytes").to_numpy())
+            while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
-                batch = whole.slice(low, high - low)
+                yield put_together(batch.slice(low, high - low))
                 low = high
-                lists, found = batch.column("ids"), batch.column("found")
-                ids, upto = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
-                items, many = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
-                own, parts = items.field("k").to_numpy(zero_copy_only=False).astype(np.int64), items.field("ids")
-                wide = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-                key = np.repeat(np.arange(len(many), dtype=np.int64), many) << 32 | own
-                order = np.argsort(key)
-                begin, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
-                gaps = np.flatnonzero(ids < 0)
-                asked = (np.searchsorted(upto, gaps, "right") - 1) << 32 | (-1 - ids[gaps].astype(np.int64))
-                at = np.searchsorted(key[order], asked)
-                if len(gaps) and (at.max() >= len(order) or (key[order][at] != asked).any()):
-                    raise ValueError("a unit has no encoding")
-                at = order[at] if len(gaps) else at
-                begin[gaps], size[gaps] = len(ids) + (np.cumsum(wide) - wide)[at], wide[at]
-                upto = np.concatenate(([0], np.cumsum(size)))[upto]
-                ids = _ragged(np.concatenate((ids, parts.flatten().to_numpy(zero_copy_only=False))), begin, size).astype(np.int32)
-                pieces = spelled.take(pa.array(ids))
-                text_ends = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))))[upto].astype(np.int64)
-                # The space that was put before every text that is not empty goes again.
-                full = np.diff(text_ends) > 0
-                data = np.delete(np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: text_ends[-1]], text_ends[:-1][full])
-                text_ends = (text_ends - np.concatenate(([0], np.cumsum(full)))).astype(np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
-                texts = pc.if_else(batch.column("absent"), pa.scalar(None, pa.string()), texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("held"),
-                        batch.column("mark"),
-                        batch.column("n_bytes"),
-                        batch.column("good"),
-                        pa.array(np.diff(upto).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)),
-                        texts,
-                    ],
-                    ["held", "mark", "n_bytes", "good", "n_pieces", "ids", "decoded"],
-                )
             give_back()
 
     held = F.struct(*[F.col(c) for c in base.columns if c != "text"])
-    numbered = base.select(F.monotonically_increasing_id().alias("row"), "text", held.alias("held"), F.col("text").isNull().alias("absent"), F.xxhash64("text").alias("mark"))
-    kind = numbered.schema["held"].dataType.simpleString()
-    schema = f"row long, held {kind}, absent boolean, mark long, n_bytes long, good boolean, ids array<int>, rare array<long>"
-    first_pass = cut(numbered.mapInArrow(place, schema))  # written once, so the row numbers hold
-    rare = first_pass.select("row", F.posexplode("rare").alias("k", "h"))
-    found = rare.join(codes.select("h", "ids", "ok"), "h").groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("found"), F.min("ok").alias("all_ok"))
-    joined = first_pass.drop("rare").join(found, "row", "left").withColumn("good", F.col("good") & F.coalesce("all_ok", F.lit(True)))
-    found_or_none = F.coalesce("found", F.array().cast("array<struct<k: int, ids: array<int>>>")).alias("found")
-    filled = joined.select("held", "absent", "mark", "n_bytes", "good", "ids", found_or_none).mapInArrow(fill, f"held {kind}, mark long, n_bytes long, good boolean, n_pieces long, ids array<int>, decoded string")
+    keyed = base.select("text", held.alias("held"), F.col("text").isNull().alias("absent"), F.xxhash64("text").alias("mark"), F.hash("text").alias("mark2"))
+    kind = keyed.schema["held"].dataType.simpleString()
+    asked = keyed.select("mark", "mark2", "text").mapInArrow(rarer, "mark long, mark2 int, k int, unit string")
+    gathered = asked.join(codes, "unit").groupBy("mark", "mark2")
+    found = cut(gathered.agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("found"), F.min("ok").alias("all_ok")))
+    release(spark)
+    packed = keyed.mapInArrow(pack, f"held {kind}, absent boolean, mark long, mark2 int, n_bytes long, good boolean, n_units long, packed binary")
+    none = F.array().cast("array<struct<k: int, ids: array<int>>>")
+    joined = packed.join(found, ["mark", "mark2"], "left").select(
+        "held", "absent", "mark", "n_bytes", (F.col("good") & F.coalesce("all_ok", F.lit(True))).alias("good"), "n_units", "packed", F.coalesce("found", none).alias("found")
+    )
+    filled = joined.mapInArrow(fill, f"held {kind}, mark long, n_bytes long, good boolean, n_pieces long, ids array<int>, decoded string")
     same = F.col("good") & (F.xxhash64("decoded") == F.col("mark")) & (F.coalesce(F.octet_length("decoded"), F.lit(0)) == F.col("n_bytes"))
-    return filled.select("held.*", "n_bytes", "n_pieces", "ids", "decoded", same.alias("round_trip")), codes.select("h", "unit", "ids")
-
+    return filled.select("held.*", "n_bytes", "n_pieces", "ids", "decoded", same.alias("round_trip")), codes.select("unit", "ids")
 
-def decode_ids(model: Model, ids: list[int]) -> bytes:
-    names = _names(model)
-    return b"".join(names[i] for i in ids)
 
+def _known(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """The known units in order of their hashes: both hashes, their places in the table, whether they decode; then where the table's
+    encodings begin, their lengths, and all of them one after another."""
+    names, ids = table.column("unit").to_pylist(), table.column("ids")
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(x.encode()) for x in names]).astype(np.int64)
+    h, g = unit_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64) if names else ends, ends)
+    order = np.argsort(h, kind="stable")
+    lists = ids.combine_chunks() if names else pa.array([], pa.list_(pa.int32()))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return h[order], g[order], order.astype(np.int32), table.column("ok").to_numpy()[order], (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32), lists.flatten().to_numpy(zero_copy_only=False)
 
-_by_id: dict[int, dict[int, bytes]] = {}
 
-
-def _names(model: Model) -> dict[int, bytes]:
-    if id(model) not in _by_id:
-        _by_id.clear()
-        _by_id[id(model)] = {i: p for p, i in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
-    return _by_id[id(model)]
+def decode_ids(model: Model, ids: list[int]) -> bytes:
+    return b"".join(model.spelled[i] for i in ids)
