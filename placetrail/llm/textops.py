@@ -1,6 +1,6 @@
 """Array helpers used inside Arrow tasks: whole texts as byte arrays, word spans and rolling hashes.
 
-A task walks an Arrow batch in blocks of a megabyte (`text_blocks`), so that the temporary arrays
+A task walks an Arrow batch in blocks of a quarter of a megabyte (`text_blocks`), so that the temporary arrays
 stay bounded whatever the batch holds; one text longer than a block forms a block of its own.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: The white space of `[^\x20\x09-\x0D]+`.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
