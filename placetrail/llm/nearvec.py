@@ -1,26 +1,28 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Vectors are normalised, so cosine >= t means a distance of at most eps = sqrt(2 - 2t). A rotation to principal axes keeps
-distances; grid cells of width eps on the leading axes give an order in which only neighbouring cells can hold links.
-The order is cut into sequence intervals, intervals with neighbouring cells are paired by an equi-join, and a task
-joins two intervals recursively, halving them and skipping parts whose boxes lie more than eps apart.
+distances; grid cells of width eps on the leading axes, compared axis by axis, give the epsilon grid order. All vectors are numbered in
+that order and cut into sequence intervals of equal length, however many lie in one cell. Intervals whose boxes come within eps of each
+other are paired by an equi-join of the coarse cells that they cover, and a task joins two intervals recursively, halving them and
+skipping parts whose boxes lie more than eps apart.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_sums
 from .components import connected_components
 from .lineage import cut
 from .topk import _matrix, valid_vectors
 
 #: Grid axes, rows of a sequence interval, rows that are compared without further halving, and sample rows for the axes.
-AXES, INTERVAL, LEAF, SAMPLE = 3, 8192, 256, 4096
+AXES, INTERVAL, LEAF, SAMPLE = 8, 8192, 256, 4096
+#: Axes and least width of the coarse cells by which the intervals' boxes are paired.
+COARSE_AXES, COARSE = 3, 0.25
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -107,62 +109,41 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame
     Links are pairs with cosine >= `least` in double precision. Null, empty or zero vectors and vectors with null or
     non-finite components link with nothing. Identical vectors form one class that stands for all its rows: its members
     count each other, and links between classes are counted by class sizes, so a hot vector costs one row. Rows that share
-    a vec_id share a component. Shorter vectors are padded with zeros. An empty table gives an empty result.
+    a vec_id are one node and share a component. Shorter vectors are padded with zeros. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     good = valid_vectors(rows.filter(F.col("vec_id").isNotNull()), "v").filter(F.exists("v", lambda x: x != 0))
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    found = rows.join(classes.select("v", "rep", "n"), "v", "left").select("vec_id", "rep", "n")
-    if not sample:
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    if not len(sample):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dims = classes.agg(F.max(F.size("v"))).first()[0]
-    points = np.zeros((len(sample), dims))
-    for i, x in enumerate(sample):
-        points[i, : len(x)] = x
-    axes = np.linalg.svd(_unit(points), full_matrices=True)[2].T
+    axes = np.linalg.svd(_unit(_matrix(sample, dims)), full_matrices=True)[2].T
     eps, leading = float(np.sqrt(2 - 2 * least)), min(AXES, dims)
 
     def place(batches):
         for batch in batches:
-            at = np.floor((_unit(_matrix(batch.column("v"), dims)) @ axes[:, :leading]) / eps).astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, at.size + 1, leading, dtype=np.int32), pa.array(at.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "v")), lists], ["rep", "n", "v", "cell"])
-
-    placed = cut(classes.select("rep", "n", "v").mapInArrow(place, "rep long, n long, v array<double>, cell array<int>"))
-    # Unit vectors lie in at most (2 / eps + 2) ** AXES cells, so this table is small whatever the corpus holds.
-    cells = placed.groupBy("cell").count().toPandas()
-    cells["cell"] = [tuple(map(int, c)) for c in cells["cell"]]
-    cells = cells.sort_values("cell").reset_index(drop=True)
-    runs, filled, plan, where = -1, INTERVAL, [], {}
-    for cell, count in zip(cells["cell"], cells["count"], strict=True):
-        if filled + count > INTERVAL:
-            runs, filled = runs + 1, 0
-        filled += int(count)
-        where[cell] = runs
-        plan.append((list(cell), runs, max(1, -(-int(count) // INTERVAL))))
-    plan = spark.createDataFrame(plan, "cell array<int>, run int, parts int")
-    near = sorted({(where[c], where[d]) for c in where for step in product((-1, 0, 1), repeat=leading) if (d := tuple(x + y for x, y in zip(c, step, strict=True))) in where})
-    near = spark.createDataFrame(near or [(0, 0)], "run int, to int")
-    spread = plan.groupBy("run").agg(F.max("parts").alias("parts"))
-    interval = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    members = placed.join(F.broadcast(plan.select("cell", "run")), "cell").join(F.broadcast(spread), "run").withColumn("part", interval)
-    # Pairs of intervals, named by the smaller one; each interval's rows go to all its pairs.
-    pieces = spread.select("run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = pieces.alias("x").join(near.alias("n"), F.col("x.run") == F.col("n.run")).join(pieces.alias("y"), F.col("y.run") == F.col("n.to"))
-    pairs = pairs.select(F.col("x.run").alias("run"), F.col("x.part").alias("part"), F.col("y.run").alias("run2"), F.col("y.part").alias("part2"))
-    first = F.struct("run", "part") <= F.struct(F.col("run2").alias("run"), F.col("part2").alias("part"))
-    key = F.concat_ws("/", F.when(first, F.concat_ws(".", "run", "part")).otherwise(F.concat_ws(".", "run2", "part2")), F.when(first, F.concat_ws(".", "run2", "part2")).otherwise(F.concat_ws(".", "run", "part")))
-    pairs = pairs.select("run", "part", key.alias("pair"), first.alias("first")).distinct()
-    dealt = members.join(pairs, ["run", "part"]).select("pair", "first", "rep", "n", "v", "cell")
+            at = _unit(_matrix(batch.column("v"), dims)) @ axes[:, :leading]
+            steps = np.arange(0, at.size + 1, leading, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(steps, pa.array(x.ravel())) for x in (np.floor(at / eps).astype(np.int32), at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "v")), *lists], ["rep", "n", "v", "cell", "at"])
+
+    kind = "array<float>" if single else "array<double>"
+    placed = cut(classes.select("rep", "n", "v").mapInArrow(place, f"rep long, n long, v {kind}, cell array<int>, at array<double>"))
+    numbered = running_sums(placed, [F.col("cell"), F.col("rep"), F.xxhash64("v")], {"place": F.lit(1)})
+    members = cut(numbered.select("rep", "n", "v", "at", F.floor(F.col("place") / INTERVAL).alias("block")))
+    pairs = _near_blocks(members, leading, eps)
+    # Both intervals' rows go to their pair, those of the smaller number as its first side.
+    sided = pairs.select(F.col("x").alias("block"), "x", "y", F.lit(True).alias("first")).unionByName(pairs.filter("x < y").select(F.col("y").alias("block"), "x", "y", F.lit(False).alias("first")))
+    dealt = members.join(sided, "block").select("x", "y", "first", "rep", "n", "v")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side = table.column("first").to_numpy().astype(bool)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
         unit = _unit(_matrix(table.column("v").combine_chunks(), dims))
-        same = len(set(table.column("pair")[0].as_py().split("/"))) == 1
+        same = table.column("x")[0] == table.column("y")[0]
         # Epsilon grid order: by cell, then along the axes.
         grid = np.floor(unit @ axes[:, : min(8, dims)] / eps)
         order = np.lexsort((rep, *grid.T[::-1]))
@@ -181,24 +162,40 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame
             }
         )
 
-    joined = cut(dealt.groupBy("pair").applyInArrow(join, "u long, v long, n long"))
+    joined = cut(dealt.groupBy("x", "y").applyInArrow(join, "u long, v long, n long"))
     links = joined.filter(F.col("n") > 0).groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
-    components = connected_components(joined.filter(F.col("n") == 0).select("u", "v"))
-    ends = (
-        classes.select("rep")
-        .distinct()
-        .join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    )
-    return (
-        found.join(ends, "rep", "left")
-        .select(
-            "vec_id",
-            F.coalesce(F.col("n") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "rep", "vec_id").alias("component_id"),
-        )
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    )
+    # A vec_id with different vectors stands in several classes and links them.
+    named = rows.filter(F.col("vec_id").isNotNull()).select("vec_id", F.xxhash64("v").alias("mark"))
+    several = named.groupBy("vec_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low <> high").select("vec_id")
+    same_id = good.join(several, "vec_id", "left_semi").join(classes, "v").select(F.col("rep").alias("u"), F.col("vec_id").alias("v")).distinct()
+    parts = cut(connected_components(joined.filter(F.col("n") == 0).select("u", "v").unionByName(same_id)))
+
+    ends = classes.join(links, "rep", "left").join(parts, classes["rep"] == parts["node"], "left")
+    ends = cut(ends.select("v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("part")))
+    # Rows of one vector meet in one key; the skew of that join is split, as its right side has one row a key.
+    full = cut(rows.join(ends, "v", "left").select("vec_id", "n_links", "part"))
+    bad = full.filter(F.col("part").isNull()).join(parts, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("part"))
+    out = full.filter(F.col("part").isNotNull()).unionByName(bad).withColumnRenamed("part", "component_id")
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _near_blocks(members: DataFrame, leading: int, eps: float) -> DataFrame:
+    """Pairs (x, y), x <= y, of intervals whose boxes on the leading axes are at most eps apart. Boxes are met by the coarse cells
+    that they cover, widened by one cell on one side."""
+    axes, width = range(leading), max(eps, COARSE) * (1 + 1e-9)
+    bounds = [f(F.col("at")[i]).alias(f"{side}{i}") for i in axes for side, f in (("l", F.min), ("h", F.max))]
+    boxes = cut(members.groupBy("block").agg(*bounds))
+
+    def cells(name: str, more: int) -> DataFrame:
+        out = boxes.select(F.col("block").alias(name), *[F.col(f"{s}{i}").alias(f"{name}{s}{i}") for i in axes for s in "lh"])
+        for i in range(min(COARSE_AXES, leading)):
+            low, high = (F.floor(F.col(f"{name}{s}{i}") / width).cast("int") for s in "lh")
+            out = out.withColumn(f"c{i}", F.explode(F.sequence(low - more, high + more)))
+        return out
+
+    gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"xl{i}") - F.col(f"yh{i}"), F.col(f"yl{i}") - F.col(f"xh{i}")), F.lit(2.0)) for i in axes)
+    met = cells("x", 1).join(cells("y", 0), [f"c{i}" for i in range(min(COARSE_AXES, leading))])
+    return cut(met.filter((F.col("x") <= F.col("y")) & (gap <= F.lit((eps + 1e-9) ** 2))).select("x", "y").distinct())
 
 
 ORACLE_SQL = """
