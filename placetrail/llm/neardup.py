@@ -1,9 +1,8 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index Hamming join, links confirmed on full sets.
 
 A signature has CHUNKS * LANES minima of LANE_BITS bits, LANES of them packed in one long. Two signatures that differ in
-at most 2 * CHUNKS - 1 lanes agree, by the pigeonhole principle, in some chunk up to one lane; so a document is filed
-under every chunk with every one lane left out, and all pairs within that distance meet. At similarity 0.75 the chance
-that no chunk agrees up to one lane is about 2e-6.
+at most 2 * CHUNKS - 1 = 23 lanes agree, by the pigeonhole principle, in some chunk up to one lane; so a document is filed
+under every chunk with every one lane left out, and all pairs within that distance meet, so all pairs within MOST_DIFFERENT.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from .lineage import cut
 from .textops import fold_case, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
 
 WORDS, LEAST_PERCENT = 5, 75
-CHUNKS, LANES, LANE_BITS = 10, 4, 15
-#: Lanes in which a candidate pair may differ; at similarity 0.75, 10 of 40 differ on average, 22 or more in 3 of 100,000 pairs.
+CHUNKS, LANES, LANE_BITS = 12, 3, 20
+#: Lanes in which a candidate pair may differ; at similarity 0.75, 9 of 36 differ on average, 22 or more in 5 of a million pairs.
 MOST_DIFFERENT = 21
 #: Members of a bucket's largest component that are tried for every outsider before all pairs are.
 PARTNERS = 4
@@ -105,7 +104,7 @@ def _cross(table: pa.Table) -> pa.Table:
     key, block, pblock, rep, part, n, tag = (table.column(c).to_numpy() for c in ("key", "block", "pblock", "rep", "part", "n", "tag"))
     probe = table.column("probe").to_numpy().astype(bool)
     packed = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, CHUNKS)
-    lanes = np.stack([(packed[:, k // LANES] >> (LANE_BITS * (k % LANES))) & _LANE for k in range(CHUNKS * LANES)], 1).astype(np.uint16)
+    lanes = np.stack([(packed[:, k // LANES] >> (LANE_BITS * (k % LANES))) & _LANE for k in range(CHUNKS * LANES)], 1).astype(np.uint32)
     fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
     order = np.lexsort((pblock, block, key))
     edge = np.flatnonzero(np.any(np.diff(np.stack([key, block, pblock])[:, order], axis=1) != 0, axis=0)) + 1
@@ -169,8 +168,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket all classes are first confirmed against its most central one, and the links merged; classes still outside that one's
     component are tried against a few of that one's members; then only classes of one bucket that are still in different
     components are compared with each other, in blocks, so that every near pair of different components has been confirmed or
-    refuted on full sets. No link is left out, and a bucket of near copies costs a few comparisons a document. Null and empty texts and null doc_ids link with nothing; rows that
-    share a doc_id are one node. An empty table gives an empty result.
+    refuted on full sets. No link is left out, and a bucket of near copies costs a few comparisons a document. Null and empty texts and
+    null doc_ids link with nothing; rows that share a doc_id are one node, so their classes are linked. An empty table gives an empty result.
     """
     texts = docs.select("doc_id", "text")
     sketch = cut(texts.mapInArrow(_sketch, "doc_id long, n long, low long, high long, sig array<long>"))
@@ -214,15 +213,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("key", "block", "pblock"), F.lit(groups))
     crossed = dealt.groupBy(bucket.alias("bucket")).applyInArrow(_cross, "u long, v long").distinct()
     more = cut(_confirm(crossed, sets))
-    parts = connected_components(links.unionByName(more))
-
-    found = sketch.join(classes.select("low", "high", "n", "rep"), ["low", "high", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    ends = parts.withColumnRenamed("node", "rep")
-    return (
-        found.join(ends, "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    # A doc_id with different texts stands in several classes and links them.
+    sides_of = ["low", "high", "n"]
+    named = sketch.filter(F.col("doc_id").isNotNull())
+    differ = F.greatest(*[(F.max(c) != F.min(c)).cast("int") for c in sides_of])
+    several = named.groupBy("doc_id").agg(differ.alias("several")).filter("several = 1").select("doc_id")
+    same_id = named.filter("n > 0").join(several, "doc_id", "left_semi").join(classes, sides_of).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
+    parts = cut(connected_components(links.unionByName(more).unionByName(same_id)))
+
+    ends = cut(classes.join(parts, classes["rep"] == parts["node"], "left").select(*sides_of, F.coalesce("component", "rep").alias("component_id")))
+    # Copies of one text meet in one key; the skew of that join is split, as its right side has one row a key.
+    full = named.filter("n > 0").join(ends, sides_of, "left").select("doc_id", "n", "component_id")
+    empty = named.filter("n = 0").join(parts, named["doc_id"] == parts["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = sketch.filter(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    out = full.unionByName(empty).unionByName(nameless).withColumnRenamed("n", "n_shingles")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 ORACLE_SQL = r"""
