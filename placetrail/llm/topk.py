@@ -1,9 +1,9 @@
 """Exact top-k search by inner product with a pivot-distance index.
 
-Every vector is keyed by its nearest pivot and its distance from it; the distances of a pivot are cut into annuli. A
-query first scans the annuli of its own pivot, which gives a k-th best score to beat. By the triangle inequality
-d(q, x) >= |d(q, p) - d(x, p)|, and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so an annulus is skipped where even its
-bound stays below that score. All arithmetic on components is on integers, hence exact.
+Every vector is keyed by its nearest pivot and its distance from it; the distances of a pivot are cut into annuli. By the triangle
+inequality d(q, x) >= |d(q, p) - d(x, p)|, and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so every annulus has a bound that no score in it
+passes. A query sorts the annuli by that bound and expands them in growing rounds; it leaves as soon as the next bound stays below
+its k-th best score. All arithmetic on components is on integers, hence exact.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Pivots, annuli of a pivot, sample rows that place them, and rows of one block of vectors or queries.
-PIVOTS, RINGS, SAMPLE, BLOCK = 16, 8, 2048, 1024
+#: Least pivots and annuli of a pivot (their product grows with the square root of the rows), most pivots, sample rows that place them,
+#: and rows of one block of vectors or queries.
+PIVOTS, RINGS, MOST_PIVOTS, SAMPLE, BLOCK = 16, 8, 512, 2048, 1024
+#: Annuli that a query expands in each round; the last round takes all that its bounds leave.
+ROUNDS = (1, 8, 64, None)
 
 
 def valid_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -56,23 +59,26 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over `vectors`, ties to the smaller vec_id.
 
-    Both tables hold (vec_id long, v array<long>). A vec_id that occurs more than once counts once, with its smallest
-    vector; rows without a vec_id take no part; a query is never its own candidate. Vectors of unequal lengths are
-    padded with zeros. Only pivots and the bounds of at most PIVOTS * RINGS annuli reach the driver.
+    Both tables hold (vec_id long, v array<long>). Every row of `vectors` is a candidate of its own, also where a vec_id repeats, but
+    never for a query with its vec_id; a vec_id that asks more than once asks with its smallest vector. Rows without a vec_id take no
+    part. Vectors of unequal lengths are padded with zeros. Only pivots and the bounds of the annuli, in number about the square root of the
+    rows, reach the driver.
     """
     spark = vectors.sparkSession
-    once = lambda t: t.filter(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = vectors.filter(F.col("vec_id").isNotNull()).orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    dims = max(dims, queries.agg(F.max(F.size("v"))).first()[0] or 0)
-    points = np.zeros((max(1, len(sample)), max(1, dims)))
-    for i, x in enumerate(sample):
-        points[i, : len(x)] = x
+    vectors = vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", "v")
+    queries = queries.filter(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = [t.agg(F.max(F.size("v")), F.count(F.lit(1))).first() for t in (vectors, queries)]
+    width, rows = max(1, found[0][0] or 0, found[1][0] or 0), found[0][1]
+    if not rows or not found[1][1]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    points = _matrix(sample, width).astype(np.float64)
+    many = int(min(MOST_PIVOTS, max(PIVOTS, np.sqrt(rows) / RINGS)))
     pivots = points[:1]
-    while len(pivots) < min(PIVOTS, len(points)):  # farthest first
+    while len(pivots) < min(many, len(points)):  # farthest first
         pivots = np.concatenate((pivots, points[[_distances(points, pivots).min(1).argmax()]]))
-    edges = np.quantile(_distances(points, pivots).min(1), np.arange(1, RINGS) / RINGS)
-    width = max(1, dims)
+    rings = int(max(RINGS, np.sqrt(rows) / len(pivots)))
+    edges = np.quantile(_distances(points, pivots).min(1), np.arange(1, rings) / rings)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,45 +86,45 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10) -> D
             far = _distances(x, pivots)
             home = far.argmin(1)
             near = far[np.arange(len(x)), home]
-            ring = np.searchsorted(edges, near, "right")
+            cell = home * rings + np.searchsorted(edges, near, "right")
             size = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-            columns = [batch.column("vec_id"), batch.column("v"), pa.array(home.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(near), pa.array(size)]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "pivot", "ring", "far", "size"])
-
-    schema = "vec_id long, v array<long>, pivot int, ring int, far double, size double"
-    index = cut(once(vectors).select("vec_id", "v").mapInArrow(place, schema))
-    cells = index.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("size").alias("size"))
-    bounds = cells.toPandas()
-    blocks = F.broadcast(cells.select("pivot", "ring", F.ceil(F.col("n") / BLOCK).alias("parts")))
-    packed = (
-        index.join(blocks, ["pivot", "ring"])
-        .groupBy("pivot", "ring", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"))
-        .agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("v").alias("vs"))
-    )
-    packed = cut(packed)
-    asked = cut(once(queries).select("vec_id", "v").mapInArrow(place, schema))
-    parts = max(1, -(-asked.count() // BLOCK))
-
-    def ask(found: DataFrame) -> DataFrame:
-        """Queries packed into blocks for every pivot that they still have to look at."""
-        grouped = found.groupBy("pivot", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("qpart"))
-        return grouped.agg(
-            F.collect_list("vec_id").alias("q_ids"), F.collect_list("v").alias("qs"), F.collect_list("beat").alias("beats"), F.collect_list("rings").alias("q_rings"), F.bit_or("rings").alias("any_ring")
-        )
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(near), pa.array(size)], ["vec_id", "v", "cell", "far", "size"])
+
+    index = cut(vectors.mapInArrow(place, "vec_id long, v array<long>, cell int, far double, size double"))
+    cells = cut(index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("size").alias("size")))
+    bounds = cells.orderBy("cell").toArrow()
+    number, low, high, size = (bounds.column(c).to_numpy() for c in ("cell", "low", "high", "size"))
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / BLOCK)).alias("part")
+    packed = cut(index.join(cells.select("cell", "n"), "cell").groupBy("cell", part).agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("v").alias("vs")))
+    asked = cut(queries)
+    parts = max(1, -(-found[1][1] // BLOCK))
+
+    def expand(batches: Iterator[pa.RecordBatch], skip: int, take: int | None) -> Iterator[pa.RecordBatch]:
+        """A round of every query: its annuli in order of their bounds, from number `skip` on, `take` of them, while their bounds reach
+        the score to beat."""
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                own = batch.slice(start, BLOCK)
+                x = _matrix(own.column("v"), width)
+                far, norm = _distances(x, pivots)[:, number // rings], np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+                gap = np.maximum(0, np.maximum(far - high, low - far) - 1e-6 * (1 + far))
+                bound = np.minimum((norm**2 + size**2 - gap**2) / 2, norm * size) * (1 + 1e-9) + 1
+                order = np.argsort(-bound, axis=1, kind="stable")[:, skip : None if take is None else skip + take]
+                q, at = np.nonzero(np.take_along_axis(bound, order, 1) >= own.column("beat").to_numpy()[:, None])
+                rows = pa.array(q)
+                yield pa.RecordBatch.from_arrays([pa.array(number[order[q, at]].astype(np.int32)), *(own.column(c).take(rows) for c in ("vec_id", "v", "beat"))], ["cell", "vec_id", "v", "beat"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best k of a block of vectors for every query of a block."""
         for batch in batches:
             out = [[], [], []]
             for r in range(len(batch)):
-                row = {n: batch.column(n)[r].values for n in ("q_ids", "qs", "beats", "q_rings", "vec_ids", "vs")}
-                ring = batch.column("ring")[r].as_py()
-                here = np.flatnonzero(row["q_rings"].to_numpy() >> ring & 1)
-                ids, q_ids = row["vec_ids"].to_numpy(), row["q_ids"].to_numpy()[here]
+                row = {n: batch.column(n)[r].values for n in ("q_ids", "qs", "beats", "vec_ids", "vs")}
+                ids, q_ids, beats = (row[n].to_numpy() for n in ("vec_ids", "q_ids", "beats"))
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
-                score = _products(_matrix(row["qs"], width)[here], _matrix(row["vs"], width)[order])
-                beats = row["beats"].to_numpy()[here]
-                for i in range(len(here)):
+                score = _products(_matrix(row["qs"], width), _matrix(row["vs"], width)[order])
+                for i in range(len(q_ids)):
                     good = np.flatnonzero((score[i] >= beats[i]) & (ids != q_ids[i]))
                     if len(good) > k:
                         good = good[np.argsort(-score[i, good], kind="stable")[:k]]
@@ -128,45 +134,22 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10) -> D
             arrays = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in out]
             yield pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
 
-    def run(found: DataFrame) -> DataFrame:
-        pairs = ask(found).join(packed, "pivot").filter(F.expr("shiftright(any_ring, ring) & 1 = 1"))
-        # A row holds two blocks; spread over tasks, each Arrow batch stays a few rows long.
-        return pairs.mapInArrow(scan, "query_id long, vec_id long, score long")
-
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    lowest = -(1 << 63)
-    every_ring = (1 << RINGS) - 1
-    first = asked.withColumn("beat", F.lit(lowest)).withColumn("rings", F.lit(every_ring))
-    top = cut(run(first).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
-    beat = top.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("beat"))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For every query and foreign pivot, the annuli whose bound reaches the score to beat."""
-        p, ring = bounds["pivot"].to_numpy(), bounds["ring"].to_numpy()
-        low, high, size = (bounds[c].to_numpy() for c in ("low", "high", "size"))
-        for batch in batches:
-            x = _matrix(batch.column("v"), width)
-            far = _distances(x, pivots)[:, p]
-            own = np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
-            gap = np.maximum(0, np.maximum(far - high, low - far) - 1e-6 * (1 + far))
-            bound = np.minimum((own**2 + size**2 - gap**2) / 2, own * size) * (1 + 1e-9) + 1
-            open_ = (bound >= batch.column("beat").to_numpy()[:, None]) & (p != batch.column("pivot").to_numpy()[:, None])
-            masks = np.zeros((len(x), len(pivots)), np.int64)
-            for c in range(len(p)):
-                masks[:, p[c]] |= open_[:, c].astype(np.int64) << int(ring[c])
-            q, to = np.nonzero(masks)
-            take = pa.array(q)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(to.astype(np.int32)), batch.column("beat").take(take), pa.array(masks[q, to].astype(np.int32))],
-                ["vec_id", "v", "pivot", "beat", "rings"],
-            )
-
-    if bounds.empty:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    known = asked.join(beat, "vec_id", "left").withColumn("beat", F.coalesce("beat", F.lit(lowest)))
-    more = run(known.select("vec_id", "v", "pivot", "beat").mapInArrow(rest, "vec_id long, v array<long>, pivot int, beat long, rings int"))
-    both = top.select("query_id", "vec_id", "score").unionByName(more)
-    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lowest, skip = F.lit(-(1 << 63)), 0
+    top = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    for take in ROUNDS:
+        beat = top.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("beat"))
+        open_ = asked.join(beat, "vec_id", "left").select("vec_id", "v", F.coalesce("beat", lowest).alias("beat"))
+        moved = open_.mapInArrow(lambda b, s=skip, t=take: expand(b, s, t), "cell int, vec_id long, v array<long>, beat long")
+        lists = [F.collect_list(c).alias(n) for c, n in (("vec_id", "q_ids"), ("v", "qs"), ("beat", "beats"))]
+        grouped = moved.groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("qpart")).agg(*lists)
+        # A row holds two blocks; an Arrow batch has a bound on its bytes.
+        met = grouped.join(packed, "cell").select("q_ids", "qs", "beats", "vec_ids", "vs").mapInArrow(scan, "query_id long, vec_id long, score long")
+        both = top.select("query_id", "vec_id", "score").unionByName(met)
+        top = both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        if take is not None:
+            top, skip = cut(top), skip + take
+    return top.select("query_id", "rank", "vec_id", "score")
 
 
 def to_grid(vectors: DataFrame, scale: float = 1024.0, vector: str = "embedding") -> DataFrame:
@@ -181,7 +164,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  FROM (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
