@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
+from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, unused, word_spans
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -253,13 +253,12 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(sure)], ["lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = kept.withColumn("found_", label(F.col("text")))
-    return found.withColumns(
-        {
-            "lang_pred": F.when(lettered, F.col("found_.lang_pred")).otherwise(F.lit("und")),
-            "score": F.when(lettered, F.col("found_.score")).otherwise(F.lit(0.0)),
-        }
-    ).drop("found_")
+    found = unused("found", kept.columns)
+    return (
+        kept.withColumn(found, label(F.col("text")))
+        .withColumns({"lang_pred": F.when(lettered, F.col(found)["lang_pred"]).otherwise(F.lit("und")), "score": F.when(lettered, F.col(found)["score"]).otherwise(F.lit(0.0))})
+        .drop(found)
+    )
 
 
 def identify_into(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:

@@ -92,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": nearvec.ORACLE_SQL,
+    "op2_token_counts": wordpiece.ORACLE_SQL,
     "op5_near_duplicates": neardup.ORACLE_SQL,
     "op7_top_k": topk.ORACLE_SQL,
+    "op8_repeats": repeats.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }

@@ -1,15 +1,16 @@
 """Repeated byte strings: exact removal of every string of LENGTH bytes that also starts anywhere else.
 
-Candidates. Every window of LENGTH bytes has an anchor, the k-gram in it with the least hash; equal windows have equal
-anchors at equal places. Consecutive windows with one anchor form a fragment. Fragments whose anchor occurs once hold no
-repeat; equal fragments are repeats as a whole; only different fragments that share an anchor need their bytes compared.
+Phrases. Every window of LENGTH bytes has an anchor, the k-gram in it with the least hash; equal windows have equal
+anchors at equal places. Consecutive windows with one anchor form a fragment, and equal fragments are one phrase with a multiplicity, as in
+prefix-free parsing: the transform of a repetitive corpus is built from its different phrases. A phrase whose anchor occurs once holds no
+repeat; a phrase that occurs twice repeats as a whole; different phrases that share an anchor need their bytes compared.
 
-Comparison. A task takes the fragments of some anchors and builds a run-length index: suffixes are sorted, the
-Burrows-Wheeler transform is cut into runs, and the match lengths with both sorted neighbours are sampled at the run ends
-alone. Between two samples a match shrinks by one byte for every byte of text, so one pass over the text streams the
-longest match of every suffix with any other (matching statistics), and those of at least LENGTH bytes are marked.
+Comparison. A task takes the phrases of some anchors and builds a run-length index: suffixes are sorted, the Burrows-Wheeler transform is
+kept as runs, and only the suffixes at run ends are sampled, with the match lengths between neighbouring runs. Between two samples a match
+shrinks by one byte for every byte of text, so one pass over the text streams the longest match of every suffix with any other
+(matching statistics), and those of at least LENGTH bytes are marked.
 
-An anchor with very many different fragments (a passage that a third of all documents quote, each in words of its own) is
+An anchor with very many different phrases (a passage that a third of all documents quote, each in words of its own) is
 split by ever longer cores that all windows of a part share, until its parts are small.
 """
 
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
-from .textops import give_back, mix, prefix_hash, span_hash, text_blocks
+from .lineage import cut, release
+from .textops import give_back, mix, prefix_hash, span_hash, text_blocks, unused
 
 LENGTH, ANCHOR = 200, 48
 #: Different fragments of one anchor from which on it is split, and sizes (in windows) of the parts.
 HOT, SPLITS = 2048, (31, 7, 2, 1)
 #: Bytes that one index covers on average.
 INDEX_BYTES = 1 << 20
+#: Indexes that one task builds one after another.
+BUCKETS_A_TASK = 4
 SEPARATOR = 0xFF  # no byte of a UTF-8 text
 
 
@@ -45,11 +48,12 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """Fragments of all texts: text, start, windows, at (place of the anchor in it), h (anchor), c (content).
+    """Fragments of all texts: text, start, windows, at (place of the anchor in it), h (anchor), c (content), times.
 
-    start and c refer to the block's bytes; every window of every text lies in exactly one fragment.
+    start and c refer to the block's bytes; every window of every text lies in exactly one fragment. Equal fragments that follow
+    each other, as in a run of one byte, are one row that stands `times` times, each `windows` bytes behind the last.
     """
-    names = ("text", "start", "windows", "at", "h", "c")
+    names = ("text", "start", "windows", "at", "h", "c", "times")
     if len(data) < length:
         return {k: np.zeros(0, np.int64) for k in names}
     prefix = prefix_hash(data)
@@ -67,77 +71,77 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, ancho
     start = np.flatnonzero(fresh)[count > 0]
     count = count[count > 0]
     c = span_hash(prefix, start, start + count - 1 + length)
-    return dict(zip(names, (text[start], start, count, place[start] - start, hashes[place[start]], c), strict=True))
+    columns = (text[start], start, count, place[start] - start, hashes[place[start]], c)
+    again = np.zeros(len(start), bool)
+    again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in columns[:1] + columns[2:]])
+    heads = np.flatnonzero(~again)
+    return dict(zip(names, (*(x[heads] for x in columns), np.diff(np.append(heads, len(start)))), strict=True))
+
+
+def sorted_suffixes(text: np.ndarray, words: np.ndarray, longest: int) -> np.ndarray:
+    """Suffixes in order of their first `longest` bytes, from their first eight bytes (`words`). Ranks of one length are joined to ranks of
+    three times that length, of twice that length where three ranks do not fit a key."""
+    n = len(text)
+    bits = 21 if n < 1 << 21 else 32
+    key, step, joined = words, 8, 64 // bits
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
+        fresh = np.zeros(n, np.int32)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(fresh, dtype=np.int32) + 1
+        if step >= longest or rank.max() == n:
+            return order
+        key = rank.astype(np.uint64)
+        for k in range(1, joined):
+            key <<= np.uint64(bits)
+            key[: max(0, n - k * step)] |= rank[k * step :].astype(np.uint64)
+        step *= joined
 
 
 class RunIndex:
-    """Run-length index of some byte strings: runs of their Burrows-Wheeler transform with match lengths at the run ends."""
+    """Run-length index of some byte strings: the runs of their Burrows-Wheeler transform (symbols and lengths), the suffixes at the runs'
+    heads and tails, and the match length between each run's tail and the next one's head. The suffix array itself is not kept."""
 
     def __init__(self, strings: list[bytes]):
         self.text = np.frombuffer(b"".join(s + bytes([SEPARATOR]) for s in strings), np.uint8)
         sizes = np.array([len(s) + 1 for s in strings])
         self.starts = np.cumsum(sizes) - sizes
         self.left = np.repeat(self.starts + sizes - 1, sizes) - np.arange(len(self.text))  # bytes to the separator
-        order = self._sort(int(sizes.max()))
-        before = np.where(order > 0, self.text[order - 1], SEPARATOR - 1)
-        ends = np.flatnonzero(before[1:] != before[:-1])
-        self.runs = len(ends) + 1
-        # Run heads look at the suffix above them, run tails at the one below.
-        self.at = np.concatenate((order[ends + 1], order[ends]))
-        self.lengths = self._matches(self.at, np.concatenate((order[ends], order[ends + 1])))
-
-    def _sort(self, longest: int) -> np.ndarray:
-        """Suffixes in order of their first `longest` bytes. Ranks of one length are joined to ranks of three times that length
-        (of twice that length where three ranks do not fit a key); the ranks of every length are kept."""
-        n = len(self.text)
-        padded = np.concatenate((self.text, np.zeros(8, np.uint8))).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
+        # Strings differ, so no two places agree over a whole string and its separators: matches end within two strings' length.
+        n, longest = len(self.text), 2 * int(sizes.max())
+        padded, words = np.concatenate((self.text, np.zeros(8, np.uint8))), np.zeros(n, np.uint64)
         for j in range(8):
-            key = (key << np.uint64(8)) | padded[j : j + n]
-        bits = 21 if n < 1 << 21 else 32
-        self.joined = 63 // bits
-        self.ranks, step = [], 8
-        while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            fresh = np.zeros(n, np.int32)
-            fresh[1:] = ordered[1:] != ordered[:-1]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(fresh, dtype=np.int32) + 1
-            self.ranks.append((step, rank))
-            if step >= longest or rank.max() == n:
-                return order
-            key = rank.astype(np.uint64)
-            for k in range(1, self.joined):
-                later = np.zeros(n, np.uint64)
-                later[: max(0, n - k * step)] = rank[k * step :]
-                key = (key << np.uint64(bits)) | later
-            step *= self.joined
-
-    def _matches(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of the suffixes a and b, read from the ranks, longest first, then byte by byte."""
-        a, b, total, n = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(self.text)
-
-        def advance(step: int, table: np.ndarray, going: np.ndarray) -> np.ndarray:
-            inside = going & (a + step <= n) & (b + step <= n)
-            same = inside & (table[np.minimum(a, n - 1)] == table[np.minimum(b, n - 1)])
-            for x in (total, a, b):
-                x += same * step
-            return same
-
-        everywhere = np.ones(len(a), bool)
-        for step, rank in self.ranks[::-1]:
-            for _ in range(self.joined):
-                advance(step, rank, everywhere)
-        going = everywhere
-        for _ in range(7):
-            going = advance(1, self.text, going)
+            words = (words << np.uint64(8)) | padded[j : j + n]
+        order = sorted_suffixes(self.text, words, longest)
+        before = np.where(order > 0, self.text[order - 1], SEPARATOR - 1)
+        bounds = np.concatenate(([0], np.flatnonzero(before[1:] != before[:-1]) + 1, [n]))
+        self.symbols, self.lengths = before[bounds[:-1]], np.diff(bounds)
+        self.heads, self.tails = order[bounds[:-1]], order[bounds[1:] - 1]
+        self.matches = self._matches(words, self.tails[:-1], self.heads[1:], longest)
+
+    @staticmethod
+    def _matches(words: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
+        """Common prefixes of the suffixes a and b, eight bytes at a time; they may run on into the next strings."""
+        total, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+        for done in range(0, longest, 8):
+            x, y = a[open_] + done, b[open_] + done
+            inside = (x < len(words)) & (y < len(words))
+            open_, x, y = open_[inside], x[inside], y[inside]
+            differ = words[x] ^ words[y]
+            for k in range(1, 9):
+                total[open_] += differ >> np.uint64(64 - 8 * k) == 0
+            open_ = open_[differ == 0]
+            if not len(open_):
+                break
         return total
 
     def statistics(self) -> np.ndarray:
         """For every position, the longest match of the suffix there with any other suffix, within its string."""
         reach = np.zeros(len(self.text), np.int64)
-        np.maximum.at(reach, self.at, self.at + self.lengths)
+        for at in (self.tails[:-1], self.heads[1:]):
+            np.maximum.at(reach, at, at + self.matches)
         return np.minimum(np.maximum.accumulate(reach) - np.arange(len(self.text)), self.left)
 
     def repeated(self, number: int, windows: int, length: int) -> np.ndarray:
@@ -154,19 +158,18 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
-_ITEM = "key long, start long, windows int, at int, h long, c long"
+_ITEM = "key binary, start long, windows int, at int, h long, c long"
 
 
 def _collect(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in text_blocks(batch.column("text")):
             f = fragments(data, offsets, length)
-            keys = batch.column("key").to_numpy()[rows][f["text"]]
             arrays = [
-                pa.array(keys, pa.int64()), pa.array(f["start"] - offsets[f["text"]]), pa.array(f["windows"].astype(np.int32)),
-                pa.array(f["at"].astype(np.int32)), pa.array(f["h"].astype(np.int64)), pa.array(f["c"].astype(np.int64)),
+                batch.column("key").take(pa.array(f["text"] + rows.start)), pa.array(f["start"] - offsets[f["text"]]), pa.array(f["windows"].astype(np.int32)),
+                pa.array(f["at"].astype(np.int32)), pa.array(f["h"].astype(np.int64)), pa.array(f["c"].astype(np.int64)), pa.array(f["times"].astype(np.int32)),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "windows", "at", "h", "c"])
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "windows", "at", "h", "c", "times"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +180,7 @@ def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             items = batch.column("items")[r].values.flatten()
             start, windows = items[0].to_numpy(), items[1].to_numpy()
             parts = [text[s : s + m - 1 + length] for s, m in zip(start.tolist(), windows.tolist(), strict=True)]
-            key = pa.array(np.full(len(parts), batch.column("key")[r].as_py()), pa.int64())
+            key = batch.column("key").take(pa.array(np.full(len(parts), r)))
             yield pa.RecordBatch.from_arrays([key, *items, pa.array(parts, pa.binary())], ["key", "start", "windows", "at", "h", "c", "n", "part"])
 
 
@@ -198,21 +201,24 @@ def _split(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterato
                 anchor = int(mix(np.array([row["h"], core_hash, cell], np.int64).astype(np.uint64) * np.array([3, 5, 7], np.uint64)).sum().astype(np.int64))
                 for column, value in zip(out, (row["key"], row["start"] + first, last - first + 1, at - first, anchor, own_hash, row["n"], own), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["key", "start", "windows", "at", "h", "c", "n", "part"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, start, windows): runs of repeated windows of the texts in docs(key, text)."""
-    found = docs.filter(F.octet_length("text") >= length).mapInArrow(lambda b: _collect(b, length), _ITEM)
-    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter(F.col("total") > 1)
-    shared = cut(found.join(anchors.select("h", (F.col("c1") == F.col("c2")).alias("pure")), "h"))
-    spans = [shared.filter("pure").select("key", "start", "windows")]
+    """(key, start, windows): runs of repeated windows of the texts in docs(key, text); equal texts may share a key."""
+    found = cut(docs.filter(F.octet_length("text") >= length).mapInArrow(lambda b: _collect(b, length), _ITEM + ", times int"))
+    # Written, so that a join can split an anchor that very many fragments share.
+    anchors = found.groupBy("h").agg(F.sum("times").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter(F.col("total") > 1)
+    anchors = cut(anchors.select("h", (F.col("c1") == F.col("c2")).alias("pure")))
+    shared = cut(found.join(anchors, "h").withColumn("whole", (F.col("windows") * F.col("times"))))
+    release(docs.sparkSession)
+    spans = [shared.filter("pure").select("key", "start", F.col("whole").alias("windows"))]
     mixed = shared.filter(~F.col("pure"))
-    contents = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "windows", "at")).alias("one"))
+    contents = mixed.groupBy("h", "c").agg(F.sum("times").alias("n"), F.min(F.struct("key", "start", "windows", "at")).alias("one"))
     contents = cut(contents)
     again = contents.filter("n > 1").select("h", "c")
-    spans.append(mixed.join(again, ["h", "c"], "left_semi").select("key", "start", "windows"))
+    spans.append(mixed.join(again, ["h", "c"], "left_semi").select("key", "start", F.col("whole").alias("windows")))
     # One fragment of every different content, with its bytes.
     listed = contents.select("one.*", "h", "c", "n").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "at", "h", "c", "n")).alias("items"))
     schema = _ITEM + ", n long, part binary"
@@ -252,9 +258,11 @@ def _index(items: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
         del index
         give_back()
         columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "start", "windows"])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32()), strict=True)], ["key", "start", "windows"])
 
-    return items.groupBy(F.pmod(F.xxhash64("h"), F.lit(int(buckets))).alias("bucket")).applyInArrow(search, "key long, start long, windows int")
+    # Some buckets a task, however few bytes they have on the wire.
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(int(buckets)))).repartition(max(1, -(-buckets // BUCKETS_A_TASK)), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(search, "key binary, start long, windows int")
 
 
 def whole_characters(kept: Column) -> Column:
@@ -276,10 +284,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     base = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = base.withColumn("key_", F.xxhash64("doc_id", "text"))
-    # Rows with one key are one row repeated; each repetition is a place of its own.
-    spans = repeated_spans(keyed.select(F.col("key_").alias("key"), "text"), length)
-    per_doc = spans.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("spans_"))
+    key, listed, out = (unused(c, base.columns) for c in ("key", "spans", "out"))
+    # 128 bits stand for doc_id and text. Rows with one key are one row repeated; each repetition is a place of its own.
+    keyed = base.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))))
+    spans = repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length)
+    per_doc = spans.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias(listed)).withColumnRenamed("key", key)
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def apply(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -298,5 +307,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept.append(data[~covered].tobytes())
         return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed.join(per_doc.withColumnRenamed("key", "key_"), "key_", "left").withColumn("out_", apply(text, F.col("spans_")))
-    return joined.select(*[F.col(c) for c in base.columns], *[F.col(f"out_.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+    joined = keyed.join(per_doc, key, "left").withColumn(out, apply(text, F.col(listed)))
+    return joined.select(*[F.col(c) for c in base.columns], *[F.col(out)[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+
+
+#: Every string of 200 bytes, written as 400 hexadecimal digits, with the number of its places; the bytes that repeated ones cover.
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (
+  SELECT r, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT r, x, unnest(range(greatest(0, len(x) // 2 - {LENGTH - 1}))) AS i FROM d)
+), m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w SEMI JOIN m USING (h)),
+g AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+spans AS (SELECT r, g, min(i) AS low, max(i) + {LENGTH} AS high FROM g GROUP BY r, g),
+gaps AS (
+  SELECT r, high AS low, lead(low) OVER (PARTITION BY r ORDER BY g) AS high FROM spans
+  UNION ALL SELECT r, 0, min(low) FROM spans GROUP BY r
+), kept AS (
+  SELECT d.r, string_agg(substr(x, (2 * coalesce(low, 0) + 1)::BIGINT, (2 * (coalesce(high, len(x) // 2) - coalesce(low, 0)))::BIGINT), '' ORDER BY low) AS x
+  FROM d LEFT JOIN gaps USING (r) GROUP BY d.r
+), sums AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
