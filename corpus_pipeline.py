@@ -23,10 +23,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near duplicates; a doc_id that occurs twice stays once. Rows
-    without a doc_id link with nothing and stay."""
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    """One document (the smallest doc_id) of each group of near duplicates; of several rows with that doc_id the one with the least text
+    stays. Rows without a doc_id link with nothing and stay."""
+    kept = cut(neardup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
+    several = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").groupBy("doc_id")
+    least = several.agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("least")).select("doc_id", "least.*")
+    return once.unionByName(least).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
