@@ -184,3 +184,32 @@ def ena_problems(platform: Column, layout: Column, files: Column, wanted: str, p
             F.when(files < (2 if paired else 1), F.concat(F.lit("files "), files.cast("string"))),
         )
     )
+
+
+def general(value: Column) -> Column:
+    """A number in six significant digits without trailing zeros, in powers of ten below 1e-4 and from 1e6 on; halves round up."""
+    text = F.format_string("%.5e", value)
+    sign, digits = F.regexp_extract(text, "^-", 0), F.regexp_replace(F.regexp_extract(text, r"(\d\.\d+)e", 1), r"\.", "")
+    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    large = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
+    plain = bare(F.when(power >= 0, large).otherwise(small))
+    shifted = F.concat(bare(F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.lit("."), F.substring(digits, F.lit(2), F.lit(5)))), F.lit("e"), F.regexp_extract(text, r"e([+-]\d+)$", 1))
+    return F.concat(sign, F.when((power >= -4) & (power < 6), plain).otherwise(shifted))
+
+
+def pretty_number(text: Column) -> Column:
+    """A number in powers of ten as people write it: whole with thousands from 1 on, else three digits times ten to a raised power."""
+    value, mantissa = text.try_cast("double"), F.regexp_extract(F.format_string("%.2e", text.try_cast("double")), r"^(-?[\d.]+)e", 1)
+    power = F.regexp_extract(F.format_string("%.2e", value), r"e([+-]\d+)$", 1).cast("int").cast("string")
+    raised = F.translate(power, "-0123456789", "⁻⁰¹²³⁴⁵⁶⁷⁸⁹")
+    shown = F.when(F.abs(value) >= 1, F.format_number(value, 0)).otherwise(F.concat(general(mantissa.cast("double")), F.lit(" × 10"), raised))
+    return F.when(F.trim(text).rlike(r"(?i)^-?[\d.]+e[+-]?\d+$") & value.isNotNull(), shown).otherwise(text)
+
+
+def words(text: Column) -> Column:
+    """A table cell for readers: signs spaced, underscores as spaces."""
+    for sign, shown in ((">=", "≥ "), ("<", "< "), ("_", " "), ("  ", " ")):
+        text = F.replace(text, F.lit(sign), F.lit(shown))
+    return F.trim(text)

@@ -163,3 +163,18 @@ def transfer_strata(truth_strata: DataFrame, summary: DataFrame, pairs: DataFram
     ratio = (F.col("real_disagreement") + 1e-6) / (F.col("sim_disagreement") + 1e-6)
     ranked = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("strata_compared"), F.median(ratio).alias("median_ratio_real_over_sim"))
     return joined, ranked.join(proxy, by, "left").join(moved, by, "left")
+
+
+def truth_free(placements: DataFrame, tools: list[str], annotations: DataFrame, sets: list[str], points: DataFrame | None = None, long_reads: bool = False, truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(summary, observables) of one dataset, without need of an origin: majority placements, the strata of placed reads, disagreement over all
+    reads and by stratum, and what the tools report. Reads without a consensus count in the whole only. With truth, the consensus is
+    held against it too."""
+    from . import strata
+
+    majority = consensus(placements, tools).withColumn("read_key", F.concat_ws(":", *KEY))
+    if truth is not None:
+        majority = with_truth(majority, truth)
+    marked = strata.annotate(majority.filter("has_consensus"), annotations, sets, "read_key", points, long_reads)
+    columns = strata.stratum_columns(marked.columns, sets)
+    whole = marked.unionByName(majority.filter(~F.col("has_consensus")), allowMissingColumns=True)
+    return consensus_summary(whole, tools, columns), observables(placements, ["aligner"])

@@ -11,19 +11,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ordered import ROWS_A_RANGE
 from ..functions.scalars import overlap
 
 BIN = 4096
 
 
-def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("label", "contig")) -> DataFrame:
+def overlap_runs(table: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], touching: bool, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """table(keys, start0, end0, ...) plus run: the start of the run of overlapping (or touching) intervals that a row belongs to. Rows are
+    dealt out by ranges of (keys, order), where `order` begins with start0; the furthest end and the last run's start of the ranges
+    before are carried into each, so no contig is one task."""
+    held = cut(table)
+    ranges = max(1, -(-held.count() // rows_a_range))
+    columns = [F.col(c) for c in (*keys, *order)]
+    ranged = cut(held.repartitionByRange(ranges, *columns).withColumn("_range", F.spark_partition_id()))
+    inside = W.partitionBy("_range", *keys).orderBy(*order)
+    former = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value, name: str) -> DataFrame:
+        """(_range, keys, name): the largest value over the ranges before, one row for each range and key."""
+        return rows.groupBy("_range", *keys).agg(F.max(value).alias("_most")).select("_range", *keys, F.max("_most").over(former).alias(name))
+
+    near = ranged.withColumn("_own", F.max("end0").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    reach = F.greatest("_own", "_before")
+    apart = (F.col("start0") > reach) if touching else (F.col("start0") >= reach)
+    met = near.join(carried(ranged, F.col("end0"), "_before"), ["_range", *keys])
+    marked = cut(met.withColumn("_fresh", F.when(reach.isNull() | apart, F.col("start0"))).drop("_own", "_before"))
+    begun = marked.withColumn("_here", F.max("_fresh").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = begun.join(carried(marked, F.col("_fresh"), "_earlier"), ["_range", *keys])
+    return runs.select(*table.columns, F.coalesce("_here", "_earlier").alias("run"))
+
+
+def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("label", "contig"), rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(keys, start0, end0): touching and overlapping intervals of one key joined."""
-    order = W.partitionBy(*keys).orderBy("start0", "end0")
-    reach = F.max("end0").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start0") > reach), 1).otherwise(0)
-    marked = intervals.select(*keys, "start0", "end0").withColumn("fresh", fresh)
-    blocks = marked.withColumn("block", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return blocks.groupBy(*keys, "block").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("block")
+    once = intervals.select(*keys, "start0", "end0").distinct()
+    runs = overlap_runs(once, keys, ("start0", "end0"), touching=True, rows_a_range=rows_a_range)
+    return runs.groupBy(*keys, "run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("run")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:

@@ -6,12 +6,13 @@ their alignments into such cells, so only cells are shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -268,7 +269,7 @@ def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25)
     scalars = side(real, "real").join(side(sim, "simulated"), "metric")
     of_reads = fragment_median if kind == "short" else read_rates
     more = [of_reads(cells).unpivot([], ["fragment_median"] if kind == "short" else ["mean_error", "read_n50"], "metric", name) for cells, name in ((real, "real"), (sim, "simulated"))]
-    # As in the reference, a figure that a side lacks makes no row: profiles of unpaired reads have no fragments.
+    # A figure that a side lacks makes no row: profiles of unpaired reads have no fragments.
     scalars = scalars.unionByName(more[0].join(more[1], "metric").filter("real is not null and simulated is not null"))
     if kind != "short":
         scalars = scalars.unionByName(long_run_factors(real, sim))
@@ -296,8 +297,15 @@ def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25)
     return out
 
 
-def save_profile(cells: DataFrame, path: str) -> None:
-    cells.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def save_profile(cells: DataFrame, path: str, facts: dict | None = None) -> None:
+    """Cells as a table, and beside them one JSON row of facts about the profile (its kind, its source)."""
+    cells.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/cells")
+    cells.sparkSession.createDataFrame([(json.dumps(facts or {}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
 
 
-__all__ = ["compare", "count_cells", "cycle_errors", "cycle_qualities", "first_of_mate", "fragment_median", "fragments", "long_run_factors", "quality_errors", "rates", "read_rates", "refine", "run_factors", "save_profile", "usable", "walk"]
+def load_profile(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The cells and the facts of a saved profile."""
+    return spark.read.schema(CELLS).parquet(f"{path}/cells"), json.loads(spark.read.text(f"{path}/facts").first()[0])
+
+
+__all__ = ["compare", "count_cells", "cycle_errors", "cycle_qualities", "first_of_mate", "fragment_median", "fragments", "load_profile", "long_run_factors", "quality_errors", "rates", "read_rates", "refine", "run_factors", "save_profile", "usable", "walk"]

@@ -197,3 +197,21 @@ def divergence_series(counts: DataFrame, by: list[str]) -> DataFrame:
     """Rows of groups that were run at more than one divergence."""
     several = counts.groupBy(*by).agg(F.countDistinct("divergence").alias("levels")).filter("levels > 1")
     return counts.join(several.drop("levels"), by, "left_semi")
+
+
+def resources(benchmarks: DataFrame, platforms: DataFrame) -> DataFrame:
+    """Median seconds and largest memory by platform and group of the mapping steps whose target is a dataset of platforms(target, platform)."""
+    mapped = benchmarks.filter("step = 'map'").join(platforms, "target").filter("platform is not null")
+    return mapped.groupBy("platform", "group").agg(F.median("seconds").alias("seconds"), F.max("max_rss").alias("max_rss"))
+
+
+def dataset_pairs(simulated: DataFrame, real: DataFrame, on: list[str]) -> DataFrame:
+    """(sim_id, real_id) of simulated and real datasets that agree in `on`, a genome and a platform."""
+    return simulated.join(real, on).select("sim_id", "real_id")
+
+
+def full_grid(counted: DataFrame, rows: DataFrame, columns: DataFrame, value: str) -> DataFrame:
+    """Every row of `rows` with every row of `columns`, two short name lists, and `value` of counted, 0 where nothing was counted."""
+    names = [*rows.columns, *columns.columns]
+    every = rows.withColumn("_all", F.lit(1)).join(F.broadcast(columns.withColumn("_all", F.lit(1))), "_all").drop("_all")
+    return every.join(counted, names, "left").select(*names, F.coalesce(value, F.lit(0)).alias(value))

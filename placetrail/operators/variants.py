@@ -34,13 +34,12 @@ def haplotype_variants(genotypes: DataFrame) -> DataFrame:
 
 def keep_apart(variants: DataFrame) -> DataFrame:
     """variants plus kept: false where a variant starts before the last kept one of its haplotype ends, in (start0, ref_len, alt)
-    order. Overlapping variants form runs; runs are split by a window, so each fold sees one run, however long a contig is."""
-    from pyspark.sql import Window as W
+    order. Overlapping variants form runs; each fold sees one run, however long a contig is."""
+    from .intervals import overlap_runs
 
-    order = W.partitionBy("contig", "hap").orderBy("start0", "ref_len", "alt")
-    reach = F.max(F.col("start0") + F.col("ref_len")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start0") >= reach), 1).otherwise(0)
-    runs = variants.withColumn("run", F.sum(fresh).over(order)).groupBy("contig", "hap", "run").agg(F.array_sort(F.collect_list(F.struct("start0", "ref_len", "alt"))).alias("own"))
+    spans = variants.select("contig", "hap", F.col("start0").cast("long").alias("start0"), (F.col("start0") + F.col("ref_len")).cast("long").alias("end0"), "ref_len", "alt")
+    marked = overlap_runs(spans, ("contig", "hap"), ("start0", "ref_len", "alt"), touching=False)
+    runs = marked.groupBy("contig", "hap", "run").agg(F.array_sort(F.collect_list(F.struct("start0", "ref_len", "alt"))).alias("own"))
 
     def step(state: Column, v: Column) -> Column:
         good = v["start0"] >= state["end0"]

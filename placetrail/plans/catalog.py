@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.lineage import shared_folder
 from ..functions import sequence as sq
 from ..operators import consensus as co
 from ..operators import intervals as iv
 from ..operators import names as nm
 from ..operators import profile as pf
-from ..operators import qc, scoring, simulate, strata
+from ..operators import qc, scoring, strata
 from ..operators import statistics as st
 from ..operators import variants as va
 from ..sources import annotations as an
 from ..sources import reads as rd
 from ..sources import tables as tb
+from . import config
 from . import fixtures as fx
 from .fixtures import TOOLS, oracle, rounded, table
 
@@ -125,7 +128,7 @@ def calibration(spark, sf_dir):
     return scoring.calibration(scoring.mapq_counts(_outcomes(spark, sf_dir), ["aligner"]), ["aligner"])
 
 
-@query("agg09_undiverged", "SELECT l_returnflag AS divergence, 0 AS x, count(*) AS n FROM lineitem WHERE false GROUP BY ALL UNION ALL SELECT CASE WHEN o_custkey % 3 = 0 THEN '0' ELSE '0.05' END, o_custkey % 7, count(*) FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL")
+@query("agg09_undiverged", "SELECT '0' AS divergence, o_custkey % 7 AS x, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL")
 def undiverged(spark, sf_dir):
     """AGG-09: only the datasets without divergence are pooled."""
     rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 3 == 0, "0").otherwise("0.05").alias("divergence"), (F.col("o_custkey") % 7).alias("x"))
@@ -420,7 +423,7 @@ def dataset_pairs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     sim = orders.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("sim_id"), "o_custkey", "o_orderpriority")
     real = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("real_id"), "o_custkey", "o_orderpriority")
-    return sim.join(real, ["o_custkey", "o_orderpriority"]).select("sim_id", "real_id")
+    return scoring.dataset_pairs(sim, real, ["o_custkey", "o_orderpriority"])
 
 
 @query("joi15_grid", oracle("SELECT a.aligner, c.contig, count(s.qname) AS n FROM (SELECT unnest(['t0', 't1', 't2', 't3', 't9']) AS aligner) a CROSS JOIN (SELECT DISTINCT contig FROM truth) c LEFT JOIN scored s ON s.aligner = a.aligner AND s.contig = c.contig AND s.outcome = 'misplaced' GROUP BY ALL", "scored", "truth"))
@@ -429,8 +432,7 @@ def grid(spark, sf_dir):
     tools = spark.createDataFrame([(t,) for t in [*TOOLS, "t9"]], "aligner string")
     origin = fx.truth(spark, sf_dir).select("qname", "mate", "contig")
     counted = _outcomes(spark, sf_dir).filter("outcome = 'misplaced'").join(origin, ["qname", "mate"]).groupBy("aligner", "contig").agg(F.count(F.lit(1)).alias("k"))
-    cells = F.broadcast(tools).crossJoin(F.broadcast(origin.select("contig").distinct()))
-    return cells.join(counted, ["aligner", "contig"], "left").select("aligner", "contig", F.coalesce("k", F.lit(0)).alias("n"))
+    return scoring.full_grid(counted.withColumnRenamed("k", "n"), tools, origin.select("contig").distinct(), "n")
 
 
 # Statistics ----------------------------------------------------------------------------------------------------------
@@ -611,9 +613,9 @@ def homopolymers(spark, sf_dir):
     return sq.homopolymer_runs(fx.bases(spark, sf_dir), "rid", "seq")
 
 
-@query("sca24_25_quality", "SELECT page_id, round(-10 * log10(list_avg([power(10, -(ascii(c) - 33)::DOUBLE / 10) for c in string_split(url, '')])), 6) AS q, false AS unknown FROM pages WHERE length(url) > 0")
+@query("sca24_25_quality", "SELECT page_id, round(-10 * log10(list_avg([power(10, -(ascii(c) - 33)::DOUBLE / 10) for c in string_split(url, '')])), 6) AS q, page_id % 7 = 0 AS unknown FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '!!!!' ELSE url END AS url FROM pages WHERE length(url) > 0)")
 def quality(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.length("url") > 0)
+    pages = table(spark, sf_dir, "pages").filter(F.length("url") > 0).withColumn("url", F.when(F.col("page_id") % 7 == 0, "!!!!").otherwise(F.col("url")))
     return pages.select("page_id", sq.mean_quality(F.col("url")).alias("q"), sq.quality_unknown(F.col("url")).alias("unknown"))
 
 
@@ -622,9 +624,12 @@ def cigar(spark, sf_dir):
     return sq.cigar_ops(fx.cigars(spark, sf_dir), "rid")
 
 
-@query("sca27_usable", oracle("SELECT aligner, qname, mate FROM placements WHERE mapped AND mapq >= 20", "placements"))
+@query("sca27_usable", oracle("SELECT aligner, qname, mate FROM placements WHERE mapped AND mapq >= 20 AND clipped <> 3 AND NOT split", "placements"))
 def usable(spark, sf_dir):
-    return _placements(spark, sf_dir).filter("mapped and mapq >= 20").select("aligner", "qname", "mate")
+    """SCA-27: primary mapped alignments with bases and a MAPQ of 20 or more."""
+    flag = F.when(~F.col("mapped"), 4).when(F.col("split"), 0x800).otherwise(0)
+    rows = _placements(spark, sf_dir).withColumns({"flag": flag, "seq": F.when(F.col("clipped") == 3, "*").otherwise("ACGT")})
+    return pf.usable(rows).select("aligner", "qname", "mate")
 
 
 @query("sca28_30_text", f"SELECT p_partkey, CASE WHEN w_lo > 0.3::DOUBLE THEN 'above' WHEN w_hi <= 0.3::DOUBLE THEN 'within' ELSE 'open' END AS verdict, CASE WHEN n > 0 THEN format('{{:.2f}} [{{:.2f}}, {{:.2f}}]', k::DOUBLE / n * 1000, w_lo * 1000, w_hi * 1000) ELSE 'n/a' END AS per_thousand, CASE WHEN n > 0 THEN round(round(k::DOUBLE / n * 1000, 2), 6) END AS parsed, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_matches(p_brand, '^-?\\d+(\\.\\d+)?%?$') AS number FROM (SELECT p_partkey, p_name, p_brand, k, n, {WILSON.format(k='k', n='n', out='w').replace(', 6)', ', 15)')} FROM (SELECT *, p_partkey % 40 AS n, (p_partkey * 7) % (p_partkey % 40 + 1) AS k FROM part))")
@@ -637,10 +642,16 @@ def text_scalars(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sc.verdict(low, high, F.lit(0.3)).alias("verdict"), shown.alias("per_thousand"), sc.parse_rate(shown)["value"].alias("parsed"), sc.slug(F.col("p_name")).alias("slug"), sc.is_number(F.col("p_brand")).alias("number"))
 
 
-@query("sca35_hash_swap")
+CRC = """SELECT contig, pos, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) % 2 = 1 AS swapped
+FROM (SELECT DISTINCT contig, pos, concat(contig, ':', pos) AS s FROM points) p, (
+  WITH RECURSIVE steps AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8)
+  SELECT list(c ORDER BY i) AS l FROM steps WHERE k = 8) bytes"""
+
+
+@query("sca35_hash_swap", oracle(CRC, "points"))
 def hash_swap(spark, sf_dir):
-    """SCA-35; the other engine has no crc32."""
-    return fx.points(spark, sf_dir).select("contig", "pos", sc.hash_swap(F.col("contig"), F.col("pos")).alias("swapped"))
+    """SCA-35: the parity of a place's crc32."""
+    return fx.points(spark, sf_dir).select("contig", "pos", sc.hash_swap(F.col("contig"), F.col("pos")).alias("swapped")).distinct()
 
 
 @query("sca37_key_values", "SELECT event_id, event_type AS a, (user_id % 7)::VARCHAR AS b FROM events")
@@ -922,13 +933,18 @@ def learn_short(spark, sf_dir):
     return out.select(F.col("aligned").cast("long").alias("aligned"), "mismatch_rate", "ins_rate", "del_rate")
 
 
-@query("pro01_cycles")
+SHORT_BASES = """SELECT rev, qualities, wrong, CASE WHEN rev THEN size - 1 - p ELSE p END AS cycle, size, ascii(substr(qual, p::INT + 1, 1)) - 33 AS q, kind = 1 AND p = o_orderkey % 90 + 1 AS bad FROM (
+  SELECT *, unnest(range(size)) AS p, 0 AS qualities, 0 AS wrong FROM (SELECT o_orderkey, o_orderkey % 2 <> 0 AS rev, CASE WHEN o_orderkey % 40 = 0 THEN 1 WHEN o_orderkey % 50 = 1 THEN 2 ELSE 0 END AS kind,
+    CASE WHEN o_orderkey % 40 <> 0 AND o_orderkey % 50 = 1 THEN 101 ELSE 100 END AS size, rpad(translate(o_orderkey::VARCHAR, '0123456789', '56789:;<=>'), 101, 'I') AS qual FROM orders)) WHERE kind <> 2 OR p <> 50"""
+
+
+@query("pro01_cycles", f"SELECT 0 AS mate, cycle, count(*) AS bases, round(count(*) FILTER (bad)::DOUBLE / count(*), 6) AS rate FROM ({SHORT_BASES}) GROUP BY cycle")
 def cycle_errors(spark, sf_dir):
     """PRO-01: error rate of every cycle."""
     return pf.cycle_errors(pf.count_cells(_aligned(spark, sf_dir), "short"))
 
 
-@query("pro01_quality_errors")
+@query("pro01_quality_errors", f"SELECT 0 AS mate, quarter, q AS quality, round((wrong + 500 * sum(wrong) OVER (PARTITION BY q)::DOUBLE / greatest(sum(bases) OVER (PARTITION BY q), 1)) / (bases + 500), 6) AS rate FROM (SELECT cycle * 4 // size AS quarter, q, count(*) AS bases, count(*) FILTER (bad) AS wrong FROM ({SHORT_BASES}) GROUP BY ALL)")
 def quality_errors(spark, sf_dir):
     """PRO-01: smoothed error rates by quarter of the read and quality."""
     return pf.quality_errors(pf.count_cells(_aligned(spark, sf_dir), "short"))
@@ -979,52 +995,140 @@ def _genome(spark, sf_dir):
     return rd.fasta_chunks(heads.unionByName(body.select("at", "value")), "at")
 
 
-def _windows(spark, sf_dir, size: int):
-    chunks = _genome(spark, sf_dir)
-    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.lit(size).alias("size"))
-    return simulate.draw_windows(asked, rd.contig_lengths(chunks), chunks, seed=26)
+# Configuration -------------------------------------------------------------------------------------------------------
 
 
-@query("sim01_windows")
-def windows(spark, sf_dir):
-    """SIM-01: a window without N for every read."""
-    return _windows(spark, sf_dir, 400).select("read_id", "contig", "start0", "end0", F.length("ref").alias("bases"))
+@query("cfg01_dataset_grid", "SELECT concat('sim-', n_name, '-', r_name, '-d', d) AS dataset, n_name AS genome, r_name AS platform, d AS divergence FROM nation, region, (SELECT unnest(['0', '0.01', '0.05']) AS d)")
+def dataset_grid(spark, sf_dir):
+    """CFG-01: genomes x platforms x divergence levels."""
+    genomes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("genome"))
+    platforms = table(spark, sf_dir, "region").select(F.col("r_name").alias("platform"))
+    return config.dataset_grid(genomes, platforms, ["0", "0.01", "0.05"])
 
 
-@query("sim02_04_short_reads")
-def short_reads(spark, sf_dir):
-    """SIM-02..04, SIM-06: two mates of every fragment, with divergence and errors."""
-    out = simulate.simulate_short(_windows(spark, sf_dir, 400), 150, (0.004, 0.0005, 0.0005), 26, "sim", divergence=0.01)
-    return out.select("qname", "mate", "contig", "start0", "end0", "strand", "length", "n_div", "n_err")
+# Sinks and stores, written and read again ---------------------------------------------------------------------------
 
 
-@query("sim05_long_reads")
-def long_reads(spark, sf_dir):
-    """SIM-05: long reads."""
-    return simulate.simulate_long(_windows(spark, sf_dir, 1500), (0.01, 0.01, 0.01), 26, "sim").select("qname", "contig", "start0", "end0", "strand", "length", "n_err")
+def _folder(spark):
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-@query("sim07_two_copies")
-def two_copies(spark, sf_dir):
-    """SIM-07: calibration of the exact posterior, one read an event."""
-    return simulate.two_copy_experiment(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
+@query("snk01_02_tables", "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, k FROM orders, (SELECT unnest(['parquet', 'tsv']) AS k)")
+def written_tables(spark, sf_dir):
+    """SNK-01, SNK-02, SRC-15: a table written as Parquet and as TSV, both read again and gathered."""
+    rows, at = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), _folder(spark)
+    tb.write_table(rows, f"{at}/p")
+    tb.write_tsv(rows, f"{at}/t")
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    return tb.gather([spark.read.parquet(f"{at}/p").withColumn("k", F.lit("parquet")), tb.read_tsv(spark, [f"{at}/t"], schema).withColumn("k", F.lit("tsv"))])
 
 
-@query("sim08_stratified_windows")
-def stratified(spark, sf_dir):
-    """SIM-08: one window in each segment of every contig."""
-    lengths = rd.contig_lengths(_genome(spark, sf_dir))
-    return simulate.stratified_windows(lengths, 20, 500, 26)
+@query("snk03_src14_strata_folder", oracle("SELECT set_name, contig, start0, end0, label FROM annot", "annot"))
+def strata_folder(spark, sf_dir):
+    """SNK-03, SRC-14: every set written as BED4 and the folder read again."""
+    rows, at = fx.annotations(spark, sf_dir), _folder(spark)
+    for name in ("ptype", "conf"):
+        an.write_bed(rows.filter(F.col("set_name") == name), f"{at}/{name}.bed")
+    return an.strata_folder(spark, at)
 
 
-# Configuration -------------------------------------------------------------------------------------------------------
+@query("snk04_src01_fastq", oracle("SELECT qname, seq, repeat('I', length(seq)) AS qual FROM bases", "bases"))
+def fastq(spark, sf_dir):
+    """SNK-04, SRC-01: reads written as gzipped FASTQ and read again."""
+    rows, at = fx.bases(spark, sf_dir).withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), _folder(spark)
+    rd.write_fastq(rows, at)
+    return rd.fastq(spark, at).select("qname", "seq", "qual")
 
 
-@query("cfg01_dataset_grid", "SELECT concat('sim-', n_name, '-', r_name, '-d', d) AS dataset, n_name AS genome, r_name AS platform, d AS divergence FROM nation, region, (SELECT unnest(['0', '0.01', '0.05']) AS d)")
-def dataset_grid(spark, sf_dir):
-    """CFG-01: genomes x platforms x divergence levels."""
-    genomes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("genome"))
-    platforms = table(spark, sf_dir, "region").select(F.col("r_name").alias("platform"))
-    levels = spark.createDataFrame([("0",), ("0.01",), ("0.05",)], "divergence string")
-    grid = F.broadcast(genomes).crossJoin(F.broadcast(platforms)).crossJoin(F.broadcast(levels))
-    return grid.select(F.concat_ws("-", F.lit("sim"), "genome", "platform", F.concat(F.lit("d"), "divergence")).alias("dataset"), "genome", "platform", "divergence")
+VCF_LINE = "concat_ws('\t', CAST(user_id % 6 AS STRING), CAST((event_id * 1237) % 100000 + 1 AS STRING), '.', CASE WHEN event_id % 3 = 0 THEN 'ACG' ELSE 'A' END, 'T,GG', '.', '.', '.', 'GT', CASE WHEN event_id % 2 = 0 THEN '0|1' ELSE '1/1' END)"
+
+
+def _vcf(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id AS at", f"CASE WHEN event_id % 50 = 0 THEN '#comment' WHEN event_id % 50 = 1 THEN '##contig=<ID=1>' ELSE {VCF_LINE} END AS value")
+
+
+@query("src10_vcf", "SELECT (user_id % 6)::VARCHAR AS contig, (event_id * 1237) % 100000 + 1 AS pos1, CASE WHEN event_id % 3 = 0 THEN 'ACG' ELSE 'A' END AS ref, 'T,GG' AS alts, CASE WHEN event_id % 2 = 0 THEN '0|1' ELSE '1/1' END AS genotype FROM events WHERE event_id % 50 > 1")
+def vcf(spark, sf_dir):
+    """SRC-10: fields of VCF lines."""
+    return an.vcf(_vcf(spark, sf_dir).select("value"))
+
+
+@query("snk05_prepared_vcf", "SELECT event_id AS at, CASE WHEN event_id % 50 = 0 THEN '#comment' WHEN user_id % 6 = 5 THEN NULL ELSE concat('chr', user_id % 6, chr(9), (event_id * 1237) % 100000 + 1, chr(9), '.') END AS front FROM events WHERE event_id % 50 <> 1")
+def prepared_vcf(spark, sf_dir):
+    """SNK-05: VCF lines with the names of our contigs."""
+    names = nm.name_table(spark.createDataFrame([(f"chr{i}",) for i in range(5)], "name string"))
+    lengths = spark.createDataFrame([(f"chr{i}", 100_000) for i in range(5)], "contig string, length long")
+    return an.prepare_vcf(_vcf(spark, sf_dir), "at", names, lengths).select("at", F.array_join(F.slice(F.split("value", "\t"), 1, 3), "\t").alias("front"))
+
+
+@query("snk05_vcf_stats", "SELECT count(*) FILTER (user_id % 6 <> 5) AS variants_kept, count(*) FILTER (user_id % 6 = 5) AS variants_on_other_contigs FROM events WHERE event_id % 50 > 1")
+def vcf_stats(spark, sf_dir):
+    """SNK-05: how many variants were kept."""
+    names = nm.name_table(spark.createDataFrame([(f"chr{i}",) for i in range(5)], "name string"))
+    lengths = spark.createDataFrame([(f"chr{i}", 100_000) for i in range(5)], "contig string, length long")
+    return an.vcf_stats(an.prepare_vcf(_vcf(spark, sf_dir), "at", names, lengths))
+
+
+LETTERS = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+@query("src11_12_bases", f"SELECT lang, o_orderkey AS rid, substr(own, (o_orderkey * 31) % 9000 + 1, 60) AS ref FROM (SELECT lang, string_agg({LETTERS}, '' ORDER BY doc_id) AS own FROM documents WHERE lang IN ('de', 'en') GROUP BY lang) g JOIN orders ON lang = CASE WHEN o_orderkey % 2 = 0 THEN 'de' ELSE 'en' END")
+def reference_bases(spark, sf_dir):
+    """SRC-11, SRC-12: the bases of intervals, from the chunks of chosen contigs."""
+    wanted = spark.createDataFrame([("de",), ("en",)], "name string")
+    chunks = rd.select_contigs(_genome(spark, sf_dir), wanted, wanted.select("name", F.col("name").alias("canonical")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), F.when(F.col("o_orderkey") % 2 == 0, "de").otherwise("en").alias("contig"), ((F.col("o_orderkey") * 31) % 9000).alias("start0"))
+    return rd.attach_reference(rows.withColumn("end0", F.col("start0") + 60), chunks, "rid").select(F.col("contig").alias("lang"), "rid", "ref")
+
+
+@query("src18_profile_store", ORACLES["pro01_mismatches"])
+def stored_profile(spark, sf_dir):
+    """SRC-18: a profile saved, loaded and turned into rates."""
+    at = _folder(spark)
+    pf.save_profile(pf.count_cells(_aligned(spark, sf_dir), "short"), at, {"kind": "short"})
+    cells, facts = pf.load_profile(spark, at)
+    out = pf.rates(cells, facts["kind"])
+    return out.select(F.col("aligned").cast("long").alias("aligned"), "mismatch_rate", "ins_rate", "del_rate")
+
+
+# Text, resources and the truth-free bundle --------------------------------------------------------------------------
+
+
+@query("sca36_general", "SELECT l_orderkey, l_linenumber, printf('%g', sqrt(l_extendedprice) / power(10, l_linenumber * 2 - 3)) AS shown FROM lineitem")
+def general(spark, sf_dir):
+    """SCA-36: numbers in six significant digits."""
+    value = F.sqrt("l_extendedprice") / F.pow(F.lit(10.0), F.col("l_linenumber") * 2 - 3)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sc.general(value).alias("shown"))
+
+
+@query("sca30_words", "SELECT p_partkey, trim(replace(replace(replace(replace(concat(p_name, '_of >=', p_size, ' <5'), '>=', '≥ '), '<', '< '), '_', ' '), '  ', ' ')) AS shown FROM part")
+def shown_words(spark, sf_dir):
+    """SCA-30: table cells for readers."""
+    return table(spark, sf_dir, "part").select("p_partkey", sc.words(F.concat("p_name", F.lit("_of >="), "p_size", F.lit(" <5"))).alias("shown"))
+
+
+@query("joi14_resources", "SELECT n_nationkey AS platform, l_linestatus AS \"group\", median(l_quantity) AS seconds, max(l_extendedprice) AS max_rss FROM lineitem JOIN (SELECT s_suppkey AS target, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END AS n_nationkey FROM supplier) ON target = l_suppkey WHERE l_returnflag = 'A' AND n_nationkey IS NOT NULL GROUP BY ALL")
+def resources(spark, sf_dir):
+    """JOI-14: time and memory of the mapping steps of known datasets."""
+    bench = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "A", "map").otherwise("sort").alias("step"), F.col("l_suppkey").alias("target"), F.col("l_linestatus").alias("group"), F.col("l_quantity").alias("seconds"), F.col("l_extendedprice").alias("max_rss"))
+    platforms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey")).alias("platform"))
+    return scoring.resources(bench, platforms)
+
+
+PLACED = f"""SELECT s.*, c.label, CASE WHEN coalesce(share, 0) <= 0 THEN 'none' WHEN share < 0.5 THEN 'partial_<50%' WHEN share < 0.95 THEN 'mostly_50-95%' ELSE 'entire_>=95%' END AS cover,
+    CASE WHEN coalesce(share, 0) >= 0.5 THEN 'confident' ELSE 'outside_confident' END AS conf
+  FROM ({STATUSES}) s LEFT JOIN (SELECT m.qname, m.mate, 'confident' AS label, sum(least(m.end0, w.end0) - greatest(m.start0, w.start0))::DOUBLE / any_value(m.end0 - m.start0) AS share
+    FROM majority m JOIN merged w ON w.set_name = 'conf' AND w.contig = m.contig AND w.start0 < m.end0 AND m.start0 < w.end0 WHERE m.has_consensus GROUP BY m.qname, m.mate) c ON c.qname = s.qname AND c.mate = s.mate"""
+
+
+@query(
+    "maj02_truth_free",
+    oracle(
+        " UNION ALL ".join(f"SELECT aligner, '{n}' AS stratum_set, {e} AS stratum, {SUMMARY} FROM ({PLACED}) WHERE {w} GROUP BY ALL" for n, e, w in (("all", "'all'", "true"), ("conf", "conf", "has_consensus"), ("conf_cover", "cover", "has_consensus"))),
+        "majority",
+        "merged",
+    ),
+)
+def truth_free(spark, sf_dir):
+    """MAJ-02: disagreement with the majority over all reads and by the strata of its placements."""
+    return co.truth_free(_placements(spark, sf_dir), TOOLS, fx.annotations(spark, sf_dir).filter("set_name = 'conf'"), ["conf"])[0]

@@ -82,9 +82,9 @@ def alias_groups(text: DataFrame, ncbi: bool) -> DataFrame:
 
 
 def strata_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Every BED of a folder; a file's name is its set's name."""
-    table = spark.read.csv(path, sep="\t", schema="contig string, start0 long, end0 long, label string")
-    return table.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.bed(\.gz)?$", 1).alias("set_name"), "contig", "start0", "end0", "label")
+    """Every BED of a folder, a file or a folder of parts; its name is its set's name."""
+    table = spark.read.option("recursiveFileLookup", True).csv(path, sep="\t", schema="contig string, start0 long, end0 long, label string")
+    return table.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)\.bed(?:\.gz)?(?:/[^/]*)?$", 1).alias("set_name"), "contig", "start0", "end0", "label")
 
 
 def vcf(text: DataFrame, sample: int = 0) -> DataFrame:
@@ -93,6 +93,23 @@ def vcf(text: DataFrame, sample: int = 0) -> DataFrame:
     return rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("long").alias("pos1"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alts"), F.get("f", F.lit(9 + sample)).alias("genotype"))
 
 
+def prepare_vcf(text: DataFrame, order: str, names: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(order, value): VCF lines with canonical contig names. Contig headers go, other headers stay; a record of another contig has a null
+    value, and one past its contig's end fails, as the file then belongs to another assembly."""
+    rows = text.filter(~F.col("value").startswith("##contig"))
+    parts = F.split("value", "\t", 3)
+    named = rows.withColumn("name", F.when(~F.col("value").startswith("#"), parts[0])).join(F.broadcast(names), "name", "left")
+    sized = named.join(F.broadcast(lengths.select(F.col("contig").alias("canonical"), "length")), "canonical", "left")
+    beyond = F.concat(F.lit("variant at "), "name", F.lit(":"), parts[1], F.lit(" lies beyond the end of "), "canonical")
+    record = F.when(F.col("canonical").isNull(), None).when(parts[1].cast("long") > F.col("length"), F.raise_error(beyond)).otherwise(F.concat_ws("\t", "canonical", parts[1], F.get(parts, F.lit(2))))
+    return sized.select(order, F.when(F.col("name").isNull(), F.col("value")).otherwise(record).alias("value"))
+
+
+def vcf_stats(prepared: DataFrame) -> DataFrame:
+    """One row: variants_kept and variants_on_other_contigs of a prepared VCF."""
+    return prepared.agg(F.count_if(~F.col("value").startswith("#")).alias("variants_kept"), F.count_if(F.col("value").isNull()).alias("variants_on_other_contigs"))
+
+
 def write_bed(records: DataFrame, path: str) -> None:
     """BED4 in order of place: range-partitioned, so the files follow each other."""
     records.select("contig", "start0", "end0", "label").orderBy("contig", "start0", "end0").write.mode("overwrite").csv(path, sep="\t")

@@ -59,7 +59,8 @@ def md5_of(files: DataFrame) -> DataFrame:
 
 
 def download(url: str, target: str, md5: str | None = None) -> dict:
-    """Copy or fetch a file, check its MD5 and return its provenance; a file with the right MD5 is not fetched again."""
+    """Copy or fetch a file, check its MD5 and return its provenance; a file with the right MD5 is not fetched again,
+    and a download that broke off goes on where it stopped."""
 
     def digest() -> str:
         with open(target, "rb") as file:
@@ -67,8 +68,12 @@ def download(url: str, target: str, md5: str | None = None) -> dict:
 
     if not (md5 and Path(target).exists() and digest() == md5):
         if "://" in url:
-            with urllib.request.urlopen(url, timeout=60) as source, open(target, "wb") as file:
+            part = Path(f"{target}.part")
+            have = part.stat().st_size if part.exists() else 0
+            asked = urllib.request.Request(url, headers={"Range": f"bytes={have}-"} if have else {})
+            with urllib.request.urlopen(asked, timeout=60) as source, open(part, "ab" if source.status == 206 else "wb") as file:
                 shutil.copyfileobj(source, file)
+            part.replace(target)
         else:
             shutil.copyfile(url, target)
     found = digest()

@@ -1,5 +1,6 @@
 """Edge cases of single operators with known results."""
 
+import copy
 import gzip
 import itertools
 import re
@@ -12,10 +13,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from placetrail.functions import scalars
 from placetrail.functions import scalars as sc
 from placetrail.functions import sequence as sq
-from placetrail.operators import consensus, intervals, names, profile, qc, scoring, simulate, statistics, strata, variants
-from placetrail.plans import catalog, digest
+from placetrail.operators import consensus, intervals, names, profile, qc, scoring, statistics, strata, variants
+from placetrail.plans import catalog, config, digest
 from placetrail.sources import annotations, reads, tables
 from placetrail.streaming import counts
 
@@ -132,7 +134,7 @@ def test_long_read_filter_and_halves(spark, tmp_path):
         for name, n, q in records:
             file.write(f"@{name} more\n{'A' * n}\n+\n{q * n}\n")
     reads.register(spark)
-    got = spark.read.format("fastq").load(str(path))
+    got = reads.fastq(spark, str(path))
     judged = qc.judge_reads(got, 1000, 7.0)
     assert {r.qname: r.reason for r in judged.collect()} == {"a": None, "b": "low_quality", "c": None, "d": "too_short"}
     metrics = {(r.step, r.metric): r.value for r in qc.filter_accounting(judged).collect()}
@@ -178,11 +180,6 @@ def test_apply_variants():
     assert (seq, n) == ("ATTGGGT", 2) and places == [100, 101, 101, 102, 103, 106, 107]
 
 
-def test_edits_keep_positions():
-    codes, places = simulate.apply_edits(np.array([0, 1, 2, 3, 0, 1]), np.arange(100, 106), [(1, 2)], [(4, np.array([3, 3]))])
-    assert codes.tolist() == [0, 3, 0, 3, 3, 1] and places.tolist() == [100, 103, 104, 104, 104, 105]
-
-
 @pytest.fixture(scope="module")
 def genome(spark):
     rng = np.random.default_rng(3)
@@ -191,37 +188,30 @@ def genome(spark):
     return seq, reads.fasta_chunks(spark.createDataFrame(lines, "at long, value string"), "at", 512)
 
 
-def test_simulated_reads_come_from_their_origin(spark, genome):
+def test_reference_bases_of_intervals(spark, genome):
+    seq, chunks = genome
+    assert {r.contig: r.length for r in reads.contig_lengths(chunks).collect()} == {"c1": 20000, "c2": 10000}
+    rows = [(i, "c1", i * 37, i * 37 + 1 + i * 11) for i in range(150)]
+    got = reads.attach_reference(spark.createDataFrame(rows, "rid long, contig string, start0 long, end0 long"), chunks, "rid", 512).collect()
+    assert {r.rid: r.ref for r in got} == {i: seq[a:b] for i, _, a, b in rows}
+    picked = reads.select_contigs(chunks, spark.createDataFrame([("C2",)], "name string"), spark.createDataFrame([("C2", "c2")], "name string, canonical string"))
+    assert {r.contig for r in picked.collect()} == {"c2"}
+    with pytest.raises(Exception, match="not in the reference"):
+        reads.select_contigs(chunks, spark.createDataFrame([("c9",)], "name string"), spark.createDataFrame([("C2", "c2")], "name string, canonical string")).count()
+
+
+def test_profile_recovers_known_rates(spark, genome):
     seq, chunks = genome
-    lengths = reads.contig_lengths(chunks)
-    assert {r.contig: r.length for r in lengths.collect()} == {"c1": 20000, "c2": 10000}
-    asked = spark.range(60).select(F.col("id").alias("read_id"), F.lit(300).alias("size"))
-    windows = simulate.draw_windows(asked, lengths, chunks, seed=1, chunk_size=512)
-    got = simulate.simulate_long(windows, (0.0, 0.0, 0.0), 1, "d").collect()
-    assert len(got) == 60
-    for r in got:
-        own = seq[r.start0 : r.end0]
-        assert r.seq == (own if r.strand == "+" else own[::-1].translate(str.maketrans("ACGT", "TGCA")))
-    again = simulate.simulate_long(windows.repartition(7), (0.01, 0.01, 0.01), 1, "d")
-    first = simulate.simulate_long(windows, (0.01, 0.01, 0.01), 1, "d")
-    assert {r.read_id: r.seq for r in again.collect()} == {r.read_id: r.seq for r in first.collect()}
-
-
-def test_profile_recovers_the_injected_rates(spark, genome):
-    _, chunks = genome
-    asked = spark.range(300).select(F.col("id").alias("read_id"), F.lit(400).alias("size"))
-    windows = simulate.draw_windows(asked, reads.contig_lengths(chunks), chunks, seed=2, chunk_size=512)
-    made = simulate.simulate_short(windows, 100, (0.02, 0.0, 0.0), 5, "d")
-    aligned = made.select(
-        (F.col("mate") - 1).alias("mate"), (F.col("strand") == "-").alias("reverse"), "contig", "start0", "end0", F.lit("100M").alias("cigar"),
-        F.when(F.col("strand") == "-", sq.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), "qual", F.concat("qname", F.col("mate").cast("string")).alias("key"),
-    )
-    cells = profile.count_cells(reads.attach_reference(aligned, chunks, "key", 512), "short")
-    rate = profile.rates(cells, "short").first()
-    assert rate.aligned == 60000 and abs(rate.mismatch_rate - 0.02) < 0.003 and rate.ins_rate == 0
-    assert {r.metric: r.ok for r in profile.compare(cells, cells, "short").collect()}["mismatch_rate"]
-    factors = profile.refine(profile.rates(cells, "short"), profile.rates(cells, "short")).first()
-    assert (factors["sub"], factors["ins"]) == (1.0, 1.0)
+    rows, wrong = [], 0
+    for i in range(300):
+        own = list(seq[i * 61 : i * 61 + 100])
+        for at in {i % 100, i * 7 % 100}:
+            own[at], wrong = "ACGT"["CGTA".index(own[at])], wrong + 1
+        rows.append((i, 0, i % 2 == 1, "c1", i * 61, i * 61 + 100, "100M", "".join(own), "I" * 100))
+    aligned = spark.createDataFrame(rows, "rid long, mate int, reverse boolean, contig string, start0 long, end0 long, cigar string, seq string, qual string")
+    cells = profile.count_cells(reads.attach_reference(aligned, chunks, "rid", 512), "short")
+    got = profile.rates(cells, "short").first()
+    assert got.aligned == 30_000 and got.mismatch_rate == pytest.approx(wrong / 30_000) and got.ins_rate == got.del_rate == 0
 
 
 def test_masked_positions_and_bad_reads_do_not_count(spark):
@@ -300,13 +290,6 @@ def test_comparison_has_every_check(spark):
     assert rows["hp_del_factor (homopolymer >= 4)"][:2] == pytest.approx((mean(0, 10),) * 2) and rows["hp_del_factor (homopolymer >= 4)"][3]
 
 
-def test_two_copies_are_calibrated(spark):
-    got = simulate.two_copy_experiment(spark.range(50_000), 0.05, (0, 1, 2)).filter("n_wrong >= 30").collect()
-    assert got
-    for r in got:
-        assert abs(-10 * np.log10(r.n_wrong / r.n_reads) - r.mapq) < 2
-
-
 def test_report(spark, tmp_path):
     table = scoring.add_rates(spark.createDataFrame([("a", 10, 9, 1, 0, 10, 0), ("b", 0, 0, 0, 0, 0, 0)], "aligner string, n long, n_correct long, n_misplaced long, n_unmapped long, n_confident long, n_confident_wrong long"))
     digest.build_report({"Accuracy": table.orderBy("aligner")}, str(tmp_path))
@@ -332,3 +315,79 @@ def test_download_checks_md5(tmp_path):
     with pytest.raises(ValueError, match="MD5"):
         tables.download(str(source), str(tmp_path / "b"), md5="0" * 32)
     assert tables.download(str(source), str(tmp_path / "b"))["bytes"] == 1
+
+
+def test_prepared_variants(spark):
+    lines = ["##source=x", "##contig=<ID=1>", "#CHROM\tPOS", "1\t5\tr", "2\t7\tr", "9\t1\tr"]
+    text = spark.createDataFrame(list(enumerate(lines)), "at long, value string")
+    names, lengths = spark.createDataFrame([("1", "chr1"), ("2", "chr2")], "name string, canonical string"), spark.createDataFrame([("chr1", 9), ("chr2", 9)], "contig string, length long")
+    out = annotations.prepare_vcf(text, "at", names, lengths)
+    assert [r.value for r in out.filter("value is not null").orderBy("at").collect()] == ["##source=x", "#CHROM\tPOS", "chr1\t5\tr", "chr2\t7\tr"]
+    assert tuple(annotations.vcf_stats(out).first()) == (2, 1)
+    with pytest.raises(Exception, match="lies beyond the end"):
+        annotations.prepare_vcf(text, "at", names, lengths.withColumn("length", F.lit(6))).collect()
+
+
+def test_numbers_and_words(spark):
+    cells = ["1e+03", "1.707e-05", "-2.5e+06", "12", "0.5%", "abc"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(scalars.pretty_number(F.col("c")).alias("p")).collect()
+    assert [r.p for r in got] == ["1,000", "1.71 × 10⁻⁵", "-2,500,000", "12", "0.5%", "abc"]
+    values = [0.0, 1.0, 0.05, 1234567.0, 1e-5, 123456.0, -0.000123456789, 1e20, 0.1 + 0.2]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(scalars.general(F.col("v")).alias("g")).collect()
+    assert [r.g for r in got] == [f"{v:g}" for v in values]
+    assert spark.range(1).select(scalars.words(F.lit("rate_of >=30 <5"))).first()[0] == "rate of ≥ 30 < 5"
+
+
+def test_config_checks():
+    good = {"genomes": {"g": {}}, "platforms": {"p": {"type": "short", "calibrate_on": "r"}}, "real_reads": {"r": {"platform": "p", "genome": "g"}}, "simulation": {"divergence_series": {"genomes": ["g"], "levels": [0.01]}}}
+    assert {d["dataset"] for d in config.datasets(good)} == {"sim-g-p-d0", "sim-g-p-d0.01", "calib-r", "pilot-r", "real-r-on-g"}
+    for path, value, said in ((("platforms", "p", "type"), "odd", "type"), (("platforms", "p", "calibrate_on"), "x", "calibrate_on"), (("real_reads", "r", "genome"), "h", "genome"), (("real_reads", "r", "platform"), "q", "platform")):
+        bad = copy.deepcopy(good)
+        bad[path[0]][path[1]][path[2]] = value
+        with pytest.raises(ValueError, match=said):
+            config.datasets(bad)
+    with pytest.raises(ValueError, match="letters"):
+        config.datasets({**good, "genomes": {"g": {}, "a b": {}}})
+
+
+def test_runs_of_intervals_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [("x" if rng.random() < 0.8 else "y", int(a), int(a + rng.integers(1, 60))) for a in rng.integers(0, 4000, 400)]
+    frame = spark.createDataFrame(rows, "contig string, start0 long, end0 long")
+    want = set()
+    for contig in "xy":
+        now = None
+        for _, a, b in sorted(r for r in rows if r[0] == contig):
+            if now is None or a > now[1]:
+                want |= {(contig, *now)} if now else set()
+                now = [a, b]
+            now[1] = max(now[1], b)
+        want.add((contig, *now))
+    for size in (10_000, 37):
+        assert {tuple(r) for r in intervals.merge_intervals(frame, ("contig",), rows_a_range=size).collect()} == want
+
+
+def test_download_goes_on_where_it_stopped(tmp_path):
+    import http.server
+    import threading
+
+    body, asked = bytes(range(256)) * 40, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.headers.get("Range"))
+            start = int(asked[-1].removeprefix("bytes=").rstrip("-")) if asked[-1] else 0
+            self.send_response(206 if start else 200)
+            self.end_headers()
+            self.wfile.write(body[start:])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    target = tmp_path / "f"
+    (tmp_path / "f.part").write_bytes(body[:1000])
+    got = tables.download(f"http://127.0.0.1:{server.server_port}/f", str(target))
+    server.shutdown()
+    assert target.read_bytes() == body and asked == ["bytes=1000-"] and got["bytes"] == len(body)
