@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, text_blocks, unused, word_spans
+from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, small_batches, text_blocks, unused, word_spans
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -235,6 +235,7 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     kept = docs.drop("lang_pred", "score")
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")

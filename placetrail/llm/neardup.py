@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .lineage import cut
-from .textops import fold_case, mix, per_text, prefix_hash, span_hash, text_blocks, word_spans
+from .textops import fold_case, mix, per_text, prefix_hash, small_batches, span_hash, text_blocks, word_spans
 
 WORDS, LEAST_PERCENT = 5, 75
 CHUNKS, LANES, LANE_BITS = 12, 3, 20
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     refuted on full sets. No link is left out, and a bucket of near copies costs a few comparisons a document. Null and empty texts and
     null doc_ids link with nothing; rows that share a doc_id are one node, so their classes are linked. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     sketch = cut(texts.mapInArrow(_sketch, "doc_id long, n long, low long, high long, sig array<long>"))
     able = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())

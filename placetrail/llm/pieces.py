@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, release
-from .textops import BLOCK_BYTES, give_back, prefix_hash, span_hash, text_blocks
+from .textops import BLOCK_BYTES, give_back, prefix_hash, small_batches, span_hash, text_blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encodings of so many of the most frequent units are sent to every task; all others are joined.
@@ -334,6 +334,7 @@ def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFram
     compressed numbers of its units, and its ids are put together beyond the join. Existing columns of the five names are replaced.
     """
     base, spark = docs.drop("n_bytes", "n_pieces", "ids", "decoded", "round_trip"), docs.sparkSession
+    small_batches(spark)
     distinct, codes = unit_codes(base, model)
     often = lambda most, wanted: distinct.filter(wanted).orderBy(F.col("n").desc(), "unit").limit(most)
     bytes_ = F.octet_length("unit")

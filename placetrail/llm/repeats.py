@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut, release
-from .textops import give_back, mix, prefix_hash, span_hash, text_blocks, unused
+from .textops import give_back, mix, prefix_hash, small_batches, span_hash, text_blocks, unused
 
 LENGTH, ANCHOR = 200, 48
 #: Different fragments of one anchor from which on it is split, and sizes (in windows) of the parts.
@@ -282,6 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     removed; strings are judged on the input. Null text counts as empty; repeated rows repeat each other; a
     table without repeats comes back whole. Existing columns of the four names are replaced.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     key, listed, out = (unused(c, base.columns) for c in ("key", "spans", "out"))

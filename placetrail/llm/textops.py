@@ -13,8 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch with texts.
+BATCH_ROWS = 1000
 #: The white space of `[^\x20\x09-\x0D]+`.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,6 +83,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with texts reach Python BATCH_ROWS at a time at most, so that no task holds thousands of texts twice, in the executor's
+    Arrow buffers and in its Python worker. A session with smaller batches keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_blocks(column: pa.Array, target: int = BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of runs of whole texts with about `target` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

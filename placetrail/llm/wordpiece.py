@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WORD_PATTERN, prefix_hash, span_hash, text_blocks, unused, word_spans
+from .textops import WORD_PATTERN, prefix_hash, small_batches, span_hash, text_blocks, unused, word_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words up to here step together; longer ones are walked one by one.
@@ -133,6 +133,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ") -> Da
     The vocabulary (a fixed table) is sent to the executors; each Python worker builds the automaton once. Words are
     counted once for each distinct word of a block. Existing columns of the two names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, mark))
     key = hashlib.sha256(repr((mark, pieces)).encode()).hexdigest()
 
