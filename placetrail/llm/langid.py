@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import fold_latin, mix, per_text, prefix_hash, span_hash, small_batches, text_blocks, unused, word_spans
+from .textops import fold_latin, give_back, mix, per_text, prefix_hash, span_hash, small_batches, text_blocks, unused, word_spans
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -283,4 +283,6 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
 def train(docs: DataFrame, mod: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> Crf | None:
     """Fit on a bounded sample of docs(doc_id, text, lang) outside the held-out fold crc32(doc_id) mod `mod` = `held`."""
     keys = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", mod) != held)).select("doc_id", "lang")
-    return fit_crf(labelled_sample(docs, keys, "lang", per_language, MAX_CHARS, seed=9))
+    model = fit_crf(labelled_sample(docs, keys, "lang", per_language, MAX_CHARS, seed=9))
+    give_back()
+    return model

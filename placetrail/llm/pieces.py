@@ -69,7 +69,9 @@ def read_model(path: str = MODEL) -> Model:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             ids[piece.replace(MARK, " ").encode()] = i
             scores[i] = float(model.get_score(i))
-    return make_model(ids, scores, byte_ids)
+    made = make_model(ids, scores, byte_ids)
+    give_back()
+    return made
 
 
 def make_model(ids: dict[bytes, int], scores: dict[int, float], byte_ids: list[int]) -> Model:
@@ -344,6 +346,8 @@ def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFram
     lookup = spark.sparkContext.broadcast(known[:4])
     encodings = spark.sparkContext.broadcast(known[4:])
     cuts, least = model.cuts, table.num_rows
+    del table, known
+    give_back()
 
     def numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the units of all texts their places in the known table, or `least` plus the place among the text's own rarer units in order of

@@ -6,8 +6,6 @@ stay bounded whatever the batch holds; one text longer than a block forms a bloc
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from ..functions.lineage import trim
+
 BLOCK_BYTES = 1 << 18
 #: Rows of an Arrow batch with texts.
 BATCH_ROWS = 1000
@@ -79,8 +79,7 @@ def unused(name: str, taken: list[str]) -> str:
 def give_back() -> None:
     """Return freed memory to the system, so that a reused Python worker does not keep the peak of its last task."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
 
 
 def small_batches(spark: SparkSession) -> None:
