@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, wordpiece
+from . import langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, whitening, wordpiece
 from .sampling import fold
 
 
@@ -78,6 +78,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every vector, with the exact deviation from the mean and the measured error of the fit."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8, scale=1024.0, shift=100_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": nearvec.ORACLE_SQL,
