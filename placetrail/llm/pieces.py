@@ -11,21 +11,18 @@ leaves it out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import unitcodes
 from .lineage import cut, release
-from .textops import BLOCK_BYTES, give_back, prefix_hash, small_batches, span_hash, text_blocks
+from .textops import give_back, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Encodings of so many of the most frequent units are sent to every task; all others are joined.
-FREQUENT = 1 << 17
 #: Units of more bytes are folded block by block; a text without cuts cannot grow a group of edges.
 LONG = 64
 #: Characters of a block of a long unit.
@@ -133,11 +130,6 @@ def units(cuts: Cuts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
-def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every unit, which together stand for it inside a task."""
-    return tuple(span_hash(prefix_hash(data, k), starts, ends, k).astype(np.int64) for k in (0, 1))
-
-
 def viterbi(model: Model, unit: bytes) -> list[int]:
     """The best segmentation of one unit over all pieces; ties go to the shorter last piece, as in `encode_units`."""
     text, longest = unit.decode(), max(map(len, model.ids))
@@ -276,40 +268,10 @@ def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, F.transform("parts", lambda p: p["id"]).alias("ids"), F.decode(F.unhex(joined), "utf-8").alias("text"))
 
 
-def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[start : start + size] one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
-
-
-def _packed(codes: np.ndarray) -> bytes:
-    """Codes of one document's units, byte planes one after another, compressed."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
-
-
-def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd"), np.uint8).reshape(4, size)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
 def unit_codes(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """(distinct, codes): the units (unit, n) of all texts with their numbers, and (unit, ids, ok) with their encodings, ok if a unit
     decodes to itself."""
-    cuts = model.cuts
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in text_blocks(batch.column("text")):
-                data, starts, ends, _ = units(cuts, data, offsets)
-                h, g = unit_hashes(data, starts, ends)
-                order = np.lexsort((g, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-                heads = np.flatnonzero(new)
-                numbers = np.diff(np.append(heads, len(order)))
-                yield pa.RecordBatch.from_arrays([_strings(data, starts, ends, order[heads]), pa.array(numbers)], ["unit", "n"])
-
-    distinct = cut(docs.select("text").mapInArrow(collect, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    distinct = unitcodes.distinct_units(docs, partial(units, model.cuts))
     bytes_ = F.octet_length("unit")
     back = decode(encode_units(distinct.filter(bytes_ <= LONG).select("unit"), model), model, ["unit"])
     coded = cut(encode_long_units(distinct.filter(bytes_ > LONG).select("unit"), model))
@@ -320,140 +282,18 @@ def unit_codes(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     return distinct, codes
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
-    raw = data.tobytes()
-    return pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
-
-
 def encode_documents(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """(encoded, codes). encoded: every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order),
-    decoded (string, the text rebuilt from the ids alone) and round_trip (boolean: decoded has the text's length and hash, and all of
-    its units decode to themselves); codes: (unit, ids) of every distinct unit.
+    decoded (string, the text rebuilt from the ids alone) and round_trip (boolean); codes: (unit, ids) of every distinct unit.
 
-    Whole texts; null and empty texts have no pieces, are decoded to themselves and have round_trip true. Each distinct unit is encoded
-    once, whatever the number of documents that hold it. The most frequent encodings reach every task as a fixed-size table. Each text's
-    rarer units are joined to their encodings and gathered by two hashes of the text, once for equal texts; a document is shuffled as
-    compressed numbers of its units, and its ids are put together beyond the join. Existing columns of the five names are replaced.
+    Whole texts, of any length; null and empty texts have no pieces, are decoded to themselves and have round_trip true; repeated rows are encoded
+    each, no rows give none. Each distinct unit is encoded once, whatever the number of documents that hold it. Where docs has a
+    column of one of the five names, the new one gets an underscore.
     """
-    base, spark = docs.drop("n_bytes", "n_pieces", "ids", "decoded", "round_trip"), docs.sparkSession
-    small_batches(spark)
-    distinct, codes = unit_codes(base, model)
-    often = lambda most, wanted: distinct.filter(wanted).orderBy(F.col("n").desc(), "unit").limit(most)
-    bytes_ = F.octet_length("unit")
-    top = often(FREQUENT, bytes_ <= LONG).unionByName(often(FREQUENT >> 9, (bytes_ > LONG) & (bytes_ <= 1 << 14)))
-    table = codes.join(F.broadcast(top), "unit").orderBy(F.col("n").desc(), "unit").select("unit", "ids", "ok").toArrow().combine_chunks()
-    known = _known(table)
-    lookup = spark.sparkContext.broadcast(known[:4])
-    encodings = spark.sparkContext.broadcast(known[4:])
-    cuts, least = model.cuts, table.num_rows
-    del table, known
-    give_back()
-
-    def numbers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the units of all texts their places in the known table, or `least` plus the place among the text's own rarer units in order of
-        their hashes; each text's first unit; whether all known ones are good; text, place and name of the rarer units."""
-        hs, gs, places, oks = lookup.value
-        data, starts, ends, first = units(cuts, data, offsets)
-        h, g = unit_hashes(data, starts, ends)
-        at = np.minimum(np.searchsorted(hs, h), max(0, least - 1))
-        hit = (hs[at] == h) & (gs[at] == g) if least else np.zeros(len(h), bool)
-        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        rare = np.flatnonzero(~hit)
-        order = rare[np.lexsort((g[rare], h[rare], owner[rare]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        heads = order[new]
-        bounds = np.searchsorted(owner[heads], np.arange(len(first)))
-        code, wrong = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        code[hit], wrong[hit] = places[at[hit]], ~oks[at[hit]]
-        code[order] = least + np.cumsum(new) - 1 - bounds[owner[order]]
-        wrong = np.concatenate(([0], np.cumsum(wrong)))[first]
-        return code, first, wrong[1:] == wrong[:-1], owner[heads], code[heads] - least, lambda: _strings(data, starts, ends, heads)
-
-    def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in text_blocks(batch.column("text")):
-                *_, owner, k, names = numbers(data, offsets)
-                take = pa.array(owner + rows.start)
-                yield pa.RecordBatch.from_arrays([batch.column("mark").take(take), batch.column("mark2").take(take), pa.array(k.astype(np.int32)), names()], ["mark", "mark2", "k", "unit"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in text_blocks(batch.column("text")):
-                code, first, good, *_ = numbers(data, offsets)
-                packed = [_packed(code[s:e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                own = [batch.column(c).slice(rows.start, len(good)) for c in ("held", "absent", "mark", "mark2")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), pa.array(good), pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["held", "absent", "mark", "mark2", "n_bytes", "good", "n_units", "packed"])
-
-    spelled = pa.array(model.spelled, pa.binary())
-
-    def put_together(batch: pa.RecordBatch) -> pa.RecordBatch:
-        froms, lengths, ids = encodings.value
-        n_units = batch.column("n_units").to_numpy()
-        parts = [_unpacked(p, n) if n else np.zeros(0, np.int64) for p, n in zip(batch.column("packed").to_pylist(), n_units.tolist(), strict=True)]
-        code = np.concatenate([np.zeros(0, np.int64), *parts])
-        # The rarer units of all rows stand one row after another behind the known ones.
-        found = batch.column("found")
-        many = pc.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        code += np.where(code >= least, np.repeat(np.cumsum(many) - many, n_units), 0)
-        if len(code) and code.max() >= least + many.sum():
-            raise ValueError("a unit has no encoding")
-        lists = found.flatten().field("ids")
-        own = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        froms = np.concatenate((froms, len(ids) + np.cumsum(own) - own))
-        lengths = np.concatenate((lengths, own))
-        upto = np.concatenate(([0], np.cumsum(lengths[code])))[np.concatenate(([0], np.cumsum(n_units)))]
-        ids = _ragged(np.concatenate((ids, lists.flatten().to_numpy(zero_copy_only=False))), froms[code], lengths[code]).astype(np.int32)
-        pieces = spelled.take(pa.array(ids))
-        text_ends = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))))[upto].astype(np.int64)
-        # The space that was put before every text that is not empty goes again.
-        full = np.diff(text_ends) > 0
-        data = np.delete(np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: text_ends[-1]], text_ends[:-1][full])
-        text_ends = (text_ends - np.concatenate(([0], np.cumsum(full)))).astype(np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(text_ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
-        texts = pc.if_else(batch.column("absent"), pa.scalar(None, pa.string()), texts)
-        kept = [batch.column(c) for c in ("held", "mark", "n_bytes", "good")]
-        lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
-        return pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(upto)), lists, texts], ["held", "mark", "n_bytes", "good", "n_pieces", "ids", "decoded"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of all units in their order, and the text that they spell."""
-        for batch in batches:
-            low, ends = 0, np.cumsum(batch.column("n_bytes").to_numpy())
-            while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right")))
-                yield put_together(batch.slice(low, high - low))
-                low = high
-            give_back()
-
-    held = F.struct(*[F.col(c) for c in base.columns if c != "text"])
-    keyed = base.select("text", held.alias("held"), F.col("text").isNull().alias("absent"), F.xxhash64("text").alias("mark"), F.hash("text").alias("mark2"))
-    kind = keyed.schema["held"].dataType.simpleString()
-    asked = keyed.select("mark", "mark2", "text").mapInArrow(rarer, "mark long, mark2 int, k int, unit string")
-    gathered = asked.join(codes, "unit").groupBy("mark", "mark2")
-    found = cut(gathered.agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("found"), F.min("ok").alias("all_ok")))
-    release(spark)
-    packed = keyed.mapInArrow(pack, f"held {kind}, absent boolean, mark long, mark2 int, n_bytes long, good boolean, n_units long, packed binary")
-    none = F.array().cast("array<struct<k: int, ids: array<int>>>")
-    joined = packed.join(found, ["mark", "mark2"], "left").select(
-        "held", "absent", "mark", "n_bytes", (F.col("good") & F.coalesce("all_ok", F.lit(True))).alias("good"), "n_units", "packed", F.coalesce("found", none).alias("found")
-    )
-    filled = joined.mapInArrow(fill, f"held {kind}, mark long, n_bytes long, good boolean, n_pieces long, ids array<int>, decoded string")
-    same = F.col("good") & (F.xxhash64("decoded") == F.col("mark")) & (F.coalesce(F.octet_length("decoded"), F.lit(0)) == F.col("n_bytes"))
-    return filled.select("held.*", "n_bytes", "n_pieces", "ids", "decoded", same.alias("round_trip")), codes.select("unit", "ids")
-
-
-def _known(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """The known units in order of their hashes: both hashes, their places in the table, whether they decode; then where the table's
-    encodings begin, their lengths, and all of them one after another."""
-    names, ids = table.column("unit").to_pylist(), table.column("ids")
-    data = np.frombuffer("".join(names).encode(), np.uint8)
-    ends = np.cumsum([len(x.encode()) for x in names]).astype(np.int64)
-    h, g = unit_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64) if names else ends, ends)
-    order = np.argsort(h, kind="stable")
-    lists = ids.combine_chunks() if names else pa.array([], pa.list_(pa.int32()))
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return h[order], g[order], order.astype(np.int32), table.column("ok").to_numpy()[order], (np.cumsum(sizes) - sizes).astype(np.int32), sizes.astype(np.int32), lists.flatten().to_numpy(zero_copy_only=False)
+    small_batches(docs.sparkSession)
+    split = partial(units, model.cuts)
+    distinct, codes = unit_codes(docs, model)
+    return unitcodes.put_together(docs, distinct, codes, split, model.spelled, lead=True), codes.select("unit", "ids")
 
 
 def decode_ids(model: Model, ids: list[int]) -> bytes:

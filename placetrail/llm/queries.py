@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, whitening, wordpiece
+from . import bytepairs, langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, whitening, wordpiece
 from .sampling import fold
 
 
@@ -78,6 +78,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the text they decode to, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bytepairs.encode_documents(docs, bytepairs.read_ranks())[0]
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return encoded.select("doc_id", F.col("n_pieces").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight whitened components of every vector, with the exact deviation from the mean and the measured error of the fit."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8, scale=1024.0, shift=100_000)
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
+    "op11_byte_pairs": op11_byte_pairs,
     "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from placetrail.functions import ordered
-from placetrail.llm import components, langid, mixing, neardup, nearvec, pieces, quality, repeats, sampling, topk, toxicity, wordpiece
+from placetrail.llm import components, langid, mixing, neardup, nearvec, pieces, quality, repeats, sampling, topk, toxicity, unitcodes, wordpiece
 from tests.test_catalog import rows
 
 SQL = ["op1_near_vectors", "op2_token_counts", "op5_near_duplicates", "op7_top_k", "op8_repeats", "op10_mix_sources"]
@@ -160,7 +160,7 @@ def test_token_counts_edges(odd, none):
 
 @pytest.mark.parametrize("frequent", [1 << 17, 3])
 def test_pieces(spark, odd, none, frequent, monkeypatch, sf_dir):
-    monkeypatch.setattr(pieces, "FREQUENT", frequent)
+    monkeypatch.setattr(unitcodes, "FREQUENT", frequent)
     model = pieces.read_model()
     texts = odd.select("doc_id", "text", "score").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("x").alias("score")))
     counts, codes = pieces.encode_documents(texts, model)
@@ -174,7 +174,7 @@ def test_pieces(spark, odd, none, frequent, monkeypatch, sf_dir):
 
 @pytest.mark.parametrize("frequent", [1 << 17, 3])
 def test_pieces_of_long_units_and_documents(spark, none, frequent, monkeypatch):
-    monkeypatch.setattr(pieces, "FREQUENT", frequent)
+    monkeypatch.setattr(unitcodes, "FREQUENT", frequent)
     model = pieces.read_model()
     rng = np.random.default_rng(1)
     junk = ["".join(rng.choice(list("abcdeéß日▁/._-=")) for _ in range(n)) for n in (63, 64, 65, 127, 128, 129, 191, 192, 193, 700)]
