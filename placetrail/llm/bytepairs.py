@@ -117,16 +117,8 @@ def character_classes() -> np.ndarray:
 _classes: list[np.ndarray] = []
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, the starts and ends of the pattern's matches, and each text's first match.
-
-    The pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+` makes a word of every run of one class, with three
-    exceptions. The last character of white space before a run stands alone, and goes to the run if it is a plain space. An apostrophe that is
-    a run of its own, without such a space, takes the letters of a contraction after it.
-    """
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return data, none, none, np.zeros(len(offsets), np.int64)
+def character_kinds(data: np.ndarray) -> np.ndarray:
+    """The class of the character that every byte belongs to."""
     if not _classes:
         _classes.append(character_classes())
     kinds = _classes[0][data & 0x7F]  # right for ASCII
@@ -140,6 +132,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for k in range(4):
             more = size > k
             kinds[lead[more] + k] = _classes[0][code[more]]
+    return kinds
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, the starts and ends of the pattern's matches, and each text's first match.
+
+    The pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+` makes a word of every run of one class, with three
+    exceptions. The last character of white space before a run stands alone, and goes to the run if it is a plain space. An apostrophe that is
+    a run of its own, without such a space, takes the letters of a contraction after it.
+    """
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(len(offsets), np.int64)
+    kinds = character_kinds(data)
     fronts = offsets[:-1][np.diff(offsets) > 0]
     begin = np.ones(len(data), bool)
     begin[1:] = kinds[1:] != kinds[:-1]

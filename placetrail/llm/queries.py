@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepairs, langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, whitening, wordpiece
+from . import alignment, bytepairs, langid, mixing, neardup, nearvec, pieces, quality, repeats, topk, toxicity, whitening, wordpiece
 from .sampling import fold
 
 
@@ -86,6 +86,13 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.col("n_pieces").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies in every document, their groups and links, and how often the linked pairs occur in the corpus."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align_documents(docs, alignment.read_byte_bpe(), alignment.read_pieces())[0]
+    return aligned.select("doc_id", *alignment.OUTPUTS)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight whitened components of every vector, with the exact deviation from the mean and the measured error of the fit."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8, scale=1024.0, shift=100_000)
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_mix_sources": op10_mix_sources,
     "op11_byte_pairs": op11_byte_pairs,
+    "op12_alignment": op12_alignment,
     "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {

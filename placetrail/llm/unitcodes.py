@@ -32,23 +32,23 @@ def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return tuple(span_hash(prefix_hash(data, k), starts, ends, k).astype(np.int64) for k in (0, 1))
 
 
-def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start : start + size] one after another."""
     ends = np.cumsum(sizes)
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
-def _packed(codes: np.ndarray) -> bytes:
+def packed(codes: np.ndarray) -> bytes:
     """Codes of one document's units, byte planes one after another, compressed."""
     return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 4 * size, codec="zstd"), np.uint8).reshape(4, size)
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * size, codec="zstd"), np.uint8).reshape(4, size)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
     raw = data.tobytes()
     return pa.array([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
 
@@ -66,7 +66,7 @@ def distinct_units(docs: DataFrame, split: Split) -> DataFrame:
                 new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
                 heads = np.flatnonzero(new)
                 numbers = np.diff(np.append(heads, len(order)))
-                yield pa.RecordBatch.from_arrays([_strings(data, starts, ends, order[heads]), pa.array(numbers)], ["unit", "n"])
+                yield pa.RecordBatch.from_arrays([strings(data, starts, ends, order[heads]), pa.array(numbers)], ["unit", "n"])
 
     return cut(docs.select("text").mapInArrow(collect, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
 
@@ -112,7 +112,7 @@ def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split:
         code[hit], wrong[hit] = places[at[hit]], ~oks[at[hit]]
         code[order] = least + np.cumsum(new) - 1 - bounds[owner[order]]
         wrong = np.concatenate(([0], np.cumsum(wrong)))[first]
-        return code, first, wrong[1:] == wrong[:-1], owner[heads], code[heads] - least, lambda: _strings(data, starts, ends, heads)
+        return code, first, wrong[1:] == wrong[:-1], owner[heads], code[heads] - least, lambda: strings(data, starts, ends, heads)
 
     def rarer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,16 +125,16 @@ def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split:
         for batch in batches:
             for rows, data, offsets in text_blocks(batch.column("text")):
                 code, first, good, *_ = numbers(data, offsets)
-                packed = [_packed(code[s:e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                coded = [packed(code[s:e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 own = [batch.column(c).slice(rows.start, len(good)) for c in ("held", "absent", "mark", "mark2")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), pa.array(good), pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["held", "absent", "mark", "mark2", "n_bytes", "good", "n_units", "packed"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), pa.array(good), pa.array(np.diff(first)), pa.array(coded, pa.binary())], ["held", "absent", "mark", "mark2", "n_bytes", "good", "n_units", "packed"])
 
     spelled = pa.array(pieces, pa.binary())
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         froms, lengths, ids = encodings.value
         n_units = batch.column("n_units").to_numpy()
-        parts = [_unpacked(p, n) if n else np.zeros(0, np.int64) for p, n in zip(batch.column("packed").to_pylist(), n_units.tolist(), strict=True)]
+        parts = [unpacked(p, n) if n else np.zeros(0, np.int64) for p, n in zip(batch.column("packed").to_pylist(), n_units.tolist(), strict=True)]
         code = np.concatenate([np.zeros(0, np.int64), *parts])
         # The rarer units of all rows stand one row after another behind the known ones.
         found = batch.column("found")
@@ -147,7 +147,7 @@ def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split:
         froms = np.concatenate((froms, len(ids) + np.cumsum(own) - own))
         lengths = np.concatenate((lengths, own))
         upto = np.concatenate(([0], np.cumsum(lengths[code])))[np.concatenate(([0], np.cumsum(n_units)))]
-        ids = _ragged(np.concatenate((ids, lists.flatten().to_numpy(zero_copy_only=False))), froms[code], lengths[code]).astype(np.int32)
+        ids = ragged(np.concatenate((ids, lists.flatten().to_numpy(zero_copy_only=False))), froms[code], lengths[code]).astype(np.int32)
         parts = spelled.take(pa.array(ids))
         text_ends = np.concatenate(([0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))))[upto].astype(np.int64)
         # What split put before every text that is not empty goes again.
@@ -177,9 +177,9 @@ def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split:
     gathered = asked.join(codes, "unit").groupBy("mark", "mark2")
     found = cut(gathered.agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("found"), F.min("ok").alias("all_ok")))
     release(spark)
-    packed = keyed.mapInArrow(pack, f"held {kind}, absent boolean, mark long, mark2 int, n_bytes long, good boolean, n_units long, packed binary")
+    coded = keyed.mapInArrow(pack, f"held {kind}, absent boolean, mark long, mark2 int, n_bytes long, good boolean, n_units long, packed binary")
     none = F.array().cast("array<struct<k: int, ids: array<int>>>")
-    joined = packed.join(found, ["mark", "mark2"], "left").select(
+    joined = coded.join(found, ["mark", "mark2"], "left").select(
         "held", "absent", "mark", "n_bytes", (F.col("good") & F.coalesce("all_ok", F.lit(True))).alias("good"), "n_units", "packed", F.coalesce("found", none).alias("found")
     )
     filled = joined.mapInArrow(fill, f"held {kind}, mark long, n_bytes long, good boolean, n_pieces long, ids array<int>, decoded string")
