@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bytepairs import SPACE, character_kinds, words
 from .lineage import cut
 from .textops import give_back, small_batches, text_blocks, unused
-from .unitcodes import packed, strings, unit_hashes, unpacked
+from .unitcodes import most_frequent, packed, strings, unit_hashes, unpacked
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of aligned units that a task keeps; then it starts afresh.
@@ -315,7 +315,7 @@ def align_documents(docs: DataFrame, a: Side, b: Side, keep_groups: bool = False
         out[found.column("a").to_numpy()] = found.column(value).to_numpy()
         return out
 
-    often = counts.filter(~F.col("regular")).orderBy(F.col("n").desc(), "a", "b").limit(FREQUENT).select((F.col("a") * F.lit(width).cast("long") + F.col("b")).alias("pair"), "n").toArrow()
+    often = most_frequent(counts.filter(~F.col("regular")), FREQUENT).select((F.col("a") * F.lit(width).cast("long") + F.col("b")).alias("pair"), "n").toArrow()
     pair, n = (often.column(c).to_numpy() for c in ("pair", "n"))
     order = np.argsort(pair)
     known = spark.sparkContext.broadcast((pair[order], n[order], vector(counts.filter("regular"), "n"), vector(highest, "most")))

@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by replaying all merges over the words of a corpus.
 
-A text is cut into words by the pre-tokenizer's pattern, evaluated on whole blocks of bytes. Every distinct word of the corpus is encoded once:
-the words of a task stand one after another as a linked list of symbols, an inverted index leads from each token pair to the places where it
+A text is cut into words by the pre-tokenizer's pattern, evaluated on whole blocks of bytes. Every distinct word of a partition is encoded once:
+the words stand one after another as a linked list of symbols, an inverted index leads from each token pair to the places where it
 stands, and the merges are applied in the order of their ranks, each at all of its places; only the pairs that a merge's neighbours form
-with the new symbol enter the index anew. Documents are then put together from their words' ids.
+with the new symbol enter the index anew. Documents are then put together from their words' ids. Merges act inside a word alone, so the index of
+the whole corpus falls apart into those of its partitions, and nothing has to be shuffled.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import unitcodes
-from .lineage import cut
-from .textops import give_back, small_batches, text_blocks
+from .textops import give_back, small_batches, text_blocks, unused
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Bytes of words that one index covers, and distinct words of one task: a task walks through all ranks that occur.
-INDEX_BYTES, WORDS_A_TASK = 1 << 23, 400_000
+#: Bytes of new words that one index covers, of text whose words are encoded together (a replay walks through all ranks that occur, so few replays
+#: are best), and of words that a task keeps for later texts.
+INDEX_BYTES, GATHER, KEPT_BYTES = 1 << 23, 1 << 25, 1 << 27
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The letters after an apostrophe that the pattern takes as a word of their own.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -196,7 +199,7 @@ def replay(merges: Merges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
         order = np.argsort(ranks, kind="stable")
         ranks, places = ranks[order], places[order]
         heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranks)), bool), ranks[1:] != ranks[:-1])))
-        for rank, own in zip(ranks[heads].tolist(), np.split(places, heads[1:]), strict=len(heads) > 0):
+        for rank, own in zip(ranks[heads].tolist(), np.split(places, heads[1:]) if len(heads) else [], strict=True):
             if rank not in index:
                 index[rank] = []
                 heappush(waiting, rank)
@@ -225,50 +228,98 @@ def replay(merges: Merges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return symbols[left], np.concatenate(([0], np.cumsum(left)))[offsets]
 
 
-def encode_words(distinct: DataFrame, merges: Merges) -> DataFrame:
-    """distinct(unit) plus ids array<int> and ok: words are dealt out evenly, and a task's words share an index in blocks of INDEX_BYTES; one longer
-    word has an index of its own."""
-    spelled = np.array(merges.spelled, object)
+class Words:
+    """The distinct words that a task has met, numbered, and the ids of those that have been encoded."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.fresh: list[bytes] = []
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.size = 0
+
+    def number(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word of a block of texts in order, and each text's first word."""
+        data, starts, ends, first = words(data, offsets)
+        h, g = unitcodes.unit_hashes(data, starts, ends)
+        order = np.lexsort((g, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+        names = unitcodes.strings(data, starts, ends, order[new]).cast(pa.binary()).to_pylist()
+        known = len(self.numbers)
+        numbers = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in names], np.int32)
+        fresh = [x for x, number in zip(names, numbers.tolist(), strict=True) if number >= known]
+        self.fresh += fresh
+        self.size += sum(map(len, fresh)) + 120 * len(fresh)
+        out = np.empty(len(order), np.int32)
+        out[order] = numbers[np.cumsum(new) - 1]
+        return out, first
+
+    def encode(self) -> None:
+        """Replay all merges over the words that have no ids yet."""
+        for _, data, offsets in text_blocks(pa.array(self.fresh, pa.binary()).cast(pa.string()), INDEX_BYTES):
+            ids, bounds = replay(self.merges, data, offsets)
+            self.bounds = np.concatenate((self.bounds, len(self.ids) + bounds[1:]))
+            self.ids = np.concatenate((self.ids, ids))
+        self.fresh = []
+
+
+def encode_documents(docs: DataFrame, merges: Merges) -> DataFrame:
+    """Every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order), decoded (string, the text
+    rebuilt from the ids alone) and round_trip (boolean: decoded has the text's length and hash).
+
+    One pass, without a shuffle: a task numbers the distinct words of its texts, replays the merges over all new ones whenever it has
+    gathered GATHER bytes of text, and then writes those rows. Whole texts, of any length, and words of any length; null and empty texts have no
+    ids and are decoded to themselves; repeated rows are encoded each, no rows give none. Where docs has a column of one of the five names, the new
+    one gets an underscore.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(merges)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _gathered(batches):
-            for own, data, offsets in text_blocks(rows, INDEX_BYTES):
-                ids, bounds = replay(merges, data, offsets)
-                ok = b"".join(spelled[ids]) == data.tobytes()
-                if not ok:
-                    raise ValueError("ids do not spell their words")
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([rows.slice(own.start, own.stop - own.start), lists, pa.array(np.ones(len(lists), bool))], ["unit", "ids", "ok"])
+        own = Words(shared.value)
+        spelled = pa.array(own.merges.spelled, pa.binary())
+        waiting, size = [], 0
+
+        def written() -> Iterator[pa.RecordBatch]:
+            own.encode()
+            lengths = np.diff(own.bounds)
+            for columns, numbers, first, n_bytes in waiting:
+                ids = unitcodes.ragged(own.ids, own.bounds[numbers], lengths[numbers])
+                upto = np.concatenate(([0], np.cumsum(lengths[numbers])))[first]
+                parts = spelled.take(pa.array(ids))
+                ends = np.concatenate(([0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))))[upto].astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(n_bytes), [None, pa.py_buffer(ends.tobytes()), parts.buffers()[2] or pa.py_buffer(b"")]).cast(pa.string())
+                texts = pc.if_else(columns[-1], pa.scalar(None, pa.string()), texts)
+                lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(n_bytes), pa.array(np.diff(upto)), lists, texts], ["held", "mark", "n_bytes", "n_pieces", "ids", "decoded"])
+            waiting.clear()
+            if own.size > KEPT_BYTES:
+                own.clear()
             give_back()
 
-    parts = max(1, -(-distinct.count() // WORDS_A_TASK))
-    return distinct.select("unit").repartition(parts).mapInArrow(encode, "unit string, ids array<int>, ok boolean")
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
-    """Words of several batches together, so that an index covers as many as its bound allows."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch.column("unit"))
-        size += held[-1].nbytes
-        if size >= INDEX_BYTES:
-            yield pa.concat_arrays(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_arrays(held)
-
-
-def encode_documents(docs: DataFrame, merges: Merges) -> tuple[DataFrame, DataFrame]:
-    """(encoded, codes). encoded: every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order),
-    decoded (string, the text rebuilt from the ids alone) and round_trip (boolean); codes: (unit, ids) of every distinct word.
-
-    Whole texts, of any length, and words of any length; null and empty texts have no ids and are decoded to themselves; repeated rows are
-    encoded each, no rows give none. Where docs has a column of one of the five names, the new one gets an underscore.
-    """
-    small_batches(docs.sparkSession)
-    distinct = unitcodes.distinct_units(docs, words)
-    codes = cut(encode_words(distinct, merges))
-    return unitcodes.put_together(docs, distinct, codes, words, merges.spelled, lead=False), codes.select("unit", "ids")
+        for batch in batches:
+            for rows, data, offsets in text_blocks(batch.column("text")):
+                # Copies, as a slice would keep the whole batch with its texts.
+                take = pa.array(np.arange(rows.start, rows.stop))
+                waiting.append(([batch.column(c).take(take) for c in ("held", "mark", "absent")], *own.number(data, offsets), np.diff(offsets)))
+                size += len(data)
+                if size >= GATHER:
+                    yield from written()
+                    size = 0
+        yield from written()
+
+    held = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    keyed = docs.select("text", held.alias("held"), F.xxhash64("text").alias("mark"), F.col("text").isNull().alias("absent"))
+    kind = keyed.schema["held"].dataType.simpleString()
+    out = keyed.mapInArrow(encode, f"held {kind}, mark long, n_bytes long, n_pieces long, ids array<int>, decoded string")
+    same = (F.xxhash64("decoded") == F.col("mark")) & (F.coalesce(F.octet_length("decoded"), F.lit(0)) == F.col("n_bytes"))
+    outputs = [*map(F.col, ("n_bytes", "n_pieces", "ids", "decoded")), same]
+    return out.select("held.*", *[c.alias(unused(n, docs.columns)) for c, n in zip(outputs, unitcodes.OUTPUTS, strict=True)])
 
 
 def decode_ids(merges: Merges, ids: list[int]) -> bytes:

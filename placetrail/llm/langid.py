@@ -23,8 +23,8 @@ from .textops import fold_latin, give_back, mix, per_text, prefix_hash, span_has
 if TYPE_CHECKING:
     import pandas as pd
 
-#: Slots of the hashed lexicon and affix weights.
-SLOTS = 1 << 17
+#: Slots of the hashed lexicon and affix weights; with more than MANY languages they are fewer, so that a model stays within memory.
+SLOTS, LEAST_SLOTS, MANY = 1 << 17, 1 << 13, 32
 #: Fitted on at most about so many texts of each language, of at most so many characters.
 PER_LANGUAGE, MAX_CHARS = 300, 20_000
 #: Words of one training sequence, and of the runs from different texts that are spliced into it.
@@ -40,7 +40,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 @dataclass
 class Crf:
     languages: list[str]
-    weights: np.ndarray  # (SLOTS, L): lexicon and affixes
+    weights: np.ndarray  # (slots, L): lexicon and affixes
     bigrams: np.ndarray  # (65536, L)
     transitions: np.ndarray  # (L, L)
     start: np.ndarray  # (L,)
@@ -63,14 +63,19 @@ def parts_of(starts: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
         at = to
 
 
-def word_slots(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(n, 5) slots of each word's lexicon and affix weights."""
+def slots_for(languages: int) -> int:
+    """A power of two: SLOTS for up to MANY languages, then so many that slots times languages stays about the same."""
+    return max(LEAST_SLOTS, SLOTS >> max(0, (languages - 1) // MANY).bit_length())
+
+
+def word_slots(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, many: int) -> np.ndarray:
+    """(n, 5) slots, of `many`, of each word's lexicon and affix weights."""
     prefix = prefix_hash(low)
     slots = np.empty((len(starts), 5), np.int32)
     two_s, two_e = np.minimum(starts + 2, ends), np.maximum(ends - 2, starts)
     three_s, three_e = np.minimum(starts + 3, ends), np.maximum(ends - 3, starts)
     for i, (s, e) in enumerate(((starts, ends), (starts, two_s), (starts, three_s), (two_e, ends), (three_e, ends))):
-        slots[:, i] = (mix(span_hash(prefix, s, e) + np.uint64(i + 1)) & np.uint64(SLOTS - 1)).astype(np.int32)
+        slots[:, i] = (mix(span_hash(prefix, s, e) + np.uint64(i + 1)) & np.uint64(many - 1)).astype(np.int32)
     return slots
 
 
@@ -88,7 +93,7 @@ def emissions(model: Crf, low: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     for part in parts_of(starts, ends):
         base = starts[part][0]
         own, s, e = low[base : ends[part][-1] + 1], starts[part] - base, ends[part] - base
-        slots = word_slots(own, s, e)
+        slots = word_slots(own, s, e, len(model.weights))
         score = model.weights[slots].sum(1)
         codes = bigrams_at(own)
         if len(s) > 1:
@@ -170,9 +175,10 @@ def gradients(emission: np.ndarray, labels: np.ndarray, transitions: np.ndarray,
     for t in range(steps - 1, 0, -1):
         backward[:, t - 1] = (backward[:, t] * score[:, t]) @ move.T / scale[:, t, None]
     post = forward * backward
-    pairs = np.einsum("bti,ij,btj->ij", forward[:, :-1], move, score[:, 1:] * backward[:, 1:] / scale[:, 1:, None])
+    after = score[:, 1:] * backward[:, 1:] / scale[:, 1:, None]
+    pairs = move * (forward[:, :-1].reshape(-1, size).T @ after.reshape(-1, size))
     truth = np.eye(size)[labels]
-    seen = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:])
+    seen = truth[:, :-1].reshape(-1, size).T @ truth[:, 1:].reshape(-1, size)
     path = (truth * emission).sum() + (seen * transitions).sum() + start[labels[:, 0]].sum()
     return Gradients(float(path - np.log(scale).sum() - top.sum()), truth - post, seen - pairs, (truth[:, 0] - post[:, 0]).sum(0))
 
@@ -186,11 +192,11 @@ def fit_crf(sample: pd.DataFrame, label: str = "lang", seed: int = 5) -> Crf | N
         return None
     rng = np.random.default_rng(seed)
     texts = pa.array(sample["text"].tolist(), pa.large_string())
-    wanted = np.array([languages.index(x) for x in sample[label]])
+    wanted = np.searchsorted(np.array(languages, object), sample[label].to_numpy(object))
     slots, labels, codes, begins, lengths, size = [], [], [], [], [], len(languages)
     for rows, data, offsets in text_blocks(texts):
         low, starts, ends, first = words_of(data, offsets)
-        slots.append(word_slots(low, starts, ends))
+        slots.append(word_slots(low, starts, ends, slots_for(size)))
         labels.append(np.repeat(wanted[rows], np.diff(first)))
         begins.append(starts + sum(map(len, codes)))
         lengths.append(ends - starts + 1)
@@ -202,7 +208,7 @@ def fit_crf(sample: pd.DataFrame, label: str = "lang", seed: int = 5) -> Crf | N
     runs = rng.permutation(n // RUN) if n >= RUN else np.zeros(1, np.int64)
     whole = (runs[:, None] * RUN + np.arange(RUN)).ravel() % n
     whole = np.resize(whole, max(1, len(whole) // SEQUENCE) * SEQUENCE).reshape(-1, SEQUENCE)
-    model = Crf(languages, np.zeros((SLOTS, size), np.float32), np.zeros((65536, size), np.float32), np.zeros((size, size)), np.zeros(size))
+    model = Crf(languages, np.zeros((slots_for(size), size), np.float32), np.zeros((65536, size), np.float32), np.zeros((size, size)), np.zeros(size))
     past = [np.full_like(x, 1e-2) for x in (model.weights, model.bigrams, model.transitions, model.start)]
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(whole)), max(1, len(whole) // BATCH)):
@@ -229,8 +235,9 @@ def fit_crf(sample: pd.DataFrame, label: str = "lang", seed: int = 5) -> Crf | N
 def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     """docs plus lang_pred and score (mean posterior of that language, 0 to 1).
 
-    `und` with score 0 where the text is null or has no letter, or where nothing was learned. Works on whole
-    texts; existing columns of these two names are replaced.
+    `und` with score 0 where the text is null or has no letter, or where nothing was learned. Works on whole texts, a long one in a block of its
+    own, whose posteriors (words x languages, four times) a task then holds at once. Repeated rows are labelled each, no rows give none; existing
+    columns of these two names are replaced.
     """
     kept = docs.drop("lang_pred", "score")
     if model is None:
@@ -243,7 +250,7 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
         crf = shared.value
         names = np.array([*crf.languages, "und"], object)
         found, sure = np.full(len(texts), "und", object), np.zeros(len(texts))
-        for rows, data, offsets in text_blocks(texts, BLOCK):
+        for rows, data, offsets in text_blocks(texts, max(1 << 12, BLOCK * 8 // max(8, len(crf.languages)))):
             low, starts, ends, first = words_of(data, offsets)
             post = posteriors(emissions(crf, low, starts, ends), first, crf)
             counts = np.diff(first)
@@ -282,7 +289,8 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
 
 def train(docs: DataFrame, mod: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> Crf | None:
     """Fit on a bounded sample of docs(doc_id, text, lang) outside the held-out fold crc32(doc_id) mod `mod` = `held`."""
-    keys = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", mod) != held)).select("doc_id", "lang")
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)
+    keys = docs.filter(usable & (fold("doc_id", mod) != held)).select("doc_id", "lang")
     model = fit_crf(labelled_sample(docs, keys, "lang", per_language, MAX_CHARS, seed=9))
     give_back()
     return model

@@ -81,7 +81,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the text they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bytepairs.encode_documents(docs, bytepairs.read_ranks())[0]
+    encoded = bytepairs.encode_documents(docs, bytepairs.read_ranks())
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return encoded.select("doc_id", F.col("n_pieces").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
 

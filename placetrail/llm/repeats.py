@@ -275,19 +275,30 @@ def whole_characters(kept: Column) -> Column:
     return read(kept)
 
 
+OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits for the values of columns, as text: each with its length before it, so that no two rows of different values (null among them) are
+    written alike."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text, ...) plus n_bytes, n_removed, n_spans (long) and kept (binary: the remaining bytes).
 
     Every byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another, is
-    removed; strings are judged on the input. Null text counts as empty; repeated rows repeat each other; a
-    table without repeats comes back whole. Existing columns of the four names are replaced.
+    removed; strings are judged on the input. Null text counts as empty; repeated rows repeat each other, with a null doc_id too; a
+    table without repeats comes back whole, an empty one empty. Texts of any length are whole, one to a task's block if they are long. Where docs has a
+    column of one of the four names, the new one gets an underscore.
     """
     small_batches(docs.sparkSession)
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    base = docs
     text = F.coalesce(F.col("text"), F.lit(""))
     key, listed, out = (unused(c, base.columns) for c in ("key", "spans", "out"))
     # 128 bits stand for doc_id and text. Rows with one key are one row repeated; each repetition is a place of its own.
-    keyed = base.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))))
+    keyed = base.withColumn(key, row_key("doc_id", "text"))
     spans = repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length)
     per_doc = spans.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias(listed)).withColumnRenamed("key", key)
 
@@ -309,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = keyed.join(per_doc, key, "left").withColumn(out, apply(text, F.col(listed)))
-    return joined.select(*[F.col(c) for c in base.columns], *[F.col(out)[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+    return joined.select(*[F.col(c) for c in base.columns], *[F.col(out)[c].alias(unused(c, base.columns)) for c in OUTPUTS])
 
 
 #: Every string of 200 bytes, written as 400 hexadecimal digits, with the number of its places; the bytes that repeated ones cover.

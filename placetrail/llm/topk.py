@@ -43,10 +43,12 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through doubles where no sum can pass 2**53, else on 64-bit integers."""
+    """Exact integer inner products: through doubles where no sum can pass 2**53, else on 64-bit integers; an error where a sum could pass those."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if top < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if top >= 2**62:
+        raise ValueError("components are too large for inner products of 64 bits")
     return a @ b.T
 
 
@@ -61,7 +63,8 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10) -> D
 
     Both tables hold (vec_id long, v array<long>). Every row of `vectors` is a candidate of its own, also where a vec_id repeats, but
     never for a query with its vec_id; a vec_id that asks more than once asks with its smallest vector. Rows without a vec_id take no
-    part. Vectors of unequal lengths are padded with zeros. Only pivots and the bounds of the annuli, in number about the square root of the
+    part. Vectors of unequal lengths are padded with zeros; no rows give none; other columns
+    are not read; components whose products could pass 64 bits are an error. Only pivots and the bounds of the annuli, in number about the square root of the
     rows, reach the driver.
     """
     spark = vectors.sparkSession

@@ -71,6 +71,20 @@ def distinct_units(docs: DataFrame, split: Split) -> DataFrame:
     return cut(docs.select("text").mapInArrow(collect, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts(n, ...) whose n reaches the lowest level that no more than `most` rows reach. Levels are steps of an eighth of a doubling,
+    so their histogram is a few hundred rows, and no task has to order all rows."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    seen = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    least, rows = None, 0
+    for r in seen:
+        rows += r.rows
+        if rows > most:
+            break
+        least = r.level
+    return counts.filter(F.lit(False) if least is None else level >= least)
+
+
 def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split: Split, pieces: list[bytes], lead: bool) -> DataFrame:
     """Every row of docs, its text replaced by n_bytes, n_pieces (long), ids (array<int>, in order), decoded (string, the text rebuilt
     from the ids alone) and round_trip (boolean: decoded has the text's length and hash, and all of its units decode to themselves).
@@ -82,10 +96,9 @@ def put_together(docs: DataFrame, distinct: DataFrame, codes: DataFrame, split:
     gets an underscore.
     """
     base, spark = docs, docs.sparkSession
-    often = lambda most, wanted: distinct.filter(wanted).orderBy(F.col("n").desc(), "unit").limit(most)
     bytes_ = F.octet_length("unit")
-    top = often(FREQUENT, bytes_ <= LONG).unionByName(often(FREQUENT >> 9, (bytes_ > LONG) & (bytes_ <= SOME)))
-    table = codes.join(F.broadcast(top), "unit").orderBy(F.col("n").desc(), "unit").select("unit", "ids", "ok").toArrow().combine_chunks()
+    top = most_frequent(distinct.filter(bytes_ <= LONG), FREQUENT).unionByName(most_frequent(distinct.filter((bytes_ > LONG) & (bytes_ <= SOME)), FREQUENT >> 9))
+    table = codes.join(F.broadcast(top), "unit").select("unit", "ids", "ok").toArrow().combine_chunks()
     known = _known(table)
     lookup = spark.sparkContext.broadcast(known[:4])
     encodings = spark.sparkContext.broadcast(known[4:])

@@ -348,7 +348,7 @@ def test_language_query_against_plain_forward_backward(spark, sf_dir):
             low, starts, ends, _ = langid.words_of(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
             small = bytes(low[:-1])
             pairs = zip(b"\0" + small, small + b"\0", strict=True)
-            score.append(model.weights[langid.word_slots(low, starts, ends)[0]].sum(0) + sum(model.bigrams[a << 8 | b] for a, b in pairs))
+            score.append(model.weights[langid.word_slots(low, starts, ends, len(model.weights))[0]].sum(0) + sum(model.bigrams[a << 8 | b] for a, b in pairs))
         r = got[doc_id]
         assert r.held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
         if not score:

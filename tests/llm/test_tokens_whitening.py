@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from placetrail.llm import alignment, bytepairs, unitcodes, whitening
+from placetrail.llm import alignment, bytepairs, whitening
 from placetrail.llm.textops import text_blocks
 
 P = pytest.importorskip("public_tokenizers")
@@ -92,17 +92,17 @@ def test_vocabulary_out_of_order_is_an_error():
     assert 260 not in unreached.merged
 
 
-@pytest.mark.parametrize("frequent", [1 << 17, 3])
-def test_byte_pairs_of_odd_documents(spark, merges, own, frequent, monkeypatch):
-    monkeypatch.setattr(unitcodes, "FREQUENT", frequent)
-    encoded, codes = bytepairs.encode_documents(odd(spark), merges)
-    got = encoded.collect()
+@pytest.mark.parametrize("gather,kept", [(1 << 25, 1 << 27), (1, 1)])
+def test_byte_pairs_of_odd_documents(spark, merges, own, gather, kept, monkeypatch):
+    monkeypatch.setattr(bytepairs, "GATHER", gather)
+    monkeypatch.setattr(bytepairs, "KEPT_BYTES", kept)
+    got = bytepairs.encode_documents(odd(spark), merges).collect()
     want = Counter((i, t, tuple(own.encode_ordinary(t or ""))) for i, t in ODD)
     assert Counter((r.doc_id, r.decoded_, tuple(r.ids_)) for r in got) == want
     assert all(r.round_trip and r.n_pieces == len(r.ids_) and r.n_bytes_ == len((r.decoded_ or "").encode()) and r.map == {"k": 1} for r in got)
     assert all(r[c] == f"mine {c}" for r in got for c in CLASHING)
-    assert all(bytepairs.decode_ids(merges, r.ids).decode() == r.unit for r in codes.collect())
-    assert bytepairs.encode_documents(spark.createDataFrame([], "doc_id long, text string"), merges)[0].count() == 0
+    assert all(bytepairs.decode_ids(merges, r.ids_).decode() == (r.decoded_ or "") for r in got)
+    assert bytepairs.encode_documents(spark.createDataFrame([], "doc_id long, text string"), merges).count() == 0
 
 
 def test_byte_pairs_query_against_the_library(spark, sf_dir, own):
