@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. Each
 result is written as Parquet to the shared folder and read again as the next stage's docs. All stages work on whole
-tables and whole texts, keep columns beyond those they read, and give an empty result for an empty table.
+tables and whole texts, give an empty result for an empty table, and keep columns beyond those they read, whatever their names and types; where
+one has the name of a column that the last stage adds, the new one gets an underscore.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placetrail.llm import langid, mixing, neardup, pieces, repeats
 from placetrail.llm.lineage import cut
+from placetrail.llm.textops import unused
 
 #: A document stays if its language has at least this mean posterior.
 SURE = 0.5
@@ -24,11 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of near duplicates; of several rows with that doc_id the one with the least text
-    stays. Rows without a doc_id link with nothing and stay."""
+    (then the least of the other columns, as JSON) stays. Rows without a doc_id link with nothing and stay."""
     kept = cut(neardup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
     once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
-    several = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").groupBy("doc_id")
-    least = several.agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("least")).select("doc_id", "least.*")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    several = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").select("doc_id", row.alias("row"), F.struct("text", F.to_json(row)).alias("order"))
+    least = several.groupBy("doc_id").agg(F.min_by("row", "order").alias("least")).select("least.*")
     return once.unionByName(least).unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
@@ -36,9 +39,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without their repeated strings of 200 bytes; what is left of a character cut in two goes too, n_chars
     follows the text, and a document of which nothing is left goes."""
     left = repeats.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, repeats.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    out = left.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    removed, kept = (F.col(unused(c, docs.columns)) for c in ("n_removed", "kept"))
+    text = F.when(removed > 0, repeats.whole_characters(kept)).otherwise(F.col("text"))
+    out = left.withColumn("text", text).filter((removed == 0) | (F.length("text") > 0))
+    return out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
