@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +22,8 @@ from ..sources import reads as rd
 from ..sources import tables as tb
 from . import config
 from . import fixtures as fx
-from .fixtures import TOOLS, oracle, rounded, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .fixtures import TOOLS, oracle, table
+from .registry import ORACLES, QUERIES, query
 
 WILSON = """
   round(CASE WHEN {n} = 0 THEN NULL WHEN {k} = 0 THEN 0 ELSE greatest(0, ({k}::DOUBLE/{n} + 3.841458820694124/2/{n} - 1.959963984540054*sqrt({k}::DOUBLE/{n}*(1-{k}::DOUBLE/{n})/{n} + 3.841458820694124/4/{n}/{n})) / (1 + 3.841458820694124/{n})) END, 6) AS {out}_lo,
@@ -38,17 +35,6 @@ RATES = f"""round(n_correct::DOUBLE / greatest(n, 1), 6) AS rate_correct, round(
   {WILSON.format(k="n_misplaced", n="n", out="rate_misplaced")}, round(n_confident_wrong::DOUBLE / nullif(n_confident, 0), 6) AS rate_confident_wrong, {WILSON.format(k="n_confident_wrong", n="n_confident", out="rate_confident_wrong")}"""
 
 
-def query(name: str, sql: str | None = None):
-    def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(spark, sf_dir))
-        QUERIES[name].__doc__ = function.__doc__
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return register
-
-
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.evaluate_all(fx.truth(spark, sf_dir), fx.tools(spark, sf_dir))
 
@@ -1132,3 +1118,9 @@ PLACED = f"""SELECT s.*, c.label, CASE WHEN coalesce(share, 0) <= 0 THEN 'none'
 def truth_free(spark, sf_dir):
     """MAJ-02: disagreement with the majority over all reads and by the strata of its placements."""
     return co.truth_free(_placements(spark, sf_dir), TOOLS, fx.annotations(spark, sf_dir).filter("set_name = 'conf'"), ["conf"])[0]
+
+
+# Queries of files in parts register with these.
+from . import files  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "files"]

@@ -3,11 +3,13 @@ and gives (set_name, contig, start0, end0, label)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .onefile import place, write_lines
 from ..functions.scalars import REPEAT_INTERSPERSED, closed_to_bed, repeat_age, repeat_class, segdup_label
 
 
@@ -110,6 +112,21 @@ def vcf_stats(prepared: DataFrame) -> DataFrame:
     return prepared.agg(F.count_if(~F.col("value").startswith("#")).alias("variants_kept"), F.count_if(F.col("value").isNull()).alias("variants_on_other_contigs"))
 
 
+def write_vcf(prepared: DataFrame, order: str, path: str, stats_path: str) -> None:
+    """A prepared VCF as one gzip file in its order, without the records of other contigs, and its counts as one JSON object. Neither is left if the
+    writing fails."""
+    write_lines(prepared.filter(F.col("value").isNotNull()), [order], path)
+    files, name = place(stats_path)
+    with files.open_output_stream(name) as out:
+        out.write(json.dumps(vcf_stats(prepared).first().asDict(), indent=2).encode())
+
+
+def write_bed_file(records: DataFrame, path: str) -> None:
+    """BED4 as one gzip file in order of place."""
+    columns = ["contig", "start0", "end0", "label"]
+    write_lines(records.select(*columns, F.concat_ws("\t", *columns).alias("value")), columns, path)
+
+
 def write_bed(records: DataFrame, path: str) -> None:
     """BED4 in order of place: range-partitioned, so the files follow each other."""
     records.select("contig", "start0", "end0", "label").orderBy("contig", "start0", "end0").write.mode("overwrite").csv(path, sep="\t")

@@ -143,25 +143,6 @@ def test_long_read_filter_and_halves(spark, tmp_path):
     assert {r.qname: r.half for r in halves.collect()} == {"a": "calibration", "c": "held_out"}
 
 
-def bgzf(raw: bytes) -> bytes:
-    packed = zlib.compressobj(9, zlib.DEFLATED, -15)
-    body = packed.compress(raw) + packed.flush()
-    return b"\x1f\x8b\x08\x04" + b"\0" * 6 + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(raw), len(raw))
-
-
-def test_bam(spark, tmp_path):
-    name = b"read1\0"
-    cigar = [(5, 4), (10, 0)]
-    record = struct.pack("<iiBBHHHiiii", 0, 99, len(name), 60, 0, len(cigar), 16, 15, -1, -1, 0) + name
-    record += b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + bytes([0x12] * 7 + [0x10]) + bytes([30] * 15) + b"NMC\x03" + b"SAZx\0"
-    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000) + struct.pack("<i", len(record)) + record
-    path = tmp_path / "x.bam"
-    path.write_bytes(bgzf(raw) + bgzf(b""))
-    reads.register(spark)
-    got = reads.alignment_table(spark.read.format("bam").load(str(path))).first()
-    assert (got.contig, got.start0, got.end0, got.strand, got.nm, got.clipped, got.split, got.read_len) == ("chr1", 99, 109, "-", 3, 5, True, 15)
-
-
 def test_cigar_walk(spark):
     at, to, ins, dele = profile.walk("2S3M1I2M2D1M")
     assert at.tolist() == [2, 3, 4, 6, 7, 8] and to.tolist() == [0, 1, 2, 3, 4, 7] and ins == [(3, 1)] and dele == [(5, 2)]
