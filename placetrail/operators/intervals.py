@@ -1,45 +1,57 @@
 """Interval algebra: merging, coverage, dominant labels, point counts, complements.
 
-Overlap joins run on bins: both sides are exploded over the bins they touch, joined on (contig, bin), and a pair is kept
-only in the bin where the later of both starts lies, so that it counts once. The bin width is a parameter; widths
-near the longer side's usual length keep the number of exploded rows near the number of intervals.
+Overlap joins run on bins of several widths: every interval stands at the level of the narrowest bins of which it touches two at most, and a pair
+meets at the wider level of its two intervals, so an interval makes a few rows however long it is; a pair is kept only in the bin where the later
+of both starts lies, so that it counts once. What needs totals only (points in an interval, bases of long queries under labels) is a
+sweep: starts, ends and points stand in one order along the genome, running sums say what lies before each, and differences of two sums answer a query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.ordered import ROWS_A_RANGE
+from ..functions.ordered import ROWS_A_RANGE, is_small, running_sums
 from ..functions.scalars import overlap
 
-BIN = 4096
+#: Width of the narrowest bins; each of the LEVELS levels is eight times as wide as the one before.
+BIN, LEVELS = 4096, 8
+#: Bases from which on a query's coverage is swept and not joined.
+LONG_QUERY = 1 << 20
+#: Annotation sets that a plan can name.
+MOST_SETS = 1000
 
 
 def overlap_runs(table: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], touching: bool, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """table(keys, start0, end0, ...) plus run: the start of the run of overlapping (or touching) intervals that a row belongs to. Rows are
     dealt out by ranges of (keys, order), where `order` begins with start0; the furthest end and the last run's start of the ranges
-    before are carried into each, so no contig is one task."""
-    held = cut(table)
-    ranges = max(1, -(-held.count() // rows_a_range))
+    before are carried into each, so no contig is one task. A small table is one range, and nothing is written."""
     columns = [F.col(c) for c in (*keys, *order)]
-    ranged = cut(held.repartitionByRange(ranges, *columns).withColumn("_range", F.spark_partition_id()))
+    small = is_small(table, rows_a_range)
+    ranged = table.withColumn("_range", F.lit(0)) if small else None
+    if ranged is None:
+        ranges = max(1, -(-table.count() // rows_a_range))
+        ranged = cut(table.repartitionByRange(ranges, *columns).withColumn("_range", F.spark_partition_id()))
     inside = W.partitionBy("_range", *keys).orderBy(*order)
     former = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
 
-    def carried(rows: DataFrame, value, name: str) -> DataFrame:
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
         """(_range, keys, name): the largest value over the ranges before, one row for each range and key."""
         return rows.groupBy("_range", *keys).agg(F.max(value).alias("_most")).select("_range", *keys, F.max("_most").over(former).alias(name))
 
+    def with_former(rows: DataFrame, of: DataFrame, value: Column, name: str) -> DataFrame:
+        return rows.withColumn(name, F.lit(None).cast("long")) if small else rows.join(carried(of, value, name), ["_range", *keys])
+
     near = ranged.withColumn("_own", F.max("end0").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     reach = F.greatest("_own", "_before")
     apart = (F.col("start0") > reach) if touching else (F.col("start0") >= reach)
-    met = near.join(carried(ranged, F.col("end0"), "_before"), ["_range", *keys])
-    marked = cut(met.withColumn("_fresh", F.when(reach.isNull() | apart, F.col("start0"))).drop("_own", "_before"))
+    marked = with_former(near, ranged, F.col("end0"), "_before").withColumn("_fresh", F.when(reach.isNull() | apart, F.col("start0")))
     begun = marked.withColumn("_here", F.max("_fresh").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = begun.join(carried(marked, F.col("_fresh"), "_earlier"), ["_range", *keys])
+    runs = with_former(begun, marked, F.col("_fresh"), "_earlier")
     return runs.select(*table.columns, F.coalesce("_here", "_earlier").alias("run"))
 
 
@@ -50,48 +62,98 @@ def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("label", "con
     return runs.groupBy(*keys, "run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("run")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
-    """left(contig, start0, end0, ...) with right(contig, r_start, r_end, ...) wherever they share a base."""
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The level of the narrowest bins that are as long as an interval."""
+    return reduce(lambda out, k: F.when(end - start <= width * 8**k, F.lit(k)).otherwise(out), range(LEVELS - 2, -1, -1), F.lit(LEVELS - 1))
 
-    def bins(start: str, end: str):
-        return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))).alias("bin")
 
-    a = left.filter("end0 > start0").select("*", bins("start0", "end0"))
-    b = right.filter("r_end > r_start").select("*", bins("r_start", "r_end"))
-    met = (F.col("start0") < F.col("r_end")) & (F.col("r_start") < F.col("end0")) & (F.col("bin") == F.floor(F.greatest("start0", "r_start") / width))
-    return a.join(b, ["contig", "bin"]).filter(met).drop("bin")
+def _bins(start: Column, end: Column, level: Column, width: int) -> Column:
+    wide = F.lit(width).cast("long") * F.pow(F.lit(8.0), level).cast("long")
+    return F.sequence(F.floor(start / wide), F.floor((end - 1) / wide))
 
 
-def coverage(queries: DataFrame, intervals: DataFrame, key: str, width: int = BIN) -> DataFrame:
-    """(key, set_name, label, covered): bases of each query under the merged intervals of each label."""
+def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+    """left(contig, start0, end0, ...) with right(contig, r_start, r_end, ...) wherever they share a base. An interval stands in two bins at most of its own
+    level and of those wider levels that the other side has."""
+    a = left.filter("end0 > start0").withColumn("_own", _level(F.col("start0"), F.col("end0"), width))
+    b = right.filter("r_end > r_start").withColumn("_r_own", _level(F.col("r_start"), F.col("r_end"), width))
+
+    def placed(side: DataFrame, own: str, start: str, end: str, other: DataFrame, other_own: str) -> DataFrame:
+        wider = other.agg(F.sort_array(F.collect_set(other_own)).alias("_there"))  # one row
+        levels = F.array_union(F.array(own), F.filter("_there", lambda k: k > F.col(own)))
+        at = side.crossJoin(F.broadcast(wider)).withColumn("_level", F.explode(levels)).drop("_there")
+        return at.withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), F.col("_level"), width)))
+
+    wide = F.lit(width).cast("long") * F.pow(F.lit(8.0), F.col("_level")).cast("long")
+    met = (F.col("start0") < F.col("r_end")) & (F.col("r_start") < F.col("end0")) & (F.greatest("_own", "_r_own") == F.col("_level")) & (F.col("_bin") == F.floor(F.greatest("start0", "r_start") / wide))
+    pairs = placed(a, "_own", "start0", "end0", b, "_r_own").join(placed(b, "_r_own", "r_start", "r_end", a, "_own"), ["contig", "_level", "_bin"])
+    return pairs.filter(met).drop("_level", "_bin", "_own", "_r_own")
+
+
+def _ends(queries: DataFrame, key: str) -> DataFrame:
+    """(key, contig, at, sign): both ends of every query that is not empty."""
+    ends = F.explode(F.array(F.struct(F.col("start0").cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end0").cast("long").alias("at"), F.lit(1).alias("sign")))).alias("e")
+    return queries.filter("end0 > start0").select(key, "contig", ends).select(key, "contig", "e.at", "e.sign")
+
+
+def swept_coverage(queries: DataFrame, merged: DataFrame, key: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(key, set_name, label, covered), as `coverage`, from merged(set_name, label, contig, start0, end0) and the sums before both ends of a query: with s starts
+    and e ends of a label's intervals before place x, x * (s - e) minus the sum of those starts plus that of those ends is what the label covers before x. A query
+    makes two rows for every label of its contig and an interval two, whatever their lengths."""
+    names = ["set_name", "label", "contig"]
+    edges = F.explode(F.array(F.struct(F.col("start0").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end0").alias("at"), F.lit(-1).alias("step")))).alias("e")
+    walls = merged.select(*names, edges).groupBy(*names, F.col("e.at").cast("long").alias("at")).agg(F.sum("e.step").alias("step"), F.sum(F.col("e.step") * F.col("e.at")).cast("long").alias("moment"))
+    asked = _ends(queries, key).join(merged.select(*names).distinct(), "contig")
+    events = asked.select(*names, "at", key, "sign", F.lit(0).cast("long").alias("step"), F.lit(0).cast("long").alias("moment"), F.lit(0).alias("kind")).unionByName(
+        walls.withColumn("kind", F.lit(1)), allowMissingColumns=True
+    )
+    order = [*map(F.col, names), F.col("at"), F.col("kind"), F.xxhash64(key)]
+    before = running_sums(events, order, {"open": F.col("step"), "moments": F.col("moment")}, rows_a_range).filter("kind = 0")
+    upto = F.col("at") * F.col("open") - F.col("moments")
+    return before.groupBy(key, "set_name", "label").agg(F.sum(F.col("sign") * upto).alias("covered")).filter("covered > 0")
+
+
+def coverage(queries: DataFrame, intervals: DataFrame, key: str, width: int = BIN, carry: tuple[str, ...] = (), long_query: int = LONG_QUERY) -> DataFrame:
+    """(key, carry, set_name, label, covered): bases of each query under the merged intervals of each label. Queries of `long_query` bases or more are
+    swept, as they meet too many intervals for a join; `carry` are further columns of a query, the same for all rows of its key."""
     merged = merge_intervals(intervals, ("set_name", "label", "contig"))
     right = merged.select("set_name", "label", "contig", F.col("start0").alias("r_start"), F.col("end0").alias("r_end"))
-    pairs = overlap_join(queries.select(key, "contig", "start0", "end0"), right, width)
+    size = F.col("end0") - F.col("start0")
+    pairs = overlap_join(queries.filter(size < long_query).select(key, "contig", "start0", "end0", *carry), right, width)
     shared = overlap(F.col("start0"), F.col("end0"), F.col("r_start"), F.col("r_end"))
-    return pairs.groupBy(key, "set_name", "label").agg(F.sum(shared).alias("covered"))
+    short = pairs.groupBy(key, *carry, "set_name", "label").agg(F.sum(shared).alias("covered"))
+    long = queries.filter(size >= long_query)
+    if long.isEmpty():
+        return short
+    swept = swept_coverage(long, merged, key)
+    return short.unionByName(swept.join(long.select(key, *carry).distinct(), key) if carry else swept)
 
 
 def dominant_labels(queries: DataFrame, intervals: DataFrame, key: str, least: float = 0.5, width: int = BIN) -> DataFrame:
     """(key, set_name, label, fraction) for every query and set: the label that covers most of the query, ties to the
-    smaller label; `none` below `least`, with the fraction kept."""
-    sets = intervals.select("set_name").distinct()
-    covered = coverage(queries, intervals, key, width)
-    sized = covered.join(queries.select(key, F.greatest(F.col("end0") - F.col("start0"), F.lit(1)).alias("length")), key)
+    smaller label; `none` below `least`, with the fraction kept. Queries of one key have one length. The sets' names, a handful, stand in the plan."""
+    names = sorted(r.set_name for r in intervals.select("set_name").distinct().limit(MOST_SETS + 1).collect())
+    if len(names) > MOST_SETS:
+        raise ValueError("too many annotation sets")
+    sized = queries.withColumn("length", F.greatest(F.col("end0") - F.col("start0"), F.lit(1)))
+    covered = coverage(sized, intervals, key, width, carry=("length",))
     share = F.col("covered").cast("double") / F.col("length")
-    # The set list is a handful of names; every query gets a row for each.
-    best = sized.groupBy(key, "set_name").agg(F.max(F.struct(share.alias("fraction"), F.col("covered"))).alias("top"), F.min_by("label", F.struct(-share, F.col("label"))).alias("label"))
-    every = queries.select(key).crossJoin(F.broadcast(sets))
-    found = every.join(best, [key, "set_name"], "left").select(key, "set_name", "label", F.coalesce("top.fraction", F.lit(0.0)).alias("fraction"))
+    own = covered.groupBy(key).agg(F.collect_list(F.struct("set_name", (-share).alias("share"), "label")).alias("own"))
+    joined = queries.select(key).join(own, key, "left")
+    every = joined.select(key, F.explode(F.array(*map(F.lit, names))).alias("set_name"), "own") if names else joined.select(key, F.lit(None).cast("string").alias("set_name"), "own").limit(0)
+    best = F.array_min(F.filter("own", lambda x: x["set_name"] == F.col("set_name")))
+    found = every.withColumn("best", best).select(key, "set_name", F.col("best.label").alias("label"), F.coalesce(-F.col("best.share"), F.lit(0.0)).alias("fraction"))
     return found.withColumn("label", F.when(F.col("fraction") >= least, F.col("label")).otherwise("none"))
 
 
-def count_points(queries: DataFrame, points: DataFrame, key: str, width: int = BIN) -> DataFrame:
-    """(key, n_points): points(contig, pos) inside each query, with multiplicity; 0 where there is none. Equal points are
-    counted before the join."""
-    once = points.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("pos") / width))
-    bins = F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor((F.col("end0") - 1) / width)))
-    asked = queries.filter("end0 > start0").select(key, "contig", "start0", "end0", bins.alias("bin"))
-    hits = asked.join(once, ["contig", "bin"]).filter("pos >= start0 and pos < end0").groupBy(key).agg(F.sum("n").alias("n_points"))
+def count_points(queries: DataFrame, points: DataFrame, key: str, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """(key, n_points): points(contig, pos) inside each query, with multiplicity; 0 where there is none. Points and the ends of queries stand in one order along the
+    genome; the points before a query's end less those before its start are its own. A query makes two rows, whatever its length."""
+    once = points.groupBy("contig", F.col("pos").cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
+    events = _ends(queries, key).withColumns({"n": F.lit(0).cast("long"), "kind": F.lit(0)}).unionByName(once, allowMissingColumns=True)
+    order = [F.col("contig"), F.col("at"), F.col("kind"), F.xxhash64(key)]
+    before = running_sums(events, order, {"below": F.col("n")}, rows_a_range).filter("kind = 0")
+    hits = before.groupBy(key).agg(F.sum(F.col("sign") * F.col("below")).alias("n_points"))
     return queries.select(key).join(hits, key, "left").select(key, F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"))
 
 

@@ -14,7 +14,7 @@ def set_labels(queries: DataFrame, annotations: DataFrame, key: str, least: floa
     one label, `none` becomes `outside_<label>`."""
     found = iv.dominant_labels(queries, annotations, key, least)
     single = annotations.groupBy("set_name").agg(F.countDistinct("label").alias("labels"), F.min("label").alias("only"))
-    named = found.join(F.broadcast(single), "set_name")
+    named = found.join(single, "set_name")
     label = F.when((F.col("labels") == 1) & (F.col("label") == "none"), F.concat(F.lit("outside_"), F.col("only"))).otherwise(F.col("label"))
     return named.select(key, "set_name", label.alias("label"), cover_bin(F.col("fraction")).alias("cover"))
 
@@ -46,8 +46,8 @@ def stratum_columns(columns: list[str], sets: list[str]) -> list[str]:
 def build_strata(parsed: DataFrame, names: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, stats) of parsed(set_name, contig, start0, end0, label): contigs are resolved by names(name, canonical), those
     of other references dropped and counted; an empty or negative interval and one past its contig's end fail."""
-    resolved = parsed.join(F.broadcast(names.withColumnRenamed("name", "contig")), "contig", "left")
-    sized = resolved.join(F.broadcast(lengths.select(F.col("contig").alias("canonical"), "length")), "canonical", "left")
+    resolved = parsed.join(names.withColumnRenamed("name", "contig"), "contig", "left")
+    sized = resolved.join(lengths.select(F.col("contig").alias("canonical"), "length"), "canonical", "left")
     good = (
         F.when(F.col("canonical").isNull(), True)
         .when((F.col("start0") < 0) | (F.col("end0") <= F.col("start0")), F.raise_error(F.lit("empty or negative interval")).cast("boolean"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ def genotype_rows(records: DataFrame, names: DataFrame) -> DataFrame:
     alleles = F.split(F.translate(F.split_part("genotype", F.lit(":"), F.lit(1)), "|", "/"), "/")
     alts = F.split("alts", ",")
     clean = ~F.exists(alleles, lambda a: a == ".") & ~F.exists(alts, lambda a: ~a.rlike("^[ACGTacgt]+$")) & F.col("ref").rlike("^[ACGTNacgtn]+$")
-    found = records.join(F.broadcast(names.withColumnRenamed("name", "contig")), "contig", "left")
+    found = records.join(names.withColumnRenamed("name", "contig"), "contig", "left")
     numbers = F.transform(alleles, lambda a: F.when(a.rlike("^[0-9]+$"), a).otherwise("0").cast("int"))
     both = F.when(F.size(numbers) == 1, F.array(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(0)))).otherwise(numbers)
     status = F.when(F.col("canonical").isNull(), "off_reference").when(~clean, "skipped_other").when(F.forall(numbers, lambda a: a == 0), "homozygous_reference").otherwise("used")
@@ -52,34 +50,42 @@ def keep_apart(variants: DataFrame) -> DataFrame:
     return runs.select("contig", "hap", F.explode(F.aggregate(own, first, step, lambda s: s["out"])).alias("v")).select("contig", "hap", "v.*")
 
 
-def apply_variants(ref: str, start0: int, variants: list[tuple[int, int, str]]) -> tuple[str, list[int], int]:
-    """Bases, their reference positions and the number of applied variants of one reference window. Inserted bases take the
-    position of the last base they replace; variants that overlap a former one or leave the window are passed over."""
-    bases, positions, at, applied = [], [], 0, 0
-    for begin, length, alt in variants:
-        offset = begin - start0
-        if offset < at or offset + length > len(ref):
-            continue
-        bases += [ref[at:offset], alt]
-        positions += [*range(start0 + at, begin), *(begin + min(i, length - 1) for i in range(len(alt)))]
-        at, applied = offset + length, applied + 1
-    return "".join([*bases, ref[at:]]), [*positions, *range(start0 + at, start0 + len(ref))], applied
+def _run(first: Column, n: Column) -> Column:
+    """first, first + 1, ... of n numbers; none where n is 0."""
+    return F.when(n > 0, F.sequence(first.cast("long"), (first + n - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def apply_to_windows(windows: DataFrame, kept: DataFrame) -> DataFrame:
-    """windows(window_id, contig, hap, start0, seq) plus sample_seq, positions and n_variants. A window's variants are gathered by an
-    overlap join, then applied row by row in Arrow batches."""
+    """windows(window_id, contig, hap, start0, seq) plus sample_seq, positions (array<long>: the reference position of every base of it) and n_variants.
+
+    A window's variants are gathered by an overlap join and folded into a map of pieces: each holds the reference bases since the piece before and one
+    variant's bases. Inserted bases take the position of the last base that they replace. A variant that begins before a former one ends, or leaves the window, is passed
+    over. window_id is a key of windows.
+    """
     from .intervals import overlap_join
 
     spans = windows.withColumn("end0", F.col("start0") + F.length("seq"))
     right = kept.filter("kept").select("contig", F.col("hap").alias("v_hap"), F.col("start0").alias("r_start"), (F.col("start0") + F.greatest("ref_len", F.lit(1))).alias("r_end"), "ref_len", "alt")
     hits = overlap_join(spans.select("window_id", "contig", "hap", "start0", "end0"), right).filter("hap = v_hap and r_start >= start0")
-    own = hits.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("s"), "ref_len", "alt"))).alias("own"))
-
-    @F.pandas_udf("sample_seq string, positions array<long>, n_variants int")
-    def place(seq: pd.Series, start: pd.Series, own: pd.Series) -> pd.DataFrame:
-        done = [apply_variants(s, int(b), [(int(v["s"]), int(v["ref_len"]), v["alt"]) for v in (o if o is not None else [])]) for s, b, o in zip(seq, start, own, strict=True)]
-        return pd.DataFrame({"sample_seq": [d[0] for d in done], "positions": [np.array(d[1], np.int64) for d in done], "n_variants": [d[2] for d in done]})
+    own = hits.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct((F.col("r_start") - F.col("start0")).cast("int").alias("offset"), F.col("ref_len").cast("int").alias("ref_len"), "alt"))).alias("own_"))
+    size, seq, start = F.length("seq"), F.col("seq"), F.col("start0")
+    pieces = "array<struct<front: int, offset: int, ref_len: int, alt: string>>"
 
-    joined = windows.join(own, "window_id", "left").withColumn("x", place("seq", "start0", "own"))
-    return joined.select(*windows.columns, "x.*")
+    def step(state: Column, v: Column) -> Column:
+        good = (v["offset"] >= state["at"]) & (v["offset"] + v["ref_len"] <= size)
+        piece = F.struct(state["at"].alias("front"), v["offset"].alias("offset"), v["ref_len"].alias("ref_len"), v["alt"].alias("alt"))
+        return F.when(good, F.struct((v["offset"] + v["ref_len"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))).otherwise(state)
+
+    none = F.array().cast("array<struct<offset: int, ref_len: int, alt: string>>")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(pieces).alias("out"))
+    mapped = windows.join(own, "window_id", "left").withColumn("map_", F.aggregate(F.coalesce("own_", none), first, step))
+    out, at = F.col("map_")["out"], F.col("map_")["at"]
+    bases = F.transform(out, lambda p: F.concat(F.substring(seq, p["front"] + 1, p["offset"] - p["front"]), p["alt"]))
+    placed = lambda p: F.transform(_run(F.lit(0), F.length(p["alt"])), lambda i: start + p["offset"] + F.least(i, F.greatest(p["ref_len"] - 1, F.lit(0))))
+    positions = F.transform(out, lambda p: F.concat(_run(start + p["front"], p["offset"] - p["front"]), placed(p)))
+    return mapped.select(
+        *windows.columns,
+        F.concat(F.array_join(bases, ""), F.substring(seq, at + 1, size)).alias("sample_seq"),
+        F.concat(F.flatten(positions), _run(start + at, size - at)).alias("positions"),
+        F.size(out).alias("n_variants"),
+    )

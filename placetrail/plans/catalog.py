@@ -204,6 +204,12 @@ def coverage(spark, sf_dir):
     return iv.coverage(fx.truth(spark, sf_dir), fx.annotations(spark, sf_dir), "rid")
 
 
+@query("int02_swept_coverage", oracle("SELECT rid, set_name, label, covered FROM covered", "covered"))
+def swept_coverage(spark, sf_dir):
+    """INT-02: the same from running sums along the genome, as for queries of any length."""
+    return iv.coverage(fx.truth(spark, sf_dir), fx.annotations(spark, sf_dir), "rid", long_query=1)
+
+
 @query("int03_dominant_label", oracle("SELECT rid, set_name, label, round(fraction, 6) AS fraction FROM dominant", "dominant"))
 def dominant(spark, sf_dir):
     return iv.dominant_labels(fx.truth(spark, sf_dir), fx.annotations(spark, sf_dir), "rid")
@@ -878,24 +884,33 @@ def haplotypes(spark, sf_dir):
     return va.haplotype_variants(_records(spark, sf_dir))
 
 
-@query(
-    "var02_keep_apart",
-    f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY contig, hap ORDER BY start0, ref_len, alt) AS i FROM ({HAPS})),
+KEPT = f"""v AS (SELECT *, row_number() OVER (PARTITION BY contig, hap ORDER BY start0, ref_len, alt) AS i FROM ({HAPS})),
     r AS (SELECT contig, hap, start0, ref_len, alt, true AS kept, start0 + ref_len AS reach, i FROM v WHERE i = 1
-      UNION ALL SELECT v.contig, v.hap, v.start0, v.ref_len, v.alt, v.start0 >= r.reach, CASE WHEN v.start0 >= r.reach THEN v.start0 + v.ref_len ELSE r.reach END, v.i FROM r JOIN v ON v.contig = r.contig AND v.hap = r.hap AND v.i = r.i + 1)
-    SELECT contig, hap, start0, ref_len, alt, kept FROM r""",
-)
+      UNION ALL SELECT v.contig, v.hap, v.start0, v.ref_len, v.alt, v.start0 >= r.reach, CASE WHEN v.start0 >= r.reach THEN v.start0 + v.ref_len ELSE r.reach END, v.i FROM r JOIN v ON v.contig = r.contig AND v.hap = r.hap AND v.i = r.i + 1)"""
+
+
+@query("var02_keep_apart", f"WITH RECURSIVE {KEPT} SELECT contig, hap, start0, ref_len, alt, kept FROM r")
 def keep_apart(spark, sf_dir):
     """VAR-02: greedy selection of variants that do not overlap."""
     return va.keep_apart(va.haplotype_variants(_records(spark, sf_dir)))
 
 
-@query("var03_apply")
+@query(
+    "var03_apply",
+    f"""WITH RECURSIVE {oracle("", "truth").removeprefix("WITH ").strip()}, {KEPT},
+    w AS (SELECT rid AS window_id, contig, (rid % 2)::INT AS hap, start0, rpad(translate(rid::VARCHAR, '0123456789', 'ACGTACGTAC') || repeat('ACGT', 30), 120, 'A') AS seq FROM truth),
+    h AS (SELECT window_id, r.start0 - w.start0 AS off, ref_len, alt FROM w JOIN r ON r.kept AND r.contig = w.contig AND r.hap = w.hap AND r.start0 >= w.start0 AND r.start0 + r.ref_len <= w.start0 + 120),
+    f AS (SELECT *, coalesce(lag(off + ref_len) OVER (PARTITION BY window_id ORDER BY off), 0) AS front FROM h),
+    g AS (SELECT window_id, count(*) AS n_variants, max(off + ref_len) AS last_end, string_agg(substr(seq, front + 1, off - front) || alt, '' ORDER BY off) AS bases,
+      flatten(list(list_concat(range(start0 + front, start0 + off), list_transform(range(len(alt)), lambda i: start0 + off + least(i, ref_len - 1))) ORDER BY off)) AS places FROM f JOIN w USING (window_id) GROUP BY window_id)
+    SELECT window_id, coalesce(n_variants, 0) AS n_variants, coalesce(bases, '') || substr(seq, coalesce(last_end, 0) + 1) AS sample_seq,
+      array_to_string(list_concat(coalesce(places, []::BIGINT[]), range(start0 + coalesce(last_end, 0), start0 + 120)), ',') AS positions FROM w LEFT JOIN g USING (window_id)""",
+)
 def apply_variants(spark, sf_dir):
-    """VAR-03: sample sequences of reference windows; held against a plain version in the tests."""
+    """VAR-03: sample sequences of reference windows, and the reference position of every base."""
     windows = fx.truth(spark, sf_dir).select(F.col("rid").alias("window_id"), "contig", (F.col("rid") % 2).cast("int").alias("hap"), "start0", F.rpad(F.translate(F.col("rid").cast("string"), "0123456789", "ACGTACGTAC"), 120, "ACGT").alias("seq"))
     out = va.apply_to_windows(windows, va.keep_apart(va.haplotype_variants(_records(spark, sf_dir))))
-    return out.select("window_id", "n_variants", F.length("sample_seq").alias("length"), F.size("positions").alias("places"))
+    return out.select("window_id", "n_variants", "sample_seq", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 # Profiles and simulation ---------------------------------------------------------------------------------------------

@@ -156,17 +156,29 @@ def test_greedy_variants(spark):
     assert {(r.hap, r.start0): r.kept for r in got.collect()} == {(0, 0): True, (0, 5): False, (0, 12): True, (0, 13): False, (1, 5): True}
 
 
-def test_apply_variants():
-    seq, places, n = variants.apply_variants("ACGTACGT", 100, [(101, 1, "TT"), (103, 3, "G"), (107, 5, "A")])
-    assert (seq, n) == ("ATTGGGT", 2) and places == [100, 101, 101, 102, 103, 106, 107]
-
-
-@pytest.fixture(scope="module")
-def genome(spark):
-    rng = np.random.default_rng(3)
-    seq = "".join(rng.choice(list("ACGT"), 20000))
-    lines = [(0, ">c1 x")] + [(i + 1, seq[k : k + 70]) for i, k in enumerate(range(0, len(seq), 70))] + [(9000, ">c2"), (9001, "ACGTN" * 2000)]
-    return seq, reads.fasta_chunks(spark.createDataFrame(lines, "at long, value string"), "at", 512)
+def plain_apply(ref: str, start0: int, own: list[tuple[int, int, str]]) -> tuple[str, list[int], int]:
+    bases, positions, at, applied = "", [], 0, 0
+    for begin, length, alt in sorted(own):
+        offset = begin - start0
+        if offset < at or offset + length > len(ref):
+            continue
+        bases += ref[at:offset] + alt
+        positions += [*range(start0 + at, begin), *(begin + min(i, length - 1) for i in range(len(alt)))]
+        at, applied = offset + length, applied + 1
+    return bases + ref[at:], [*positions, *range(start0 + at, start0 + len(ref))], applied
+
+
+def test_apply_variants(spark):
+    rng = np.random.default_rng(4)
+    refs = {i: (int(rng.integers(0, 60)), "".join(rng.choice(list("ACGT"), int(rng.integers(1, 40)))), i % 2) for i in range(60)}
+    own = [("c", int(h), int(s), int(n), "".join(rng.choice(list("ACGT"), int(k)))) for h, s, n, k in zip(rng.integers(0, 2, 90), rng.integers(0, 110, 90), rng.integers(1, 6, 90), rng.integers(1, 5, 90), strict=True)]
+    windows = spark.createDataFrame([(i, "c", h, s, q) for i, (s, q, h) in refs.items()] + [(99, "none", 0, 7, "ACG")], "window_id int, contig string, hap int, start0 long, seq string")
+    kept = spark.createDataFrame([(*v, True) for v in own] + [("c", 0, 3, 1, "A", False)], "contig string, hap int, start0 long, ref_len int, alt string, kept boolean")
+    got = {r.window_id: (r.sample_seq, list(r.positions), r.n_variants) for r in variants.apply_to_windows(windows, kept).collect()}
+    want = {i: plain_apply(q, s, [v[2:] for v in own if v[1] == h and s <= v[2] < s + len(q)]) for i, (s, q, h) in refs.items()}
+    assert got == want | {99: ("ACG", [7, 8, 9], 0)} and any(n for _, _, n in want.values())
+    seq, places, n = plain_apply("GGCATTAC", 40, [(41, 1, "TT"), (43, 3, "G"), (47, 5, "A")])
+    assert (seq, places, n) == ("GTTCGAC", [40, 41, 41, 42, 43, 46, 47], 2)
 
 
 def test_reference_bases_of_intervals(spark, genome):
