@@ -127,7 +127,7 @@ def provider_agreement(placements: DataFrame, provider: DataFrame, least: float
 
 def transfer_observables(tidy: DataFrame, pairs: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Observables of pairs(simulated, real) of datasets side by side, and the distance of their MAPQ histograms."""
-    paired = lambda side: tidy.join(F.broadcast(pairs), F.col("dataset") == F.col(side)).select("simulated", "real", "aligner", "metric", "key", "value")
+    paired = lambda side: tidy.join(pairs, F.col("dataset") == F.col(side)).select("simulated", "real", "aligner", "metric", "key", "value")
     sim, real = paired("simulated").withColumnRenamed("value", "s"), paired("real").withColumnRenamed("value", "r")
     by = ["simulated", "real", "aligner"]
     scalar = sim.filter(F.col("metric").isin(*SHARES, RATE)).join(real, [*by, "metric", "key"])
@@ -147,7 +147,7 @@ def transfer_strata(truth_strata: DataFrame, summary: DataFrame, pairs: DataFram
     key = ["aligner", "stratum_set", "stratum"]
     side = lambda name: summary.select(F.col("dataset").alias(name), *key, F.col("n_consensus").alias(f"{name}_n"), F.col("n_disagree").alias(f"{name}_off"))
     truth = truth_strata.select(F.col("dataset").alias("simulated"), *key, "n", "n_misplaced")
-    three = truth.join(F.broadcast(pairs), "simulated").join(side("simulated"), ["simulated", *key]).join(side("real"), ["real", *key])
+    three = truth.join(pairs, "simulated").join(side("simulated"), ["simulated", *key]).join(side("real"), ["real", *key])
     enough = three.filter((F.col("n") >= least_reads) & (F.col("simulated_n") >= least_reads) & (F.col("real_n") >= least_reads))
     joined = enough.select(
         "simulated",

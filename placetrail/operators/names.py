@@ -11,7 +11,7 @@ from ..functions.scalars import name_spellings
 def aliases(groups: DataFrame, reference: DataFrame) -> DataFrame:
     """(alias, canonical): names of groups(group_id, name) that name exactly one sequence of reference(name), directly or, where
     none does directly, by a derived spelling."""
-    known = F.broadcast(reference.select(F.col("name").alias("hit")))
+    known = reference.select(F.col("name").alias("hit"))
     direct = groups.join(known, F.col("name") == F.col("hit"))
     derived = groups.select("group_id", F.explode(name_spellings(F.col("name"))).alias("name")).join(known, F.col("name") == F.col("hit"))
     derived = derived.join(direct.select("group_id").distinct(), "group_id", "left_anti")
@@ -32,10 +32,10 @@ def name_table(reference: DataFrame, alias_table: DataFrame | None = None) -> Da
 
 def resolve(rows: DataFrame, names: DataFrame, column: str = "contig") -> DataFrame:
     """rows plus `canonical`, null for unknown names. The name table has a few rows for each contig."""
-    return rows.join(F.broadcast(names.withColumnRenamed("name", column)), column, "left")
+    return rows.join(names.withColumnRenamed("name", column), column, "left")
 
 
 def unresolved(rows: DataFrame, names: DataFrame, column: str = "contig", top: int = 8) -> DataFrame:
     """The most frequent unknown names."""
-    lost = rows.join(F.broadcast(names.select(F.col("name").alias(column))), column, "left_anti")
+    lost = rows.join(names.select(F.col("name").alias(column)), column, "left_anti")
     return lost.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(top)

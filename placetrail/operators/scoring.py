@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import iou, misplaced_kind, outcome, phred, unphred, wilson
 
 CONFIDENT = 30
+#: Names that a grid can have on its short side.
+MOST_NAMES = 5000
 KEY = ["qname", "mate"]
 COUNTS = ["n", "n_correct", "n_misplaced", "n_unmapped", "n_confident", "n_confident_wrong"]
 #: The MAPQ bands of the report and of the calibration curve.
@@ -28,7 +32,11 @@ def evaluate(truth: DataFrame, alignments: DataFrame, least: float = 0.1, valida
     placed = alignments.select(*KEY, "mapped", F.col("contig").alias("aln_contig"), F.col("start0").alias("aln_start"), F.col("end0").alias("aln_end"), F.col("strand").alias("aln_strand"), "mapq", "nm", "clipped", "split")
     if validate:
         truth, placed = assert_unique(truth, KEY), assert_unique(placed, KEY)
-    both = truth.join(placed, KEY, "left")
+    return _scored(truth.join(placed, KEY, "left"), [], least)
+
+
+def _scored(both: DataFrame, also: list[str], least: float) -> DataFrame:
+    """Outcome rows of reads with one placement each, or none."""
     mapped = F.coalesce("mapped", F.lit(False))
     same = mapped & (F.col("contig") == F.col("aln_contig"))
     share = F.when(same, iou(F.col("start0"), F.col("end0"), F.col("aln_start"), F.col("aln_end"))).otherwise(0.0)
@@ -36,6 +44,7 @@ def evaluate(truth: DataFrame, alignments: DataFrame, least: float = 0.1, valida
     result = outcome(F.col("mapped"), F.col("same_"), F.col("share_"), least)
     kept = lambda name, absent: F.when(F.col("mapped"), F.col(name)).otherwise(F.lit(absent))
     return scored.select(
+        *also,
         *KEY,
         result.alias("outcome"),
         F.coalesce("mapq", F.lit(0)).cast("short").alias("mapq"),
@@ -52,12 +61,14 @@ def evaluate(truth: DataFrame, alignments: DataFrame, least: float = 0.1, valida
 
 
 def evaluate_all(truth: DataFrame, tools: dict[str, DataFrame], least: float = 0.1) -> DataFrame:
-    """The outcome rows of every tool, with an `aligner` column."""
-    parts = [evaluate(truth, table, least).withColumn("aligner", F.lit(name)) for name, table in tools.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The outcome rows of every tool, with an `aligner` column. Placements of all tools are gathered by read, a few rows each, and joined to truth once."""
+    fields = ["mapped", F.col("contig").alias("aln_contig"), F.col("start0").alias("aln_start"), F.col("end0").alias("aln_end"), F.col("strand").alias("aln_strand"), "mapq", "nm", "clipped", "split"]
+    long = reduce(DataFrame.unionByName, [t.select(*KEY, F.struct(F.lit(name).alias("aligner"), *fields).alias("hit")) for name, t in tools.items()])
+    own = long.groupBy(*KEY).agg(F.collect_list("hit").alias("hits"))
+    each = truth.join(own, KEY, "left").withColumn("aligner", F.explode(F.array(*map(F.lit, tools))))
+    hits = F.filter("hits", lambda x: x["aligner"] == F.col("aligner"))
+    both = each.withColumn("hit", F.explode_outer(hits)).select("*", *[F.col("hit")[f].alias(f) for f in ("mapped", "aln_contig", "aln_start", "aln_end", "aln_strand", "mapq", "nm", "clipped", "split")])
+    return _scored(both, ["aligner"], least)
 
 
 def outcome_counts() -> list[Column]:
@@ -84,9 +95,14 @@ def misplaced_kinds(outcomes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def strata_counts(labelled: DataFrame, by: list[str], strata: list[str]) -> DataFrame:
-    """Counts for every label of every stratum column, in one pass: columns are stacked, null labels left out."""
-    stacked = labelled.unpivot([*by, "outcome", "mapq"], strata, "stratum_set", "stratum").filter("stratum is not null")
-    return stacked.groupBy(*by, "stratum_set", "stratum").agg(*outcome_counts())
+    """Counts for every label of every stratum column, null labels left out. Reads are counted by all labels and outcomes at once; then only those counts
+    are stacked."""
+    confident = (F.col("outcome") != "unmapped") & (F.col("mapq") >= CONFIDENT)
+    counted = labelled.groupBy(*by, *strata, "outcome", F.coalesce(confident, F.lit(False)).alias("confident")).agg(F.count(F.lit(1)).alias("rows"))
+    stacked = counted.unpivot([*by, "outcome", "confident", "rows"], strata, "stratum_set", "stratum").filter("stratum is not null")
+    wrong = F.col("outcome") == "misplaced"
+    tests = {"n": F.lit(True), "n_correct": F.col("outcome") == "correct", "n_misplaced": wrong, "n_unmapped": F.col("outcome") == "unmapped", "n_confident": F.col("confident"), "n_confident_wrong": F.col("confident") & wrong}
+    return stacked.groupBy(*by, "stratum_set", "stratum").agg(*[F.sum(F.when(test, F.col("rows")).otherwise(0)).alias(name) for name, test in tests.items()])
 
 
 def add_rates(counts: DataFrame) -> DataFrame:
@@ -211,7 +227,15 @@ def dataset_pairs(simulated: DataFrame, real: DataFrame, on: list[str]) -> DataF
 
 
 def full_grid(counted: DataFrame, rows: DataFrame, columns: DataFrame, value: str) -> DataFrame:
-    """Every row of `rows` with every row of `columns`, two short name lists, and `value` of counted, 0 where nothing was counted."""
+    """Every row of `rows` with every row of `columns`, a name list of MOST_NAMES rows at most, and `value` of counted, 0 where nothing was counted."""
     names = [*rows.columns, *columns.columns]
-    every = rows.withColumn("_all", F.lit(1)).join(F.broadcast(columns.withColumn("_all", F.lit(1))), "_all").drop("_all")
-    return every.join(counted, names, "left").select(*names, F.coalesce(value, F.lit(0)).alias(value))
+    return with_names(rows, columns).join(counted, names, "left").select(*names, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows once for every row of a short list of names, which stands in the plan."""
+    held = names.limit(MOST_NAMES + 1).collect()
+    if len(held) > MOST_NAMES:
+        raise ValueError("too many names for a grid")
+    each = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in held])
+    return rows.withColumn("_each", F.explode(each)).select(*rows.columns, "_each.*") if held else rows.join(names, F.lit(False))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scoring import with_names
+
 
 def check(config: dict) -> None:
     """Fail on names, types and links between the parts that cannot work."""
@@ -53,6 +55,6 @@ def datasets(config: dict) -> list[dict]:
 
 def dataset_grid(genomes: DataFrame, platforms: DataFrame, levels: list[str]) -> DataFrame:
     """(dataset, genome, platform, divergence) for every genome(genome), platform(platform) and divergence level."""
-    each = genomes.withColumn("_all", F.lit(1)).join(F.broadcast(platforms.withColumn("_all", F.lit(1))), "_all").drop("_all")
+    each = with_names(genomes, platforms.select("platform"))
     rows = each.withColumn("divergence", F.explode(F.array(*map(F.lit, levels))))
     return rows.select(F.concat_ws("-", F.lit("sim"), "genome", "platform", F.concat(F.lit("d"), "divergence")).alias("dataset"), "genome", "platform", "divergence")

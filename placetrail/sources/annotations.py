@@ -100,8 +100,8 @@ def prepare_vcf(text: DataFrame, order: str, names: DataFrame, lengths: DataFram
     value, and one past its contig's end fails, as the file then belongs to another assembly."""
     rows = text.filter(~F.col("value").startswith("##contig"))
     parts = F.split("value", "\t", 3)
-    named = rows.withColumn("name", F.when(~F.col("value").startswith("#"), parts[0])).join(F.broadcast(names), "name", "left")
-    sized = named.join(F.broadcast(lengths.select(F.col("contig").alias("canonical"), "length")), "canonical", "left")
+    named = rows.withColumn("name", F.when(~F.col("value").startswith("#"), parts[0])).join(names, "name", "left")
+    sized = named.join(lengths.select(F.col("contig").alias("canonical"), "length"), "canonical", "left")
     beyond = F.concat(F.lit("variant at "), "name", F.lit(":"), parts[1], F.lit(" lies beyond the end of "), "canonical")
     record = F.when(F.col("canonical").isNull(), None).when(parts[1].cast("long") > F.col("length"), F.raise_error(beyond)).otherwise(F.concat_ws("\t", "canonical", parts[1], F.get(parts, F.lit(2))))
     return sized.select(order, F.when(F.col("name").isNull(), F.col("value")).otherwise(record).alias("value"))
