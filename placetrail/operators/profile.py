@@ -7,11 +7,11 @@ their alignments into such cells, so only cells are shuffled.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +21,6 @@ from .statistics import max_gap, pearson, total_variation
 # Limits of the model.
 MOST_QUALITY, CYCLES, QUARTERS, RUNS, INDEL = 94, 400, 4, 10, 50
 PSEUDO = 500.0
-_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 _CODE = np.full(256, 4, np.int64)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
@@ -29,29 +28,29 @@ for _i, _b in enumerate(b"ACGT"):
 CELLS = "kind string, mate int, a int, b int, c int, n long"
 
 
-def walk(cigar: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-    """Read and reference offsets of all aligned pairs; (reference offset, length) of insertions and of deletions."""
-    read = ref = 0
-    reads, refs, inserted, deleted = [], [], [], []
-    for size, op in ((int(a), b) for a, b in _CIGAR.findall(cigar)):
-        if op in "M=X":
-            reads.append(np.arange(read, read + size))
-            refs.append(np.arange(ref, ref + size))
-        elif op == "I":
-            inserted.append((ref, size))
-        elif op == "D":
-            deleted.append((ref, size))
-        read += size * (op in "MIS=X")
-        ref += size * (op in "MDN=X")
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(reads or none), np.concatenate(refs or none), inserted, deleted
-
-
-def run_lengths(codes: np.ndarray) -> np.ndarray:
-    """For every base, the length of the run of equal bases around it."""
+#: Bases of reads and references that a task lays out at a time.
+BLOCK_BASES = 1 << 20
+
+
+def spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of so many numbers for every run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - ends + sizes, sizes)
+
+
+def sums_before(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Within rows values[bounds[i] : bounds[i + 1]], the sum of the values before each."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return total[:-1] - np.repeat(total[bounds[:-1]], np.diff(bounds))
+
+
+def run_lengths(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For every base, the length of the run of equal bases around it in its own row."""
     if not len(codes):
         return codes
-    number = np.cumsum(np.concatenate(([0], codes[1:] != codes[:-1])))
+    fresh = np.concatenate(([True], codes[1:] != codes[:-1]))
+    fresh[bounds[bounds < len(codes)]] = True
+    number = np.cumsum(fresh) - 1
     return np.bincount(number)[number]
 
 
@@ -77,89 +76,153 @@ def count_cells(alignments: DataFrame, kind: str = "short", masked: DataFrame |
     if masked is not None:
         from .intervals import overlap_join
 
-        rows = rows.withColumn("end0", F.col("start0") + F.length("ref"))
+        # One place beyond the span, where a last insertion stands.
+        rows = rows.withColumn("end0", F.col("start0") + F.length("ref") + 1)
         spans = rows.select("contig", "start0", "end0").distinct()
         hits = overlap_join(spans, masked.select("contig", F.col("pos").alias("r_start"), (F.col("pos") + 1).alias("r_end")))
         rows = rows.join(hits.groupBy("contig", "start0", "end0").agg(F.collect_set("r_start").alias("hidden")), ["contig", "start0", "end0"], "left")
     else:
         rows = rows.withColumn("hidden", F.lit(None).cast("array<long>"))
-    names = [c for c in ("mate", "reverse", "start0", "cigar", "seq", "qual", "ref", "hidden", "proper", "tlen") if c in rows.columns]
+    absent = {"proper": F.lit(False), "tlen": F.lit(0)}
+    rows = rows.select(
+        F.col("mate").cast("int").alias("mate"), "reverse", F.col("start0").cast("long").alias("start0"), "seq", "qual", "ref", "hidden",
+        *[(F.coalesce(F.col(c), v) if c in rows.columns else v).alias(c) for c, v in absent.items()],
+        F.regexp_extract_all("cigar", F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1)).cast("array<long>").alias("sizes"),
+        F.array_join(F.regexp_extract_all("cigar", F.lit(r"\d+([MIDNSHP=X])"), F.lit(1)), "").alias("operations"),
+    )
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: list[np.ndarray] = []
-
-            def add(kind_: int, mate: int, a, b=0, c=0):
-                a = np.atleast_1d(a)
-                cell = np.empty((len(a), 5), np.int64)
-                cell[:, 0], cell[:, 1], cell[:, 2], cell[:, 3], cell[:, 4] = kind_, mate, a, b, c
-                keys.append(cell)
-
-            for row in batch.itertuples(index=False):
-                _tally_read(row, kind, add)
-            if not keys:
-                continue
-            cells, n = np.unique(np.concatenate(keys), axis=0, return_counts=True)
-            yield pd.DataFrame({"kind": np.array(KINDS)[cells[:, 0]], "mate": cells[:, 1].astype(np.int32), "a": cells[:, 2].astype(np.int32), "b": cells[:, 3].astype(np.int32), "c": cells[:, 4].astype(np.int32), "n": n})
+            bases = np.cumsum(pc.binary_length(batch.column("seq")).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(batch.column("ref")).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(bases, (bases[low - 1] if low else 0) + BLOCK_BASES, "right")))
+                counts = Counts()
+                _tally(batch.slice(low, high - low), kind, counts)
+                yield from counts.batches()
+                low = high
 
-    counted = rows.select(*names).mapInPandas(tally, CELLS)
-    return counted.groupBy("kind", "mate", "a", "b", "c").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tally, CELLS).groupBy("kind", "mate", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 #: Cells by kind: cycle (cycle, mismatch), quality (quarter, quality, mismatch), transition (cycle, former, quality), first (quality), length (bases),
 #: substitution (true, called), insertion and deletion (length), run (length of the run around a base), run_insertion, run_deletion,
 #: fragment (length), error (errors, columns of a read), read (bases of a long read).
 KINDS = ["cycle", "quality", "transition", "first", "length", "substitution", "insertion", "deletion", "run", "run_insertion", "run_deletion", "fragment", "error", "read"]
-_K = {name: i for i, name in enumerate(KINDS)}
-
-
-def _tally_read(row, kind: str, add) -> None:
-    at, to, inserted, deleted = walk(row.cigar)
-    ref = _CODE[np.frombuffer(row.ref.encode(), np.uint8)]
-    seq = _CODE[np.frombuffer(row.seq.encode(), np.uint8)]
-    length, mate = len(seq), int(row.mate)
-    hidden = np.array(sorted(row.hidden), np.int64) - row.start0 if row.hidden is not None and len(row.hidden) else np.zeros(0, np.int64)
-    seen = ~np.isin(to, hidden)
-    true, called = ref[to], seq[at]
-    keep = seen & (true < 4) & (called < 4)
-    at, true, called = at[keep], true[keep], called[keep]
+
+
+class Counts:
+    """Cells of one block, kind by kind."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, np.ndarray, np.ndarray]] = []
+
+    def add(self, kind: str, mate, a, b=0, c=0) -> None:
+        columns = [np.asarray(x, np.int64) for x in np.broadcast_arrays(mate, a, b, c)]
+        if not columns[1].size:
+            return
+        # One number for a cell; its parts are small, and so is their product.
+        widths = [int(x.max()) + 1 for x in columns]
+        key = columns[0]
+        for x, width in zip(columns[1:], widths[1:], strict=True):
+            key = key * width + x
+        cells, n = np.unique(key, return_counts=True)
+        parts = []
+        for width in reversed(widths[1:]):
+            cells, part = np.divmod(cells, width)
+            parts.append(part)
+        self.found.append((kind, np.stack([cells, *reversed(parts)]), n))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for kind, cells, n in self.found:
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), *(pa.array(x.astype(np.int32)) for x in cells), pa.array(n)], ["kind", "mate", "a", "b", "c", "n"])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column, and the bounds of each."""
+    column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    bounds = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _tally(batch: pa.RecordBatch, kind: str, counts: Counts) -> None:
+    """Count the cells of a block of alignments: all CIGARs are laid out at once, every aligned base with its row and its offsets."""
+    number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    many = batch.num_rows
+    mate, reverse, start0 = number("mate").astype(np.int64), number("reverse").astype(bool), number("start0")
+    seq, seq_at = _bytes(batch.column("seq"))
+    ref, ref_at = _bytes(batch.column("ref"))
+    qual, qual_at = _bytes(batch.column("qual"))
+    seq, ref = _CODE[seq], _CODE[ref]
+    length, span = np.diff(seq_at), np.diff(ref_at)
+    letters, op_at = _bytes(batch.column("operations"))
+    sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = lambda ops: np.isin(letters, np.frombuffer(ops, np.uint8))
+    row = np.repeat(np.arange(many), np.diff(op_at))
+    read_off, ref_off = sums_before(sizes * of(b"MIS=X"), op_at), sums_before(sizes * of(b"MDN=X"), op_at)
+
+    hidden = batch.column("hidden")
+    wide = np.int64(span.max(initial=0) + 2)
+    listed = pc.list_parent_indices(hidden).to_numpy().astype(np.int64)
+    inside = hidden.flatten().to_numpy(zero_copy_only=False).astype(np.int64) - start0[listed]
+    fits = (inside >= 0) & (inside < wide)
+    masked = listed[fits] * wide + inside[fits]
+    shown = lambda rows, places: ~np.isin(rows * wide + places, masked)
+
+    def events(op: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, reference offset, size) of the indels that count."""
+        kept = np.flatnonzero(of(op) & (sizes <= INDEL) & (sizes > 0))
+        kept = kept[shown(row[kept], ref_off[kept])]
+        return row[kept], ref_off[kept], sizes[kept]
+
+    aligned = of(b"M=X")
+    owner = np.repeat(row[aligned], sizes[aligned])
+    at, to = spread(read_off[aligned], sizes[aligned]), spread(ref_off[aligned], sizes[aligned])
+    true, called = ref[ref_at[owner] + to], seq[seq_at[owner] + at]
+    keep = shown(owner, to) & (true < 4) & (called < 4)
+    owner, at, true, called = owner[keep], at[keep], true[keep], called[keep]
     wrong = true != called
-    inserted = [(p, n) for p, n in inserted if n <= INDEL and p not in hidden]
-    deleted = [(p, n) for p, n in deleted if n <= INDEL and p not in hidden]
+    inserted, deleted = events(b"I"), events(b"D")
     if kind == "short":
-        if not 0 < length <= CYCLES or row.qual == "*":
-            return
-        quality = np.minimum(np.frombuffer(row.qual.encode(), np.uint8).astype(np.int64) - 33, MOST_QUALITY - 1)
-        cycle = length - 1 - at if row.reverse else at
-        add(_K["cycle"], mate, cycle, wrong.astype(np.int64))
-        add(_K["quality"], mate, cycle * QUARTERS // length, quality[at], wrong.astype(np.int64))
-        own = quality[::-1] if row.reverse else quality
-        add(_K["first"], mate, own[:1])
-        add(_K["transition"], mate, np.arange(1, length), own[:-1], own[1:])
-        add(_K["length"], mate, length)
-        if getattr(row, "proper", False) and mate == 0 and getattr(row, "tlen", 0):
-            add(_K["fragment"], 0, abs(row.tlen))
+        good = (length > 0) & (length <= CYCLES) & (np.diff(qual_at) == length)
     else:
-        columns = len(at) + sum(n for _, n in inserted) + sum(n for _, n in deleted)
-        if columns < 200:
-            return
-        add(_K["error"], 0, int(wrong.sum()) + columns - len(at), columns)
-        add(_K["read"], 0, length)
-        runs = np.minimum(run_lengths(ref), RUNS)
-        add(_K["run"], 0, runs)
-        last = len(runs) - 1
-        for p, _ in inserted:
-            add(_K["run_insertion"], 0, max(runs[min(max(p - 1, 0), last)], runs[min(p, last)]))
-        for p, _ in deleted:
-            add(_K["run_deletion"], 0, runs[min(p, last)])
-    if wrong.any():
-        true, called = (3 - true[wrong], 3 - called[wrong]) if row.reverse else (true[wrong], called[wrong])
-        add(_K["substitution"], 0, true, called)
-    for name, events in (("insertion", inserted), ("deletion", deleted)):
-        if events:
-            add(_K[name], 0, np.array([n for _, n in events]))
-    if kind != "short" and len(at):
-        add(_K["cycle"], 0, np.zeros(len(at), np.int64), wrong.astype(np.int64))
+        columns = np.bincount(owner, minlength=many) + sum(np.bincount(rows, size, many).astype(np.int64) for rows, _, size in (inserted, deleted))
+        good = columns >= 200
+    here = good[owner]
+    owner, at, true, called, wrong = owner[here], at[here], true[here], called[here], wrong[here]
+    inserted, deleted = (tuple(x[good[own[0]]] for x in own) for own in (inserted, deleted))
+    if kind == "short":
+        cycle = np.where(reverse[owner], length[owner] - 1 - at, at)
+        quality = np.minimum(qual.astype(np.int64) - 33, MOST_QUALITY - 1)
+        counts.add("cycle", mate[owner], cycle, wrong)
+        counts.add("quality", mate[owner], cycle * QUARTERS // length[owner], quality[qual_at[owner] + at], wrong)
+        rows = np.flatnonzero(good)
+        size, place = length[rows], spread(np.zeros(len(rows), np.int64), length[rows])
+        rows = np.repeat(rows, size)
+        own = quality[qual_at[rows] + np.where(reverse[rows], length[rows] - 1 - place, place)]
+        later = place > 0
+        counts.add("first", mate[rows[~later]], own[~later])
+        counts.add("transition", mate[rows[later]], place[later], own[np.flatnonzero(later) - 1], own[later])
+        counts.add("length", mate[good], length[good])
+        paired = good & number("proper").astype(bool) & (mate == 0) & (number("tlen") != 0)
+        counts.add("fragment", 0, np.abs(number("tlen")[paired].astype(np.int64)))
+    else:
+        errors = np.bincount(owner, wrong, many).astype(np.int64) + columns - np.bincount(owner, minlength=many)
+        counts.add("error", 0, errors[good], columns[good])
+        counts.add("read", 0, length[good])
+        runs = np.minimum(run_lengths(ref, ref_at), RUNS)
+        counts.add("run", 0, runs[np.repeat(good, span)])
+        near = lambda rows, places: runs[ref_at[rows] + np.clip(places, 0, span[rows] - 1)]
+        counts.add("run_insertion", 0, np.maximum(near(inserted[0], inserted[1] - 1), near(inserted[0], inserted[1])))
+        counts.add("run_deletion", 0, near(deleted[0], deleted[1]))
+        counts.add("cycle", 0, np.zeros(len(owner), np.int64), wrong)
+    turned = reverse[owner[wrong]]
+    counts.add("substitution", 0, np.where(turned, 3 - true[wrong], true[wrong]), np.where(turned, 3 - called[wrong], called[wrong]))
+    counts.add("insertion", 0, inserted[2])
+    counts.add("deletion", 0, deleted[2])
 
 
 def cycle_errors(cells: DataFrame) -> DataFrame:
@@ -308,4 +371,4 @@ def load_profile(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.schema(CELLS).parquet(f"{path}/cells"), json.loads(spark.read.text(f"{path}/facts").first()[0])
 
 
-__all__ = ["compare", "count_cells", "cycle_errors", "cycle_qualities", "first_of_mate", "fragment_median", "fragments", "load_profile", "long_run_factors", "quality_errors", "rates", "read_rates", "refine", "run_factors", "save_profile", "usable", "walk"]
+__all__ = ["compare", "count_cells", "cycle_errors", "cycle_qualities", "first_of_mate", "fragment_median", "fragments", "load_profile", "long_run_factors", "quality_errors", "rates", "read_rates", "refine", "run_factors", "save_profile", "usable"]
