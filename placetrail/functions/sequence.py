@@ -37,6 +37,25 @@ def homopolymer_runs(reads: DataFrame, key: str, seq: str) -> DataFrame:
     return marked.select(key, "pos", "base", F.count(F.lit(1)).over(W.partitionBy(key, "island")).alias("run_length"))
 
 
+def contig_runs(chunks: DataFrame, size: int = 4096) -> DataFrame:
+    """(contig, base, start0, end0) of every maximal run of equal bases of chunks(contig, chunk, bases), each of `size` bases but a contig's last one.
+
+    Runs are found inside chunks. The first and the last of a chunk may go on beyond it, so these, two rows a chunk at most, are merged where they touch, in ranges
+    along the contig: a run over any number of chunks is one row, and no contig is one task.
+    """
+    from ..operators.intervals import merge_intervals
+
+    letters = F.filter(F.split(F.upper("bases"), ""), lambda c: c != "")
+    held = chunks.select("contig", (F.col("chunk") * size).cast("long").alias("at"), letters.alias("letters")).filter(F.size("letters") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("letters") - 1), lambda i: (i == 0) | (F.get("letters", i) != F.get("letters", i - 1)))
+    placed = held.withColumn("begins", begins)
+    last = F.size("begins") - 1
+    runs = F.transform("begins", lambda b, i: F.struct(F.get("letters", b).alias("base"), b.alias("low"), F.coalesce(F.get("begins", i + 1), F.size("letters")).alias("high"), ((i == 0) | (i == last)).alias("border")))
+    rows = placed.select("contig", "at", F.explode(runs).alias("r")).select("contig", "r.base", (F.col("at") + F.col("r.low")).alias("start0"), (F.col("at") + F.col("r.high")).alias("end0"), "r.border")
+    inner = rows.filter(~F.col("border")).drop("border")
+    return inner.unionByName(merge_intervals(rows.filter("border").drop("border"), ("contig", "base")))
+
+
 def cigar_ops(alignments: DataFrame, key: str, cigar: str = "cigar") -> DataFrame:
     """(key, op_index, op, length, read_offset, ref_offset) for every operation of a CIGAR string."""
     parts = F.regexp_extract_all(F.col(cigar), F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))

@@ -323,9 +323,9 @@ def long_run_factors(real: DataFrame, sim: DataFrame, least: int = 4) -> DataFra
 
 
 def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25) -> DataFrame:
-    """(metric, real, simulated, difference, ok) of two cell tables: relative differences of rates, distances of distributions, for short
-    reads the correlation of the error curves and the gap of the quality curves (2 at most) of each mate, and for long reads the
-    indel factors of long runs."""
+    """(metric, real, simulated, difference, ok) of two cell tables: relative differences of rates, distances of distributions (short reads: substitutions, each
+    mate's qualities and fragments; long reads: lengths, errors and indel lengths), for short reads the correlation of the error curves and the gap of the
+    quality curves (2 at most) of each mate, and for long reads the indel factors of long runs."""
     names = ["mismatch_rate", "ins_rate", "del_rate", "mean_read_length"] + ([] if kind == "short" else ["frac_sub", "frac_ins", "frac_del"])
     side = lambda cells, name: rates(cells, kind).unpivot([], names, "metric", name)
     gap = F.try_divide(F.col("simulated") - F.col("real"), F.col("real"))
@@ -338,10 +338,16 @@ def compare(real: DataFrame, sim: DataFrame, kind: str, tolerance: float = 0.25)
         scalars = scalars.unionByName(long_run_factors(real, sim))
     rows = scalars.select("metric", "real", "simulated", gap.alias("difference"), F.coalesce(F.abs(gap) <= tolerance, F.lit(False)).alias("ok"))
     both = real.withColumn("own", F.lit(True)).unionByName(sim.withColumn("own", F.lit(False)))
-    of_kinds = {"substitution": "substitution", "insertion": "insertion", "deletion": "deletion"} | ({"transition": "quality"} if kind == "short" else {})
-    cell = F.when(F.col("kind") == "transition", F.struct("mate", F.lit(0).alias("a"), F.col("c").alias("b"))).otherwise(F.struct("mate", "a", "b"))
-    weights = both.filter(F.col("kind").isin(*of_kinds)).groupBy("kind", cell.alias("cell")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("q"))
-    distance = total_variation(weights, ["kind"], "p", "q").select(F.concat("kind", F.lit(" distribution")).alias("metric"), F.col("tv").alias("d"))
+    mate = (F.col("mate") + 1).cast("string")
+    if kind == "short":
+        named = F.when(F.col("kind") == "substitution", "substitution spectrum").when(F.col("kind") == "transition", F.concat(F.lit("quality distribution, mate "), mate))
+        cell = F.when(F.col("kind") == "transition", F.struct(F.lit(0).alias("a"), F.col("c").alias("b"))).otherwise(F.struct("a", "b"))
+    else:
+        named = F.when(F.col("kind").isin("insertion", "deletion"), F.concat("kind", F.lit(" length distribution")))
+        cell = F.struct("a", "b")
+    weights = both.withColumn("metric", named).filter("metric is not null").groupBy("metric", cell.alias("cell"))
+    weights = weights.agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("q"))
+    distance = total_variation(weights, ["metric"], "p", "q").select("metric", F.col("tv").alias("d"))
     place = F.when(F.col("kind") == "error", F.col("a") / F.col("b")).otherwise(F.col("a").cast("double"))
     heights = both.filter(F.col("kind").isin("fragment", "read", "error")).groupBy("kind", place.alias("x")).agg(F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("b"))
     order, whole = W.partitionBy("kind").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("kind")

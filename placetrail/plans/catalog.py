@@ -916,7 +916,7 @@ def apply_variants(spark, sf_dir):
 # Profiles and simulation ---------------------------------------------------------------------------------------------
 
 
-def _aligned(spark, sf_dir, wrong: int = 40):
+def _aligned(spark, sf_dir, wrong: int = 40, keep: bool = False):
     """Alignments derived from orders: 100 bases, every `wrong`-th read with one base changed, and an indel now and then."""
     ref = F.rpad(F.translate((F.col("rid") * 7919 + F.col("o_custkey") * 104729).cast("string"), "0123456789", "ACGTACGTAC"), 100, "ACGGTCA")
     at = (F.col("rid") % 90 + 1).cast("int")
@@ -924,7 +924,8 @@ def _aligned(spark, sf_dir, wrong: int = 40):
     seq = F.when(F.col("rid") % wrong == 0, changed).when(F.col("rid") % 50 == 1, F.concat(F.substring(ref, 1, 50), F.lit("T"), F.substring(ref, 51, 50))).otherwise(ref)
     cigar = F.when((F.col("rid") % wrong != 0) & (F.col("rid") % 50 == 1), "50M1I50M").otherwise("100M")
     rows = fx.truth(spark, sf_dir).select("rid", F.lit(0).alias("mate"), (F.col("strand") == "-").alias("reverse"), "contig", "start0", cigar.alias("cigar"), seq.alias("seq"), ref.alias("ref"))
-    return rows.withColumn("qual", F.rpad(F.translate(F.col("rid").cast("string"), "0123456789", "56789:;<=>"), 101, "I")).withColumn("qual", F.substring("qual", F.lit(1), F.length("seq"))).drop("rid")
+    rows = rows.withColumn("qual", F.rpad(F.translate(F.col("rid").cast("string"), "0123456789", "56789:;<=>"), 101, "I")).withColumn("qual", F.substring("qual", F.lit(1), F.length("seq")))
+    return rows if keep else rows.drop("rid")
 
 
 @query("pro01_mismatches", "SELECT (count(*) * 100)::BIGINT AS aligned, round(count(*) FILTER (o_orderkey % 40 = 0)::DOUBLE / (count(*) * 100), 6) AS mismatch_rate, round(count(*) FILTER (o_orderkey % 40 <> 0 AND o_orderkey % 50 = 1)::DOUBLE / (count(*) * 100), 6) AS ins_rate, 0 AS del_rate FROM orders")
@@ -934,9 +935,19 @@ def learn_short(spark, sf_dir):
     return out.select(F.col("aligned").cast("long").alias("aligned"), "mismatch_rate", "ins_rate", "del_rate")
 
 
-SHORT_BASES = """SELECT rev, qualities, wrong, CASE WHEN rev THEN size - 1 - p ELSE p END AS cycle, size, ascii(substr(qual, p::INT + 1, 1)) - 33 AS q, kind = 1 AND p = o_orderkey % 90 + 1 AS bad FROM (
-  SELECT *, unnest(range(size)) AS p, 0 AS qualities, 0 AS wrong FROM (SELECT o_orderkey, o_orderkey % 2 <> 0 AS rev, CASE WHEN o_orderkey % 40 = 0 THEN 1 WHEN o_orderkey % 50 = 1 THEN 2 ELSE 0 END AS kind,
-    CASE WHEN o_orderkey % 40 <> 0 AND o_orderkey % 50 = 1 THEN 101 ELSE 100 END AS size, rpad(translate(o_orderkey::VARCHAR, '0123456789', '56789:;<=>'), 101, 'I') AS qual FROM orders)) WHERE kind <> 2 OR p <> 50"""
+def short_reads(wrong: int) -> str:
+    """The reads of `_aligned` for SQL: kind 1 has one base changed, kind 2 one base inserted at place 50."""
+    return f"""SELECT o_orderkey, o_custkey, o_orderkey % 2 <> 0 AS rev, CASE WHEN o_orderkey % {wrong} = 0 THEN 1 WHEN o_orderkey % 50 = 1 THEN 2 ELSE 0 END AS kind,
+      CASE WHEN o_orderkey % {wrong} <> 0 AND o_orderkey % 50 = 1 THEN 101 ELSE 100 END AS size, rpad(translate(o_orderkey::VARCHAR, '0123456789', '56789:;<=>'), 101, 'I') AS qual,
+      rpad(translate((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, '0123456789', 'ACGTACGTAC') || repeat('ACGGTCA', 15), 100, 'A') AS ref FROM orders"""
+
+
+def all_bases(wrong: int) -> str:
+    return f"""SELECT o_orderkey, rev, kind, size, p, ref, CASE WHEN rev THEN size - 1 - p ELSE p END AS cycle, ascii(substr(qual, p::INT + 1, 1)) - 33 AS q, kind = 1 AND p = o_orderkey % 90 + 1 AS bad
+      FROM (SELECT *, unnest(range(size)) AS p FROM ({short_reads(wrong)}))"""
+
+
+SHORT_BASES = f"SELECT *, 0 AS qualities, 0 AS wrong FROM ({all_bases(40)}) WHERE kind <> 2 OR p <> 50"
 
 
 @query("pro01_cycles", f"SELECT 0 AS mate, cycle, count(*) AS bases, round(count(*) FILTER (bad)::DOUBLE / count(*), 6) AS rate FROM ({SHORT_BASES}) GROUP BY cycle")
@@ -954,11 +965,11 @@ def quality_errors(spark, sf_dir):
 def _long_reads(spark, sf_dir):
     """Longer alignments: a read's bases, a run of 1 to 9 T, and its reference twice. The longer the run, the more often one or two of its bases are
     inserted or deleted."""
-    x = F.pmod(F.xxhash64("contig", "start0", "seq"), F.lit(1 << 30))
+    x = (F.col("rid") * 7919 + 13) % (1 << 30)
     run = (x % 9 + 1).cast("int")
     size = F.least(run, (F.floor(x / 9) % 2 + 1).cast("int"))
     event = F.when(F.floor(x / 18) % 20 >= run, "M").when(F.floor(x / 360) % 2 == 0, "I").otherwise("D")
-    rows = _aligned(spark, sf_dir).withColumns({"run": run, "size": size, "event": event})
+    rows = _aligned(spark, sf_dir, keep=True).withColumns({"run": run, "size": size, "event": event})
     left = F.when(F.col("event") == "D", F.col("run") - F.col("size")).otherwise(F.col("run"))
     seen = F.when(F.col("event") == "I", F.col("run") + F.col("size")).otherwise(left)
     cigar = F.concat("cigar", F.when(F.col("event") == "M", "").otherwise(F.concat(F.col("size").cast("string"), "event")), (left + 200).cast("string"), F.lit("M"))
@@ -967,12 +978,44 @@ def _long_reads(spark, sf_dir):
     return rows.select("mate", "reverse", "contig", "start0", cigar.alias("cigar"), seq.alias("seq"), ref.alias("ref"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
 
 
-@query("pro02_run_factors")
+RUN_AT = "least(10, len(regexp_extract(substr(whole, 1, {p} + 1), '(A+|C+|G+|T+)$')) + len(regexp_extract(substr(whole, {p} + 1), '^(A+|C+|G+|T+)')) - 1)"
+LONG = f"""l AS MATERIALIZED (SELECT *, least(run, x // 9 % 2 + 1) AS size_, CASE WHEN x // 18 % 20 >= run THEN 'M' WHEN x // 360 % 2 = 0 THEN 'I' ELSE 'D' END AS event, ref || repeat('T', run::INT) || ref || ref AS whole
+    FROM (SELECT *, (o_orderkey * 7919 + 13) % 1073741824 AS x, x % 9 + 1 AS run FROM ({short_reads(40)}))),
+  e AS (SELECT greatest({RUN_AT.format(p=99)}, {RUN_AT.format(p=100)}) AS run, 1 AS ins, 0 AS del FROM l WHERE event = 'I' UNION ALL SELECT greatest({RUN_AT.format(p=49)}, {RUN_AT.format(p=50)}), 1, 0 FROM l WHERE kind = 2
+    UNION ALL SELECT {RUN_AT.format(p=100)}, 0, 1 FROM l WHERE event = 'D'),
+  r AS (SELECT least(10, len(r)) AS run, sum(len(r)) AS bases FROM (SELECT unnest(regexp_extract_all(whole, 'A+|C+|G+|T+')) AS r FROM l) GROUP BY 1),
+  f AS (SELECT r.run, bases, coalesce(ins, 0) AS ins, coalesce(del, 0) AS del FROM r LEFT JOIN (SELECT run, sum(ins) AS ins, sum(del) AS del FROM e GROUP BY run) USING (run)),
+  s AS (SELECT sum(ins)::DOUBLE / sum(bases) AS i, sum(del)::DOUBLE / sum(bases) AS d FROM f)"""
+
+
+@query(
+    "pro02_run_factors",
+    f"WITH {LONG} SELECT run, bases::BIGINT AS bases, round(CASE WHEN i > 0 THEN (ins + 5) / (bases * i + 5) ELSE 1 END, 6) AS ins_factor, round(CASE WHEN d > 0 THEN (del + 5) / (bases * d + 5) ELSE 1 END, 6) AS del_factor FROM f, s",
+)
 def run_factors(spark, sf_dir):
     """PRO-02: indel factors by homopolymer length, from long alignments."""
     return pf.run_factors(pf.count_cells(_long_reads(spark, sf_dir), "long"))
 
 
+@query(
+    "pro02_long_rates",
+    f"""WITH {LONG}, c AS (SELECT count(*) AS reads, sum(300 + run - CASE WHEN event = 'D' THEN size_ ELSE 0 END) AS aligned, count(*) FILTER (kind = 1) AS wrong, sum(CASE WHEN event = 'I' THEN size_ ELSE 0 END + CASE WHEN kind = 2 THEN 1 ELSE 0 END) AS ins,
+      sum(CASE WHEN event = 'D' THEN size_ ELSE 0 END) AS del, sum(size + 200 + run + CASE event WHEN 'I' THEN size_ WHEN 'D' THEN -size_ ELSE 0 END) AS bases FROM l)
+    SELECT aligned::DOUBLE AS aligned, round(wrong / aligned, 6) AS mismatch_rate, round(ins / aligned, 6) AS ins_rate, round(del / aligned, 6) AS del_rate, round(bases / reads, 6) AS mean_read_length,
+      round(wrong / (wrong + ins + del), 6) AS frac_sub, round(ins / (wrong + ins + del), 6) AS frac_ins, round(del / (wrong + ins + del), 6) AS frac_del FROM c""",
+)
+def long_rates(spark, sf_dir):
+    """PRO-02: rates of long reads, in bases."""
+    return pf.rates(pf.count_cells(_long_reads(spark, sf_dir), "long"), "long")
+
+
+@query("pro01_transitions", f"SELECT cycle::BIGINT AS cycle, former, q, count(*) AS n FROM (SELECT cycle, q, lag(q) OVER (PARTITION BY o_orderkey ORDER BY cycle) AS former FROM ({all_bases(40)})) WHERE former IS NOT NULL GROUP BY ALL")
+def transitions(spark, sf_dir):
+    """PRO-01: how the quality of a base follows that of the base before, by cycle."""
+    cells = pf.count_cells(_aligned(spark, sf_dir), "short").filter("kind = 'transition'")
+    return cells.groupBy(F.col("a").alias("cycle"), F.col("b").alias("former"), F.col("c").alias("q")).agg(F.sum("n").alias("n"))
+
+
 @query("pro03_refine", "SELECT round(least(greatest(r / p, 0.25), 4), 6) AS sub, 1::DOUBLE AS ins, 1::DOUBLE AS del FROM (SELECT count(*) FILTER (o_orderkey % 40 = 0)::DOUBLE AS r, count(*) FILTER (o_orderkey % 25 = 0)::DOUBLE AS p FROM orders)")
 def refine(spark, sf_dir):
     """PRO-03: injected rates corrected by a pilot with other mismatches and as many indels."""
@@ -980,7 +1023,29 @@ def refine(spark, sf_dir):
     return pf.refine(real, pilot)
 
 
-@query("pro04_compare")
+def compared(real: int, sim: int) -> str:
+    """SQL of the comparison of two short profiles."""
+    rates = lambda w: f"SELECT count(*) FILTER (kind <> 2 OR p <> 50)::DOUBLE AS aligned, count(*) FILTER (bad) / aligned AS mismatch_rate, count(*) FILTER (kind = 2 AND p = 50) / aligned AS ins_rate, 0::DOUBLE AS del_rate, count(*)::DOUBLE / count(DISTINCT o_orderkey) AS mean_read_length FROM b{w}"
+    pair = " UNION ALL ".join(f"SELECT '{m}' AS metric, r.{m} AS real, s.{m} AS simulated FROM r{real} r, r{sim} s" for m in ("mismatch_rate", "ins_rate", "del_rate", "mean_read_length"))
+    changed = lambda w: f"SELECT substr(ref, (o_orderkey % 90 + 2)::INT, 1) AS t, rev FROM b{w} WHERE bad"
+    # A changed base is the next letter; on the other strand both are complements, so (letter, strand) stands for the pair.
+    cell = "CASE WHEN rev THEN translate(t, 'ACGT', 'TGCA') || translate(translate(t, 'ACGT', 'CGTA'), 'ACGT', 'TGCA') ELSE t || translate(t, 'ACGT', 'CGTA') END"
+    shares = lambda rows, value: f"SELECT {value} AS v, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM ({rows}) GROUP BY 1"
+    apart = lambda name, rows, value: f"SELECT '{name}' AS metric, (SELECT sum(abs(coalesce(x.share, 0) - coalesce(y.share, 0))) / 2 FROM ({shares(rows(real), value)}) x FULL JOIN ({shares(rows(sim), value)}) y USING (v)) AS d"
+    curve = lambda w: f"SELECT cycle, count(*) FILTER (bad)::DOUBLE / count(*) AS rate FROM b{w} WHERE kind <> 2 OR p <> 50 GROUP BY cycle"
+    quality = lambda w: f"SELECT cycle, avg(q) AS quality FROM b{w} GROUP BY cycle"
+    tables = ", ".join(f"b{w} AS MATERIALIZED ({all_bases(w)}), r{w} AS ({rates(w)})" for w in (real, sim))
+    far = " UNION ALL ".join(
+        (apart("substitution spectrum", changed, cell), apart("quality distribution, mate 1", lambda w: f"SELECT q FROM b{w} WHERE cycle > 0", "q"))
+    )
+    return f"""WITH {tables}, rows_ AS (SELECT metric, real, simulated, CASE WHEN real <> 0 THEN (simulated - real) / real END AS difference FROM ({pair}))
+    SELECT metric, round(real, 6) AS real, round(simulated, 6) AS simulated, round(difference, 6) AS difference, coalesce(abs(difference) <= 0.25, false) AS ok FROM rows_
+    UNION ALL SELECT metric, 0, round(d, 6), round(d, 6), d <= 0.25 FROM ({far})
+    UNION ALL SELECT 'per-cycle error curve, mate 1', 1, round(r, 6), round(1 - r, 6), coalesce(r >= 0.75, false) FROM (SELECT corr(x.rate, y.rate) AS r FROM ({curve(real)}) x JOIN ({curve(sim)}) y USING (cycle))
+    UNION ALL SELECT 'per-cycle mean quality, mate 1', 0, round(g, 6), round(g, 6), g <= 2 FROM (SELECT max(abs(x.quality - y.quality)) AS g FROM ({quality(real)}) x JOIN ({quality(sim)}) y USING (cycle))"""
+
+
+@query("pro04_compare", compared(40, 36))
 def compare_profiles(spark, sf_dir):
     """PRO-04: two profiles side by side."""
     real, sim = (pf.count_cells(_aligned(spark, sf_dir, w), "short") for w in (40, 36))
@@ -1135,6 +1200,12 @@ def truth_free(spark, sf_dir):
     return co.truth_free(_placements(spark, sf_dir), TOOLS, fx.annotations(spark, sf_dir).filter("set_name = 'conf'"), ["conf"])[0]
 
 
+@query("maj02_observables", ORACLES["agg11_12_observables"])
+def truth_free_observables(spark, sf_dir):
+    """MAJ-02: what the tools report, as the other half of the truth-free bundle."""
+    return co.truth_free(_placements(spark, sf_dir), TOOLS, fx.annotations(spark, sf_dir).filter("set_name = 'conf'"), ["conf"])[1]
+
+
 # Queries of files in parts register with these.
 from . import files  # noqa: E402
 

@@ -3,13 +3,15 @@
 import gzip
 import json
 import random
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from placetrail.functions import sequence
 from placetrail.operators import names
-from placetrail.sources import annotations, bam, onefile, reads
+from placetrail.sources import annotations, bam, fastq_head, onefile, reads
 
 CONTIGS = [("chr1", 300_000), ("chr2", 100_000), ("chrM", 16_000)]
 COLUMNS = "qname string, flag int, rname string, pos1 long, mapq int, cigar string, seq string, qual string, nm int, sa string, tlen int"
@@ -158,3 +160,45 @@ def test_vcf_and_bed_files(spark, tmp_path):
     bed = spark.createDataFrame([("b", 5, 9, "y"), ("a", 7, 8, "x"), ("b", 1, 2, "z")], "contig string, start0 long, end0 long, label string")
     annotations.write_bed_file(bed, f"{tmp_path}/z.bed.gz")
     assert gzip.open(f"{tmp_path}/z.bed.gz", "rt").read() == "a\t7\t8\tx\nb\t1\t2\tz\nb\t5\t9\ty\n"
+
+
+def test_pairs_of_two_files(spark, tmp_path):
+    def file(name, reads_):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write("".join(f"@{n} x\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads_))
+        return str(tmp_path / name)
+
+    one = [(f"r{i}/1", "ACG"[: i % 3 + 1]) for i in range(50)]
+    two = [(f"r{i}/2", "TTT"[: i % 2 + 1]) for i in range(50)]
+    got = reads.mates(reads.paired_fastq(spark, file("a.gz", one), file("b.gz", two))).collect()
+    assert {(r.qname, r.mate, r.seq) for r in got} == {(n[:-2], m, s) for m, own in ((1, one), (2, two)) for n, s in own}
+    with pytest.raises(Exception, match="without a mate"):
+        reads.paired_fastq(spark, file("a.gz", one), file("c.gz", two[:-1])).collect()
+    with pytest.raises(Exception, match="different names"):
+        reads.paired_fastq(spark, file("a.gz", one), file("d.gz", [two[1], two[0], *two[2:]])).collect()
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_first_reads_end_the_reading_early(spark, tmp_path, packed):
+    rng = random.Random(9)
+    text = "".join(f"@r{i} x\n{''.join(rng.choices('ACGT', k=100))}\n+\n{'I' * 100}\n" for i in range(20_000)).encode()
+    raw = b"".join(gzip.compress(text[i : i + 300_000]) for i in range(0, len(text), 300_000)) if packed else text
+    path = tmp_path / "x.fastq"
+    path.write_bytes(raw[: len(raw) // 3] + b"\0 spoilt " * 20_000)  # nothing after the first third can be read
+    got = fastq_head.first_of_files(spark, [str(path)], 500, 40).orderBy("place").collect()
+    lines = text.decode().split("\n")
+    assert [(r.place, r.qname, r.seq) for r in got] == [(i, f"r{i}", lines[4 * i + 1]) for i in range(40, 540)]
+    short = b"@a\nAC\n+\nII\n\n\n"
+    path.write_bytes(gzip.compress(short) if packed else short)
+    assert [tuple(r) for r in fastq_head.first_of_files(spark, [str(path)], 500).collect()] == [(str(path), 0, "a", "AC", "II")]
+    assert fastq_head.first_of_files(spark, [str(path)], 0).count() == 0 and fastq_head.first_of_files(spark, [str(path)], 5, 99).count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 7, 64])
+def test_runs_over_chunks(spark, size):
+    rng = random.Random(size)
+    contigs = {"a": "".join(b * rng.randint(1, 20) for b in rng.choices("ACGTN", k=60)), "b": "T" * 300, "c": "acGT"}
+    rows = [(name, i // size, seq[i : i + size]) for name, seq in contigs.items() for i in range(0, len(seq), size)]
+    got = {(r.contig, r.base, r.start0, r.end0) for r in sequence.contig_runs(spark.createDataFrame(rows, "contig string, chunk long, bases string").repartition(3), size).collect()}
+    want = {(name, m[0][0], m.start(), m.end()) for name, seq in contigs.items() for m in re.finditer(r"A+|C+|G+|T+|N+", seq.upper())}
+    assert got == want and ("b", "T", 0, 300) in got
