@@ -173,6 +173,11 @@ def expand_mask(variants: DataFrame, pad: int = 2) -> DataFrame:
     return variants.select("contig", F.explode(run).alias("pos")).distinct()
 
 
+def outside_mask(places: DataFrame, mask: DataFrame) -> DataFrame:
+    """The rows of places(contig, pos, ...) whose position is not in mask(contig, pos)."""
+    return places.join(mask.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti")
+
+
 def near_windows(alignments: DataFrame, windows: DataFrame, width: int = BIN) -> DataFrame:
     """Alignments that overlap any of the windows (a semi join on overlap)."""
     columns = alignments.columns

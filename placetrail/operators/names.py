@@ -39,3 +39,13 @@ def unresolved(rows: DataFrame, names: DataFrame, column: str = "contig", top: i
     """The most frequent unknown names."""
     lost = rows.join(names.select(F.col("name").alias(column)), column, "left_anti")
     return lost.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(top)
+
+
+def in_both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The distinct names that both tables hold."""
+    return a.select(column).intersect(b.select(column))
+
+
+def missing(wanted: DataFrame, present: DataFrame, column: str) -> DataFrame:
+    """The distinct names of wanted that present lacks."""
+    return wanted.select(column).subtract(present.select(column))

@@ -47,10 +47,30 @@ def split_alternating(reads: DataFrame, order: str, block_rows: int = 100_000) -
     totals = reads.groupBy(block.alias("block_")).agg(F.count(F.lit(1)).alias("n_"))
     shift = totals.select("block_", F.coalesce(F.sum("n_").over(W.orderBy("block_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift_"))
     rank = F.row_number().over(W.partitionBy("block_").orderBy(order)) - 1 + F.col("shift_")
-    ranked = reads.withColumn("block_", block).join(F.broadcast(shift), "block_").withColumn("half", F.when(rank % 2 == 0, "calibration").otherwise("held_out"))
+    ranked = reads.withColumn("block_", block).join(shift, "block_").withColumn("half", F.when(rank % 2 == 0, "calibration").otherwise("held_out"))
     return ranked.drop("block_", "shift_")
 
 
+def filter_rows(accounting: DataFrame) -> DataFrame:
+    """The rows of an accounting table that are about filters."""
+    return accounting.filter(F.col("step").startswith("filter"))
+
+
+def inside_tolerance(checks: DataFrame, by: list[str], passed: str = "ok") -> DataFrame:
+    """(by, k, n): how many of n checks are inside their tolerance; an unknown one is not."""
+    return checks.groupBy(*by).agg(F.count_if(F.coalesce(F.col(passed), F.lit(False))).alias("k"), F.count(F.lit(1)).alias("n"))
+
+
+#: How the report words the thresholds of each filter.
+THRESHOLDS = {
+    "adapter": "adapter sequence at the 3' end",
+    "low_quality": "more than 40 % of bases below Q15",
+    "too_many_N": "more than 5 N bases",
+    "too_short": "shorter than {} bp after trimming",
+    "poly_g": "poly-G tail >= 10 bp",
+}
+
+
 def trimming_report(report: DataFrame, min_length: int = 50, keys: list[str] | None = None) -> DataFrame:
     """(keys, step, metric, value, threshold) rows of a cleaning tool's JSON reports, one parsed report a row."""
     total = F.greatest(F.col("summary.before_filtering.total_reads"), F.lit(1)).cast("double")
@@ -61,15 +81,15 @@ def trimming_report(report: DataFrame, min_length: int = 50, keys: list[str] | N
     rows.append(("raw", "duplication_rate", F.col("duplication.rate").cast("double"), ""))
     rows.append(("raw", "insert_size_peak", F.col("insert_size.peak").cast("double"), ""))
     affected = {
-        "adapter": ("adapter_cutting.adapter_trimmed_reads", "adapter sequence at the 3' end"),
-        "low_quality": ("filtering_result.low_quality_reads", "more than 40 % of bases below Q15"),
-        "too_many_N": ("filtering_result.too_many_N_reads", "more than 5 N bases"),
-        "too_short": ("filtering_result.too_short_reads", f"shorter than {min_length} bp after trimming"),
+        "adapter": "adapter_cutting.adapter_trimmed_reads",
+        "low_quality": "filtering_result.low_quality_reads",
+        "too_many_N": "filtering_result.too_many_N_reads",
+        "too_short": "filtering_result.too_short_reads",
     }
-    for step, (field, threshold) in affected.items():
-        rows.append((f"filter:{step}", "reads_affected_fraction", F.coalesce(F.col(field), F.lit(0)).cast("double") / total, threshold))
+    for step, field in affected.items():
+        rows.append((f"filter:{step}", "reads_affected_fraction", F.coalesce(F.col(field), F.lit(0)).cast("double") / total, THRESHOLDS[step].format(min_length)))
     poly_g = F.col("polyg_trimming.total_polyg_trimmed_reads").cast("double") / total
-    rows.append(("filter:poly_g", "reads_affected_fraction", poly_g, "poly-G tail >= 10 bp"))
+    rows.append(("filter:poly_g", "reads_affected_fraction", poly_g, THRESHOLDS["poly_g"]))
     structs = [F.struct(F.lit(s).alias("step"), F.lit(m).alias("metric"), v.alias("value"), F.lit(t).alias("threshold")) for s, m, v, t in rows]
     return report.select(*(keys or []), F.explode(F.array(*structs)).alias("x")).select(*(keys or []), "x.*").filter("value is not null")
 

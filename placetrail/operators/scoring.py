@@ -105,6 +105,16 @@ def strata_counts(labelled: DataFrame, by: list[str], strata: list[str]) -> Data
     return stacked.groupBy(*by, "stratum_set", "stratum").agg(*[F.sum(F.when(test, F.col("rows")).otherwise(0)).alias(name) for name, test in tests.items()])
 
 
+def with_strata(outcomes: DataFrame, annotated: DataFrame, strata: list[str]) -> DataFrame:
+    """outcomes plus the stratum columns of annotated(qname, mate, strata); a read that is not annotated keeps nulls."""
+    return outcomes.join(annotated.select(*KEY, *strata), KEY, "left")
+
+
+def side_by_side(counts: DataFrame, by: list[str], tools: list[str], value: str) -> DataFrame:
+    """(by, tools...): one value of every tool, null where a tool has none."""
+    return counts.groupBy(*by).pivot("aligner", tools).agg(F.first(value))
+
+
 def add_rates(counts: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     low, high = wilson(F.col("n_misplaced"), F.col("n"))

@@ -43,7 +43,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes with the stratum labels of their reads."""
     truth = fx.truth(spark, sf_dir)
     marked = strata.annotate(truth, fx.annotations(spark, sf_dir), ["ptype", "conf"], "rid")
-    return _outcomes(spark, sf_dir).join(marked.select("qname", "mate", "ptype", "ptype_cover", "conf", "conf_cover"), ["qname", "mate"])
+    return scoring.with_strata(_outcomes(spark, sf_dir), marked, STRATA)
 
 
 def _placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def annotate(spark, sf_dir):
 @query("joi12_masked_positions", oracle("SELECT DISTINCT contig, start0 AS pos FROM truth WHERE (contig, start0) NOT IN (SELECT contig, pos FROM points)", "truth", "points"))
 def masked(spark, sf_dir):
     """JOI-12: positions outside a mask."""
-    return fx.truth(spark, sf_dir).select("contig", F.col("start0").alias("pos")).distinct().join(fx.points(spark, sf_dir), ["contig", "pos"], "left_anti")
+    return iv.outside_mask(fx.truth(spark, sf_dir).select("contig", F.col("start0").alias("pos")).distinct(), fx.points(spark, sf_dir))
 
 
 @query("src21_near_windows", oracle("SELECT qname, mate, contig, start0, end0 FROM aln0 a WHERE EXISTS (SELECT 1 FROM annot w WHERE w.set_name = 'conf' AND w.contig = a.contig AND w.start0 < a.end0 AND a.start0 < w.end0)", "aln0", "annot"))
@@ -679,7 +679,7 @@ def first_reads(spark, sf_dir):
 @query("piv01_pivot", oracle("SELECT mapq, " + ", ".join(f"max(CASE WHEN aligner = 't{k}' THEN n_mapped END) AS t{k}" for k in range(4)) + " FROM per_mapq GROUP BY mapq", "per_mapq"))
 def pivot(spark, sf_dir):
     counts = scoring.mapq_counts(_outcomes(spark, sf_dir), ["aligner"])
-    return counts.groupBy("mapq").pivot("aligner", TOOLS).agg(F.first("n_mapped"))
+    return scoring.side_by_side(counts, ["mapq"], TOOLS, "n_mapped")
 
 
 # Quality control -----------------------------------------------------------------------------------------------------
@@ -734,7 +734,7 @@ def trimming_report(spark, sf_dir):
 @query("agg33_inside_tolerance", "SELECT l_shipmode AS dataset, count(*) FILTER (l_discount <= 0.05) AS k, count(*) AS n FROM (SELECT l_returnflag AS l_shipmode, l_discount FROM lineitem) GROUP BY ALL")
 def inside_tolerance(spark, sf_dir):
     """AGG-33: checks inside the tolerance, k of n."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.count_if(F.col("l_discount") <= 0.05).alias("k"), F.count(F.lit(1)).alias("n"))
+    return qc.inside_tolerance(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("dataset"), (F.col("l_discount") <= 0.05).alias("ok")), ["dataset"])
 
 
 # Sources over derived lines ------------------------------------------------------------------------------------------

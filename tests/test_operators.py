@@ -46,8 +46,8 @@ def test_wilson_and_phred(spark):
     low, high = sc.wilson(F.lit(0), F.lit(0))
     assert one(spark, a=low, b=high) == [None, None]
     assert one(spark, a=sc.phred(F.lit(0.001)), b=sc.phred(F.lit(0.0))) == [pytest.approx(30), pytest.approx(100)]
-    q = one(spark, q=sc.ideal_mapq(F.lit(1.0), F.lit(0.01), F.lit(1.0)))[0]
-    assert 24 < q < 25.5
+    ideal = [one(spark, q=sc.ideal_mapq(F.lit(1.0), F.lit(e), F.lit(1.0)))[0] for e in (0.001, 0.01, 0.1)]
+    assert ideal == sorted(ideal, reverse=True) and len(set(ideal)) == 3
 
 
 READ = "qname string, mate int, contig string, start0 long, end0 long, strand string"
@@ -55,11 +55,17 @@ ALN = "qname string, mate int, mapped boolean, contig string, start0 long, end0
 
 
 def test_outcomes(spark):
-    truth = spark.createDataFrame([(q, 0, "chr1", 1000, 1150, "+") for q in "abcde"], READ)
-    place = lambda q, contig, start, mapped=True: (q, 0, mapped, contig, start, start + 150, "+", 60, 0, 150, 0, False)
-    aln = spark.createDataFrame([place("a", "chr1", 1000), place("b", "chr1", 9000), place("c", "chr2", 1000), place("d", "", -1, False)], ALN)
-    got = {r.qname: (r.outcome, r.misplaced_kind) for r in scoring.evaluate(truth, aln).collect()}
-    assert got == {"a": ("correct", ""), "b": ("misplaced", "same_contig_elsewhere"), "c": ("misplaced", "other_contig"), "d": ("unmapped", ""), "e": ("unmapped", "")}
+    names = ["hit", "far", "elsewhere", "lost", "silent", "beside"]
+    truth = spark.createDataFrame([(q, 0, "chr7", 40_000, 40_090, "+") for q in names], READ)
+    place = lambda q, contig, start, mapped=True: (q, 0, mapped, contig, start, start + 90, "+", 60, 0, 90, 0, False)
+    aln = spark.createDataFrame([place("hit", "chr7", 40_010), place("far", "chr7", 77_000), place("elsewhere", "chrX", 40_000), place("lost", "", -1, False), place("beside", "chr7", 40_085)], ALN)
+    want = {"hit": ("correct", ""), "far": ("misplaced", "same_contig_elsewhere"), "elsewhere": ("misplaced", "other_contig"), "lost": ("unmapped", ""), "silent": ("unmapped", ""), "beside": ("misplaced", "same_locus_low_overlap")}
+    assert {r.qname: (r.outcome, r.misplaced_kind) for r in scoring.evaluate(truth, aln).collect()} == want
+    # All tools at once give each tool's own rows, doubled where a tool places a read twice.
+    other = aln.filter("qname <> 'hit'").union(aln.filter("qname = 'far'"))
+    both = scoring.evaluate_all(truth, {"one": aln, "two": other}).collect()
+    assert {r.qname: (r.outcome, r.misplaced_kind) for r in both if r.aligner == "one"} == want and sum(r.aligner == "one" for r in both) == 6
+    assert sorted(r.qname for r in both if r.aligner == "two") == sorted([*names, "far"]) and {r.outcome for r in both if r.aligner == "two" and r.qname == "hit"} == {"unmapped"}
     with pytest.raises(PySparkException):
         scoring.evaluate(truth.union(truth), aln, validate=True).collect()
 
@@ -72,10 +78,12 @@ def test_calibration_runs_down_from_high_mapq(spark):
 
 
 def test_dominant_label_keeps_exactly_half(spark):
-    annot = spark.createDataFrame([("s", "c", 100, 200, "SINE"), ("s", "c", 150, 260, "SINE"), ("s", "c", 500, 600, "LINE")], "set_name string, contig string, start0 long, end0 long, label string")
-    asked = spark.createDataFrame([(i, "c", s, e) for i, (s, e) in enumerate([(0, 100), (100, 200), (250, 350), (550, 650)])], "rid int, contig string, start0 long, end0 long")
-    got = {r.rid: (r.label, r.fraction) for r in intervals.dominant_labels(asked, annot, "rid", width=64).collect()}
-    assert got == {0: ("none", 0.0), 1: ("SINE", 1.0), 2: ("none", 0.1), 3: ("LINE", 0.5)}
+    marks = [("s", "c", 1000, 1040, "dune"), ("s", "c", 1020, 1064, "dune"), ("s", "c", 3000, 3032, "marsh"), ("s", "c", 3016, 3032, "dune"), ("other", "d", 0, 5, "x")]
+    annot = spark.createDataFrame(marks, "set_name string, contig string, start0 long, end0 long, label string")
+    asked = spark.createDataFrame([(i, "c", s, e) for i, (s, e) in enumerate([(0, 64), (1000, 1064), (1054, 1086), (2984, 3016), (3016, 3032)])], "rid int, contig string, start0 long, end0 long")
+    got = {(r.rid, r.set_name): (r.label, r.fraction) for r in intervals.dominant_labels(asked, annot, "rid", width=16).collect()}
+    assert {i: got[i, "s"] for i in range(5)} == {0: ("none", 0.0), 1: ("dune", 1.0), 2: ("none", 0.3125), 3: ("marsh", 0.5), 4: ("dune", 1.0)}
+    assert all(got[i, "other"] == ("none", 0.0) for i in range(5))
 
 
 def test_binned_join_equals_plain_join(spark):
@@ -390,3 +398,14 @@ def test_download_goes_on_where_it_stopped(tmp_path):
     got = tables.download(f"http://127.0.0.1:{server.server_port}/f", str(target))
     server.shutdown()
     assert target.read_bytes() == body and asked == ["bytes=1000-"] and got["bytes"] == len(body)
+
+
+def test_names_and_checks(spark):
+    a, b = (spark.createDataFrame([(x,) for x in t], "name string") for t in (["x", "y", "x", None], ["y", "z", None]))
+    assert {r[0] for r in names.in_both(a, b, "name").collect()} == {"y", None} and [r[0] for r in names.missing(a, b, "name").collect()] == ["x"]
+    checks = spark.createDataFrame([("p", True), ("p", None), ("q", False), ("p", False)], "set string, ok boolean")
+    assert {tuple(r) for r in qc.inside_tolerance(checks, ["set"]).collect()} == {("p", 1, 3), ("q", 0, 1)}
+    steps = spark.createDataFrame([("filter:x",), ("raw",)], "step string")
+    assert qc.filter_rows(steps).count() == 1
+    places = spark.createDataFrame([("c", 1), ("c", 2), ("c", 2)], "contig string, pos long")
+    assert intervals.outside_mask(places, spark.createDataFrame([("c", 1), ("c", 1)], "contig string, pos long")).count() == 2
