@@ -141,7 +141,6 @@ def test_long_read_filter_and_halves(spark, tmp_path):
     with gzip.open(path, "wt") as file:
         for name, n, q in records:
             file.write(f"@{name} more\n{'A' * n}\n+\n{q * n}\n")
-    reads.register(spark)
     got = reads.fastq(spark, str(path))
     judged = qc.judge_reads(got, 1000, 7.0)
     assert {r.qname: r.reason for r in judged.collect()} == {"a": None, "b": "low_quality", "c": None, "d": "too_short"}
