@@ -1,5 +1,5 @@
 """Cutting lineage; see placetrail.functions.lineage."""
 
-from ..functions.lineage import cut, release, shared_folder
+from ..functions.lineage import cut, discard, release, shared_folder
 
-__all__ = ["cut", "release", "shared_folder"]
+__all__ = ["cut", "discard", "release", "shared_folder"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, release
+from .lineage import cut, discard, release
 from .textops import give_back, mix, prefix_hash, small_batches, span_hash, text_blocks, unused
 
 LENGTH, ANCHOR = 200, 48
@@ -172,11 +172,26 @@ def _collect(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "windows", "at", "h", "c", "times"])
 
 
+def packed(texts: Column) -> Column:
+    """Texts as compressed bytes, with their size before them: half of what a shuffle would write."""
+
+    @F.arrow_udf("binary")
+    def pack(values: pa.Array) -> pa.Array:
+        raw = values.cast(pa.binary()).to_pylist()
+        return pa.array([None if x is None else len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+
+    return pack(texts)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of listed fragments of texts."""
     for batch in batches:
         for r in range(len(batch)):
-            text = batch.column("text")[r].as_py().encode()
+            text = unpacked(batch.column("packed")[r].as_py())
             items = batch.column("items")[r].values.flatten()
             start, windows = items[0].to_numpy(), items[1].to_numpy()
             parts = [text[s : s + m - 1 + length] for s, m in zip(start.tolist(), windows.tolist(), strict=True)]
@@ -212,6 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = found.groupBy("h").agg(F.sum("times").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter(F.col("total") > 1)
     anchors = cut(anchors.select("h", (F.col("c1") == F.col("c2")).alias("pure")))
     shared = cut(found.join(anchors, "h").withColumn("whole", (F.col("windows") * F.col("times"))))
+    discard(found, anchors)
     release(docs.sparkSession)
     spans = [shared.filter("pure").select("key", "start", F.col("whole").alias("windows"))]
     mixed = shared.filter(~F.col("pure"))
@@ -222,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One fragment of every different content, with its bytes.
     listed = contents.select("one.*", "h", "c", "n").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "at", "h", "c", "n")).alias("items"))
     schema = _ITEM + ", n long, part binary"
-    items = cut(docs.join(listed, "key").mapInArrow(lambda b: _extract(b, length), schema)).dropDuplicates(["h", "c"])
+    items = cut(docs.select("key", packed(F.col("text")).alias("packed")).join(listed, "key").mapInArrow(lambda b: _extract(b, length), schema)).dropDuplicates(["h", "c"])
     for size in SPLITS:
         sizes = items.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
         hot = sizes.filter(F.col("different") > HOT).select("h")
@@ -290,12 +306,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Every byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another, is
     removed; strings are judged on the input. Null text counts as empty; repeated rows repeat each other, with a null doc_id too; a
-    table without repeats comes back whole, an empty one empty. Texts of any length are whole, one to a task's block if they are long. Where docs has a
-    column of one of the four names, the new one gets an underscore.
+    table without repeats comes back whole, an empty one empty. Texts of any length are whole, one to a task's block if they are long. Existing
+    columns of the four names are replaced.
     """
     small_batches(docs.sparkSession)
-    base = docs
-    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.drop(*OUTPUTS)
     key, listed, out = (unused(c, base.columns) for c in ("key", "spans", "out"))
     # 128 bits stand for doc_id and text. Rows with one key are one row repeated; each repetition is a place of its own.
     keyed = base.withColumn(key, row_key("doc_id", "text"))
@@ -306,7 +321,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def apply(texts: pa.Array, lists: pa.Array) -> pa.Array:
         size, gone, runs, kept = [], [], [], []
         for i in range(len(texts)):
-            data = np.frombuffer(texts[i].as_py().encode(), np.uint8)
+            data = np.frombuffer(unpacked(texts[i].as_py()) if texts[i].is_valid else b"", np.uint8)
             change = np.zeros(len(data) + 1, np.int64)
             if lists[i].is_valid:
                 start, windows = (x.to_numpy() for x in lists[i].values.flatten())
@@ -319,8 +334,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept.append(data[~covered].tobytes())
         return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed.join(per_doc, key, "left").withColumn(out, apply(text, F.col(listed)))
-    return joined.select(*[F.col(c) for c in base.columns], *[F.col(out)[c].alias(unused(c, base.columns)) for c in OUTPUTS])
+    @F.arrow_udf("string")
+    def unpack(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unpacked(x) for x in texts.to_pylist()], pa.binary()).cast(pa.string())
+
+    joined = keyed.withColumn("text", packed(F.col("text"))).join(per_doc, key, "left").withColumn(out, apply(F.col("text"), F.col(listed)))
+    return joined.select(*[unpack(F.col(c)).alias(c) if c == "text" else F.col(c) for c in base.columns], *[F.col(out)[c].alias(c) for c in OUTPUTS])
 
 
 #: Every string of 200 bytes, written as 400 hexadecimal digits, with the number of its places; the bytes that repeated ones cover.
