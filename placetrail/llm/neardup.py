@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component are tried against a few of that one's members; then only classes of one bucket that are still in different
     components are compared with each other, in blocks, so that every near pair of different components has been confirmed or
     refuted on full sets. No link is left out, and a bucket of near copies costs a few comparisons a document. Null and empty texts and
-    null doc_ids link with nothing; rows that share a doc_id are one node, so their classes are linked. An empty table gives an empty result.
+    null doc_ids link with nothing; rows that share a doc_id are one node, so their classes are linked. An empty table gives an empty result. Texts of any length are
+    whole, a long one in a block of its own, with its set in one row. Only the two columns named are read, so others cannot clash.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")

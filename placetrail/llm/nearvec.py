@@ -109,7 +109,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame
     Links are pairs with cosine >= `least` in double precision. Null, empty or zero vectors and vectors with null or
     non-finite components link with nothing. Identical vectors form one class that stands for all its rows: its members
     count each other, and links between classes are counted by class sizes, so a hot vector costs one row. Rows that share
-    a vec_id are one node and share a component. Shorter vectors are padded with zeros. An empty table gives an empty result.
+    a vec_id are one node and share a component. Shorter vectors are padded with zeros. An empty table gives an empty result. Only the two
+    columns named are read, so others cannot clash.
     """
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))

@@ -243,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, per_l
 
 def score(docs: DataFrame, model: Cnn) -> DataFrame:
     """docs plus score (0 to 1) and predicted (1 from 0.5). Null and empty texts get the score of a text without
-    words; existing columns of these two names are replaced."""
+    words; texts are whole, a long one in a block of its own; repeated rows are scored each, no rows give none; existing columns of these two names
+    are replaced."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -131,7 +131,8 @@ def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = b" ") -> Da
     """docs plus n_words and n_tokens (long) of each whole text; null and empty texts have none of either.
 
     The vocabulary (a fixed table) is sent to the executors; each Python worker builds the automaton once. Words are
-    counted once for each distinct word of a block. Existing columns of the two names are replaced.
+    counted once for each distinct word of a block. A long text is a block of its own, and its words are walked byte by byte. Repeated rows are
+    counted each, no rows give none. Existing columns of the two names are replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, mark))
