@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from placetrail.llm import langid, mixing, neardup, pieces, repeats
 from placetrail.llm.lineage import cut
-from placetrail.llm.textops import unused
 
 #: A document stays if its language has at least this mean posterior.
 SURE = 0.5
@@ -38,11 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated strings of 200 bytes; what is left of a character cut in two goes too, n_chars
     follows the text, and a document of which nothing is left goes."""
-    left = repeats.remove_repeats(docs)
-    removed, kept = (F.col(unused(c, docs.columns)) for c in ("n_removed", "kept"))
-    text = F.when(removed > 0, repeats.whole_characters(kept)).otherwise(F.col("text"))
-    out = left.withColumn("text", text).filter((removed == 0) | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    names = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}  # none that the operator adds
+    left = repeats.remove_repeats(docs.toDF(*names.values()))
+    text = F.when(F.col("n_removed") > 0, repeats.whole_characters(F.col("kept"))).otherwise(F.col("text"))
+    out = left.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(names["n_chars"]))
+    return out.withColumn(names["n_chars"], n_chars).select(*names.values()).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
