@@ -18,7 +18,7 @@ def is_small(table: DataFrame, rows_a_range: int) -> bool:
     return table.select(F.lit(1)).limit(most + 1).count() <= most
 
 
-def running_sums(table: DataFrame, order: list[Column], sums: dict[str, Column], rows_a_range: int = ROWS_A_RANGE, by: tuple[str, ...] = ()) -> DataFrame:
+def running_sums(table: DataFrame, order: list[Column], sums: dict[str, Column], rows_a_range: int = ROWS_A_RANGE, *, by: tuple[str, ...] = ()) -> DataFrame:
     """table plus, under every name of `sums`, the sum of that column over the rows before in `order` (0 for the first row), with `by` those of one group.
 
     Rows are dealt out by ranges of the order and summed inside each range; the ranges' totals, one row a range (and group), are summed in

@@ -68,7 +68,7 @@ def test_points_counted_from_sums(spark, range_rows):
 
 @pytest.mark.parametrize("range_rows", [4, 50_000])
 def test_order_statistics_of_groups(spark, range_rows, monkeypatch):
-    monkeypatch.setattr(ordered.running_sums, "__defaults__", (range_rows, ()))
+    monkeypatch.setattr(ordered.running_sums, "__defaults__", (range_rows,))
     rng = np.random.default_rng(8)
     frame = pd.DataFrame({"g": rng.choice(["x", "y", "z", None], 400, p=[0.7, 0.2, 0.05, 0.05]), "v": rng.integers(1, 60, 400), "w": rng.normal(size=400).round(1), "side": rng.random(400) < 0.4})
     table = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), "g string, v long, w double, side boolean")
