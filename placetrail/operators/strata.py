@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cover_bin, gc_bin, length_bin, variant_density_bin
 from . import intervals as iv
 
 
+def _single(annotations: DataFrame) -> dict[str, str]:
+    """The sets with one label, and that label; sets are a handful."""
+    counted = annotations.groupBy("set_name").agg(F.min("label").alias("only"), F.max("label").alias("last")).filter("only = last").limit(iv.MOST_SETS + 1).collect()
+    return {r.set_name: r.only for r in counted}
+
+
+def _outside(label: Column, only: str | None) -> Column:
+    return label if only is None else F.when(label == "none", f"outside_{only}").otherwise(label)
+
+
 def set_labels(queries: DataFrame, annotations: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """(key, set_name, label, cover): the dominant label of every set, and how much of the query it covers. In a set with
     one label, `none` becomes `outside_<label>`."""
     found = iv.dominant_labels(queries, annotations, key, least)
-    single = annotations.groupBy("set_name").agg(F.countDistinct("label").alias("labels"), F.min("label").alias("only"))
-    named = found.join(single, "set_name")
-    label = F.when((F.col("labels") == 1) & (F.col("label") == "none"), F.concat(F.lit("outside_"), F.col("only"))).otherwise(F.col("label"))
-    return named.select(key, "set_name", label.alias("label"), cover_bin(F.col("fraction")).alias("cover"))
+    label = F.col("label")
+    for name, only in _single(annotations).items():
+        label = F.when(F.col("set_name") == name, _outside(F.col("label"), only)).otherwise(label)
+    return found.select(key, "set_name", label.alias("label"), cover_bin(F.col("fraction")).alias("cover"))
 
 
 def annotate(queries: DataFrame, annotations: DataFrame, sets: list[str], key: str, points: DataFrame | None = None, long_reads: bool = False, divergence: str | None = None) -> DataFrame:
     """queries(key, contig, start0, end0[, gc]) plus `<set>` and `<set>_cover` for every set, and, where their inputs are
-    given, gc_content, var_count, variant_density, read_length and divergence."""
-    labels = set_labels(queries, annotations, key)
-    wide = labels.groupBy(key).pivot("set_name", sets).agg(F.first("label").alias("label"), F.first("cover").alias("cover"))
-    wide = wide.select(key, *[F.col(f"`{s}_label`").alias(s) for s in sets], *[F.col(f"{s}_cover") for s in sets])
-    out = queries.join(wide, key, "left")
+    given, gc_content, var_count, variant_density, read_length and divergence. A set without annotations gives nulls."""
+    there, single = set(iv.set_names(annotations)), _single(annotations)
+    out = iv.with_dominant(queries, annotations)
+    columns = {}
+    for name in sets:
+        label, fraction = iv.dominant_of(F.lit(name))
+        known = name in there
+        columns[name] = _outside(label, single.get(name)) if known else F.lit(None).cast("string")
+        columns[f"{name}_cover"] = cover_bin(fraction) if known else F.lit(None).cast("string")
+    out = out.withColumns(columns).drop("best")
     span = F.greatest(F.col("end0") - F.col("start0"), F.lit(1))
     if "gc" in queries.columns:
         out = out.withColumn("gc_content", gc_bin(F.col("gc")))

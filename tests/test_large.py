@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placetrail.functions import sequence
+from placetrail.operators import intervals
 from placetrail.sources import reads
 
 
@@ -38,3 +39,33 @@ def test_a_record_is_many_keys(spark, monkeypatch):
         got[r.contig] = got.get(r.contig, "") + r.bases
     assert got == contigs
     assert "stretch" in chunks._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("long_query", [300, 1 << 20])
+def test_dominant_labels_by_stalls(spark, long_query):
+    rng = random.Random(11)
+    contigs = ["c0", "c1"]
+    marks = [(f"s{i % 2}", rng.choice(contigs), s, s + rng.randint(1, 400), f"l{i % 7}") for i in range(150) for s in [rng.randint(0, 4000)]]
+    asked = [(i, rng.choice(contigs), s, s + int(2 ** rng.uniform(0, 11))) for i in range(120) for s in [rng.randint(0, 4000)]] + [(900, "c0", 5, 5), (901, "c9", 0, 50), (902, None, 0, 50)]
+    annot = spark.createDataFrame(marks, "set_name string, contig string, start0 long, end0 long, label string")
+    queries = spark.createDataFrame(asked, "rid int, contig string, start0 long, end0 long")
+    got = {r.rid: {x.set_name: (x.label, -x.share) for x in r.best} for r in intervals.with_dominant(queries, annot, 16, long_query).collect()}
+    for rid, contig, low, high in asked:
+        want = {}
+        for name in ("s0", "s1"):
+            cover: dict = {}
+            for n, c, s, e, label in marks:
+                if n == name and c == contig:
+                    cover.setdefault(label, set()).update(range(max(s, low), min(e, high)))
+            best = min(((-len(v), k) for k, v in cover.items() if v), default=None)
+            if best:
+                want[name] = (best[1], pytest.approx(-best[0] / (high - low)))
+        assert got[rid] == want
+
+
+def test_queries_meet_one_row_whatever_lies_over_them(spark):
+    """300 labels over everything: a query was joined to each of them."""
+    annot = spark.range(300).select(F.lit("s").alias("set_name"), F.lit("c").alias("contig"), F.lit(0).cast("long").alias("start0"), F.lit(100_000).cast("long").alias("end0"), F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("label"))
+    stalls = spark.createDataFrame([("c", 0, 3)], "contig string, _depth int, _stall long")
+    row = intervals.stall_labels(stalls, intervals.merge_intervals(annot, ("set_name", "label", "contig")), 512).collect()
+    assert len(row) == 1 and [(x.whole, len(x.parts)) for x in row[0]._sets] == [("l000", 0)]
