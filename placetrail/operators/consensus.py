@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import iou
 from .scoring import CONFIDENT, KEY
 from .statistics import spearman, total_variation
@@ -149,7 +150,7 @@ def transfer_strata(truth_strata: DataFrame, summary: DataFrame, pairs: DataFram
     truth = truth_strata.select(F.col("dataset").alias("simulated"), *key, "n", "n_misplaced")
     three = truth.join(pairs, "simulated").join(side("simulated"), ["simulated", *key]).join(side("real"), ["real", *key])
     enough = three.filter((F.col("n") >= least_reads) & (F.col("simulated_n") >= least_reads) & (F.col("real_n") >= least_reads))
-    joined = enough.select(
+    rates = enough.select(
         "simulated",
         "real",
         *key,
@@ -157,6 +158,7 @@ def transfer_strata(truth_strata: DataFrame, summary: DataFrame, pairs: DataFram
         F.try_divide(F.col("simulated_off").cast("double"), F.col("simulated_n")).alias("sim_disagreement"),
         F.try_divide(F.col("real_off").cast("double"), F.col("real_n")).alias("real_disagreement"),
     )
+    joined = cut(rates)  # a row a stratum, read by every statistic below
     by = ["simulated", "real", "aligner"]
     proxy = spearman(joined, by, "sim_error", "sim_disagreement").select(*by, F.col("rho").alias("proxy_validity_spearman"))
     moved = spearman(joined, by, "sim_disagreement", "real_disagreement").select(*by, F.col("rho").alias("transfer_spearman"))
@@ -174,6 +176,7 @@ def truth_free(placements: DataFrame, tools: list[str], annotations: DataFrame,
     majority = consensus(placements, tools).withColumn("read_key", F.concat_ws(":", *KEY))
     if truth is not None:
         majority = with_truth(majority, truth)
+    majority = cut(majority)  # read by every step below
     marked = strata.annotate(majority.filter("has_consensus"), annotations, sets, "read_key", points, long_reads)
     columns = strata.stratum_columns(marked.columns, sets)
     whole = marked.unionByName(majority.filter(~F.col("has_consensus")), allowMissingColumns=True)
