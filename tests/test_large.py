@@ -1,5 +1,7 @@
 """Steps that large tables have shown to be one task, or to make rows for every pair."""
 
+import gzip
+import json
 import random
 import re
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placetrail.functions import sequence
 from placetrail.operators import intervals
-from placetrail.sources import reads
+from placetrail.sources import bam, reads
 
 
 @pytest.mark.parametrize("size", [5, 64])
@@ -69,3 +71,32 @@ def test_queries_meet_one_row_whatever_lies_over_them(spark):
     stalls = spark.createDataFrame([("c", 0, 3)], "contig string, _depth int, _stall long")
     row = intervals.stall_labels(stalls, intervals.merge_intervals(annot, ("set_name", "label", "contig")), 512).collect()
     assert len(row) == 1 and [(x.whole, len(x.parts)) for x in row[0]._sets] == [("l000", 0)]
+
+
+def test_small_parts_share_a_task_and_large_runs_are_cut(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("qname"), F.lit(0).alias("flag"), F.lit("chr1").alias("rname"), (F.col("id") + 1).alias("pos1"), F.lit(60).alias("mapq"), F.lit("20M").alias("cigar"), F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    at = f"{tmp_path}/x.bam"
+    bam.write_bam(rows, [("chr1", 100_000)], at, ["pos1"], block_bytes=700)
+    whole = bam.BamReader(at, 1000, None)
+    assert len(whole.partitions()) == 1 and len(whole.partitions()[0].value) > 20
+    first = bam.read_header(at).first
+    chunks = json.dumps({at: [[first, 1 << 50]]})
+    assert len(bam.BamReader(at, 1000, chunks).partitions()) > 1 or len(bam.BamReader(at, 1000, json.dumps({at: [[first, (1 << 16) * 20_000]]})).partitions()[0].value) > 10
+    found = spark.read.format("bam").option("split_bytes", 1000).option("chunks", json.dumps({at: [[first, (1 << 16) * 20_000]]})).load(at)
+    upto = spark.read.format("bam").load(at).filter(F.col("voffset") < (1 << 16) * 20_000)
+    assert sorted(r.qname for r in found.collect()) == sorted(r.qname for r in upto.collect()) and upto.count() > 1000
+
+
+def test_near_windows_keeps_equal_rows_once_each(spark):
+    reads_ = spark.createDataFrame([("a", "c", 10, 100)] * 2 + [("b", "c", 61, 65), ("d", "c", 70, 80)], "qname string, contig string, start0 long, end0 long")
+    windows = spark.createDataFrame([("c", 20, 30), ("c", 50, 50), ("c", 60, 70)], "contig string, start0 long, end0 long")
+    assert sorted(r.qname for r in intervals.near_windows(reads_, windows).collect()) == ["a", "a", "b"]
+
+
+def test_fastq_lines_of_one_split_are_many_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reads, "LINE_BITS", 3)
+    path = tmp_path / "x.fastq.gz"
+    path.write_bytes(gzip.compress("".join(f"@r{i}\n{'ACGT'[i % 4]}\n+\nI\n" for i in range(50)).encode()))
+    found = reads.fastq(spark, str(path))
+    assert [(r.qname, r.seq) for r in found.orderBy("file_order").collect()] == [(f"r{i}", "ACGT"[i % 4]) for i in range(50)]
+    assert "stretch" in found._jdf.queryExecution().analyzed().toString()
