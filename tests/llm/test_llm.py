@@ -282,6 +282,26 @@ def test_quality_held_out(labelled):
     assert (got == labelled.quality[held].to_numpy()).mean() > 0.97
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """All bad texts are long, and most good ones too: a sample of short texts held no bad one."""
+    text = lambda i, bad: ("@# $ %^ " if bad else "Some good words, in a row. ") * (4000 if bad or i % 5 else 3)
+    rows = [(i, text(i, i % 3 == 0), int(i % 3 > 0)) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    total = quality.training_rows(docs, labels, 4, 2).groupBy("label").count().collect()
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert {r.label: r["count"] for r in total} == {k: sum(r[2] == k for r in kept) for k in (0, 1)}
+
+
+def test_quality_cut_is_the_widest_gap_of_all_scores(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CELLS", 8)
+    values = np.concatenate([np.linspace(0, 1, 300), np.linspace(1.05, 2, 700), [1e6]])
+    scored = spark.createDataFrame([(float(v),) for v in values], "value double").repartition(3)
+    assert quality._cut_of(scored, 0.3) == pytest.approx(1.025)
+
+
 def test_quality_query_against_plain_features(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
