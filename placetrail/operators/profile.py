@@ -7,6 +7,7 @@ their alignments into such cells, so only cells are shuffled.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .statistics import max_gap, pearson, total_variation
 
 # Limits of the model.
@@ -30,6 +32,8 @@ CELLS = "kind string, mate int, a int, b int, c int, n long"
 
 #: Bases of reads and references that a task lays out at a time.
 BLOCK_BASES = 1 << 20
+#: Blocks whose cells are added up at a time, cells that a task holds before it sends them on, and the number of possible cells up to which each has a place.
+MERGE, HELD, DENSE = 16, 1 << 20, 1 << 16
 
 
 def spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -71,7 +75,8 @@ def first_of_mate(alignments: DataFrame, most: int) -> DataFrame:
 
 def count_cells(alignments: DataFrame, kind: str = "short", masked: DataFrame | None = None) -> DataFrame:
     """Cells of alignments(mate, reverse, contig, start0, cigar, seq, qual, ref[, proper, tlen]); `ref` holds the reference bases of the span and
-    `masked`(contig, pos) positions to leave out. Long reads with fewer than 200 columns are left out."""
+    `masked`(contig, pos) positions to leave out. Long reads with fewer than 200 columns are left out. The cells are
+    written once, as a comparison reads them a dozen times."""
     rows = alignments
     if masked is not None:
         from .intervals import overlap_join
@@ -92,17 +97,21 @@ def count_cells(alignments: DataFrame, kind: str = "short", masked: DataFrame |
     )
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, blocks = Counts(), 0
         for batch in batches:
             bases = np.cumsum(pc.binary_length(batch.column("seq")).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(batch.column("ref")).to_numpy(zero_copy_only=False))
             low = 0
             while low < batch.num_rows:
                 high = max(low + 1, int(np.searchsorted(bases, (bases[low - 1] if low else 0) + BLOCK_BASES, "right")))
-                counts = Counts()
                 _tally(batch.slice(low, high - low), kind, counts)
-                yield from counts.batches()
+                blocks += 1
+                if blocks % MERGE == 0 and counts.merge() > HELD:
+                    yield from counts.batches()
+                    counts = Counts()
                 low = high
+        yield from counts.batches()
 
-    return rows.mapInArrow(tally, CELLS).groupBy("kind", "mate", "a", "b", "c").agg(F.sum("n").alias("n"))
+    return cut(rows.mapInArrow(tally, CELLS).groupBy("kind", "mate", "a", "b", "c").agg(F.sum("n").alias("n")))
 
 
 #: Cells by kind: cycle (cycle, mismatch), quality (quarter, quality, mismatch), transition (cycle, former, quality), first (quality), length (bases),
@@ -111,30 +120,53 @@ def count_cells(alignments: DataFrame, kind: str = "short", masked: DataFrame |
 KINDS = ["cycle", "quality", "transition", "first", "length", "substitution", "insertion", "deletion", "run", "run_insertion", "run_deletion", "fragment", "error", "read"]
 
 
+def grouped(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) of equal rows of columns, or the sums of n."""
+    # One number for a cell; its parts are small, and so is their product.
+    widths = [int(x.max()) + 1 for x in columns]
+    key = columns[0]
+    for x, width in zip(columns[1:], widths[1:], strict=True):
+        key = key * width + x
+    most = math.prod(widths)
+    if most <= max(DENSE, 4 * len(key)) and key.min() >= 0 and (n is None or n.sum() < 1 << 53):  # counted in place, not sorted
+        sums = np.bincount(key, n, most).astype(np.int64)
+        cells = np.flatnonzero(sums)
+        sums = sums[cells]
+    elif n is None:
+        cells, sums = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0)))
+        cells, sums = key[order][first], np.add.reduceat(n[order], first)
+    parts = []
+    for width in reversed(widths[1:]):
+        cells, part = np.divmod(cells, width)
+        parts.append(part)
+    return np.stack([cells, *reversed(parts)]), sums
+
+
 class Counts:
-    """Cells of one block, kind by kind."""
+    """Cells of the blocks of a task, kind by kind."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[str, np.ndarray, np.ndarray]] = []
+        self.found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def add(self, kind: str, mate, a, b=0, c=0) -> None:
         columns = [np.asarray(x, np.int64) for x in np.broadcast_arrays(mate, a, b, c)]
         if not columns[1].size:
             return
-        # One number for a cell; its parts are small, and so is their product.
-        widths = [int(x.max()) + 1 for x in columns]
-        key = columns[0]
-        for x, width in zip(columns[1:], widths[1:], strict=True):
-            key = key * width + x
-        cells, n = np.unique(key, return_counts=True)
-        parts = []
-        for width in reversed(widths[1:]):
-            cells, part = np.divmod(cells, width)
-            parts.append(part)
-        self.found.append((kind, np.stack([cells, *reversed(parts)]), n))
+        self.found.setdefault(kind, []).append(grouped(columns))
+
+    def merge(self) -> int:
+        """Add up what blocks have found; the number of cells held."""
+        for kind, own in self.found.items():
+            if len(own) > 1:
+                self.found[kind] = [grouped([np.concatenate(x) for x in zip(*(cells for cells, _ in own), strict=True)], np.concatenate([n for _, n in own]))]
+        return sum(len(n) for own in self.found.values() for _, n in own)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for kind, cells, n in self.found:
+        self.merge()
+        for kind, [(cells, n)] in self.found.items():
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), *(pa.array(x.astype(np.int32)) for x in cells), pa.array(n)], ["kind", "mate", "a", "b", "c", "n"])
 
 

@@ -115,3 +115,28 @@ def test_tally_of_nothing(spark):
     odd = spark.createDataFrame([(0, False, "c", 0, "*", "", "", "*"), (0, False, "c", 0, "3S", "ACG", "", "III"), (1, True, "c", 5, "2M", "AC", "AG", "I")], none.schema)
     assert profile.count_cells(odd.withColumn("x", F.lit(1)), "long").count() == 0
     assert {(r.kind, r.a, r.n) for r in profile.count_cells(odd, "short").collect()} == {("first", 40, 1), ("transition", 1, 1), ("transition", 2, 1), ("length", 3, 1)}
+
+
+def test_cells_are_tallied_once(spark, monkeypatch):
+    """A comparison tallied both sides anew for every figure, and a task sent cells for every block."""
+    monkeypatch.setattr(profile, "BLOCK_BASES", 64)
+    monkeypatch.setattr(profile, "MERGE", 2)
+    own = [(0, False, "c", 10 * i, "20M", "ACGT" * 5, "I" * 20, "ACGT" * 4 + "ACGA") for i in range(40)]
+    rows = spark.createDataFrame(own, "mate int, reverse boolean, contig string, start0 long, cigar string, seq string, qual string, ref string").coalesce(1)
+    cells = profile.count_cells(rows, "short")
+    plan = profile.compare(cells, cells, "short")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    assert {(r.a, r.b): r.n for r in cells.filter("kind = 'cycle'").collect()} == {(i, int(i == 19)): 40 for i in range(20)}
+    want = sorted(tuple(r) for r in cells.collect())
+    monkeypatch.setattr(profile, "HELD", 3)
+    monkeypatch.setattr(profile, "DENSE", 0)
+    assert sorted(tuple(r) for r in profile.count_cells(rows, "short").collect()) == want
+
+
+def test_grouped_in_place_and_sorted_agree(monkeypatch):
+    columns, n = [np.array([0, 1, 0, 0, 1]), np.array([900, 3, 900, 2, 3]), np.array([1, 0, 1, 5, 0])], np.array([2, 3, 4, 5, 6])
+    dense = profile.grouped(columns), profile.grouped(columns, n)
+    monkeypatch.setattr(profile, "DENSE", 0)
+    for (cells, sums), (same, others) in zip(dense, (profile.grouped(columns), profile.grouped(columns, n)), strict=True):
+        assert cells.tolist() == same.tolist() and sums.tolist() == others.tolist()
+    assert dense[1][1].tolist() == [5, 6, 9]
