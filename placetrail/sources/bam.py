@@ -32,6 +32,8 @@ from .onefile import BUFFER, OneFileWriter, place
 RECORD = "file_order long, qname string, flag int, rname string, pos1 long, mapq int, cigar string, seq string, qual string, nm int, split boolean, tlen int, end0 long, file string, voffset long, voffset_end long"
 #: Bytes of one part of a file, records of a batch, and sound records in a row that prove a record's start.
 SPLIT_BYTES, BATCH, CHAIN = 64 << 20, 4096, 16
+#: Parts of a file beyond which small ones become larger, up to SPLIT_BYTES: a part costs a task, a header and a search, whatever its size.
+PARTS = 64
 #: Bits of a window, and levels of bins above the windows.
 WINDOW_BITS, LEVELS = 14, 5
 #: Fixed values of the format: a block's first bytes, the empty block at a file's end, the letters of bases and of CIGAR operations.
@@ -277,7 +279,7 @@ def decode(raw: bytes, names: list[str]) -> tuple:
 
 class BamSource(DataSource):
     """`spark.read.format("bam").load(path)`: the records of BAM files (a path, several with commas, or a folder of them), each file in parts of `split_bytes`
-    bytes. With the option `chunks`, a JSON object of paths and lists of virtual ranges, only those are read. file_order rises with a record's place, whatever
+    bytes, or of a multiple where those were too many (see `part_bytes`). With the option `chunks`, a JSON object of paths and lists of virtual ranges, only those are read. file_order rises with a record's place, whatever
     the parts. `df.write.format("bam").option("contigs", json).save(path)` writes one file, see `write_bam`."""
 
     @classmethod
@@ -306,6 +308,11 @@ def bam_files(path: str) -> list[str]:
     return out
 
 
+def part_bytes(size: int, split_bytes: int) -> int:
+    """Bytes of a part of a file of that size: a multiple of split_bytes, the smallest that makes PARTS parts or fewer, but no more than SPLIT_BYTES."""
+    return max(split_bytes, min(-(-size // (PARTS * split_bytes)) * split_bytes, SPLIT_BYTES))
+
+
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int, chunks: str | None):
         self.paths, self.split_bytes, self.chunks = bam_files(path), max(1, split_bytes), json.loads(chunks) if chunks else None
@@ -321,7 +328,7 @@ class BamReader(DataSourceReader):
                 continue
             files, name = place(path)
             size = files.get_file_info(name).size
-            parts += [InputPartition((number, path, low, min(size, low + self.split_bytes), False)) for low in range(0, size, self.split_bytes)]
+            parts += [InputPartition((number, path, low, min(size, low + step), False)) for step in [part_bytes(size, self.split_bytes)] for low in range(0, size, step)]
         return parts or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,23 @@ def test_bins(spark):
         assert all(bam.bin_of(p, p + 1) in r.bins for p in (r.s, (r.s + r.e) // 2, r.e - 1))
 
 
+def test_parts_of_a_file_are_bounded(spark, tmp_path, monkeypatch):
+    """A file of many small parts was as many tasks."""
+    path = written(spark, tmp_path, made(2000), block=900)
+    monkeypatch.setattr(bam, "PARTS", 5)
+    few = bam.BamReader(path, 1500, None).partitions()
+    assert 1 < len(few) <= 5
+    assert [(p.value[2], p.value[3]) for p in few][1:] == [(a.value[3], b.value[3]) for a, b in zip(few, few[1:], strict=False)]
+    read = lambda parts: [r for p in parts for b in bam.BamReader(path, 1500, None).read(p) for r in b.to_pylist()]
+    whole = read(bam.BamReader(path, 1 << 30, None).partitions())
+    assert len(whole) == 2000 and read(few) == whole
+    monkeypatch.setattr(bam, "PARTS", 1 << 20)
+    many = bam.BamReader(path, 1500, None).partitions()
+    assert len(many) > 5 and read(many) == whole
+    monkeypatch.setattr(bam, "PARTS", 64)
+    assert bam.part_bytes(1 << 40, 20_000) == 64 << 20 and bam.part_bytes(1000, 20_000) == 20_000 and bam.part_bytes(1 << 40, 1 << 30) == 1 << 30
+
+
 def test_a_slice_reads_its_chunks_alone(spark, tmp_path):
     rows = made(3000)
     path = written(spark, tmp_path, rows, block=900)
