@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ordered import ROWS_A_RANGE, is_small
 from ..functions.scalars import hash_swap
 
+#: Before every place; and the width of the narrowest bins of stalls, about a window of short reads.
+LEAST, WINDOW = -(1 << 62), 128
+
 
 def genotype_rows(records: DataFrame, names: DataFrame) -> DataFrame:
     """records(file_order, contig, pos1, ref, alts, genotype) with canonical, status (off_reference, skipped_other, homozygous_reference,
@@ -30,24 +38,76 @@ def haplotype_variants(genotypes: DataFrame) -> DataFrame:
     return used.filter("allele > 0").select(F.col("canonical").alias("contig"), "hap", "start0", "ref_len", F.upper(F.get("alts", F.col("allele") - 1)).alias("alt"))
 
 
-def keep_apart(variants: DataFrame) -> DataFrame:
-    """variants plus kept: false where a variant starts before the last kept one of its haplotype ends, in (start0, ref_len, alt)
-    order. Overlapping variants form runs; each fold sees one run, however long a contig is."""
-    from .intervals import overlap_runs
-
-    spans = variants.select("contig", "hap", F.col("start0").cast("long").alias("start0"), (F.col("start0") + F.col("ref_len")).cast("long").alias("end0"), "ref_len", "alt")
-    marked = overlap_runs(spans, ("contig", "hap"), ("start0", "ref_len", "alt"), touching=False)
-    runs = marked.groupBy("contig", "hap", "run").agg(F.array_sort(F.collect_list(F.struct("start0", "ref_len", "alt"))).alias("own"))
-
-    def step(state: Column, v: Column) -> Column:
-        good = v["start0"] >= state["end0"]
-        kept = F.concat(state["out"], F.array(F.struct(v["start0"].alias("start0"), v["ref_len"].alias("ref_len"), v["alt"].alias("alt"), good.alias("kept"))))
-        return F.struct(F.when(good, v["start0"] + v["ref_len"]).otherwise(state["end0"]).alias("end0"), kept.alias("out"))
-
-    kind = "array<struct<start0: bigint, ref_len: bigint, alt: string, kept: boolean>>"
-    own = F.transform("own", lambda v: F.struct(v["start0"].cast("long").alias("start0"), v["ref_len"].cast("long").alias("ref_len"), v["alt"].alias("alt")))
-    first = F.struct(F.lit(-1).cast("long").alias("end0"), F.array().cast(kind).alias("out"))
-    return runs.select("contig", "hap", F.explode(F.aggregate(own, first, step, lambda s: s["out"])).alias("v")).select("contig", "hap", "v.*")
+def _following(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each place, the first one after it that starts at its end or later."""
+    return np.maximum(np.searchsorted(starts, ends), np.arange(len(starts)) + 1)
+
+
+def _ways_through(own: pd.DataFrame) -> pd.DataFrame:
+    """One row of a range of places: whoever enters with a reach up to `upto` (the first such) leaves it with `leaves`. Only reaches up to `most`, the
+    furthest end of the ranges before, can enter."""
+    own = own.sort_values("start0")
+    starts, ends = own["start0"].to_numpy(), own["end0"].to_numpy()
+    after, leaves = _following(starts, ends).tolist(), ends.tolist()
+    for i in range(len(leaves) - 1, -1, -1):
+        if after[i] < len(leaves):
+            leaves[i] = leaves[after[i]]
+    most = own["most"].iloc[0]
+    many = 1 if pd.isna(most) else min(len(leaves), int(np.searchsorted(starts, most)) + 1)
+    last = [i for i in range(many) if i + 1 == many or leaves[i] != leaves[i + 1]]
+    return pd.DataFrame({"group": [own["group"].iloc[0]], "range": [own["range"].iloc[0]], "upto": [[int(starts[i]) for i in last]], "leaves": [[leaves[i] for i in last]]})
+
+
+def _enter(own: pd.DataFrame) -> pd.DataFrame:
+    """The reach with which the selection enters every range of a group, one row a range."""
+    own, reach, found = own.sort_values("range"), LEAST, []
+    for upto, leaves in zip(own["upto"], own["leaves"], strict=True):
+        found.append(reach)
+        at = int(np.searchsorted(upto, reach))
+        reach = int(leaves[at]) if at < len(leaves) else reach
+    return pd.DataFrame({"group": own["group"], "range": own["range"], "reach": found})
+
+
+def _open_places(own: pd.DataFrame) -> pd.DataFrame:
+    """The places of a range that the selection takes."""
+    own = own.sort_values("start0")
+    starts = own["start0"].to_numpy()
+    after, taken = _following(starts, own["end0"].to_numpy()).tolist(), []
+    at = int(np.searchsorted(starts, own["reach"].iloc[0]))
+    while at < len(after):
+        taken.append(at)
+        at = after[at]
+    return own.iloc[taken][["group", "start0"]]
+
+
+def keep_apart(variants: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """variants plus kept: false where a variant starts before the last kept one of its haplotype ends, in (start0, ref_len, alt) order.
+
+    Of the variants of one place only those without reference bases and the first other one can be kept, so places are selected, and equal variants are one row until the end.
+    Places are dealt out by ranges; each range tells how a reach that enters it leaves, those rows are followed through a haplotype, and
+    then every range selects its own. So no run of overlapping variants is one fold. A small table is one range.
+    """
+    group = F.to_json(F.struct("contig", "hap"))
+    columns = ["contig", "hap", F.col("start0").cast("long").alias("start0"), F.col("ref_len").cast("long").alias("ref_len"), "alt"]
+    once = cut(variants.select(*columns).groupBy("contig", "hap", "start0", "ref_len", "alt").agg(F.count(F.lit(1)).alias("n")).withColumn("group", group))
+    lead = F.min(F.when(F.col("ref_len") > 0, F.struct("ref_len", "alt"))).alias("lead")
+    places = cut(once.filter("start0 is not null and ref_len is not null").groupBy("group", "start0").agg(lead))
+    spans = places.select("group", "start0", (F.col("start0") + F.coalesce("lead.ref_len", F.lit(0))).alias("end0"))
+    if is_small(spans, rows_a_range):
+        entered = spans.withColumns({"range": F.lit(0), "reach": F.lit(LEAST)})
+    else:
+        ranges = max(1, -(-spans.count() // rows_a_range))
+        ranged = cut(spans.repartitionByRange(ranges, "group", "start0").withColumn("range", F.spark_partition_id()))
+        furthest = ranged.groupBy("group", "range").agg(F.max("end0").alias("end0"))
+        former = furthest.select("group", "range", F.max("end0").over(W.partitionBy("group").orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("most"))
+        ways = ranged.join(former, ["group", "range"]).groupBy("group", "range").applyInPandas(_ways_through, "group string, range int, upto array<long>, leaves array<long>")
+        entered = ranged.join(ways.groupBy("group").applyInPandas(_enter, "group string, range int, reach long"), ["group", "range"])
+    taken = entered.groupBy("group", "range").applyInPandas(_open_places, "group string, start0 long")
+    known = places.join(taken.withColumn("open", F.lit(True)), ["group", "start0"], "left").select("group", "start0", "lead", F.coalesce("open", F.lit(False)).alias("open"))
+    empty = F.col("ref_len") <= 0
+    first = F.col("open") & (empty | F.struct("ref_len", "alt").eqNullSafe(F.col("lead")))
+    copies = F.concat(F.array(first), F.array_repeat(F.col("open") & empty, (F.col("n") - 1).cast("int")))
+    return once.join(known, ["group", "start0"], "left").select("contig", "hap", "start0", "ref_len", "alt", F.explode(copies).alias("kept"))
 
 
 def _run(first: Column, n: Column) -> Column:
@@ -58,16 +118,20 @@ def _run(first: Column, n: Column) -> Column:
 def apply_to_windows(windows: DataFrame, kept: DataFrame) -> DataFrame:
     """windows(window_id, contig, hap, start0, seq) plus sample_seq, positions (array<long>: the reference position of every base of it) and n_variants.
 
-    A window's variants are gathered by an overlap join and folded into a map of pieces: each holds the reference bases since the piece before and one
+    Variants are gathered once for each stall of windows (two neighbouring bins that hold them, see `intervals.with_dominant`), so a window is joined to one row, and no row
+    is made for a pair. A window's own are folded into a map of pieces: each holds the reference bases since the piece before and one
     variant's bases. Inserted bases take the position of the last base that they replace. A variant that begins before a former one ends, or leaves the window, is passed
-    over. window_id is a key of windows.
+    over.
     """
-    from .intervals import overlap_join
-
-    spans = windows.withColumn("end0", F.col("start0") + F.length("seq"))
-    right = kept.filter("kept").select("contig", F.col("hap").alias("v_hap"), F.col("start0").alias("r_start"), (F.col("start0") + F.greatest("ref_len", F.lit(1))).alias("r_end"), "ref_len", "alt")
-    hits = overlap_join(spans.select("window_id", "contig", "hap", "start0", "end0"), right).filter("hap = v_hap and r_start >= start0")
-    own = hits.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct((F.col("r_start") - F.col("start0")).cast("int").alias("offset"), F.col("ref_len").cast("int").alias("ref_len"), "alt"))).alias("own_"))
+    from .intervals import _stall
+
+    level, stall = _stall(F.col("start0"), F.col("start0") + F.length("seq"), WINDOW)
+    placed = windows.withColumns({"_depth": level, "_stall": stall})
+    depths = placed.agg(F.sort_array(F.collect_set("_depth")).alias("_depths"))  # one row
+    bins = F.transform("_depths", lambda k: F.struct(k.alias("_depth"), F.floor(F.col("start0") / (F.lit(WINDOW).cast("long") * F.pow(F.lit(8.0), k).cast("long"))).alias("_bin")))
+    inside = kept.filter("kept").crossJoin(F.broadcast(depths)).select("contig", "hap", "start0", "ref_len", "alt", F.inline(bins))
+    both = inside.withColumn("_stall", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"))))
+    near = both.groupBy("contig", "hap", "_depth", "_stall").agg(F.array_sort(F.collect_list(F.struct("start0", F.col("ref_len").cast("int").alias("ref_len"), "alt"))).alias("near_"))
     size, seq, start = F.length("seq"), F.col("seq"), F.col("start0")
     pieces = "array<struct<front: int, offset: int, ref_len: int, alt: string>>"
 
@@ -78,7 +142,15 @@ def apply_to_windows(windows: DataFrame, kept: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<offset: int, ref_len: int, alt: string>>")
     first = F.struct(F.lit(0).alias("at"), F.array().cast(pieces).alias("out"))
-    mapped = windows.join(own, "window_id", "left").withColumn("map_", F.aggregate(F.coalesce("own_", none), first, step))
+    own = F.transform(F.filter("near_", lambda v: (v["start0"] >= start) & (v["start0"] < start + size)), lambda v: F.struct((v["start0"] - start).cast("int").alias("offset"), v["ref_len"].alias("ref_len"), v["alt"].alias("alt")))
+    mapped = placed.join(near, ["contig", "hap", "_depth", "_stall"], "left").withColumn("own_", F.coalesce(F.filter(own, lambda v: v["offset"] + v["ref_len"] <= size), none))
+    # Variants that are apart follow each other, without a fold that copies what it has found for each.
+    before = lambda i: F.coalesce(F.get("own_", i - 1)["offset"] + F.get("own_", i - 1)["ref_len"], F.lit(0))
+    traced = F.transform("own_", lambda v, i: F.struct(before(i).alias("front"), v["offset"].alias("offset"), v["ref_len"].alias("ref_len"), v["alt"].alias("alt")))
+    mapped = mapped.withColumn("traced_", traced)
+    last = F.get("own_", F.size("own_") - 1)
+    straight = F.struct(F.coalesce(last["offset"] + last["ref_len"], F.lit(0)).alias("at"), F.col("traced_").alias("out"))
+    mapped = mapped.withColumn("map_", F.when(F.forall("traced_", lambda p: p["offset"] >= p["front"]), straight).otherwise(F.aggregate("own_", first, step)))
     out, at = F.col("map_")["out"], F.col("map_")["at"]
     bases = F.transform(out, lambda p: F.concat(F.substring(seq, p["front"] + 1, p["offset"] - p["front"]), p["alt"]))
     placed = lambda p: F.transform(_run(F.lit(0), F.length(p["alt"])), lambda i: start + p["offset"] + F.least(i, F.greatest(p["ref_len"] - 1, F.lit(0))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placetrail.functions import sequence
-from placetrail.operators import intervals
+from placetrail.operators import intervals, variants
 from placetrail.sources import reads
 
 
@@ -79,3 +79,39 @@ def test_fastq_lines_of_one_split_are_many_keys(spark, tmp_path, monkeypatch):
     found = reads.fastq(spark, str(path))
     assert [(r.qname, r.seq) for r in found.orderBy("file_order").collect()] == [(f"r{i}", "ACGT"[i % 4]) for i in range(50)]
     assert "stretch" in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("rows_a_range", [4, 50_000])
+def test_a_run_of_overlapping_variants_is_many_ranges(spark, rows_a_range):
+    """One run of all variants was one fold, which copied what it had found for every variant."""
+    rng = random.Random(rows_a_range)
+    rows = [(c, h, rng.randint(0, 150), rng.choice([0, 1, 1, 2, 3, 3, 40 if c == "b" else 5]), rng.choice(["T", "GG", ""])) for c, h, k in (("a", 0, 200), ("a", 1, 40), ("b", 0, 150), (None, 1, 60)) for _ in range(k)]
+    rows += [("z", 0, 7, 1, None), ("z", 0, 7, 1, "A")]
+    table = spark.createDataFrame(rows, "contig string, hap int, start0 long, ref_len int, alt string").repartition(3)
+    found = variants.keep_apart(table, rows_a_range)
+    want, reach = [], {}
+    for c, h, s, n, alt in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2], r[3], r[4] or "")):
+        kept = s >= reach.get((c, h), -1)
+        reach[c, h] = s + n if kept else reach[c, h]
+        want.append((c, h, s, n, alt, kept))
+    order = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert order(found.collect()) == order(want)
+    assert "aggregate(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_windows_of_all_lengths_meet_one_row_of_variants(spark):
+    rng = random.Random(4)
+    seqs = {(i, rng.randint(-50, 3000)): "".join(rng.choices("ACGT", k=int(2 ** rng.uniform(0, 11)))) for i in range(40)}
+    windows = spark.createDataFrame([(i, "c", i % 2, s, seq) for (i, s), seq in seqs.items()], "window_id int, contig string, hap int, start0 long, seq string")
+    changes = sorted({(i % 2, rng.randint(0, 4000)): (rng.choice([1, 2, 3]), rng.choice(["T", "GGA"])) for i in range(900)}.items())
+    kept = variants.keep_apart(spark.createDataFrame([("c", h, s, n, alt) for (h, s), (n, alt) in changes], "contig string, hap int, start0 long, ref_len int, alt string"))
+    apart = {(r.hap, r.start0): (r.ref_len, r.alt) for r in kept.filter("kept").collect()}
+    out = variants.apply_to_windows(windows, kept)
+    for r in out.collect():
+        parts, at, many = [], 0, 0
+        for (h, s), (n, alt) in sorted(apart.items()):
+            if h == r.hap and at <= s - r.start0 and s - r.start0 + n <= len(r.seq):
+                parts += [r.seq[at : s - r.start0], alt]
+                at, many = s - r.start0 + n, many + 1
+        assert (r.sample_seq, r.n_variants) == ("".join(parts) + r.seq[at:], many)
+    assert "_stall" in out._jdf.queryExecution().analyzed().toString() and "r_end" not in out._jdf.queryExecution().analyzed().toString()
