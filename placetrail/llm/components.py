@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, discard
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(node, component) for every node of links(u, v): the smallest node reachable.
 
     A node's least neighbour is a partial aggregate, so a hub with a large share of all links is reduced before the
-    shuffle. Every round is written to the shared folder; rounds end when the set of links no longer changes.
+    shuffle. Every round is written to the shared folder, and the one before goes; rounds end when the set of links no longer changes.
     """
     now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     now = cut(now)
@@ -31,6 +31,7 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if seen == mark or not seen[0]:
             break
-        mark, now = seen, cut(_stars(now))
+        former, mark, now = now, seen, cut(_stars(now))
+        discard(former)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

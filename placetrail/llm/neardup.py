@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .lineage import cut, release
+from .lineage import cut, discard, release
 from .textops import fold_case, mix, per_text, prefix_hash, small_batches, span_hash, text_blocks, word_spans
 
 WORDS, LEAST_PERCENT = 5, 75
@@ -183,8 +183,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The member that meets the most others over all its buckets is the nearest to what a group was copied from.
     central = met.groupBy("rep").agg(F.struct(F.sum("size"), -F.col("rep")).alias("rank"))
     buckets = cut(met.join(central, "rep").select("key", "tag", "rep", "rank"))
+    # From here on: tables go once nothing reads them again, and shuffles before the next large ones are written.
+    discard(met)
+    release(docs.sparkSession)
     some = buckets.select("rep").distinct()
     sets = cut(texts.join(some, texts["doc_id"] == some["rep"], "left_semi").mapInArrow(_sets, "rep long, own array<long>, fine binary"))
+    release(docs.sparkSession)
     sides = classes.select("rep", "n", "sig")
 
     def links_to(pairs: DataFrame) -> DataFrame:
@@ -199,14 +203,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return cut(labelled.join(several.select("key", "base", "size"), "key"))
 
     hubs = buckets.groupBy("key").agg(F.max_by("rep", "rank").alias("hub"))
-    links = links_to(buckets.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct())
+    first = links_to(buckets.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct())
     release(docs.sparkSession)
-    rows = still_open(connected_components(links))
+    opened = still_open(connected_components(first))
     some_of = F.array(F.max_by("rep", "rank"), *[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(1, PARTNERS)])
-    partners = rows.filter("part = base").groupBy("key").agg(F.array_distinct(some_of).alias("hubs"))
-    links = links.unionByName(links_to(rows.filter("part <> base").join(partners, "key").select("rep", F.explode("hubs").alias("hub")).distinct()))
-    rows = still_open(connected_components(links)).join(sides, "rep").join(sets.select("rep", "fine"), "rep")
+    partners = opened.filter("part = base").groupBy("key").agg(F.array_distinct(some_of).alias("hubs"))
+    second = links_to(opened.filter("part <> base").join(partners, "key").select("rep", F.explode("hubs").alias("hub")).distinct())
+    discard(opened)
+    release(docs.sparkSession)
+    links = first.unionByName(second)
+    opened = still_open(connected_components(links))
+    discard(buckets)
+    rows = opened.join(sides, "rep").join(sets.select("rep", "fine"), "rep")
     rows = cut(rows.withColumns({"blocks": F.ceil(F.col("size") / F.lit(float(BLOCK))), "pblocks": F.ceil(F.col("size") / F.lit(float(PROBES)))}))
+    discard(opened)
+    release(docs.sparkSession)
     hashed = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     home = rows.select("*", hashed("blocks", 1).alias("block"), F.lit(False).alias("probe")).select("*", spread("pblocks").alias("pblock"))
@@ -216,6 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("key", "block", "pblock"), F.lit(groups))
     crossed = dealt.groupBy(bucket.alias("bucket")).applyInArrow(_cross, "u long, v long").distinct()
     more = cut(_confirm(crossed, sets))
+    discard(rows, sets)
     release(docs.sparkSession)
     # A doc_id with different texts stands in several classes and links them.
     sides_of = ["low", "high", "n"]
@@ -224,8 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = named.groupBy("doc_id").agg(differ.alias("several")).filter("several = 1").select("doc_id")
     same_id = named.filter("n > 0").join(several, "doc_id", "left_semi").join(classes, sides_of).select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
     parts = cut(connected_components(links.unionByName(more).unionByName(same_id)))
+    discard(first, second, more)
 
     ends = cut(classes.join(parts, classes["rep"] == parts["node"], "left").select(*sides_of, F.coalesce("component", "rep").alias("component_id")))
+    discard(classes)
+    release(docs.sparkSession)
     # Copies of one text meet in one key; the skew of that join is split, as its right side has one row a key.
     full = named.filter("n > 0").join(ends, sides_of, "left").select("doc_id", "n", "component_id")
     empty = named.filter("n = 0").join(parts, named["doc_id"] == parts["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from placetrail.functions import ordered
 from placetrail.llm import components, langid, mixing, neardup, nearvec, pieces, quality, repeats, sampling, topk, toxicity, unitcodes, wordpiece
+from placetrail.llm.lineage import shared_folder
 from tests.test_catalog import rows
 
 SQL = ["op1_near_vectors", "op2_token_counts", "op5_near_duplicates", "op7_top_k", "op8_repeats", "op10_mix_sources"]
@@ -282,6 +283,18 @@ def test_quality_held_out(labelled):
     assert (got == labelled.quality[held].to_numpy()).mean() > 0.97
 
 
+def test_near_duplicates_leave_what_is_read_alone(spark):
+    """Buckets, sets and links stayed on disk until the end of the session."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[: 200 + (i % 3 == 0)] if i < 30 else [f"d{i}w{j}" for j in range(60)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    found = neardup.near_duplicates(docs)
+    assert len(set(os.listdir(folder)) - before) <= 6
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: 0 if i < 30 else i for i in range(60)}
+
+
 def test_quality_learns_from_every_labelled_row(spark):
     """All bad texts are long, and most good ones too: a sample of short texts held no bad one."""
     text = lambda i, bad: ("@# $ %^ " if bad else "Some good words, in a row. ") * (4000 if bad or i % 5 else 3)
