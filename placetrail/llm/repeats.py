@@ -221,7 +221,11 @@ def _split(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterato
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, start, windows): runs of repeated windows of the texts in docs(key, text); equal texts may share a key."""
+    """(key, start, windows): runs of repeated windows of the texts in docs(key, text); equal texts may share a key.
+
+    The runs are a table of their own, so that what reads them next to the texts holds nothing of the search; fragments with their bytes are
+    dealt out twice: once to keep one of each content, once to the indexes.
+    """
     found = cut(docs.filter(F.octet_length("text") >= length).mapInArrow(lambda b: _collect(b, length), _ITEM + ", times int"))
     # Written, so that a join can split an anchor that very many fragments share.
     anchors = found.groupBy("h").agg(F.sum("times").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter(F.col("total") > 1)
@@ -238,30 +242,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One fragment of every different content, with its bytes.
     listed = contents.select("one.*", "h", "c", "n").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "at", "h", "c", "n")).alias("items"))
     schema = _ITEM + ", n long, part binary"
-    items = cut(docs.select("key", packed(F.col("text")).alias("packed")).join(listed, "key").mapInArrow(lambda b: _extract(b, length), schema)).dropDuplicates(["h", "c"])
+    items = cut(docs.select("key", packed(F.col("text")).alias("packed")).join(listed, "key").mapInArrow(lambda b: _extract(b, length), schema).dropDuplicates(["h", "c"]))
+    release(docs.sparkSession)
+    written = [shared, contents, items]
     for size in SPLITS:
-        sizes = items.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
-        hot = sizes.filter(F.col("different") > HOT).select("h")
+        # At most one anchor for HOT fragments, so they are sent to the fragments.
+        hot = cut(items.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter(F.col("different") > HOT).select("h"))
+        written.append(hot)
         if hot.isEmpty():
-            hot = None
-        cold = items if hot is None else items.join(hot, "h", "left_anti")
-        spans.append(_index(cold, sizes, length))
-        if hot is None:
+            spans.append(_index(items, length))
             break
-        parts = cut(items.join(hot, "h", "left_semi").mapInArrow(lambda b, s=size: _split(b, s, length), schema))
+        spans.append(_index(items.join(F.broadcast(hot), "h", "left_anti"), length))
+        parts = cut(items.join(F.broadcast(hot), "h", "left_semi").mapInArrow(lambda b, s=size: _split(b, s, length), schema))
         same = parts.groupBy("h", "c").agg(F.sum("n").alias("all"), F.min(F.struct("key", "start", "windows", "at", "part")).alias("one"))
         same = cut(same)
         repeated = same.filter("all > 1").select("h", "c")
         spans.append(parts.filter("n = 1").join(repeated, ["h", "c"], "left_semi").select("key", "start", "windows"))
         some = same.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("h")
         items = cut(same.join(some, "h", "left_semi").select("one.key", "one.start", "one.windows", "one.at", "h", "c", F.col("all").alias("n"), "one.part"))
+        written += [parts, same, items]
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
+    out = cut(out)
+    discard(*written)
+    release(docs.sparkSession)
     return out
 
 
-def _index(items: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
+def _index(items: DataFrame, length: int) -> DataFrame:
     """Repeated windows of the fragments that occur once, by run-length indexes over buckets of anchors."""
     total = items.agg(F.sum(F.length("part"))).first()[0] or 0
     buckets = max(1, -(-total // INDEX_BYTES))

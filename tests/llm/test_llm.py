@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from placetrail.functions import ordered
-from placetrail.llm import components, langid, mixing, neardup, nearvec, pieces, quality, repeats, sampling, topk, toxicity, unitcodes, wordpiece
+from placetrail.llm import components, langid, lineage, mixing, neardup, nearvec, pieces, quality, repeats, sampling, topk, toxicity, unitcodes, wordpiece
 from placetrail.llm.lineage import shared_folder
 from tests.test_catalog import rows
 
@@ -536,6 +536,22 @@ def test_repeats_of_equal_rows_and_of_one_byte(spark):
     assert len(found["start"]) < 300 and (found["windows"] * found["times"]).sum() == 9000 - 2 * 199
 
 
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_repeats_are_found_before_texts_are_dealt_out(spark, hot, monkeypatch):
+    """The search leaves its result alone in the shared folder, and the job that reads it next to the texts does not search again."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(9)
+    passage = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))
+    texts = [f"{i} " * (i % 7) + passage[i % 11 :] + f" {i * 7919}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = lineage.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    spans = repeats.repeated_spans(docs.select(repeats.row_key("doc_id", "text").alias("key"), "text"))
+    assert set(os.listdir(folder)) - before == {os.path.basename(spans.cut_path)} and spans.count() >= 40
+    plan = repeats.remove_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapGroupsInArrow" not in plan and "MapInArrow" not in plan
+
+
 def test_repeats_edges(odd, none):
     got = repeats.remove_repeats(odd).collect()
     assert len(got) == 8 and {r.n_removed for r in got if r.doc_id == 6} == {30_000}
