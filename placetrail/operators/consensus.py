@@ -36,7 +36,8 @@ def consensus(placements: DataFrame, tools: list[str], least: float = 0.1) -> Da
     inside a row and nothing is joined.
     """
     one = F.struct("place", "aligner", F.coalesce("mapped", F.lit(False)).alias("mapped"), "contig", "start0", "end0", "mapq")
-    rows = placements.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    # Dealt out as they are: lists begun in every task before that would be as many, and longer to write.
+    rows = placements.repartition(*KEY).groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("all"))
 
     def agrees(a, b):
         share = iou(a["start0"], a["end0"], b["start0"], b["end0"])
@@ -68,24 +69,31 @@ def with_truth(majority: DataFrame, truth: DataFrame, least: float = 0.1) -> Dat
 
 
 def consensus_summary(majority: DataFrame, tools: list[str], strata: list[str]) -> DataFrame:
-    """Disagreement with the consensus for every tool, over all reads and by the labels of every stratum column."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("aligner"), F.col(f"status_{t}").alias("status"), F.col(f"mapq_{t}").alias("mapq")) for t in tools]))
-    labels = [F.struct(F.lit("all").alias("stratum_set"), F.lit("all").alias("stratum"))] + [F.struct(F.lit(c).alias("stratum_set"), F.col(c).cast("string").alias("stratum")) for c in strata]
+    """Disagreement with the consensus for every tool, over all reads and by the labels of every stratum column.
+
+    Reads that are alike in all that is counted are one row with their number before they are stacked by tool and label.
+    """
     correct = F.col("consensus_correct") if "consensus_correct" in majority.columns else F.lit(False)
-    long = majority.select("has_consensus", correct.alias("right"), pairs.alias("t"), F.array(*labels).alias("labels"))
-    flat = long.select("has_consensus", "right", "t.*", F.explode("labels").alias("l")).select("*", "l.*").drop("l", "labels")
+    sure = {f"sure_{t}": (F.col(f"mapq_{t}") >= CONFIDENT) for t in tools}
+    counted = [F.col("has_consensus"), correct.alias("right"), *[F.col(f"status_{t}") for t in tools], *[c.alias(n) for n, c in sure.items()], *[F.col(c).cast("string").alias(f"stratum_{i}") for i, c in enumerate(strata)]]
+    alike = majority.select(*counted).groupBy("has_consensus", "right", *[f"status_{t}" for t in tools], *sure, *[f"stratum_{i}" for i in range(len(strata))]).agg(F.count(F.lit(1)).alias("reads"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("aligner"), F.col(f"status_{t}").alias("status"), F.col(f"sure_{t}").alias("sure")) for t in tools]))
+    labels = [F.struct(F.lit("all").alias("stratum_set"), F.lit("all").alias("stratum"))] + [F.struct(F.lit(c).alias("stratum_set"), F.col(f"stratum_{i}").alias("stratum")) for i, c in enumerate(strata)]
+    long = alike.select("has_consensus", "right", "reads", pairs.alias("t"), F.array(*labels).alias("labels"))
+    flat = long.select("has_consensus", "right", "reads", "t.*", F.explode("labels").alias("l")).select("*", "l.*").drop("l", "labels")
     kept = flat.filter((F.col("stratum_set") == "all") | (F.col("has_consensus") & F.col("stratum").isNotNull()))
     has, off = F.col("has_consensus"), F.col("status") == "disagree"
+    reads = lambda which: F.sum(F.when(which, F.col("reads")).otherwise(0))
     out = kept.groupBy("aligner", "stratum_set", "stratum").agg(
-        F.count(F.lit(1)).alias("n_reads"),
-        F.count_if(~has).alias("n_no_consensus"),
-        F.count_if(F.col("status") == "unmapped").alias("n_unmapped_total"),
-        F.count_if(has).alias("n_consensus"),
-        F.count_if(has & (F.col("status") == "agree")).alias("n_agree"),
-        F.count_if(has & off).alias("n_disagree"),
-        F.count_if(has & off & (F.col("mapq") >= CONFIDENT)).alias("n_disagree_confident"),
-        F.count_if(has & (F.col("status") == "unmapped")).alias("n_unmapped"),
-        F.count_if(has & F.col("right")).alias("n_consensus_correct"),
+        F.sum("reads").alias("n_reads"),
+        reads(~has).alias("n_no_consensus"),
+        reads(F.col("status") == "unmapped").alias("n_unmapped_total"),
+        reads(has).alias("n_consensus"),
+        reads(has & (F.col("status") == "agree")).alias("n_agree"),
+        reads(has & off).alias("n_disagree"),
+        reads(has & off & F.col("sure")).alias("n_disagree_confident"),
+        reads(has & (F.col("status") == "unmapped")).alias("n_unmapped"),
+        reads(has & F.col("right")).alias("n_consensus_correct"),
     )
     return out if "consensus_correct" in majority.columns else out.drop("n_consensus_correct")
 

@@ -408,3 +408,14 @@ def test_names_and_checks(spark):
     assert qc.filter_rows(steps).count() == 1
     places = spark.createDataFrame([("c", 1), ("c", 2), ("c", 2)], "contig string, pos long")
     assert intervals.outside_mask(places, spark.createDataFrame([("c", 1), ("c", 1)], "contig string, pos long")).count() == 2
+
+
+def test_consensus_summary_counts_alike_reads_before_stacking(spark):
+    """Reads that are alike are one row when they are stacked by tool and label; repeated, missing and null values count as before."""
+    rows = [(str(i), i % 5 != 0, "agree" if i % 5 else "disagree", 30 if i % 2 else None, "unmapped", 60, None if i % 3 == 0 else "x") for i in range(60)]
+    majority = spark.createDataFrame(rows, "qname string, has_consensus boolean, status_a string, mapq_a long, status_b string, mapq_b long, ptype string")
+    out = consensus.consensus_summary(majority, ["a", "b"], ["ptype"])
+    got = {(r.aligner, r.stratum_set, r.stratum): (r.n_reads, r.n_no_consensus, r.n_unmapped_total, r.n_consensus, r.n_agree, r.n_disagree, r.n_disagree_confident, r.n_unmapped) for r in out.collect()}
+    assert got == {("a", "all", "all"): (60, 12, 0, 48, 48, 0, 0, 0), ("b", "all", "all"): (60, 12, 60, 48, 0, 0, 0, 48), ("a", "ptype", "x"): (32, 0, 0, 32, 32, 0, 0, 0), ("b", "ptype", "x"): (32, 0, 32, 32, 0, 0, 0, 32)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Generate") :] and "n_consensus_correct" not in out.columns
