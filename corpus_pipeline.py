@@ -38,9 +38,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without their repeated strings of 200 bytes; what is left of a character cut in two goes too, n_chars
     follows the text, and a document of which nothing is left goes."""
     names = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}  # none that the operator adds
-    left = repeats.remove_repeats(docs.toDF(*names.values()))
-    text = F.when(F.col("n_removed") > 0, repeats.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    out = left.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    out = repeats.without_repeats(docs.toDF(*names.values())).filter((F.col("n_removed") == 0) | (F.length("text") > 0))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(names["n_chars"]))
     return out.withColumn(names["n_chars"], n_chars).select(*names.values()).toDF(*docs.columns)
 

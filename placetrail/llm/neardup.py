@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .lineage import cut, discard, release
-from .textops import fold_case, mix, per_text, prefix_hash, small_batches, span_hash, text_blocks, word_spans
+from .textops import fold_case, give_back, mix, per_text, prefix_hash, small_batches, span_hash, text_blocks, word_spans
 
 WORDS, LEAST_PERCENT = 5, 75
 CHUNKS, LANES, LANE_BITS = 12, 3, 20
@@ -32,6 +32,8 @@ FINE, FINE_DIFFERENT = 1024, 318
 PROBES, GROUP_ROWS = 8192, 4096
 #: Rows of one block where a bucket's rows are compared with each other.
 BLOCK = 1024
+#: Pairs whose signatures are laid side by side at a time.
+PAIRS = 4096
 
 _LANE = (1 << LANE_BITS) - 1
 _LOW = sum((_LANE >> 1) << (LANE_BITS * i) for i in range(LANES))
@@ -117,13 +119,17 @@ def _cross(table: pa.Table) -> pa.Table:
             small, large = np.minimum(n[x][:, None], n[ys]), np.maximum(n[x][:, None], n[ys])
             i, j = np.nonzero((far <= MOST_DIFFERENT) & (part[x][:, None] != part[ys]) & (small * 100 >= large * LEAST_PERCENT))
             i, j = x[i], ys[j]
-            differ = (lanes[i] != lanes[j]).reshape(-1, CHUNKS, LANES)
-            chunk = (differ.sum(2) <= 1).argmax(1)
-            first = chunk * LANES + differ[np.arange(len(i)), chunk].argmax(1)
-            i, j = i[first == tag[i]], j[first == tag[i]]
-            good = (fine[i] != fine[j]).sum(1) <= FINE_DIFFERENT
-            out.append(np.stack([np.maximum(rep[i], rep[j])[good], np.minimum(rep[i], rep[j])[good]], 1))
+            for at in range(0, len(i), PAIRS):
+                a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+                differ = (lanes[a] != lanes[b]).reshape(-1, CHUNKS, LANES)
+                chunk = (differ.sum(2) <= 1).argmax(1)
+                first = chunk * LANES + differ[np.arange(len(a)), chunk].argmax(1)
+                a, b = a[first == tag[a]], b[first == tag[a]]
+                good = (fine[a] != fine[b]).sum(1) <= FINE_DIFFERENT
+                out.append(np.stack([np.maximum(rep[a], rep[b])[good], np.minimum(rep[a], rep[b])[good]], 1))
     pairs = np.unique(np.concatenate(out), axis=0)
+    del packed, lanes, fine, out
+    give_back()
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 

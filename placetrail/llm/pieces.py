@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,9 +155,10 @@ def viterbi(model: Model, unit: bytes) -> list[int]:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, score): a fixed table of the model's size."""
-    rows = [(piece, i, model.scores[i]) for piece, i in model.useful.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, id, score): a fixed table of the model's size. Made with Arrow, so that no executor starts Python workers for it."""
+    ids = list(model.useful.values())
+    columns = {"piece": pa.array(list(model.useful), pa.string()), "id": pa.array(ids, pa.int32()), "score": pa.array([model.scores[i] for i in ids], pa.float64())}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def _edges(spans: DataFrame, keys: list[str], model: Model) -> DataFrame:
@@ -260,8 +262,9 @@ def encode_long_units(distinct: DataFrame, model: Model) -> DataFrame:
 def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """(keys, ids, text) for every row of encoded(keys, ids): ids are exploded, equi-joined to the pieces' bytes and put together
     in order. A partitioning by the keys is kept."""
-    rows = [(i, piece.hex()) for i, piece in enumerate(model.spelled) if piece]
-    spelled = F.broadcast(encoded.sparkSession.createDataFrame(rows, "id int, spelled string"))
+    ids = [i for i, piece in enumerate(model.spelled) if piece]
+    table = pa.table({"id": pa.array(ids, pa.int32()), "spelled": pa.array([model.spelled[i].hex() for i in ids], pa.string())})
+    spelled = F.broadcast(encoded.sparkSession.createDataFrame(table))
     parts = encoded.select(*keys, F.posexplode_outer("ids").alias("place", "id")).join(spelled, "id")
     grouped = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "id", "spelled"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["spelled"]), "")

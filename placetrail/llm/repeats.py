@@ -290,16 +290,6 @@ def _index(items: DataFrame, length: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(search, "key binary, start long, windows int")
 
 
-def whole_characters(kept: Column) -> Column:
-    """Bytes as text, without what is left of characters that were cut in two."""
-
-    @F.arrow_udf("string")
-    def read(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
-
-    return read(kept)
-
-
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -310,6 +300,28 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])))
 
 
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """docs, its text packed, with each row's repeated runs, and the name of their column."""
+    small_batches(docs.sparkSession)
+    key, listed = (unused(c, docs.columns) for c in ("key", "spans"))
+    # 128 bits stand for doc_id and text. Rows with one key are one row repeated; each repetition is a place of its own.
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    spans = repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length)
+    per_doc = spans.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias(listed)).withColumnRenamed("key", key)
+    return keyed.withColumn("text", packed(F.col("text"))).join(per_doc, key, "left"), listed
+
+
+def _covered(text: pa.Scalar, runs: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a packed text, and which of them its repeated runs cover."""
+    data = np.frombuffer(unpacked(text.as_py()) if text.is_valid else b"", np.uint8)
+    change = np.zeros(len(data) + 1, np.int64)
+    if runs.is_valid:
+        start, windows = (x.to_numpy() for x in runs.values.flatten())
+        np.add.at(change, start, 1)
+        np.add.at(change, start + windows - 1 + length, -1)
+    return data, np.cumsum(change[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text, ...) plus n_bytes, n_removed, n_spans (long) and kept (binary: the remaining bytes).
 
@@ -318,25 +330,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     table without repeats comes back whole, an empty one empty. Texts of any length are whole, one to a task's block if they are long. Existing
     columns of the four names are replaced.
     """
-    small_batches(docs.sparkSession)
     base = docs.drop(*OUTPUTS)
-    key, listed, out = (unused(c, base.columns) for c in ("key", "spans", "out"))
-    # 128 bits stand for doc_id and text. Rows with one key are one row repeated; each repetition is a place of its own.
-    keyed = base.withColumn(key, row_key("doc_id", "text"))
-    spans = repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length)
-    per_doc = spans.groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias(listed)).withColumnRenamed("key", key)
+    joined, listed = _with_spans(base, length)
+    out = unused("out", joined.columns)
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def apply(texts: pa.Array, lists: pa.Array) -> pa.Array:
         size, gone, runs, kept = [], [], [], []
-        for i in range(len(texts)):
-            data = np.frombuffer(unpacked(texts[i].as_py()) if texts[i].is_valid else b"", np.uint8)
-            change = np.zeros(len(data) + 1, np.int64)
-            if lists[i].is_valid:
-                start, windows = (x.to_numpy() for x in lists[i].values.flatten())
-                np.add.at(change, start, 1)
-                np.add.at(change, start + windows - 1 + length, -1)
-            covered = np.cumsum(change[:-1]) > 0
+        for text, spans in zip(texts, lists, strict=True):
+            data, covered = _covered(text, spans, length)
             size.append(len(data))
             gone.append(int(covered.sum()))
             runs.append(len(_runs(covered)))
@@ -347,10 +349,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def unpack(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else unpacked(x) for x in texts.to_pylist()], pa.binary()).cast(pa.string())
 
-    joined = keyed.withColumn("text", packed(F.col("text"))).join(per_doc, key, "left").withColumn(out, apply(F.col("text"), F.col(listed)))
+    joined = joined.withColumn(out, apply(F.col("text"), F.col(listed)))
     return joined.select(*[unpack(F.col(c)).alias(c) if c == "text" else F.col(c) for c in base.columns], *[F.col(out)[c].alias(c) for c in OUTPUTS])
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs(doc_id, text, ...) with what `remove_repeats` leaves of each text, less what is left of characters that were cut in two, plus
+    n_removed (long: the bytes that repeats covered). A text without repeats stays as it is, null too. An existing n_removed is replaced.
+
+    One Python worker does it all for a row. The function counts as not deterministic, as a filter on its results would otherwise be pushed below
+    them, and every text be unpacked and cut once for the filter and again for its result, in more workers of one task.
+    """
+    base = docs.drop("n_removed")
+    joined, listed = _with_spans(base, length)
+    out = unused("out", joined.columns)
+
+    @F.arrow_udf("text string, n_removed long")
+    def apply(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        gone, left = [], []
+        for text, spans in zip(texts, lists, strict=True):
+            data, covered = _covered(text, spans, length)
+            gone.append(int(covered.sum()))
+            rest = data[~covered].tobytes()
+            left.append(None if not text.is_valid else rest.decode("utf-8", "ignore").encode() if gone[-1] else rest)
+        return pa.StructArray.from_arrays([pa.array(left, pa.binary()).cast(pa.string()), pa.array(gone, pa.int64())], ["text", "n_removed"])
+
+    joined = joined.withColumn(out, apply.asNondeterministic()(F.col("text"), F.col(listed)))
+    return joined.select(*[F.col(out)["text"].alias(c) if c == "text" else F.col(c) for c in base.columns], F.col(out)["n_removed"].alias("n_removed"))
+
+
 #: Every string of 200 bytes, written as 400 hexadecimal digits, with the number of its places; the bytes that repeated ones cover.
 ORACLE_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

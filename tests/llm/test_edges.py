@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placetrail.llm import langid, repeats, sampling, topk
+from placetrail.llm import langid, neardup, pieces, repeats, sampling, topk
 
 CLASHING = ("n_bytes", "n_removed", "n_spans", "kept", "ids", "decoded", "round_trip", "lang_pred", "score", "n_pieces", "key", "row", "order", "mark", "held", "found", "size", "copies", "rep", "component_id")
 
@@ -76,3 +79,48 @@ def test_a_rare_label_is_in_the_sample_and_too_many_are_an_error(spark, monkeypa
     monkeypatch.setattr(sampling, "CLASSES", 1)
     with pytest.raises(ValueError, match="can be learned"):
         sampling.labelled_sample(docs, keys, "label", 20, 100, seed=1)
+
+
+def test_repeated_strings_take_one_python_worker_for_packing_and_one_for_the_rest(spark):
+    """A filter on the outputs must not have every text unpacked and cut a second time, in more workers of the same task."""
+    import corpus_pipeline as cp
+
+    passage = "\u00e9" + "x" * 199  # 201 bytes; the first character's second byte is that of the next row's
+    rows = [(1, passage, "en", "s", 200), (2, "\u0129" + "x" * 199 + "!", "en", "s", 201), (3, "short", None, "s", 7), (4, None, "en", None, 9), (5, passage, "en", "s", 200), (6, "", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.repeated_strings(spark, docs, "")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2, plan
+    assert sorted(map(tuple, got.collect())) == sorted([(2, "!", "en", "s", 1), rows[2], rows[3], rows[5]], key=lambda r: r[0])
+    for r in repeats.without_repeats(docs).collect():
+        raw = next(k for k in repeats.remove_repeats(docs).collect() if k.doc_id == r.doc_id)
+        assert r.n_removed == raw.n_removed and r.text == (raw.kept.decode("utf-8", "ignore") if raw.n_removed else raw.text)
+
+
+def test_crossed_blocks_hold_few_signatures_at_a_time():
+    """64 outsiders and 1024 rows that all are near: 65,536 pairs of 1 kB signatures."""
+    n = 64 + 1024
+    rep = np.arange(n)[::-1].copy()
+    fine = np.zeros((n, neardup.FINE), np.uint8)
+    fine[64:][::2, : neardup.FINE_DIFFERENT + 1] = 1  # every other row differs too much
+    zeros = np.zeros(n, np.int64)
+    lists = pa.ListArray.from_arrays(np.arange(0, n * neardup.CHUNKS + 1, neardup.CHUNKS, dtype=np.int32), pa.array(np.zeros(n * neardup.CHUNKS, np.int64)))
+    columns = {"key": zeros, "block": zeros, "pblock": zeros, "probe": np.arange(n) < 64, "rep": rep, "part": rep, "n": zeros + 9, "tag": zeros, "sig": lists, "fine": pa.array([f.tobytes() for f in fine], pa.binary())}
+    table = pa.table(columns)
+    tracemalloc.start()
+    got = neardup._cross(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(max(u, v), min(u, v)) for u in rep[:64].tolist() for v in rep[64:][1::2].tolist()}
+    assert set(zip(got["u"].to_pylist(), got["v"].to_pylist(), strict=True)) == want and got.num_rows == len(want)
+    assert peak < 60e6
+
+
+def test_fixed_tables_start_no_python_workers(spark):
+    """A table made from a list of rows is read by Python workers of a pool of their own."""
+    model = pieces.read_model()
+    table = pieces.piece_table(spark, model)
+    assert {(r.piece, r.id) for r in table.collect()} == set(model.useful.items())
+    back = pieces.decode(spark.createDataFrame(pa.table({"k": [1], "ids": [[5, 300]]})), model, ["k"])
+    for frame in (table, back):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().executedPlan().toString()
