@@ -11,6 +11,8 @@ from placetrail.functions import sequence
 from placetrail.operators import intervals, variants
 from placetrail.sources import reads
 
+from .test_operators import plain_apply
+
 
 @pytest.mark.parametrize("size", [5, 64])
 def test_run_lengths_are_counted_inside_tasks(spark, size, monkeypatch):
@@ -115,3 +117,43 @@ def test_windows_of_all_lengths_meet_one_row_of_variants(spark):
                 at, many = s - r.start0 + n, many + 1
         assert (r.sample_seq, r.n_variants) == ("".join(parts) + r.seq[at:], many)
     assert "_stall" in out._jdf.queryExecution().analyzed().toString() and "r_end" not in out._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("one_mark", [False, True])
+def test_windows_are_laid_out_many_at_once(spark, monkeypatch, one_mark):
+    """Every window was folded over the variants of its stall by itself; a stall with many windows was one task."""
+    hashed = F.xxhash64
+    monkeypatch.setattr(variants.F, "xxhash64", lambda *c: F.lit(0).cast("long") if one_mark and c[0] == "contig" else hashed(*c))
+    rng = random.Random(6)
+    words = [("c", i % 2, rng.randint(-20, 400), "".join(rng.choices("ACGT" if i % 5 else "ACé🧬", k=rng.randint(0, 90)))) for i in range(150)]
+    words += [(c, h, 40, "ACGTACGTAC") for c, h in (("d", 0), ("none", 0), (None, 0), ("c", None))] + [("c", h, 30, "GATTACA" * 90_000) for h in (0, 1)] + [("c", 0, 60, "ACGT" * 30)] * 30
+    windows = spark.createDataFrame([(i, *w) for i, w in enumerate(words)] + [(900, "c", 0, 50, None), (901, "c", 0, None, "ACGT")], "window_id int, contig string, hap int, start0 long, seq string")
+    apart = [("c", h, s + rng.randint(0, 3), rng.randint(1, 3), rng.choice(["T", "", "GGATC", "é"])) for h in (0, 1) for s in [*range(0, 300, 7), 560_000]]
+    clashing = [("d", 0, s, n, alt) for s, n, alt in ((39, 3, "T"), (41, 4, "GG"), (44, 1, "A"), (45, 2, "CCC"), (45, 1, "T"), (49, 3, "T"))]
+    kept = spark.createDataFrame([(*v, True) for v in apart + clashing] + [(None, 0, 41, 1, "T", True), ("c", 0, 41, None, "T", True), ("c", 0, 41, 1, "T", False)], "contig string, hap int, start0 long, ref_len int, alt string, kept boolean")
+    out = variants.apply_to_windows(windows, kept, windows_a_task=4)
+    got = {r.window_id: (r.sample_seq, r.positions, r.n_variants) for r in out.collect()}
+    want = {i: plain_apply(seq, s, [(x, n, alt) for d, k, x, n, alt in apart + clashing if (d, k) == (c, h) and s <= x < s + len(seq)]) for i, (c, h, s, seq) in enumerate(words)}
+    assert got == want | {900: (None, [], 0), 901: ("ACGT", None, 0)}
+    assert {r.n for r in out.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1}
+    plain = {r.window_id: (r.sample_seq, r.positions, r.n_variants) for r in variants.apply_to_windows(windows.filter("window_id < 100"), kept.limit(0)).collect()}
+    assert plain == {i: plain_apply(seq, s, []) for i, (_, _, s, seq) in enumerate(words[:100])}
+
+
+def test_an_insertion_without_reference_bases(spark):
+    windows = spark.createDataFrame([(1, "c", 0, 10, "ACGT")], "window_id int, contig string, hap int, start0 long, seq string")
+    kept = variants.keep_apart(spark.createDataFrame([("c", 0, 12, 0, "TT"), ("c", 0, 12, 0, "G"), ("c", 0, 12, 1, "A"), ("c", 0, 14, 0, "C")], "contig string, hap int, start0 long, ref_len int, alt string"))
+    assert [tuple(r) for r in variants.apply_to_windows(windows, kept).select("sample_seq", "positions", "n_variants").collect()] == [("ACGTTAT", [10, 11, 12, 12, 12, 12, 13], 3)]
+
+
+def test_records_are_not_dealt_out_by_contigs(spark):
+    """All records of a contig were one task, and their genotypes were taken apart up to twelve times."""
+    rows = [("1", 5, "a", "T,g", "0/2:x"), ("chr1", 9, "ACG", "T", "1"), ("1", 11, "A", "<DEL>", "99999999999|0"), ("1", 12, "A", "T", "./1"), ("1", 13, "A", "T", "0|0"), ("9", 1, "A", "T", "99999999999"), ("1", 14, "A", "T,C", "2|1|2")]
+    records = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "file_order int, contig string, pos1 long, ref string, alts string, genotype string")
+    names = spark.createDataFrame([("1", "chr1"), ("chr1", "chr1")], "name string, canonical string")
+    found = variants.genotype_rows(records, names)
+    assert [(r.status, r.alleles and sorted(r.alleles)) for r in found.orderBy("file_order").collect()] == [("used", [0, 2]), ("used", [1, 1]), *[("skipped_other", None)] * 2, ("homozygous_reference", None), ("off_reference", None), ("used", [1, 2, 2])]
+    haps = variants.haplotype_variants(found)
+    assert sorted((r.start0, r.ref_len, r.alt) for r in haps.collect()) == [(4, 1, "G"), (8, 3, "T"), (8, 3, "T"), (13, 1, "C"), (13, 1, "C"), (13, 1, "T")]
+    plan = haps._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(contig" not in plan and plan.count("^[0-9]+$") <= 2
